@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavefold.llm import byte_bpe, line_dedup, packing, quality_rules
+from wavefold.llm import byte_bpe, chat_format, line_dedup, packing, quality_rules
 from wavefold.llm.common import table
 
 
@@ -14,6 +14,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = spark.range(2).select(F.lit(-1).cast("bigint"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit("</s>[INST] ok [/INST]"))
+    examples = chat_format.format_chats(rows.union(control), "conv_id", "turn", "role", "text")
+    return chat_format.read_back(examples, "conv_id")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -29,12 +36,32 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_packing": op4_packing,
+    "op5_chat_format": op5_chat_format,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_chat_format": r"""
+        WITH rows AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ),
+        written AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS nth, count(*) OVER (PARTITION BY conv_id) AS turns,
+                length(role) + length(text) + 17 + len(regexp_extract_all(role, '(\[/?|<<?/?)(\\*)(INST\]|SYS>>|s>)')) + len(regexp_extract_all(text, '(\[/?|<<?/?)(\\*)(INST\]|SYS>>|s>)')) AS chars
+            FROM rows
+        ),
+        prefixes AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY nth) AS upto FROM written)
+        SELECT conv_id, count(*)::BIGINT AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
+            coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            sum(upto) FILTER (role = 'assistant' OR nth = turns)::BIGINT AS formatted_chars
+        FROM prefixes GROUP BY conv_id
+    """,
     "op8_line_dedup": r"""
         WITH texts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         lines AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM texts),
