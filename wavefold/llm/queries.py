@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavefold.llm import byte_bpe, chat_format, html_extract, line_dedup, packing, quality_classifier, quality_rules
+from wavefold.llm import byte_bpe, chat_format, embedding_dedup, html_extract, line_dedup, packing, quality_classifier, quality_rules
 from wavefold.llm.common import table
 
 
@@ -25,6 +25,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(examples, "conv_id")
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     model = quality_classifier.train(documents, labels, "doc_id", "text", quality_classifier.grade(F.col("quality"), F.col("toxic")))
@@ -48,6 +52,7 @@ QUERIES = {
     "op2_html_extract": op2_html_extract,
     "op4_packing": op4_packing,
     "op5_chat_format": op5_chat_format,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
@@ -74,6 +79,18 @@ ORACLE_SQL: dict[str, str] = {
             sum(upto) FILTER (role = 'assistant' OR nth = turns)::BIGINT AS formatted_chars
         FROM prefixes GROUP BY conv_id
     """,
+    "op6_embedding_dedup": r"""
+        WITH RECURSIVE usable AS (
+            SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+            WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ),
+        links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+        reach AS (SELECT a AS id, b AS other FROM links UNION SELECT reach.id, links.b FROM reach JOIN links ON reach.other = links.a),
+        parts AS (SELECT id, min(other) AS least FROM reach GROUP BY id),
+        counts AS (SELECT a AS id, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id, vec_id <= coalesce(least, vec_id) AS kept
+        FROM embeddings LEFT JOIN parts ON parts.id = vec_id LEFT JOIN counts ON counts.id = vec_id
+    """,
     "op8_line_dedup": r"""
         WITH texts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
         lines AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM texts),
