@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavefold.llm import byte_bpe, chat_format, embedding_dedup, html_extract, line_dedup, packing, quality_classifier, quality_rules
+from wavefold.llm import byte_bpe, chat_format, embedding_dedup, html_extract, line_dedup, order_minhash, packing, quality_classifier, quality_rules
 from wavefold.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"), "html", ["page_id", "url"])
 
 
+def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
@@ -50,6 +54,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_html_extract": op2_html_extract,
+    "op3_order_minhash": op3_order_minhash,
     "op4_packing": op4_packing,
     "op5_chat_format": op5_chat_format,
     "op6_embedding_dedup": op6_embedding_dedup,
