@@ -6,10 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavefold.llm import byte_bpe, chat_format, embedding_dedup, html_extract, line_dedup, order_minhash, packing, quality_classifier, quality_rules
+from wavefold.llm import byte_bpe, chat_format, embedding_dedup, html_extract, license_scan, line_dedup, order_minhash, packing, quality_classifier, quality_rules
 from wavefold.llm.common import table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"), "html", ["page_id", "url"])
 
@@ -53,6 +57,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_html_extract": op2_html_extract,
     "op3_order_minhash": op3_order_minhash,
     "op4_packing": op4_packing,
