@@ -9,11 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavefold.functions import codecs, traces, wavelets
 from wavefold.operators import frames, lookups, reductions, stencils
-from wavefold.sources.tables import lattice, table
+from wavefold.plans import jobs
+from wavefold.plans.solver import Medium
+from wavefold.sources.tables import lattice, shared_folder, table
+from wavefold.streaming.stacking import stack_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -385,3 +390,144 @@ def top_images(spark: SparkSession, d: str) -> DataFrame:
 def shared_lines(spark: SparkSession, d: str) -> DataFrame:
     lines = table(spark, d, "lineitem").filter("l_returnflag = 'A'").select(F.col("l_partkey").alias("line"))
     return lines.intersect(table(spark, d, "part").filter("p_size BETWEEN 10 AND 30").select(F.col("p_partkey").alias("line")))
+
+
+# Whole traces
+
+
+def _traces(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("samples"))
+
+
+def _samples(rows: DataFrame, digits: int) -> DataFrame:
+    """A row for each sample."""
+    return rows.select("vec_id", F.posexplode("samples").alias("i", "x")).select("vec_id", big(F.col("i")).alias("i"), (F.round("x", digits) + 0.0).alias("x"))
+
+
+def _sample_sql(samples: str) -> str:
+    return f"SELECT vec_id, unnest(range(len(l))) AS i, unnest(l) AS x FROM (SELECT vec_id, {samples} AS l FROM embeddings)"
+
+
+@query(_sample_sql("list_transform(range(len(embedding)), lambda i: round(embedding[(i - 3 + len(embedding)) % len(embedding) + 1]::DOUBLE, 5) + 0.0)"))
+def time_shift(spark: SparkSession, d: str) -> DataFrame:
+    return _samples(traces.map_traces(_traces(spark, d), ["vec_id"], "samples", traces.time_shift(3.0)), 5)
+
+
+@query(_sample_sql("list_transform(range(127), lambda i: round(CASE WHEN i % 2 = 0 THEN embedding[i // 2 + 1]::DOUBLE ELSE (embedding[i // 2 + 1]::DOUBLE + embedding[i // 2 + 2]::DOUBLE) / 2 END, 5) + 0.0)"))
+def resample_linear(spark: SparkSession, d: str) -> DataFrame:
+    return _samples(traces.map_traces(_traces(spark, d), ["vec_id"], "samples", traces.resample(1.0, 0.5, 127, "linear", 1)), 5)
+
+
+@query()
+def resample_traces(spark: SparkSession, d: str) -> DataFrame:
+    return _samples(traces.map_traces(_traces(spark, d), ["vec_id"], "samples", traces.resample(0.004, 0.003, 84, "lanczos", 9)), 9)
+
+
+@query()
+def band_pass(spark: SparkSession, d: str) -> DataFrame:
+    return _samples(traces.map_traces(_traces(spark, d), ["vec_id"], "samples", traces.band_pass(0.004, (4.0, 8.0, 60.0, 80.0), power=1.0)), 9)
+
+
+@query()
+def phase_correction(spark: SparkSession, d: str) -> DataFrame:
+    return _samples(traces.map_traces(_traces(spark, d), ["vec_id"], "samples", traces.phase_correction(0.004)), 9)
+
+
+@query()
+def spectral_curvature(spark: SparkSession, d: str) -> DataFrame:
+    return _samples(traces.map_traces(_traces(spark, d), ["vec_id"], "samples", traces.spectral_derivative(12.5, 2)), 9)
+
+
+@query()
+def compact_slope(spark: SparkSession, d: str) -> DataFrame:
+    return _samples(traces.map_traces(_traces(spark, d), ["vec_id"], "samples", traces.compact_derivative(12.5)), 9)
+
+
+@query("SELECT vec_id, len(embedding)::INT AS n, 0 AS n_off FROM embeddings")
+def codec_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """How many samples a 16-bit round trip moves by more than half a step of their trace's range."""
+    near = traces.map_traces(_traces(spark, d).withColumn("kept", F.col("samples")), ["vec_id", "kept"], "samples", codecs.CODECS["16"], "decoded")
+    step = F.array_max(F.transform("kept", F.abs)) / 32767
+    off = F.size(F.filter(F.zip_with("kept", "decoded", lambda a, b: F.abs(a - b)), lambda x: x > step * 0.5001))
+    return near.select("vec_id", F.size("kept").alias("n"), off.alias("n_off"))
+
+
+@query(_sample_sql("list_transform(embedding, lambda x: round(x::DOUBLE / list_max(list_transform(embedding, lambda y: abs(y::DOUBLE))), 5) + 0.0)"))
+def normalise_array(spark: SparkSession, d: str) -> DataFrame:
+    return _samples(_traces(spark, d).select("vec_id", traces.normalise(F.col("samples")).alias("samples")), 5)
+
+
+@query(_sample_sql("list_reverse(list_transform(range(len(embedding)), lambda i: round(embedding[i + 1]::DOUBLE * 0.5 * least(1.0, (i + 1) / 9.0), 6) + 0.0))"))
+def ramp_reverse(spark: SparkSession, d: str) -> DataFrame:
+    return _samples(_traces(spark, d).select("vec_id", traces.ramp_reversed(F.col("samples"), 8, 0.5).alias("samples")), 6)
+
+
+@query(_sample_sql("list_transform(list_concat(embedding[11:30], list_transform(range(4), lambda i: embedding[30])), lambda x: round(x::DOUBLE, 6) + 0.0)"))
+def cut_and_pad(spark: SparkSession, d: str) -> DataFrame:
+    return _samples(_traces(spark, d).select("vec_id", traces.pad(traces.cut(F.col("samples"), 10, 20), 24).alias("samples")), 6)
+
+
+@query("SELECT vec_id, len(list_filter(embedding, lambda x: x > 0.2)) > 0 AS any, list_position(list_transform(embedding, lambda x: x > 0.2), true)::INT - 1 AS first, (len(embedding) - list_position(list_reverse(list_transform(embedding, lambda x: x > 0.2)), true))::INT AS last FROM embeddings WHERE len(list_filter(embedding, lambda x: x > 0.2)) > 0")
+def nonzero_span(spark: SparkSession, d: str) -> DataFrame:
+    clipped = F.transform("samples", lambda x: F.when(x > F.lit(0.2).cast("float"), x).otherwise(0.0))
+    span = traces.nonzero_span(clipped)
+    return _traces(spark, d).select("vec_id", F.lit(True).alias("any"), span.alias("s")).filter("s IS NOT NULL").select("vec_id", "any", "s.first", "s.last")
+
+
+@query("SELECT i, count(*) AS n, sum(round(embedding[i + 1]::DOUBLE * 1e6)::BIGINT)::BIGINT AS total FROM embeddings, (SELECT unnest(range(64)) AS i) GROUP BY i")
+def transpose_sum(spark: SparkSession, d: str) -> DataFrame:
+    rows = _traces(spark, d).select(F.posexplode("samples").alias("i", "x"))
+    return rows.groupBy(big(F.col("i")).alias("i")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("x") * 1e6).cast("bigint")).alias("total"))
+
+
+# Solver jobs: every order is a shot of its own place over the model of the parts
+
+_DT, _NT, _DZ, _CELLS = 0.002, 150, 10.0, 50
+
+
+def _medium(spark: SparkSession, d: str) -> Medium:
+    """A velocity for each of the 50 depths, from the mean price there."""
+    depth = F.least(F.greatest("p_size", F.lit(1)), F.lit(_CELLS)).alias("depth")
+    found = {r["depth"]: r["v"] for r in table(spark, d, "part").groupBy(depth).agg(F.avg("p_retailprice").alias("v")).collect()}  # 50 rows at most
+    mean = np.mean(list(found.values()) or [1000.0])
+    return Medium(np.array([1500 + 0.5 * found.get(k + 1, mean) for k in range(_CELLS)]), _DZ)
+
+
+def _shots(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 30 + 10).alias("source"), (F.col("o_orderkey") % 7 + 3).alias("receiver"))
+
+
+def _modelled(spark: SparkSession, d: str) -> DataFrame:
+    wavelet = wavelets.ricker(40, _DT, 25.0) / wavelets.GAIN
+    return jobs.model_shots(_shots(spark, d), "o_orderkey", ["source"], ["receiver"], _medium(spark, d), wavelet, _DT, _NT)
+
+
+@query()
+def model_shot_1d(spark: SparkSession, d: str) -> DataFrame:
+    peak = F.array_max(F.transform("samples", F.abs))
+    at = F.array_position(F.transform("samples", lambda x: F.abs(x) == peak), True) - 1
+    return _modelled(spark, d).select("o_orderkey", at.alias("peak_at"), F.aggregate("samples", F.lit(0.0), lambda s, x: s + x * x).alias("energy"))
+
+
+@query()
+def migrate_shot_1d(spark: SparkSession, d: str) -> DataFrame:
+    wavelet = wavelets.ricker(40, _DT, 25.0) / wavelets.GAIN
+    data = _modelled(spark, d).join(_shots(spark, d), "o_orderkey")
+    cells = jobs.migrate_shots(data, "o_orderkey", ["source"], ["receiver"], _medium(spark, d), wavelet, _DT, every=3, lags=1)
+    return reductions.compensate(jobs.stack_images(cells), "image", "light", 0.01).select("lag", "cell", "image", "compensated", "fold")
+
+
+@query()
+def demigrate_shot_1d(spark: SparkSession, d: str) -> DataFrame:
+    medium = _medium(spark, d)
+    reflectivity = np.gradient(medium.velocity) / medium.velocity / _DZ**2
+    out = jobs.model_shots(_shots(spark, d), "o_orderkey", ["source"], ["receiver"], medium, wavelets.ricker(40, _DT, 25.0) / wavelets.GAIN, _DT, _NT, reflectivity)
+    return out.select("o_orderkey", F.aggregate("samples", F.lit(0.0), lambda s, x: s + x * x).alias("energy"))
+
+
+@query("SELECT l_partkey % 64 AS ix, l_suppkey % 16 AS iy, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT AS stack, count(*)::BIGINT AS fold FROM lineitem GROUP BY 1, 2")
+def stream_stack(spark: SparkSession, d: str) -> DataFrame:
+    schema = table(spark, d, "lineitem").schema
+    source = spark.readStream.schema(schema).parquet(f"{d}/lineitem.parquet*")
+    keys = [(F.col("l_partkey") % 64).alias("ix"), (F.col("l_suppkey") % 16).alias("iy")]
+    return stack_stream(spark, source, keys, cents("l_extendedprice"), shared_folder(spark, "stream-stack"))

@@ -1,0 +1,55 @@
+"""Jobs: shots modelled and migrated in parallel, images stacked by DataFrame operations."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from wavefold.plans.solver import Medium, migrate, model
+
+#: Shots that are stepped together in a task.
+TOGETHER = 256
+
+
+def _batches(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in pdfs:
+        for at in range(0, len(pdf), TOGETHER):
+            yield pdf.iloc[at : at + TOGETHER]
+
+
+def places(pdf: pd.DataFrame, columns: list[str]) -> np.ndarray:
+    return pdf[columns].to_numpy().astype(int)
+
+
+def model_shots(shots: DataFrame, shot: str, source: list[str], receiver: list[str], medium: Medium, wavelet: np.ndarray, dt: float, nt: int, reflectivity: np.ndarray | None = None) -> DataFrame:
+    """A trace (shot, samples) for each row of shots, which has a source and a receiver place in cells."""
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _batches(pdfs):
+            data = model(medium, dt, places(pdf, source), wavelet, places(pdf, receiver), nt, reflectivity)
+            yield pd.DataFrame({shot: pdf[shot].to_numpy(), "samples": list(data)})
+
+    return shots.select(shot, *dict.fromkeys(source + receiver)).mapInPandas(run, f"`{shot}` {shots.schema[shot].dataType.simpleString()}, samples array<double>")
+
+
+def migrate_shots(traces: DataFrame, shot: str, source: list[str], receiver: list[str], medium: Medium, wavelet: np.ndarray, dt: float, every: int = 2, lags: int = 0) -> DataFrame:
+    """Image cells (lag, cell, image, light) of all shots, summed within a task's batch: cell counts depth fastest. traces: shot, places and samples."""
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _batches(pdfs):
+            data = np.stack([np.asarray(s, dtype=float) for s in pdf["samples"]])
+            image, light = migrate(medium, dt, places(pdf, source), wavelet, places(pdf, receiver), data, every, lags)
+            image, light = image.sum(axis=0).reshape(2 * lags + 1, -1), light.sum(axis=0).ravel()
+            for k in range(2 * lags + 1):
+                yield pd.DataFrame({"lag": k - lags, "cell": np.arange(image.shape[1]), "image": image[k], "light": light, "fold": len(pdf)})
+
+    return traces.select(shot, *dict.fromkeys(source + receiver), "samples").mapInPandas(run, "lag int, cell bigint, image double, light double, fold bigint")
+
+
+def stack_images(cells: DataFrame) -> DataFrame:
+    """The image over all shots."""
+    return cells.groupBy("lag", "cell").agg(F.sum("image").alias("image"), F.sum("light").alias("light"), F.sum("fold").alias("fold"))

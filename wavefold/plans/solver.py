@@ -1,0 +1,146 @@
+"""Time stepping of acoustic wavefields in NumPy, many shots of one shape at once (first axis).
+
+Only the recursion in time is here; everything before and after it is a DataFrame operation. Fields have
+shape (shots, nx, nz) or (shots, nz).
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+
+
+def central(order: int, derivative: int) -> np.ndarray:
+    """Weights of a central difference of even order, from the place before to the place after."""
+    half = order // 2
+    at = np.arange(-half, half + 1, dtype=float)
+    powers = np.vander(at, increasing=True).T
+    right = np.zeros(2 * half + 1)
+    right[derivative] = 1.0 if derivative < 2 else 2.0
+    return np.linalg.solve(powers, right)
+
+
+def differences(x: np.ndarray, axis: int, weights: np.ndarray, step: float, derivative: int) -> np.ndarray:
+    """The difference along an axis; neighbours outside count as zero."""
+    half, n = len(weights) // 2, x.shape[axis]
+    out = weights[half] * x
+    for k in range(1, min(half, n - 1) + 1):
+        lead, lag = [slice(None)] * x.ndim, [slice(None)] * x.ndim
+        lead[axis], lag[axis] = slice(k, None), slice(None, -k)
+        out[tuple(lag)] += weights[half + k] * x[tuple(lead)]
+        out[tuple(lead)] += weights[half - k] * x[tuple(lag)]
+    return out / step**derivative
+
+
+def absorbing(n: int, width: int, strength: float = 3.0) -> np.ndarray:
+    """Factors along an axis: 1 inside, falling with the square of the depth into a strip at either end."""
+    depth = np.maximum(0, np.maximum(width - np.arange(n), np.arange(n) - (n - 1 - width))) / max(width, 1)
+    return np.exp(-strength / max(width, 1) * depth**2)
+
+
+@dataclass(frozen=True)
+class Medium:
+    """Velocity and, where not None, density and the two anisotropies, each of the shape of a field without shots."""
+
+    velocity: np.ndarray
+    step: float
+    density: np.ndarray | None = None
+    epsilon: np.ndarray | None = None
+    delta: np.ndarray | None = None
+    order: int = 8
+    strip: int = 10
+
+    def stable_dt(self) -> float:
+        """The largest stable step for these weights."""
+        dims = self.velocity.ndim
+        most = np.abs(central(self.order, 2)).sum() * dims
+        fastest = (self.velocity * (np.sqrt(1 + 2 * self.epsilon) if self.epsilon is not None else 1)).max()
+        return float(2 * self.step / (fastest * np.sqrt(most)))
+
+    def spread(self, w: np.ndarray) -> np.ndarray:
+        """The spatial side of the wave equation."""
+        axes = range(1, w.ndim)
+        if self.density is None and self.epsilon is None:
+            second = central(self.order, 2)
+            return sum(differences(w, a, second, self.step, 2) for a in axes)
+        first = central(self.order, 1)
+        slopes = [differences(w, a, first, self.step, 1) for a in axes]
+        if self.epsilon is not None:  # depth is the last axis
+            h2 = sum((s * s for s in slopes[:-1]), np.zeros_like(w)) * (1 + 2 * self.epsilon)
+            z2 = slopes[-1] ** 2
+            level = (h2 + z2) ** 2
+            under = 1 - 8 * (self.epsilon - self.delta) * h2 / (1 + 2 * self.epsilon) * z2 / np.where(level > 0, level, 1)
+            scale = np.minimum(1, 0.5 * (1 + np.sqrt(np.maximum(under, 0))))
+            slopes = [s * scale * (1 + 2 * self.epsilon) for s in slopes[:-1]] + [slopes[-1] * scale]
+        if self.density is not None:
+            slopes = [s / self.density for s in slopes]
+        out = sum(differences(s, a, first, self.step, 1) for s, a in zip(slopes, axes, strict=True))
+        return out * self.density if self.density is not None else out
+
+
+def march(medium: Medium, dt: float, nt: int, shots: int, inject, record, secondary=None) -> None:
+    """Steps fields forward: inject(it, field) adds sources, record(it, field) reads; secondary(it, field, second) couples a second field that is driven by the first."""
+    shape = medium.velocity.shape
+    damp = np.ones(shape)
+    for a, n in enumerate(shape):
+        damp *= absorbing(n, min(medium.strip, n // 4)).reshape([-1 if k == a else 1 for k in range(len(shape))])
+    factor = (medium.velocity * dt) ** 2
+    fields = [[np.zeros((shots, *shape)) for _ in range(2)] for _ in range(2 if secondary else 1)]
+    for it in range(nt):
+        for k, (now, before) in enumerate(fields):
+            following = 2 * now - before * damp + factor * medium.spread(now)
+            if k == 0:
+                inject(it, following)
+            else:
+                secondary(it, fields[0][0], following)
+            fields[k] = [following * damp, now]
+        record(it, fields[-1][0])
+
+
+def model(medium: Medium, dt: float, source: np.ndarray, wavelet: np.ndarray, receiver: np.ndarray, nt: int, reflectivity: np.ndarray | None = None) -> np.ndarray:
+    """Records (shots, nt) at receiver places from a wavelet at source places; with a reflectivity, of the scattered field alone."""
+    shots = np.arange(len(source))
+    place, at = ((shots, *np.moveaxis(np.atleast_2d(p.T), 0, 0)) for p in (source, receiver))
+    factor = (medium.velocity * dt) ** 2
+    out = np.zeros((len(source), nt))
+
+    def inject(it: int, w: np.ndarray) -> None:
+        if it < len(wavelet):
+            w[place] += wavelet[it] * factor[place[1:]]
+
+    def record(it: int, w: np.ndarray) -> None:
+        out[:, it] = w[at]
+
+    coupled = None if reflectivity is None else (lambda it, first, second: np.add(second, factor * reflectivity * first, out=second))
+    march(medium, dt, nt, len(source), inject, record, coupled)
+    return out
+
+
+def migrate(medium: Medium, dt: float, source: np.ndarray, wavelet: np.ndarray, receiver: np.ndarray, data: np.ndarray, every: int = 1, lags: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Images (shots, 2 lags + 1, ...) and source illuminations (shots, ...): the source field forward, the data backward, correlated on every so many steps."""
+    nt, shots = data.shape[1], np.arange(len(source))
+    place, at = ((shots, *np.moveaxis(np.atleast_2d(p.T), 0, 0)) for p in (source, receiver))
+    factor = (medium.velocity * dt) ** 2
+    forward: list[np.ndarray] = []
+
+    def inject(it: int, w: np.ndarray) -> None:
+        if it < len(wavelet):
+            w[place] += wavelet[it] * factor[place[1:]]
+
+    march(medium, dt, nt, len(source), inject, lambda it, w: forward.append(w.astype(np.float32)) if it % every == 0 else None)
+    image = np.zeros((len(source), 2 * lags + 1, *medium.velocity.shape))
+    light = sum(f.astype(float) ** 2 for f in forward)
+
+    def back(it: int, w: np.ndarray) -> None:
+        w[at] += data[:, nt - 1 - it] * factor[at[1:]]
+
+    def correlate(it: int, w: np.ndarray) -> None:
+        t = nt - 1 - it
+        if t % every == 0:
+            for k in range(-lags, lags + 1):
+                if 0 <= t // every + k < len(forward):
+                    image[:, k + lags] += forward[t // every + k] * w
+
+    march(medium, dt, nt, len(source), back, correlate)
+    return image, light

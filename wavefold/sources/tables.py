@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the one the cluster shares; below a temporary one where none is named, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        named = "file://" + tempfile.mkdtemp(prefix="wavefold-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return f"{named.rstrip('/')}/wavefold/{name}-{uuid.uuid4().hex}"
+
+
 def lattice(header: DataFrame, x0: str, dx: str, nx: str, y0: str, dy: str, ny: str) -> DataFrame:
     """A row (ix, iy, x, y) for each place of the lattice that each row of header describes."""
     rows = header.withColumn("ix", F.explode(F.sequence(F.lit(0), F.col(nx) - 1))).withColumn("iy", F.explode(F.sequence(F.lit(0), F.col(ny) - 1)))
