@@ -76,7 +76,7 @@ def test_cube_round_trip(spark, tmp_path, order):
     raw = cubes.header_bytes(header) + cube.tobytes()
     if order == ">":
         raw = np.frombuffer(raw, "<u4").astype(">u4").tobytes()
-    (tmp_path / f"a.fdm").write_bytes(raw)
+    (tmp_path / "a.fdm").write_bytes(raw)
     traces = cubes.read_cubes(spark, f"file://{tmp_path}/a.fdm")
     rows = traces.orderBy("iy", "ix").collect()
     assert [list(r["samples"]) for r in rows] == cube.reshape(6, 4).tolist() and rows[1]["x"] == 125.0
@@ -95,3 +95,15 @@ def test_entry_point_without_the_training_data_package(tmp_path):
     (tmp_path / "__spark_entry__.py").write_text((root / "__spark_entry__.py").read_text())
     code = "import __spark_entry__ as e; q = e.queries(); assert 'stack_bins' in q and not any(k.startswith('op') for k in q); e.oracle_sql()"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin:/bin"})
+
+
+def test_records_round_trip(spark, tmp_path):
+    from wavefold.sources.records import Layout, read_records, record_files
+
+    layout = Layout({"shot": (9, "int"), "sx": (73, "double"), "rz": (41, "float")}, samples=5, skip=16)
+    traces = spark.createDataFrame([(7, i, 100.5 + i, -float(i), [float(i + k) for k in range(5)]) for i in range(4)], "shot int, receiver int, sx double, rz double, samples array<float>")
+    raw = bytes(record_files(traces, "shot", "receiver", layout).collect()[0]["content"])
+    (tmp_path / "a.rec").write_bytes(raw + b"rest")
+    rows = read_records(spark, f"file://{tmp_path}/a.rec", layout).orderBy("ordinal").collect()
+    assert [(r["shot"], r["sx"], r["rz"], list(r["samples"])) for r in rows] == [(7, 100.5 + i, -float(i), [float(i + k) for k in range(5)]) for i in range(4)]
+    assert "samples" not in read_records(spark, f"file://{tmp_path}/a.rec", layout, header_only=True).columns

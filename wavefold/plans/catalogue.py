@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavefold.functions import codecs, traces, wavelets
-from wavefold.operators import frames, lookups, reductions, stencils
+from wavefold.operators import frames, lookups, models, reductions, stencils
 from wavefold.plans import jobs
 from wavefold.plans.solver import Medium
 from wavefold.sources.tables import lattice, shared_folder, table
@@ -392,6 +392,65 @@ def shared_lines(spark: SparkSession, d: str) -> DataFrame:
     return lines.intersect(table(spark, d, "part").filter("p_size BETWEEN 10 AND 30").select(F.col("p_partkey").alias("line")))
 
 
+@query("SELECT p_partkey, round(-sin(radians(p_size)) * cos(radians(p_partkey % 360)), 6) + 0.0 AS ax, round(-sin(radians(p_size)) * sin(radians(p_partkey % 360)), 6) + 0.0 AS ay FROM part")
+def symmetry_axis(spark: SparkSession, d: str) -> DataFrame:
+    x, y = models.axis_from_angles(F.col("p_size"), F.col("p_partkey") % 360)
+    return table(spark, d, "part").select("p_partkey", (F.round(x, 6) + 0.0).alias("ax"), (F.round(y, 6) + 0.0).alias("ay"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(degrees(acos(z / sqrt(x * x + y * y + z * z))), 4) AS dip, round(degrees(atan2(y, x)), 4) AS azimuth FROM (SELECT l_orderkey, l_linenumber, l_partkey + 1.0 AS x, l_suppkey + 1.0 AS y, l_quantity AS z FROM lineitem)")
+def vector_angles(spark: SparkSession, d: str) -> DataFrame:
+    dip, azimuth = models.angles_of(F.col("l_partkey") + 1.0, F.col("l_suppkey") + 1.0, F.col("l_quantity"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(dip, 4).alias("dip"), F.round(azimuth, 4).alias("azimuth"))
+
+
+@query("SELECT p_partkey, round(pow(p_retailprice * 0.002, 2), 6) AS factor, round(p_retailprice * pow(p_size, 1.5), 3) AS scaled FROM part")
+def step_factor(spark: SparkSession, d: str) -> DataFrame:
+    scaled = models.depth_power(F.col("p_retailprice"), F.col("p_size"), 1.5)
+    return table(spark, d, "part").select("p_partkey", F.round(models.step_squared(F.col("p_retailprice"), 0.002), 6).alias("factor"), F.round(scaled, 3).alias("scaled"))
+
+
+@query("SELECT round_even((l_extendedprice - m) / 250.0, 0)::BIGINT AS ix, round(avg(l_quantity), 6) AS l_quantity FROM lineitem, (SELECT min(l_extendedprice) AS m FROM lineitem) GROUP BY 1")
+def snap_to_grid(spark: SparkSession, d: str) -> DataFrame:
+    traces = table(spark, d, "lineitem").select("l_extendedprice", "l_quantity")
+    return models.snap_to_grid(traces, "l_extendedprice", "l_quantity", 250.0).select("ix", F.round("l_quantity", 6).alias("l_quantity"))
+
+
+@query(f"""
+    WITH s AS (SELECT line, day, v, lead(day) OVER w AS nd, lead(v) OVER w AS nv FROM {_DAILY} WINDOW w AS (PARTITION BY line ORDER BY day)),
+    e AS (SELECT *, unnest(range(day, coalesce(nd, day + 1))) AS place FROM s)
+    SELECT line, place AS day, CASE WHEN nd IS NULL OR place - day <= nd - place THEN v ELSE nv END AS v FROM e
+""")
+def fill_holes(spark: SparkSession, d: str) -> DataFrame:
+    return models.fill_holes(_daily(spark, d), ["line"], "day", "v").select("line", "day", "v")
+
+
+@query(f"""
+    WITH r AS (SELECT line, day, 1.0::DOUBLE / v AS v, row_number() OVER w AS i, count(*) OVER (PARTITION BY line) AS n, first_value(1.0::DOUBLE / v) OVER w AS f, last_value(1.0::DOUBLE / v) OVER (PARTITION BY line ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l,
+        sum(1.0::DOUBLE / v) OVER (PARTITION BY line ORDER BY day ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s FROM {_DAILY} WINDOW w AS (PARTITION BY line ORDER BY day))
+    SELECT line, day, round(5 / (s + greatest(2 - i + 1, 0) * f + greatest(i + 2 - n, 0) * l), 3) AS v FROM r WHERE day % 4 = 0
+""")
+def coarsen_slowness(spark: SparkSession, d: str) -> DataFrame:
+    return models.coarsen(_daily(spark, d).filter("v > 0"), ["line"], "day", "v", 4).select("line", "day", F.round("v", 3).alias("v"))
+
+
+def _second(partition: str, order: str, name: str) -> str:
+    w = f"OVER (PARTITION BY {partition} ORDER BY {order})"
+    near = " + ".join(f"({c}) * (coalesce(lead(v, {k}) {w}, 0) + coalesce(lag(v, {k}) {w}, 0))" for k, c in enumerate(("8.0 / 5", "-1.0 / 5", "8.0 / 315", "-1.0 / 560"), 1))
+    return f"(-205.0 / 72 * v + {near}) AS {name}"
+
+
+@query(f"SELECT ix, iy, round(xx / 156.25 + yy / 100, 4) + 0.0 AS laplacian FROM (SELECT ix, iy, {_second('ix', 'iy', 'yy')}, {_second('iy', 'ix', 'xx')} FROM (SELECT ix, iy, v::DOUBLE AS v FROM {_GRID}))")
+def image_laplacian(spark: SparkSession, d: str) -> DataFrame:
+    cells = table(spark, d, "part").groupBy((F.col("p_size") - 1).alias("ix"), (F.regexp_replace("p_brand", "Brand#", "").cast("int") - 1).alias("iy")).agg(F.count(F.lit(1)).cast("double").alias("v"))
+    return models.laplacian(cells, "ix", "iy", "v", 12.5, 10.0).select("ix", "iy", (F.round("laplacian", 4) + 0.0).alias("laplacian"))
+
+
+@query("SELECT l_linenumber, l_partkey % 64 AS ix, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT AS stack, count(*) AS fold FROM lineitem WHERE l_linenumber = 3 GROUP BY 1, 2")
+def centre_slice(spark: SparkSession, d: str) -> DataFrame:
+    return reductions.stack(models.centre_slice(table(spark, d, "lineitem"), "l_linenumber", 7), [F.col("l_linenumber"), (F.col("l_partkey") % 64).alias("ix")], cents("l_extendedprice"))
+
+
 # Whole traces
 
 
