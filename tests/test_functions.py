@@ -119,3 +119,27 @@ def test_image_of_a_scatterer():
     image, light = migrate(medium, dt, places, wavelet, receiver, data)
     below = np.abs(image.sum(axis=0)[0][45:110])
     assert abs(int(below.argmax()) + 45 - 70) <= 4 and (light >= 0).all()
+
+
+@pytest.mark.parametrize(("order", "dt"), [(4, 0.0), (5, 0.001)])
+def test_relaxations_fit_a_constant_quality_factor(order, dt):
+    from wavefold.plans import attenuation
+
+    fitted = attenuation.fit(1.0, 40.0, 13.0, order=order, dt=dt)
+    x = np.linspace(1.5, 38, 201) / 13.0
+    miss = attenuation.response(x, fitted, 2 * np.pi * 13.0 * dt) - attenuation.target(x)
+    assert np.abs(miss.real).max() < 0.15 and np.abs(miss.imag).max() < 0.15
+
+
+def test_image_filters(spark):
+    from wavefold.functions import images
+
+    nx, nz = 16, 32
+    x, z = np.meshgrid(np.arange(nx), np.arange(nz), indexing="ij")
+    wave = np.sin(2 * np.pi * (2 * x / nx + 3 * z / nz))
+    cells = spark.createDataFrame([(k, int(i), int(j), float(v)) for k in (1, 2) for i, j, v in zip(x.ravel(), z.ravel(), wave.ravel() * k, strict=True)], "shot int, ix long, iz long, value double")
+    rows = images.filter_images(cells, ["shot"], (nx, nz), (1.0, 1.0), images.laplacian).collect()
+    k2 = (2 * np.pi * 2 / nx) ** 2 + (2 * np.pi * 3 / nz) ** 2
+    assert len(rows) == 2 * nx * nz and all(abs(r["value"] + k2 * r["shot"] * wave[r["ix"], r["iz"]]) < 1e-9 for r in rows)
+    one = images.direction(0, 1e-9)(*images.wavenumbers((nx, nz), (1.0, 1.0))) ** 2 + images.direction(1, 1e-9)(*images.wavenumbers((nx, nz), (1.0, 1.0))) ** 2
+    assert np.allclose(one.ravel()[1:], -1)

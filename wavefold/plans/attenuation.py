@@ -1,0 +1,67 @@
+"""Fits a nearly constant quality factor by a sum of relaxations.
+
+The model is p + sum of c / sinch(b + i x), x the frequency over the reference and sinch(a) = sinh(a w) / w
+for a time step (a itself for none); the target is phase * 2 / pi * ln x + i * amplitude. For given b the
+rest is linear, so that the search runs over the logarithms of the b alone, by Gauss-Newton with damping.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+
+
+@dataclass(frozen=True)
+class Relaxations:
+    constant: float
+    weights: np.ndarray
+    rates: np.ndarray
+    error: float
+
+
+def _basis(x: np.ndarray, rates: np.ndarray, step: float) -> np.ndarray:
+    a = rates[None, :] + 1j * x[:, None]
+    return 1 / (np.sinh(a * step) / step if step > 1e-7 else a)
+
+
+def target(x: np.ndarray, amplitude: float = 1.0, phase: float = 1.0) -> np.ndarray:
+    return phase * 2 / np.pi * np.log(x) + 1j * amplitude
+
+
+def response(x: np.ndarray, fitted: Relaxations, step: float = 0.0) -> np.ndarray:
+    return fitted.constant + _basis(x, fitted.rates, step) @ fitted.weights
+
+
+def _linear(x: np.ndarray, rates: np.ndarray, step: float, wanted: np.ndarray, weight: float) -> tuple[np.ndarray, np.ndarray]:
+    b = np.concatenate([np.ones((len(x), 1)), _basis(x, rates, step)], axis=1)
+    rows = np.concatenate([b.real, weight * b.imag])
+    right = np.concatenate([wanted.real, weight * wanted.imag])
+    p = np.linalg.lstsq(rows, right, rcond=1e-10)[0]
+    return p, rows @ p - right
+
+
+def fit(low: float, high: float, reference: float, order: int = 4, dt: float = 0.0, amplitude: float = 1.0, phase: float = 1.0, weight: float = 1.0, restarts: int = 4, rounds: int = 60, seed: int = 1) -> Relaxations:
+    """Relaxations that fit between two frequencies; starts are spread evenly first and at random then."""
+    x = np.linspace(low / reference, high / reference, 100)
+    wanted, step, rng = target(x, amplitude, phase), 2 * np.pi * reference * dt, np.random.default_rng(seed)
+    best = None
+    for trial in range(restarts):
+        logs = np.linspace(np.log(x[0]), np.log(2 * x[-1]), order) if not trial else np.sort(rng.uniform(np.log(x[0] / 2), np.log(3 * x[-1]), order))
+        damping = 1e-2
+        p, miss = _linear(x, np.exp(logs), step, wanted, weight)
+        for _ in range(rounds):
+            slopes = np.stack([(_linear(x, np.exp(logs + 1e-5 * e), step, wanted, weight)[1] - miss) / 1e-5 for e in np.eye(order)], axis=1)
+            normal = slopes.T @ slopes
+            move = np.linalg.solve(normal + damping * np.diag(np.diag(normal) + 1e-12), -slopes.T @ miss)
+            trial_logs = np.clip(logs + np.clip(move, -1, 1), -9, 4)
+            trial_p, trial_miss = _linear(x, np.exp(trial_logs), step, wanted, weight)
+            if trial_miss @ trial_miss < miss @ miss:
+                logs, p, miss, damping = trial_logs, trial_p, trial_miss, damping / 3
+            else:
+                damping *= 4
+                if damping > 1e8:
+                    break
+        found = Relaxations(float(p[0]), p[1:], np.exp(logs), float(miss @ miss))
+        best = found if best is None or found.error < best.error else best
+    return best

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavefold.functions import codecs, traces, wavelets
+from wavefold.functions import codecs, images, traces, wavelets
 from wavefold.operators import frames, lookups, models, reductions, stencils
 from wavefold.plans import jobs
 from wavefold.plans.solver import Medium
@@ -539,6 +539,13 @@ def transpose_sum(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(big(F.col("i")).alias("i")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("x") * 1e6).cast("bigint")).alias("total"))
 
 
+@query()
+def image_wavenumber_filter(spark: SparkSession, d: str) -> DataFrame:
+    """An image for each return flag and line status, by depth and part, through the reciprocal wavenumber filter."""
+    cells = table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus", (F.col("l_partkey") % 64).alias("ix"), (F.col("l_suppkey") % 32).alias("iz")).agg(F.sum("l_quantity").alias("value"))
+    return images.filter_images(cells, ["l_returnflag", "l_linestatus"], (64, 32), (12.5, 10.0), images.reciprocal(0.01))
+
+
 # Solver jobs: every order is a shot of its own place over the model of the parts
 
 _DT, _NT, _DZ, _CELLS = 0.002, 150, 10.0, 50
