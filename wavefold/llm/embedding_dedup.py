@@ -37,6 +37,8 @@ THRESHOLD = 0.9
 RECALL, SAMPLE, PROBES = 0.999, 16_384, 2_048
 #: Classes to a cell as planned, largest codebook, and rows of a block.
 CELL, MAX_CODES, BLOCK = 12, 128, 4_096
+#: Rows whose distances to all cells are held at once, and most numbers that the sample holds.
+PLACED, SAMPLE_NUMBERS = 128, 4_000_000
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -79,9 +81,12 @@ def visits_needed(x: np.ndarray, books: tuple[np.ndarray, np.ndarray], threshold
     noise = rng.normal(size=x.shape)
     noise = _unit(noise - (noise * x).sum(axis=1, keepdims=True) * x) if x.shape[1] > 1 else np.zeros_like(x)
     first, second = own_cells(threshold * x + math.sqrt(max(0.0, 1 - threshold**2)) * noise, books)
-    distances = cell_order(x, books)
-    own = distances[np.arange(len(x)), first * len(books[1]) + second]
-    return int(np.quantile((distances < own[:, None]).sum(axis=1), recall, method="higher")) + 1
+    cell, before = first * len(books[1]) + second, []
+    for at in range(0, len(x), PLACED):
+        distances = cell_order(x[at : at + PLACED], books)
+        own = distances[np.arange(len(distances)), cell[at : at + PLACED]]
+        before.append((distances < own[:, None]).sum(axis=1))
+    return int(np.quantile(np.concatenate(before), recall, method="higher")) + 1
 
 
 def _join_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
@@ -132,7 +137,7 @@ def link(df: DataFrame, id_col: str, vector_col: str, threshold: float = THRESHO
     dim = size["dim"] or 0
     classes = classes.filter(F.size("vector") == dim)
     if dim:
-        sample = classes.orderBy(F.xxhash64("vector"), "rep").limit(SAMPLE).select("vector").toArrow().column(0)
+        sample = classes.orderBy(F.xxhash64("vector"), "rep").limit(max(1, min(SAMPLE, SAMPLE_NUMBERS // dim))).select("vector").toArrow().column(0)
         x = _unit(np.array(sample.combine_chunks().flatten()).reshape(-1, dim))
         n_codes = min(MAX_CODES, max(2, 2 ** round(math.log2(max(1.0, math.sqrt(size["n"] / CELL))))))
         half = max(1, dim // 2)
@@ -157,8 +162,8 @@ def _search(classes: DataFrame, dim: int, books: tuple[np.ndarray, np.ndarray],
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row of the index for each vector, and a query for each first-half centroid that it visits."""
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, PLACED):
+                part = batch.slice(at, PLACED)
                 x = _unit(np.asarray(part.column(2).flatten()).reshape(-1, dim))
                 first, second = own_cells(x, books)
                 near = np.argpartition(cell_order(x, books), n_visits - 1, axis=1)[:, :n_visits] if n_visits < len(books[0]) * width else np.tile(np.arange(len(books[0]) * width), (len(x), 1))
