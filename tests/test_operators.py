@@ -107,3 +107,15 @@ def test_records_round_trip(spark, tmp_path):
     rows = read_records(spark, f"file://{tmp_path}/a.rec", layout).orderBy("ordinal").collect()
     assert [(r["shot"], r["sx"], r["rz"], list(r["samples"])) for r in rows] == [(7, 100.5 + i, -float(i), [float(i + k) for k in range(5)]) for i in range(4)]
     assert "samples" not in read_records(spark, f"file://{tmp_path}/a.rec", layout, header_only=True).columns
+
+
+@pytest.mark.parametrize("half", [1, 4])
+def test_scatter_is_the_adjoint_of_gather(spark, half):
+    rng = np.random.default_rng(2)
+    places = spark.createDataFrame([(i, float(x), float(a)) for i, (x, a) in enumerate(zip(rng.uniform(6, 40, 30), rng.normal(size=30), strict=True))], "id int, x double, a double")
+    cells = spark.createDataFrame([(i, float(v)) for i, v in enumerate(rng.normal(size=50))], "ix long, v double")
+    a = {r["id"]: r["a"] for r in places.collect()}
+    v = {r["ix"]: r["v"] for r in cells.collect()}
+    one = sum(r["v"] * a[r["id"]] for r in lookups.gather(places, ["id"], "x", cells, "v", half).collect())
+    two = sum(r["added"] * v[r["ix"]] for r in lookups.scatter(places, "x", "a", half).collect())
+    assert one == pytest.approx(two)

@@ -59,3 +59,29 @@ def mismatches(a: DataFrame, b: DataFrame, keys: list[str], value: str, toleranc
     joined = a.join(b.select(*keys, F.col(value).alias("__b")), keys)
     off = F.abs(F.col(value) - F.col("__b")) / F.greatest(F.abs(F.col(value)), F.abs("__b"), F.lit(guard))
     return joined.select(*keys, F.col(value).alias("a"), F.col("__b").alias("b"), off.alias("relative")).filter(F.col("relative") > tolerance)
+
+
+def spread_weights(places: DataFrame, x: str, half: int) -> DataFrame:
+    """Each place with the cells (ix) it touches and their weights (w): linear for half 1, a windowed sinc over 2 half cells beyond that."""
+    base = F.floor(x)
+    cells = F.transform(F.sequence(F.lit(1 - half), F.lit(half)), lambda k: (base + k).cast("bigint"))
+
+    def weight(ix: Column) -> Column:
+        t = F.abs(F.col(x) - ix)
+        if half == 1:
+            return 1 - t
+        a, b = t * 3.141592653589793, t * (3.141592653589793 / half)
+        return F.when(t < 1e-9, 1.0).otherwise(F.sin(a) / a * F.sin(b) / b)
+
+    touched = F.transform(cells, lambda ix: F.struct(ix.alias("ix"), weight(ix).alias("w")))
+    return places.withColumn("__t", F.explode(touched)).withColumns({"ix": F.col("__t.ix"), "w": F.col("__t.w")}).drop("__t")
+
+
+def gather(receivers: DataFrame, keys: list[str], x: str, cells: DataFrame, value: str, half: int = 1) -> DataFrame:
+    """A field's value at each receiver: the weighted sum of the cells it touches; cells that are not there count as zero."""
+    return spread_weights(receivers, x, half).join(cells.select("ix", value), "ix", "left").groupBy(*keys).agg(F.sum(F.col("w") * F.coalesce(F.col(value), F.lit(0))).alias(value))
+
+
+def scatter(sources: DataFrame, x: str, amplitude: str, half: int = 1) -> DataFrame:
+    """What sources add to each cell (ix, added); the adjoint of gather, with partial sums before the shuffle."""
+    return spread_weights(sources, x, half).groupBy("ix").agg(F.sum(F.col("w") * F.col(amplitude)).alias("added"))

@@ -334,6 +334,25 @@ def time_to_depth(spark: SparkSession, d: str) -> DataFrame:
     return reductions.running_depth(_daily(spark, d), ["line"], "day", F.col("v"), 0.002).select("line", "day", F.round("depth", 3).alias("depth"))
 
 
+_PLACES = "(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_partkey + l_discount * 5 AS x FROM lineitem)"
+
+
+def _places(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", (F.col("l_partkey") + F.col("l_discount") * 5).alias("x"))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(sum((CASE k WHEN 0 THEN 1 - (x - i) ELSE x - i END) * coalesce(p_size, 0)), 6) + 0.0 AS p_size FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, x, floor(x)::BIGINT AS i FROM {_PLACES}), (SELECT unnest([0, 1]) AS k) LEFT JOIN part ON p_partkey = i + k GROUP BY 1, 2, 3, 4")
+def receiver_gather(spark: SparkSession, d: str) -> DataFrame:
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    cells = table(spark, d, "part").select(F.col("p_partkey").alias("ix"), "p_size")
+    return lookups.gather(_places(spark, d).drop("l_quantity").distinct(), keys, "x", cells, "p_size").withColumn("p_size", F.round("p_size", 6) + 0.0)
+
+
+@query(f"SELECT floor(x)::BIGINT + k AS ix, round(sum((CASE k WHEN 0 THEN 1 - (x - floor(x)) ELSE x - floor(x) END) * l_quantity), 4) + 0.0 AS added FROM {_PLACES}, (SELECT unnest([0, 1]) AS k) GROUP BY 1")
+def source_scatter(spark: SparkSession, d: str) -> DataFrame:
+    return lookups.scatter(_places(spark, d), "x", "l_quantity").select("ix", (F.round("added", 4) + 0.0).alias("added"))
+
+
 # Models and checks
 
 
