@@ -82,23 +82,23 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -60, 60)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, n_grades: int = GRADES, bits: int = BITS, steps: int = 120, rate: float = 0.08, ridge: float = 7e-4, min_rows: int = MIN_ROWS) -> Model:
-    """Full-batch Adam on the mean negative log likelihood with a ridge on the weights."""
+def fit(lengths: np.ndarray, flat: np.ndarray, grades: np.ndarray, n_grades: int = GRADES, bits: int = BITS, steps: int = 120, rate: float = 0.08, ridge: float = 7e-4, min_rows: int = MIN_ROWS) -> Model:
+    """Full-batch Adam on the mean negative log likelihood with a ridge on the weights. lengths: how many of the features in flat each row has."""
     size = 1 << bits
-    if not len(rows):
+    if not len(lengths):
         return Model(np.zeros(size), np.full(n_grades - 1, -60.0))
-    flat, row = np.concatenate(rows).astype(np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     often = np.bincount(flat, minlength=size) >= min_rows
     used = np.flatnonzero(often)
-    column = np.full(size, -1, dtype=np.int64)
+    column = np.full(size, -1, dtype=np.int32)
     column[used] = np.arange(len(used))
-    row, flat = row[often[flat]], column[flat[often[flat]]]
+    mine = often[flat]
+    row, flat = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[mine], column[flat[mine]]
     # The first threshold and the logarithms of the steps to the next.
     share = np.clip([(grades >= k).mean() for k in range(1, n_grades)], 1e-3, 1 - 1e-3)
     start = -np.log(share / (1 - share))
     x = np.concatenate([np.zeros(len(used)), start[:1], np.log(np.maximum(np.diff(start), 0.05))])
     m, v = np.zeros_like(x), np.zeros_like(x)
-    n, w = len(rows), len(used)
+    n, w = len(lengths), len(used)
     for t in range(1, steps + 1):
         score = np.bincount(row, weights=x[:w][flat], minlength=n)
         gaps = np.exp(x[w + 1 :])
@@ -135,7 +135,8 @@ def train(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, grade_co
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = found.mapInArrow(run, f"id {kind}, grade int, features array<int>").orderBy(F.xxhash64("id"), "id").limit(max_rows).toArrow()
-    return fit([np.array(x, dtype=np.int32) for x in rows.column("features").to_pylist()], rows.column("grade").to_numpy().astype(np.int64))
+    found = rows.column("features").combine_chunks()
+    return fit(np.asarray(found.value_lengths()), np.asarray(found.flatten()), rows.column("grade").to_numpy().astype(np.int64))
 
 
 def score(df: DataFrame, text_col: str, model: Model, keep: float = KEEP) -> DataFrame:
