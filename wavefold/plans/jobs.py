@@ -21,6 +21,11 @@ def _batches(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pdf.iloc[at : at + TOGETHER]
 
 
+def _dealt(rows: DataFrame, shot: str) -> DataFrame:
+    """Rows spread over all tasks by shot: stepping a shot takes far longer than moving it, so that small files must not decide how many tasks there are."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), shot)
+
+
 def places(pdf: pd.DataFrame, columns: list[str]) -> np.ndarray:
     return pdf[columns].to_numpy().astype(int)
 
@@ -33,7 +38,7 @@ def model_shots(shots: DataFrame, shot: str, source: list[str], receiver: list[s
             data = model(medium, dt, places(pdf, source), wavelet, places(pdf, receiver), nt, reflectivity)
             yield pd.DataFrame({shot: pdf[shot].to_numpy(), "samples": list(data)})
 
-    return shots.select(shot, *dict.fromkeys(source + receiver)).mapInPandas(run, f"`{shot}` {shots.schema[shot].dataType.simpleString()}, samples array<double>")
+    return _dealt(shots.select(shot, *dict.fromkeys(source + receiver)), shot).mapInPandas(run, f"`{shot}` {shots.schema[shot].dataType.simpleString()}, samples array<double>")
 
 
 def migrate_shots(traces: DataFrame, shot: str, source: list[str], receiver: list[str], medium: Medium, wavelet: np.ndarray, dt: float, every: int = 2, lags: int = 0) -> DataFrame:
@@ -47,7 +52,7 @@ def migrate_shots(traces: DataFrame, shot: str, source: list[str], receiver: lis
             for k in range(2 * lags + 1):
                 yield pd.DataFrame({"lag": k - lags, "cell": np.arange(image.shape[1]), "image": image[k], "light": light, "fold": len(pdf)})
 
-    return traces.select(shot, *dict.fromkeys(source + receiver), "samples").mapInPandas(run, "lag int, cell bigint, image double, light double, fold bigint")
+    return _dealt(traces.select(shot, *dict.fromkeys(source + receiver), "samples"), shot).mapInPandas(run, "lag int, cell bigint, image double, light double, fold bigint")
 
 
 def stack_images(cells: DataFrame) -> DataFrame:
