@@ -7,11 +7,14 @@ likelier the smaller their edit distance. Most texts have FUNCTIONS sketches of
 have shorter sketches, and texts near the border have both kinds, so that no near pair is parted by it.
 
 Texts with the same words are one class, represented by its least id. The representatives in one bucket
-(one value of a sketch) are compared in two rounds, never in all pairs. First each is compared with one
-bucket's least member, the one it shares most buckets with. Then, in the buckets that still hold several
-components, all members outside the bucket's largest component are compared with the members of other
-components; whatever is in one component already needs no more links. So no link between buckets' members
-that would join two components is left out, while a bucket of thousands of copies costs one comparison each.
+(one value of a sketch) are compared in rounds, not in all pairs. First each is compared with its buckets'
+most connected member. Then, in the buckets that still hold several components, members outside the
+largest component are compared with some in it; most near copies join it by then. Last, those still
+outside are held against all members of other components in their buckets, block by block inside tasks,
+where profiles of k-mer counts rule out what can't reach the threshold; only pairs that may reach it
+become rows. Whatever is in one component already needs no more links. So no link between members of a
+bucket that would join two components is left out, and a bucket of thousands of copies costs a few
+comparisons each.
 
 A pair is verified by aligning its k-mers: matching labelled k-mers whose positions differ by more than
 the threshold allows lie outside the band, and the longest common order of the others over their union
@@ -42,6 +45,10 @@ SHINGLE, THRESHOLD = 5, 0.8
 FUNCTIONS, ORDER = 48, 8
 SHORT_FUNCTIONS, SHORT_ORDER, LONG = 16, 3, 24
 PUNCTUATION = string.punctuation + "«»“”‘’„‚…–—¿¡·"
+#: Rounds in which texts outside a bucket's largest component are compared with one member of it, and the partners each of them gets in a round.
+ROUNDS, PARTNERS = 1, 4
+#: Bins of a text's k-mer profile; members of a bucket that meet in one task, of those outside the largest component and of all.
+BINS, OUTSIDE, ALL = 256, 1_024, 4_096
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, size=(FUNCTIONS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -129,22 +136,23 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
 
 
 def sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row for each document with an id: id, n (k-mers), w1 and w2 (a hash of its words), keys (its sketches)."""
+    """A row for each document with an id: id, n (k-mers), w1 and w2 (a hash of its words), keys (its sketches) and profile."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, halves, keys = [], [], []
+            n, halves, keys, profiles = [], [], [], []
             for text in batch.column(1).to_pylist():
                 words = word_hashes(text)
                 mers = kmers(words)
                 n.append(len(mers))
                 halves.append(xxhash.xxh3_128_digest(words.tobytes()))
                 keys.append(sketches(mers))
+                profiles.append(profile(mers))
             w = np.frombuffer(b"".join(halves), dtype="<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(w[:, 0]), pa.array(w[:, 1]), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "w1", "w2", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(w[:, 0]), pa.array(w[:, 1]), pa.array(keys, pa.list_(pa.int64())), pa.array(profiles, pa.binary())], ["id", "n", "w1", "w2", "keys", "profile"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.filter(F.col(id_col).isNotNull()).select(F.col(id_col), text_or_empty(text_col)).mapInArrow(run, f"id {kind}, n bigint, w1 bigint, w2 bigint, keys array<bigint>")
+    return df.filter(F.col(id_col).isNotNull()).select(F.col(id_col), text_or_empty(text_col)).mapInArrow(run, f"id {kind}, n bigint, w1 bigint, w2 bigint, keys array<bigint>, profile binary")
 
 
 def _words_of(df: DataFrame, id_col: str, text_col: str, needed: DataFrame) -> DataFrame:
@@ -178,32 +186,97 @@ def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame
     return pairs.select("a", "b").join(sides[0], "b").join(sides[1], "a").select("a", "b", "a_words", "b_words").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _closest(met: DataFrame, most: int) -> DataFrame:
+    """For each text of (rep, a) the partners that it meets in the most buckets."""
+    times = met.groupBy("rep", "a").agg(F.count(F.lit(1)).alias("times"))
+    best = times.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct("times", "a")), asc=False), 1, most).alias("best"))
+    return best.select("rep", F.explode("best").alias("b")).select("rep", F.col("b.a").alias("a"))
+
+
+def _mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """The members of buckets that still hold several components: key, rep, n, component, main (the bucket's largest component)."""
+    placed = members.join(parts, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    largest = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max(F.struct("size", "component")).alias("most"), F.count(F.lit(1)).alias("parts"))
+    return placed.join(largest.filter(F.col("parts") > 1).select("key", F.col("most.component").alias("main")), "key")
+
+
+def profile(mers: np.ndarray) -> bytes:
+    """How many k-mers fall in each bin; two profiles' lesser counts add up to no less than the k-mers that two texts share."""
+    counts = np.bincount((mers >> np.uint64(17)).astype(np.int64) % BINS, minlength=BINS)
+    return (counts if counts.max(initial=0) < 2**16 else np.full(BINS, 2**16 - 1)).astype("<u2").tobytes()
+
+
+def _in_blocks(mixed: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (rep, a) of different components that meet in a bucket, of which one is outside the bucket's largest component, and that may be similar enough. Each pair comes from the least bucket it shares."""
+    rep_type = mixed.schema["rep"].dataType.simpleString()
+    rows = mixed.join(classes.select("rep", "keys", "profile"), "rep").withColumn("outside", F.col("component") != F.col("main"))
+    blocks = mixed.groupBy("key").agg(*(F.greatest(F.lit(1), F.ceil(n / F.lit(size))).cast("int").alias(name) for name, n, size in (("o_blocks", F.count_if(F.col("component") != F.col("main")), OUTSIDE), ("m_blocks", F.count(F.lit(1)), ALL))))
+    sized = rows.join(blocks, "key")
+    side = lambda own, other: F.explode(F.transform(F.sequence(F.lit(0), F.col(other) - 1), lambda k: F.struct(F.pmod(F.xxhash64("rep"), F.col(own)).cast("int").alias("own"), k.alias("other"))))
+    kept = ["key", "rep", "n", "component", "keys", "profile"]
+    outside = sized.filter("outside").select(*kept, side("o_blocks", "m_blocks").alias("b")).select(*kept, F.lit(True).alias("asks"), F.col("b.own").alias("o_block"), F.col("b.other").alias("m_block"))
+    members = sized.select(*kept, side("m_blocks", "o_blocks").alias("b")).select(*kept, F.lit(False).alias("asks"), F.col("b.other").alias("o_block"), F.col("b.own").alias("m_block"))
+
+    def run(t: pa.Table) -> pa.Table:
+        asks = np.asarray(t.column("asks"))
+        q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
+        n = np.asarray(t.column("n")).astype(float)
+        component = np.asarray(t.column("component"))
+        kind = t.schema.field("rep").type
+        left, right = [], []
+        if len(q) and len(m):
+            key = t.column("key")[0].as_py()
+            counts = np.frombuffer(b"".join(t.column("profile").to_pylist()), "<u2").reshape(-1, BINS)
+            keys = [set(x) for x in t.column("keys").to_pylist()]
+            m_counts, m_n, m_component = counts[m], n[m], component[m]
+            for i in q:
+                shared = np.minimum(counts[i], m_counts).sum(axis=1, dtype=np.int64)
+                may = (m_component != component[i]) & (shared >= threshold * (n[i] + m_n - shared) - 1e-9)
+                for j in m[may]:
+                    if min(keys[i] & keys[j]) == key:
+                        left.append(i)
+                        right.append(j)
+        reps = t.column("rep").combine_chunks()
+        return pa.table({"rep": reps.take(pa.array(left, pa.int64())), "a": reps.take(pa.array(right, pa.int64()))}, schema=pa.schema([("rep", kind), ("a", kind)]))
+
+    return outside.unionByName(members).groupBy("key", "o_block", "m_block").applyInArrow(run, f"rep {rep_type}, a {rep_type}")
+
+
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each row of df: id, class_id (least id of its near-duplicates) and kept (whether it is that one)."""
     docs = materialise(sketched(df, id_col, text_col), "sketches")
-    least = docs.groupBy("w1", "w2").agg(F.min(F.struct("id", "n", "keys")).alias("one"))
-    classes = materialise(least.select("w1", "w2", F.col("one.id").alias("rep"), "one.n", "one.keys"), "classes")
+    least = docs.groupBy("w1", "w2").agg(F.min(F.struct("id", "n", "keys", "profile")).alias("one"))
+    classes = materialise(least.select("w1", "w2", F.col("one.id").alias("rep"), "one.n", "one.keys", "one.profile"), "classes")
     exploded = classes.select("rep", "n", F.explode("keys").alias("key"))
-    # Buckets of several texts, with their least member.
-    buckets = exploded.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1).select("key", "leader")
-    members = materialise(exploded.join(buckets, "key"), "members")
-    needed = members.select(F.col("rep").alias("id")).distinct().join(classes.select(F.col("rep").alias("id"), "w1", "w2"), "id")
+    buckets = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1).select("key")
+    met = materialise(exploded.join(buckets, "key"), "met")
+    often = met.groupBy("rep").agg(F.count(F.lit(1)).alias("often"))  # a text near many others is in many buckets
+    members = materialise(met.join(often, "rep"), "members")
+    needed = often.select(F.col("rep").alias("id")).join(classes.select(F.col("rep").alias("id"), "w1", "w2"), "id")
     words = materialise(_words_of(df, id_col, text_col, needed), "words")
 
-    shared = members.filter(F.col("rep") != F.col("leader")).groupBy("rep", "leader").agg(F.count(F.lit(1)).alias("times"))
-    closest = shared.groupBy("rep").agg(F.max(F.struct("times", F.col("leader").alias("a"))).alias("best"))
-    first = materialise(closest.select(F.col("best.a").alias("a"), F.col("rep").alias("b")), "first-pairs")
-    links = materialise(_verified(first, words, threshold), "first-links")
-    parts = components(links, "a", "b")
-
-    placed = members.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    largest = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max(F.struct("size", "component")).alias("most"), F.count(F.lit(1)).alias("parts"))
-    mixed = materialise(placed.join(largest.filter(F.col("parts") > 1).select("key", F.col("most.component").alias("main")), "key"), "mixed")
-    strays = mixed.filter(F.col("component") != F.col("main")).select("key", F.col("rep").alias("s"), F.col("n").alias("s_n"), F.col("component").alias("s_component"))
-    crossing = mixed.join(strays, "key").filter((F.col("component") != F.col("s_component")) & (F.least("n", "s_n") >= threshold * F.greatest("n", "s_n")))
-    second = crossing.select(F.least("rep", "s").alias("a"), F.greatest("rep", "s").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    more = materialise(_verified(second, words, threshold), "second-links")
-    whole = components(links.union(more), "a", "b").withColumnRenamed("id", "rep")
+    centre = members.groupBy("key").agg(F.max(F.struct("often", F.col("rep").alias("a"))).alias("best")).select("key", F.col("best.a").alias("a"))
+    pairs = _closest(members.join(centre, "key").filter(F.col("rep") != F.col("a")).select("rep", "a"), 1)
+    tried = materialise(pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")), "pairs")
+    links = materialise(_verified(tried, words, threshold), "links")
+    whole = components(links, "a", "b").withColumnRenamed("id", "rep")
+    for again in range(ROUNDS + 1):
+        mixed = materialise(_mixed(members, whole), "mixed")
+        strays = mixed.filter(F.col("component") != F.col("main"))
+        if strays.isEmpty():
+            break
+        if again < ROUNDS:
+            # With another member of the largest component each time.
+            centre = mixed.filter(F.col("component") == F.col("main")).groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(again)), F.col("rep").alias("a"), F.col("n").alias("a_n"))).alias("best")).select("key", "best.a", "best.a_n")
+            met_again = strays.join(centre, "key").filter(F.least("n", "a_n") >= threshold * F.greatest("n", "a_n")).select("rep", "a")
+            fresh = _closest(met_again, PARTNERS)
+        else:
+            fresh = _in_blocks(mixed, classes, threshold)
+        fresh = fresh.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        fresh = materialise(fresh, "pairs")
+        tried = tried.union(fresh)
+        links = links.union(materialise(_verified(fresh, words, threshold), "links"))
+        whole = components(links, "a", "b").withColumnRenamed("id", "rep")
 
     found = docs.select("id", "w1", "w2").distinct().join(classes.select("w1", "w2", "rep"), ["w1", "w2"]).join(whole, "rep", "left")
     by_doc = found.groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("class_id"))
