@@ -41,6 +41,8 @@ PREFIXES = (4, 5, 6)
 #: Most labelled rows that the fit reads; fewest of them that must have a feature for it to get a weight.
 MAX_ROWS, MIN_ROWS = 10_000, 4
 GRADES = 3
+#: Features handled at once in a pass of the fit.
+BLOCK = 400_000
 #: A document is kept if it is of the highest grade with at least this probability.
 KEEP = 0.5
 _WORD = regex.compile(rb"[a-z0-9\x80-\xff]+|[!-/:-@\[-`{-~]{2,}").findall  # or a run of punctuation
@@ -91,8 +93,17 @@ def fit(lengths: np.ndarray, flat: np.ndarray, grades: np.ndarray, n_grades: int
     used = np.flatnonzero(often)
     column = np.full(size, -1, dtype=np.int32)
     column[used] = np.arange(len(used))
-    mine = often[flat]
-    row, flat = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[mine], column[flat[mine]]
+    # Rows in blocks of about BLOCK features, so that a pass holds little beside them: first row, rows, and row and column of each feature.
+    blocks, ends, first = [], np.cumsum(lengths), 0
+    while first < len(lengths):
+        begin = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, begin + BLOCK, side="right")))
+        here = flat[begin : int(ends[last - 1])]
+        mine = often[here]
+        row = np.repeat(np.arange(last - first, dtype=np.int32), lengths[first:last])[mine]
+        blocks.append((first, last - first, row, column[here[mine]]))
+        first = last
+    del flat
     # The first threshold and the logarithms of the steps to the next.
     share = np.clip([(grades >= k).mean() for k in range(1, n_grades)], 1e-3, 1 - 1e-3)
     start = -np.log(share / (1 - share))
@@ -100,7 +111,7 @@ def fit(lengths: np.ndarray, flat: np.ndarray, grades: np.ndarray, n_grades: int
     m, v = np.zeros_like(x), np.zeros_like(x)
     n, w = len(lengths), len(used)
     for t in range(1, steps + 1):
-        score = np.bincount(row, weights=x[:w][flat], minlength=n)
+        score = np.concatenate([np.bincount(r, weights=x[c], minlength=k) for _, k, r, c in blocks])
         gaps = np.exp(x[w + 1 :])
         cuts = np.concatenate([[-60.0], x[w] + np.concatenate([[0.0], np.cumsum(gaps)]), [60.0]])
         low, high = (1 / (1 + np.exp(-np.clip(cuts[grades + k] - score, -60, 60))) for k in (0, 1))
@@ -109,7 +120,10 @@ def fit(lengths: np.ndarray, flat: np.ndarray, grades: np.ndarray, n_grades: int
         g_cut = np.bincount(grades + 1, weights=-d_high, minlength=n_grades + 1) + np.bincount(grades, weights=d_low, minlength=n_grades + 1)
         inner = g_cut[1:n_grades]
         g_gaps = np.cumsum(inner[::-1])[::-1][1:] * gaps
-        g = np.concatenate([np.bincount(flat, weights=(d_high - d_low)[row], minlength=w) + ridge * x[:w], [inner.sum()], g_gaps])
+        slope, g_weights = d_high - d_low, ridge * x[:w]
+        for at, k, r, c in blocks:
+            g_weights += np.bincount(c, weights=slope[at : at + k][r], minlength=w)
+        g = np.concatenate([g_weights, [inner.sum()], g_gaps])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         x = x - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
     weights = np.zeros(size)
