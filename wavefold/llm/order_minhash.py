@@ -7,10 +7,9 @@ likelier the smaller their edit distance. Most texts have FUNCTIONS sketches of
 have shorter sketches, and texts near the border have both kinds, so that no near pair is parted by it.
 
 Texts with the same words are one class, represented by its least id. The representatives in one bucket
-(one value of a sketch) are compared in rounds, not in all pairs. First each is compared with its buckets'
-most connected member. Then, in the buckets that still hold several components, members outside the
-largest component are compared with some in it; most near copies join it by then. Last, those still
-outside are held against all members of other components in their buckets, block by block inside tasks,
+(one value of a sketch) are compared in two rounds, not in all pairs. First each is compared with its
+buckets' most connected member. Then, in the buckets that still hold several components, members outside
+the largest component are held against all members of other components in their buckets, block by block inside tasks,
 where profiles of k-mer counts rule out what can't reach the threshold; only pairs that may reach it
 become rows. Whatever is in one component already needs no more links. So no link between members of a
 bucket that would join two components is left out, and a bucket of thousands of copies costs a few
@@ -45,8 +44,6 @@ SHINGLE, THRESHOLD = 5, 0.8
 FUNCTIONS, ORDER = 48, 8
 SHORT_FUNCTIONS, SHORT_ORDER, LONG = 16, 3, 24
 PUNCTUATION = string.punctuation + "«»“”‘’„‚…–—¿¡·"
-#: Rounds in which texts outside a bucket's largest component are compared with one member of it, and the partners each of them gets in a round.
-ROUNDS, PARTNERS = 1, 4
 #: Bins of a text's k-mer profile; members of a bucket that meet in one task, of those outside the largest component and of all.
 BINS, OUTSIDE, ALL = 256, 1_024, 4_096
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, size=(FUNCTIONS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -186,11 +183,10 @@ def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame
     return pairs.select("a", "b").join(sides[0], "b").join(sides[1], "a").select("a", "b", "a_words", "b_words").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _closest(met: DataFrame, most: int) -> DataFrame:
-    """For each text of (rep, a) the partners that it meets in the most buckets."""
+def _closest(met: DataFrame) -> DataFrame:
+    """For each text of (rep, a) the partner that it meets in the most buckets."""
     times = met.groupBy("rep", "a").agg(F.count(F.lit(1)).alias("times"))
-    best = times.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct("times", "a")), asc=False), 1, most).alias("best"))
-    return best.select("rep", F.explode("best").alias("b")).select("rep", F.col("b.a").alias("a"))
+    return times.groupBy("rep").agg(F.max(F.struct("times", "a")).alias("best")).select("rep", "best.a")
 
 
 def _mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
@@ -256,27 +252,15 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
     words = materialise(_words_of(df, id_col, text_col, needed), "words")
 
     centre = members.groupBy("key").agg(F.max(F.struct("often", F.col("rep").alias("a"))).alias("best")).select("key", F.col("best.a").alias("a"))
-    pairs = _closest(members.join(centre, "key").filter(F.col("rep") != F.col("a")).select("rep", "a"), 1)
+    pairs = _closest(members.join(centre, "key").filter(F.col("rep") != F.col("a")).select("rep", "a"))
     tried = materialise(pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")), "pairs")
     links = materialise(_verified(tried, words, threshold), "links")
     whole = components(links, "a", "b").withColumnRenamed("id", "rep")
-    for again in range(ROUNDS + 1):
-        mixed = materialise(_mixed(members, whole), "mixed")
-        strays = mixed.filter(F.col("component") != F.col("main"))
-        if strays.isEmpty():
-            break
-        if again < ROUNDS:
-            # With another member of the largest component each time.
-            centre = mixed.filter(F.col("component") == F.col("main")).groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", F.lit(again)), F.col("rep").alias("a"), F.col("n").alias("a_n"))).alias("best")).select("key", "best.a", "best.a_n")
-            met_again = strays.join(centre, "key").filter(F.least("n", "a_n") >= threshold * F.greatest("n", "a_n")).select("rep", "a")
-            fresh = _closest(met_again, PARTNERS)
-        else:
-            fresh = _in_blocks(mixed, classes, threshold)
-        fresh = fresh.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        fresh = materialise(fresh, "pairs")
-        tried = tried.union(fresh)
-        links = links.union(materialise(_verified(fresh, words, threshold), "links"))
-        whole = components(links, "a", "b").withColumnRenamed("id", "rep")
+    mixed = materialise(_mixed(members, whole), "mixed")
+    fresh = _in_blocks(mixed, classes, threshold).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    more = materialise(_verified(fresh, words, threshold), "links")
+    if not more.isEmpty():
+        whole = components(links.union(more), "a", "b").withColumnRenamed("id", "rep")
 
     found = docs.select("id", "w1", "w2").distinct().join(classes.select("w1", "w2", "rep"), ["w1", "w2"]).join(whole, "rep", "left")
     by_doc = found.groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("class_id"))
