@@ -30,6 +30,41 @@ def test_licences(spark):
     assert len(got[104]) == 3
 
 
+def real_texts(characters):
+    """English texts of the test data without a licence word, cut to so many characters."""
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text", "lang"]).to_pylist()
+    return [r["text"][:characters] for r in rows if r["lang"] == "en" and len(r["text"] or "") > characters and not license_scan.ANCHOR.search(r["text"])]
+
+
+@pytest.mark.parametrize("characters", [1600, 3000, 4500])
+def test_licences_in_long_blocks_of_real_text(characters):
+    texts = real_texts(characters)[:15]
+    assert len(texts) == 15
+    for k, (name, wording) in enumerate(license_scan.TEMPLATES):
+        for x in texts:
+            parts = [x[i : i + 1000] for i in range(0, len(x), 1000)]
+            middle = len(parts) // 2
+            text = " copyright ".join([*parts[:middle], license_scan.TEMPLATES[name, wording], *parts[middle:]])
+            assert len(license_scan.blocks(text)) == 1
+            assert [(r["license"], r["wording"], r["n_differences"]) for r in license_scan.scan(text)] == [(name, wording, 0)], (k, text)
+
+
+def test_licences_in_a_notice_file():
+    rng = random.Random(4)
+    want, parts = [], []
+    while sum(map(len, parts)) < 30_000:
+        key = rng.choice(sorted(license_scan.TEMPLATES))
+        want.append(key)
+        parts += [f"{' '.join(words(rng, rng.randint(3, 30)))}. Copyright {rng.randint(1990, 2020)} {' '.join(words(rng, 2))}.", license_scan.TEMPLATES[key]]
+    text = "\n".join(parts)
+    assert len(license_scan.blocks(text)) == 1
+    got = license_scan.scan(text)
+    assert [(r["license"], r["wording"]) for r in got] == want
+    assert all(a["end"] <= b["start"] for a, b in zip(got, got[1:]))
+
+
 def test_sum_product_equals_enumeration():
     page = html_extract.parse("<body><div>a<p>b</p></div><ul><li>c</ul></body>")
     f = html_extract.forest([page], {})

@@ -1,10 +1,11 @@
 """License scans by conditional compression.
 
-Around every word that licences use, a candidate block is cut from the text. The block is compressed by
-itself and with each template as a raw dictionary; the templates are ranked by how much smaller it gets.
-Those that explain a fair share of their own size are confirmed, best first, by the exact differences in
-wording between the template and the place in the block that it matches best. A place belongs to the
-first template confirmed there.
+Around every word that licences use, a candidate block is cut from the text. In it, all places are sought
+where a template's words stand in order, however many of them are the share that counts: how many a stretch
+of the template's length can match at most is counted exactly, and the stretches that may hold enough are
+confirmed, best first, by the exact differences in wording. Each place is compressed by itself and with
+the template as a raw dictionary; where places of several templates overlap, the one that gets smallest by
+it wins, and the others are sought again in the words that are left.
 
 Defined results: a null or empty text has no findings, and neither has an empty table. Blocks overlap no
 other, so a very long text is handled block by block. Rows are scanned one by one: repeated rows have
@@ -14,9 +15,12 @@ their findings each, and a null id is passed on. Columns other than the two name
 from __future__ import annotations
 
 import difflib
+import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from math import ceil
 
+import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
@@ -45,8 +49,8 @@ TEMPLATES = {
 ANCHOR = regex.compile(r"licen[sc]e|copyright|permission (?:is hereby|to use)|redistributions? |public domain|free software|creative commons|\bspdx\b|mozilla public", regex.I)
 #: Characters before and after an anchor that belong to its block.
 BEFORE, AFTER = 700, 900
-#: Least reduction by a template against the template's own compressed size; least share of its words found.
-MIN_GAIN, MIN_FOUND = 0.15, 0.85
+#: Least share of a template's words found.
+MIN_FOUND = 0.85
 _WORD = regex.compile(r"[\p{L}\p{N}_]+(?:[.-][\p{N}]+)*")
 _LEVEL = 3
 
@@ -63,28 +67,76 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+class Template:
+    """A template's words and compressor. A place lies in a stretch of reach words: the template's length and some slack at both ends."""
+
+    def __init__(self, license_id: str, kind: str, text: str) -> None:
+        self.key, self.words = (license_id, kind), [w.lower() for w in _WORD.findall(text)]
+        self.slack = max(2, len(self.words) // 5)
+        self.reach, self.need = len(self.words) + 2 * self.slack, ceil(MIN_FOUND * len(self.words))
+        self.compressor = zstandard.ZstdCompressor(level=_LEVEL, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(text.encode("utf-8"), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+        self.any = self.words.count("_")
+        self.bits: dict[str, int] = {}
+        for k, w in enumerate(self.words):
+            self.bits[w] = self.bits.get(w, 0) | 1 << k
+
+    def most(self, words: list[str], low: int) -> int:
+        """How many template words the stretch from low on matches in order, at most."""
+        full = left = (1 << len(self.words)) - 1
+        for w in words[low : low + self.reach]:
+            if at := self.bits.get(w):
+                both = left & at
+                left = (left + both | left - both) & full
+        return len(self.words) - left.bit_count() + self.any
+
+    def places(self, words: list[str], known: np.ndarray) -> list[tuple[int, int, int, list[str]]]:
+        """All places of the template, none overlapping another, as differences() has them; known: which words are any of the template's."""
+        until = np.concatenate([[0], np.cumsum(known)])
+        lows = np.arange(len(words))
+        lows = lows[until[np.minimum(lows + self.reach, len(words))] - until[:-1] >= self.need - self.any]
+        queue = [(-n, low) for low in lows.tolist() if (n := self.most(words, low)) >= self.need]
+        heapq.heapify(queue)
+        free, out, failed = list(words), [], set()
+        while queue:
+            n, low = heapq.heappop(queue)
+            now = self.most(free, low)
+            if now < -n:  # some of its words are taken by now
+                if now >= self.need:
+                    heapq.heappush(queue, (-now, low))
+                continue
+            run = difflib.SequenceMatcher(None, self.words, free[low : low + self.reach], autojunk=False).find_longest_match()
+            for begin in (low + run.b - run.a - self.slack, low):
+                if begin in failed:
+                    continue
+                if (match := differences(self.words, free, begin)) and match[2] >= self.need:
+                    a, b = match[:2]
+                    free[a:b] = [""] * (b - a)
+                    out.append(match)
+                    failed.clear()
+                    heapq.heappush(queue, (n, low))  # may hold another
+                    break
+                failed.add(begin)
+        return out
+
+
 @lru_cache(maxsize=1)
-def _prepared() -> tuple[zstandard.ZstdCompressor, list]:
-    plain = zstandard.ZstdCompressor(level=_LEVEL, write_content_size=False)
-    out = []
-    for key, text in TEMPLATES.items():
-        raw = text.encode("utf-8")
-        compressor = zstandard.ZstdCompressor(level=_LEVEL, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT))
-        out.append((key, compressor, len(plain.compress(raw)), [w.lower() for w in _WORD.findall(text)]))
-    return plain, out
-
-
-def differences(template: list[str], words: list[str]) -> tuple[int, int, int, list[str]] | None:
-    """The place in words that the template matches best: first and last word, template words found, and what differs; None if nothing matches."""
-    matcher = difflib.SequenceMatcher(None, template, words, autojunk=False)
-    run = matcher.find_longest_match()
-    if not run.size:
-        return None
-    slack = max(2, len(template) // 5)
-    low = max(0, run.b - run.a - slack)
-    part = words[low : run.b - run.a + len(template) + slack]
+def _prepared() -> tuple[zstandard.ZstdCompressor, list[Template], dict[str, int]]:
+    """The plain compressor, the templates, and for each word which templates have it, as bits."""
+    templates, known = [Template(*key, text) for key, text in TEMPLATES.items()], {}
+    for k, t in enumerate(templates):
+        for w in t.bits:
+            known[w] = known.get(w, 0) | 1 << k
+    return zstandard.ZstdCompressor(level=_LEVEL, write_content_size=False), templates, known
+
+
+def differences(template: list[str], words: list[str], begin: int) -> tuple[int, int, int, list[str]] | None:
+    """The place that the template matches in the stretch from begin on: first and last word, template words found, and what differs; None if nothing matches."""
+    low = max(0, begin)
+    part = words[low : max(low, begin + len(template) + 2 * max(2, len(template) // 5))]
     steps = difflib.SequenceMatcher(None, template, part, autojunk=False).get_opcodes()
     equal = [s for s in steps if s[0] == "equal"]
+    if not equal:
+        return None
     first, last = equal[0][3], equal[-1][4]
     found, said = sum(s[2] - s[1] for s in equal), []
     for kind, a, b, c, d in steps:
@@ -99,33 +151,35 @@ def differences(template: list[str], words: list[str]) -> tuple[int, int, int, l
 
 def scan(text: str) -> list[dict]:
     """The findings in a text."""
-    plain, prepared = _prepared()
+    plain, templates, known = _prepared()
     out = []
     for begin, end in blocks(text):
         block = text[begin:end]
-        raw = block.encode("utf-8")
-        alone = len(plain.compress(raw))
-        gains = sorted(((alone - len(c.compress(raw)), -k) for k, (_, c, _, _) in enumerate(prepared)), reverse=True)
         spans = [(m.start(), m.end()) for m in _WORD.finditer(block)]
         words = [block[a:b].lower() for a, b in spans]
-        taken: list[tuple[int, int]] = []
-        for gain, k in gains:
-            (license_id, kind), _, size, template = prepared[-k]
-            if gain < MIN_GAIN * size:
-                continue
-            free = list(words)
-            for a, b in taken:
-                free[a:b] = [""] * (b - a)
-            while (match := differences(template, free)) and match[2] >= MIN_FOUND * len(template):
-                a, b, found, said = match
-                taken.append((a, b))
-                free[a:b] = [""] * (b - a)
-                out.append({"license": license_id, "wording": kind, "start": begin + spans[a][0], "end": begin + spans[b - 1][1], "gain": gain, "found": found / len(template), "n_differences": len(said), "differences": said})
+        sought = range(len(templates))
+        while sought:
+            has = np.array([known.get(w, 0) for w in words], dtype=np.int64)
+            ranked = []
+            for k in sought:
+                for match in templates[k].places(words, has >> k & 1):
+                    raw = block[spans[match[0]][0] : spans[match[1] - 1][1]].encode("utf-8")
+                    gain = len(plain.compress(raw)) - len(templates[k].compressor.compress(raw))
+                    ranked.append((-gain, len(match[3]), k, match))
+            before, again = list(words), set()
+            for loss, _, k, (a, b, found, said) in sorted(ranked, key=lambda x: x[:3] + x[3][:2]):
+                if words[a:b] != before[a:b]:
+                    again.add(k)
+                    continue
+                words[a:b] = [""] * (b - a)
+                license_id, kind = templates[k].key
+                out.append({"license": license_id, "wording": kind, "start": begin + spans[a][0], "end": begin + spans[b - 1][1], "gain": -loss, "found": found / len(templates[k].words), "n_differences": len(said), "differences": said})
+            sought = sorted(again)
     return sorted(out, key=lambda x: (x["start"], x["license"], x["wording"]))
 
 
 def scan_licenses(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row for each finding: id, license, wording, start and end (characters), gain (bytes), found (share of the template's words), n_differences and differences."""
+    """A row for each finding: id, license, wording, start and end (characters), gain (bytes by which the template makes the place smaller), found (share of the template's words), n_differences and differences."""
     fields = pa.struct([("license", pa.string()), ("wording", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("gain", pa.int64()), ("found", pa.float64()), ("n_differences", pa.int64()), ("differences", pa.list_(pa.string()))])
     names = [f.name for f in fields]
 
