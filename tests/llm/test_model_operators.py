@@ -65,6 +65,18 @@ def test_licences_in_a_notice_file():
     assert all(a["end"] <= b["start"] for a, b in zip(got, got[1:]))
 
 
+def test_a_licence_excerpt_does_not_hide_an_edited_copy():
+    template = license_scan.TEMPLATES["MIT", "text"]
+    edited = template.split()
+    for k in range(6, len(edited), 12):
+        edited[k] = "altered"
+    excerpt = " ".join(template.split()[:50])
+    text = f"{excerpt} {' '.join(words(random.Random(6), 120))} {' '.join(edited)}"
+    assert len(license_scan.blocks(text)) == 1
+    got = license_scan.scan(text)
+    assert [(r["license"], r["wording"], text[r["start"] : r["end"]]) for r in got] == [("MIT", "text", " ".join(edited).rstrip("."))]
+
+
 def test_sum_product_equals_enumeration():
     page = html_extract.parse("<body><div>a<p>b</p></div><ul><li>c</ul></body>")
     f = html_extract.forest([page], {})
