@@ -119,3 +119,18 @@ def test_scatter_is_the_adjoint_of_gather(spark, half):
     one = sum(r["v"] * a[r["id"]] for r in lookups.gather(places, ["id"], "x", cells, "v", half).collect())
     two = sum(r["added"] * v[r["ix"]] for r in lookups.scatter(places, "x", "a", half).collect())
     assert one == pytest.approx(two)
+
+
+def test_stream_is_stacked_to_its_end(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+    from pyspark.sql.streaming import StreamingQuery
+
+    from wavefold.streaming.stacking import stack_stream
+
+    wait = StreamingQuery.awaitTermination
+    monkeypatch.setattr(StreamingQuery, "awaitTermination", lambda self, timeout=None: wait(self, timeout and 0.001))  # any limit is over at once
+    spark.range(0, 600, 1, 6).write.parquet(f"{tmp_path}/rows")
+    source = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/rows")
+    got = stack_stream(spark, source, [(F.col("id") % 2).alias("ix")], F.col("id"), str(tmp_path)).orderBy("ix").collect()
+    assert [tuple(r) for r in got] == [(0, sum(range(0, 600, 2)), 300), (1, sum(range(1, 600, 2)), 300)]
+    assert not spark.streams.active
