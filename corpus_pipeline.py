@@ -22,9 +22,11 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that pass the base rule and are close to a language."""
-    passed = quality_rules.judge(docs, "doc_id", "text", "lang").filter("kept").select("doc_id")
-    return docs.join(passed, "doc_id", "left_semi").select(docs.columns)
+    """Keeps the documents that pass the base rule and are close to a language. Verdicts come back by a digest of id, language and text, as ids may be null or repeated; rows alike in these have one verdict."""
+    said = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "lang", "text")]
+    keyed = docs.withColumn("__row", F.sha2(F.concat_ws("\0", *said), 256))
+    passed = quality_rules.judge(keyed, "__row", "text", "lang").filter("kept").select("__row")
+    return keyed.join(passed, "__row", "left_semi").select(docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +35,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates."""
-    kept = order_minhash.near_duplicates(docs, "doc_id", "text").filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """Keeps one document of each group of near-duplicates, and all without an id, which are compared with nothing."""
+    named = docs.filter(F.col("doc_id").isNotNull())
+    kept = order_minhash.near_duplicates(named, "doc_id", "text").filter("kept").select("doc_id")
+    return named.join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

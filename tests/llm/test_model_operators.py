@@ -268,3 +268,26 @@ def test_pipeline_does_its_stages(spark):
     assert ids[2] == ids[3] and len(ids[4]) < len(ids[0])
     packed = corpus_pipeline.run(spark, folder)
     assert {r[0] for r in packed.select("doc_id").collect()} == ids[4]
+
+
+def test_pipeline_with_null_and_repeated_ids(spark):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+    from wavefold.llm.common import table
+
+    folder = "/root/testdata/sf0.001"
+    docs = table(spark, folder, "documents")
+    good = corpus_pipeline.rules(spark, docs, folder).filter("length(text) > 500 and lang = 'en'").limit(12).collect()
+    junk = "word 12 ## " * 200
+    rows = [(None, *r[1:]) for r in good[:5]] + [(None, junk, "en", "s", 1), (None, None, None, None, None)]
+    rows += [(7, *r[1:]) for r in good[5:7]] + [(7, junk, "en", "s", 1), (8, *good[7][1:])]
+    mixed = docs.filter("doc_id > 1000000").unionByName(spark.createDataFrame(rows, docs.schema)).unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1000))
+    count = lambda df: sorted((r["doc_id"], r["text"][:200]) for r in df.filter("doc_id IS NULL OR doc_id < 10").select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text").collect())
+    passed = corpus_pipeline.rules(spark, mixed, folder)
+    assert passed.schema.simpleString() == docs.schema.simpleString()
+    assert count(passed) == sorted([(-1, r["text"][:200]) for r in good[:5]] + [(7, r["text"][:200]) for r in good[5:7]] + [(8, good[7]["text"][:200])])
+    nameless = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("doc_id"))).cache()
+    near = corpus_pipeline.near(spark, nameless, folder)
+    assert near.columns == docs.columns
+    assert near.filter("doc_id IS NULL").count() == nameless.filter("doc_id IS NULL").count() > 0
+    assert near.filter("doc_id IS NOT NULL").count() < nameless.filter("doc_id IS NOT NULL").count()
