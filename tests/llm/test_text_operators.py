@@ -196,3 +196,19 @@ def test_judge(spark):
     assert quality_rules.judge(spark.createDataFrame([], "doc_id long, text string, lang string"), "doc_id", "text", "lang").count() == 0
     p = np.array([[1.0, 0], [0, 1]])
     assert np.allclose(quality_rules.distances(p, np.array([1.0, 0])), [0, 1])
+
+
+def test_rubbish_without_a_language_is_no_reference(spark):
+    rng = random.Random(12)
+    pick = lambda some, n: " ".join(rng.choice(some) for _ in range(n)) + "."
+    english = "the of and to in a is that for it house river stone morning letter garden people yellow walked slowly table window".split()
+    italian = "il di che e la per un una non sono anche più casa fiume pietra mattina lettera giardino gente giallo lentamente tavolo finestra".split()
+    russian = "и в не на я что тот быть с он дом река камень утро письмо сад люди жёлтый медленно стол окно".split()
+    rubbish = lambda: " ".join(f"{rng.choice('qwrtz')}{rng.randint(0, 999)}##$$%%" for _ in range(300))
+    rows = [(i, pick(english, 300), "en") for i in range(40)] + [(100 + i, rubbish(), (None, "xx", "en")[i % 3]) for i in range(30)]
+    kept = lambda rows: {r["doc_id"] for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang").filter("kept").collect()}
+    assert kept(rows) == set(range(40))
+    for i, other in enumerate((italian, russian)):
+        foreign = [(200 + k, pick(other, 300), ("it", "ru")[i]) for k in range(40)]
+        assert kept(rows + foreign) == set(range(40)) | set(range(200, 240))
+    assert kept([r for r in rows if r[0] < 40 and r[0] % 2] + [(1000, rows[0][1], None)]) == {*range(1, 40, 2), 1000}

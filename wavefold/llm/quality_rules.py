@@ -7,8 +7,10 @@ them. The Jensen-Shannon distance (base 2, so from 0 to 1) to the closest of the
 the text is long enough for its histogram to mean anything.
 
 Defined results: null text counts as empty and has no words, so it fails the base rule. A language
-that is null or has no word list adds to one reference of all such documents together. Ties
-and repeated rows are judged each by itself; columns other than the three named are not read.
+that is null or has no word list adds to one reference of all such documents together, if its
+characters are near those of a known language (beyond ASCII any may be letters) or if no document has one;
+only such documents are judged by it besides. Without word lists, made-up words are not told from an
+unlisted language there. Ties and repeated rows are judged each by itself; columns other than the three named are not read.
 """
 
 from __future__ import annotations
@@ -153,46 +155,85 @@ def measured(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFr
     return df.select(F.col(id_col), text_or_empty(text_col), language.cast("int")).mapInArrow(run, f"`{id_col}` {kind}, language int, " + "".join(f"{b} bigint, " for b in _BASE) + "classes array<bigint>, common array<bigint>")
 
 
-def references(stats: DataFrame) -> np.ndarray:
-    """The mean normalised histograms over all documents of each language that has any: as many rows as known languages and one at most."""
+def references(stats: DataFrame) -> tuple[np.ndarray, int]:
+    """The mean normalised histograms over all documents of each known language that has any, then of the admitted ones of no known language if there are any; and how many are of known languages."""
+    sums = _sums(stats)
+    known = _means(sums[:-1])
+    if len(known) and sums[-1, :2].any():
+        sums = _sums(stats.filter(F.col("language") == len(LANGUAGES)), known)
+    out = np.concatenate([known, _means(sums[-1:])])
+    return (out, len(known)) if len(out) else (np.full((1, N_CLASSES + N_WORDS), 1e-9), 1)  # no words at all: nothing to judge
+
+
+def admitted(n_words: np.ndarray, n_repeat: np.ndarray, classes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which documents of no known language may add to their reference: they pass the base rule, and their characters are near a known language's. There is no word list for them, and characters beyond ASCII may be their letters."""
+    lower, beyond = list(CHARACTER_CLASSES).index("lower"), N_CLASSES - 1
+
+    def as_letters(x: np.ndarray) -> np.ndarray:
+        x = x.copy()
+        x[:, lower] += x[:, beyond]
+        x[:, beyond] = 0
+        return x
+
+    return ~base_failed(n_words, n_repeat) & (closest(as_letters(classes), as_letters(known[:, :N_CLASSES])) <= MAX_CHARACTER_DISTANCE)
+
+
+def base_failed(n_words: np.ndarray, n_repeat: np.ndarray) -> np.ndarray:
+    return (n_words < BASE_WORDS) | (100 * n_repeat > BASE_REPEATED * n_words)
+
+
+def _means(sums: np.ndarray) -> np.ndarray:
+    out = sums[(sums[:, :2] > 0).all(axis=1)]
+    width = sums.shape[1]
+    for k, (a, b) in enumerate(((2, 2 + N_CLASSES), (2 + N_CLASSES, width))):
+        out[:, a:b] /= out[:, k : k + 1]
+    return out[:, 2:]
+
+
+def _sums(stats: DataFrame, known: np.ndarray | None = None) -> np.ndarray:
+    """A row for each language and one for all others: how many normalised histograms of either kind, and their sums; with known only of admitted documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(LANGUAGES) + 1, 2 + N_CLASSES + N_WORDS))
         for batch in batches:
             language = batch.column(0).to_numpy()
+            counts = [batch.column(1 + k).flatten().to_numpy().reshape(-1, width).astype(float) for k, width in enumerate((N_CLASSES, N_WORDS))]
+            if known is not None:
+                may = admitted(batch.column(3).to_numpy(), batch.column(4).to_numpy(), counts[0], known)
+                language, counts = language[may], [h[may] for h in counts]
             at = 2
-            for k, width in enumerate((N_CLASSES, N_WORDS)):
-                h = batch.column(1 + k).flatten().to_numpy().reshape(-1, width).astype(float)
+            for k, h in enumerate(counts):
+                width = h.shape[1]
                 n = h.sum(axis=1, keepdims=True)
                 np.add.at(total[:, at : at + width], language, np.divide(h, n, out=np.zeros_like(h), where=n > 0))
                 np.add.at(total[:, k], language, (n > 0)[:, 0])
                 at += width
         yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["language", "total"])
 
-    sums = stats.select("language", "classes", "common").mapInArrow(run, "language int, total array<double>")
+    sums = stats.select("language", "classes", "common", "n_words", "n_repeat_words").mapInArrow(run, "language int, total array<double>")
     width = 2 + N_CLASSES + N_WORDS
     # A row for each language, whatever the corpus.
     added = sums.groupBy("language").agg(*(F.sum(F.get("total", F.lit(i))).alias(f"t{i}") for i in range(width))).collect()
     out = np.zeros((len(LANGUAGES) + 1, width))
     for r in added:
         out[r["language"]] = r[1:]
-    out = out[(out[:, :2] > 0).all(axis=1)]
-    for k, (a, b) in enumerate(((2, 2 + N_CLASSES), (2 + N_CLASSES, width))):
-        out[:, a:b] /= out[:, k : k + 1]
-    return out[:, 2:] if len(out) else np.full((1, N_CLASSES + N_WORDS), 1e-9)  # no words at all: nothing to judge
+    return out
 
 
 def judge(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """A row for each document: id, the base counts, base_failed, character_distance, word_distance and kept."""
     stats = materialise(measured(df, id_col, text_col, lang_col), "quality")
-    reference = references(stats)  # (languages + 1) x (classes + words), whatever the corpus
+    reference, n_known = references(stats)  # (languages + 1) x (classes + words) at most, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_repeat = (batch.column(i).to_numpy() for i in (2, 6))
             classes, common = (batch.column(7 + k).flatten().to_numpy().reshape(-1, w) for k, w in enumerate((N_CLASSES, N_WORDS)))
-            by_class, by_word = closest(classes, reference[:, :N_CLASSES]), closest(common, reference[:, N_CLASSES:])
-            failed = (n_words < BASE_WORDS) | (100 * n_repeat > BASE_REPEATED * n_words)
+            by_class, by_word = np.zeros(len(n_words)), np.zeros(len(n_words))
+            named = batch.column(1).to_numpy() < len(LANGUAGES)
+            for rows, near in ((named, reference[: n_known or None]), (~named, reference)):
+                by_class[rows], by_word[rows] = closest(classes[rows], near[:, :N_CLASSES]), closest(common[rows], near[:, N_CLASSES:])
+            failed = base_failed(n_words, n_repeat)
             odd = (by_class > MAX_CHARACTER_DISTANCE) & (classes.sum(axis=1) >= MIN_CHARACTERS)
             odd |= ((by_word > MAX_WORD_DISTANCE) | (by_class > BOTH[0]) & (by_word > BOTH[1])) & (n_words >= MIN_WORDS)
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:7], pa.array(failed), pa.array(by_class), pa.array(by_word), pa.array(~failed & ~odd)], [id_col, *_BASE, "base_failed", "character_distance", "word_distance", "kept"])
