@@ -195,6 +195,12 @@ def test_embeddings_equal_all_pairs(spark, dim):
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"] for i, _ in bad)
 
 
+def test_one_longer_embedding_parts_no_others(spark):
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.01]), (2, [0.0, 1.0]), (3, [0.0, 3.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 0.0, 0.0, 0.0]), (6, [2.0, 0.1, 0.0, 0.0])]
+    got = {r["id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.link(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v").collect()}
+    assert got == {0: (1, 0), 1: (1, 0), 2: (1, 2), 3: (1, 2), 4: (0, 4), 5: (1, 5), 6: (1, 5)}
+
+
 def test_visits_reach_the_target_recall():
     """Neighbours at exactly the threshold are found by the visited cells with the stated probability."""
     rng = np.random.default_rng(7)

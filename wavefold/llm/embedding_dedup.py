@@ -14,8 +14,10 @@ connected, never pairs.
 The codebooks are fitted on at most SAMPLE classes, those with the least hash; every vector is indexed
 and every class is a query. The grid grows with the number of classes, so that cells stay small.
 
-Defined results: vectors that are null or zero, hold null or non-finite components, differ from the
-longest in length, or have a null id link with nothing. Rows that share an id share their links. An
+Vectors of different lengths never link; each length has codebooks and an index of its own.
+
+Defined results: vectors that are null or zero, hold null or non-finite components, or have a null id
+link with nothing. Rows that share an id share their links. An
 empty table has no rows; other columns are not read.
 """
 
@@ -133,18 +135,17 @@ def link(df: DataFrame, id_col: str, vector_col: str, threshold: float = THRESHO
     finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     valid = rows.filter(F.col("id").isNotNull() & F.col("vector").isNotNull() & finite & F.exists("vector", lambda v: v != 0))
     classes = materialise(valid.groupBy("vector").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "vectors")
-    size = classes.agg(F.max(F.size("vector")).alias("dim"), F.count(F.lit(1)).alias("n")).first()
-    dim = size["dim"] or 0
-    classes = classes.filter(F.size("vector") == dim)
-    if dim:
-        sample = classes.orderBy(F.xxhash64("vector"), "rep").limit(max(1, min(SAMPLE, SAMPLE_NUMBERS // dim))).select("vector").toArrow().column(0)
+    sizes = classes.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy("dim").collect()  # a row for each length
+    found = spark.createDataFrame([], f"a {classes.schema['rep'].dataType.simpleString()}, b {classes.schema['rep'].dataType.simpleString()}, linked bigint")
+    for dim, n in sizes:
+        alike = classes.filter(F.size("vector") == dim)
+        sample = alike.orderBy(F.xxhash64("vector"), "rep").limit(max(1, min(SAMPLE, SAMPLE_NUMBERS // dim))).select("vector").toArrow().column(0)
         x = _unit(np.array(sample.combine_chunks().flatten()).reshape(-1, dim))
-        n_codes = min(MAX_CODES, max(2, 2 ** round(math.log2(max(1.0, math.sqrt(size["n"] / CELL))))))
+        n_codes = min(MAX_CODES, max(2, 2 ** round(math.log2(max(1.0, math.sqrt(n / CELL))))))
         half = max(1, dim // 2)
         books = fit_codes(x[:, :half], n_codes), fit_codes(x[:, half:], n_codes) if dim > 1 else np.zeros((1, 0))
-        found = _search(classes, dim, books, visits_needed(x[:PROBES], books, threshold, recall), threshold)
-    else:
-        found = spark.createDataFrame([], "a bigint, b bigint, linked bigint")
+        visits = visits_needed(x[:PROBES], books, threshold, recall) if n > PROBES else n_codes**2  # too few to set the visits by: all cells
+        found = found.union(_search(alike, dim, books, visits, threshold))
     counts = found.filter(F.col("b").isNull()).groupBy(F.col("a").alias("rep")).agg(F.sum("linked").alias("linked"))
     parts = components(found.filter(F.col("b").isNotNull()), "a", "b").select(F.col("id").alias("rep"), "component")
     by_class = classes.select("vector", "rep", "n").join(counts, "rep", "left").join(parts, "rep", "left")
