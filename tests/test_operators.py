@@ -134,3 +134,17 @@ def test_stream_is_stacked_to_its_end(spark, tmp_path, monkeypatch):
     got = stack_stream(spark, source, [(F.col("id") % 2).alias("ix")], F.col("id"), str(tmp_path)).orderBy("ix").collect()
     assert [tuple(r) for r in got] == [(0, sum(range(0, 600, 2)), 300), (1, sum(range(1, 600, 2)), 300)]
     assert not spark.streams.active
+
+
+def test_as_of_orders_places_not_rows(spark, capsys):
+    rows = spark.createDataFrame([(i, i % 2, i % 7) for i in range(60)] + [(60, None, 3), (61, 0, None)], "id long, k int, day int")
+    places = spark.createDataFrame([(k, d, 10 * d + k) for k in (0, 1) for d in (2, 5)], "k int, at_day int, v int")
+    out = lookups.as_of(rows, ["k"], "day", places, "at_day", ["v"])
+    last = lambda k, day: max((10 * d + k for d in (2, 5) if k is not None and day is not None and d <= day), default=None)
+    assert {(r["id"], r["v"]) for r in out.collect()} == {(r["id"], last(r["k"], r["day"])) for r in rows.collect()}
+    assert out.count() == 62
+    out.explain()
+    plan = capsys.readouterr().out
+    window = plan[plan.index("Window") :]
+    assert "NestedLoop" not in plan and "id#" not in window[: window.index("Union")]
+    assert "HashAggregate" in window

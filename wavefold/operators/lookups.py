@@ -32,12 +32,16 @@ def interval_average(cells: DataFrame, low: Column, high: Column, value: Column,
 
 
 def as_of(rows: DataFrame, keys: list[str], at: str, table: DataFrame, table_at: str, columns: list[str]) -> DataFrame:
-    """Each row with the table's columns at the last place not beyond it, within keys: both sides are ordered together in one window, without a range join."""
-    a = rows.withColumns({"__at": F.col(at), "__side": F.lit(1), **{c: F.lit(None).cast(table.schema[c].dataType) for c in columns}})
+    """Each row with the table's columns at the last place not beyond it, within keys: the distinct places of both sides are ordered together in one window, without a range join, and rows find theirs by equality."""
+    a = rows.select(*keys, F.col(at).alias("__at")).distinct().withColumns({"__side": F.lit(1), **{c: F.lit(None).cast(table.schema[c].dataType) for c in columns}})
     b = table.select(*keys, F.col(table_at).alias("__at"), F.lit(0).alias("__side"), *columns)
     window = Window.partitionBy(*keys).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b, allowMissingColumns=True)
-    return both.withColumns({c: F.last(F.when(F.col("__side") == 0, F.col(c)), ignorenulls=True).over(window) for c in columns}).filter("__side = 1").drop("__at", "__side")
+    placed = a.unionByName(b).withColumns({c: F.last(F.when(F.col("__side") == 0, F.col(c)), ignorenulls=True).over(window) for c in columns}).filter("__side = 1").drop("__side")
+    matched = F.lit(True)
+    for c in keys:
+        matched &= F.col(f"__rows.{c}").eqNullSafe(F.col(f"__placed.{c}"))
+    matched &= F.col(f"__rows.{at}").eqNullSafe(F.col("__placed.__at"))
+    return rows.alias("__rows").join(placed.alias("__placed"), matched).select("__rows.*", *(f"__placed.{c}" for c in columns))
 
 
 def mirror(cells: DataFrame, keys: list[str], index: str, surface: int, value: str, sign: int) -> DataFrame:
