@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,10 +33,10 @@ from wavefold.llm.common import materialise, text_or_empty
 
 CAPACITY = 2048
 #: Chunks of text kept in each of the two generations of a worker's cache.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 #: Texts handled at once inside a task; words joined into one call of the tokenizer.
-SLICE, JOINED = 256, 64
-END_PUNCTUATION = ".,!?;:#*$%&|"
+SLICE, JOINED = 512, 64
+END_PUNCTUATION = b".,!?;:#*$%&|"
 
 
 class WordBpe:
@@ -69,44 +70,66 @@ class WordBpe:
                 at = end
         return out
 
-    def _learn(self, chunks: set[bytes]) -> None:
+    def _learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of chunks that the young generation hasn't; they are in it afterwards."""
         if len(self.young) + len(chunks) > self.cache_words:
             self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        split: dict[bytes, tuple[str, str]] = {}
-        heads: dict[str, bytes] = {}
-        other: dict[str, bytes] = {}
-        for c in chunks:
-            if (known := old.get(c)) is not None:
-                young[c] = known
-                continue
-            word = c.decode("utf-8")
-            head = word.rstrip(END_PUNCTUATION)
-            if head.isalpha() and max(head) <= "ÿ":
-                tail, head = word[len(head) :], head.lower()
-                key = head.encode("utf-8")
-                heads[head] = young.get(key) or old.get(key) or b""
-                if tail:
-                    other[tail] = b""
-            else:
-                head, tail = word, ""
-                other[word] = b""
-            split[c] = head, tail
+        known = self.old.get
+        out = {c: ids for c in chunks if (ids := known(c)) is not None}
+        split: list[tuple[bytes, bytes, bytes]] = []
+        heads: dict[bytes, bytes] = {}
+        other: dict[bytes, bytes] = {}
+        get = self.young.get
+        for c in chunks - out.keys():
+            head = c.rstrip(END_PUNCTUATION)
+            if not head.isascii() or head.isalpha():
+                letters = head.lower() if head.isascii() else _latin_letters(head)
+                if letters:
+                    heads[letters] = get(letters) or known(letters) or b""
+                    tail = c[len(head) :]
+                    if tail:
+                        other[tail] = b""
+                    split.append((c, letters, tail))
+                    continue
+            other[c] = b""
+            split.append((c, c, b""))
         fresh = [h for h, ids in heads.items() if not ids]
-        for head, ids in zip(fresh, self._letters(fresh), strict=True):
-            heads[head] = young[head.encode("utf-8")] = ids
-        other.update(zip(other, self._plain(list(other)), strict=True))
-        for c, (head, tail) in split.items():
-            young[c] = (heads[head] if head in heads else other[head]) + (other[tail] if tail else b"")
+        for head, ids in zip(fresh, self._letters([h.decode("utf-8") for h in fresh]), strict=True):
+            heads[head] = self.young[head] = ids
+        other.update(zip(other, self._plain([c.decode("utf-8") for c in other]), strict=True))
+        for c, head, tail in split:
+            out[c] = (heads[head] if head in heads else other[head]) + (other[tail] if tail else b"")
+        self.young.update(out)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        chunks = [t.encode("utf-8").split() for t in texts]
-        young = self.young
-        if missing := {c for cs in chunks for c in cs if c not in young}:
-            self._learn({c for cs in chunks for c in cs} if len(young) + len(missing) > self.cache_words else missing)
-            young = self.young
-        return [b"".join([young[c] for c in cs]) for cs in chunks]
+        """Little-endian unsigned 32-bit ids of each text. Words are told apart once for all texts; an empty one has no ids."""
+        words = pc.ascii_split_whitespace(pa.array(map(_lowered, texts), pa.string()))
+        coded = words.flatten().dictionary_encode()
+        chunks = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.young.get, chunks))
+        if missing := {c for c, x in zip(chunks, ids, strict=True) if x is None}:
+            learnt = self._learn(missing)
+            ids = [learnt[c] if x is None else x for c, x in zip(chunks, ids, strict=True)]
+        offsets = np.cumsum([0, *map(len, ids)], dtype=np.int64) // 4
+        spread = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))).take(coded.indices)
+        raw, bounds = np.asarray(spread.flatten(), dtype="<i4").tobytes(), 4 * np.concatenate([[0], np.cumsum(np.diff(offsets)[np.asarray(coded.indices)])])[np.asarray(words.offsets)]
+        return [raw[x:y] for x, y in zip(bounds, bounds[1:], strict=False)]
+
+
+def _lowered(text: str) -> str:
+    """A text in lower case, as the tokenizer will have it, where all characters are Latin-1, for which that is a matter of each character by itself; others as they are."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
+def _latin_letters(head: bytes) -> bytes:
+    """A word of Latin-1 letters in lower case; nothing if it has other characters."""
+    word = head.decode("utf-8")
+    return word.lower().encode("utf-8") if word.isalpha() and max(word) <= "ÿ" else b""
 
 
 _here: dict[str, WordBpe] = {}
@@ -193,7 +216,8 @@ def pieces(df: DataFrame, id_col: str, text_col: str, tokenizer_path: str, end_i
                 cols = list(zip(*rows, strict=True))
                 out = [here.column(0).take(pa.array(row, pa.int64())), pa.array(cols[0], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[1:4]), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.int64())]
                 if with_ids:
-                    out.append(pa.array([np.frombuffer(c, dtype="<u4").astype(np.int32) for c in cols[6]], pa.list_(pa.int32())))
+                    ends = np.cumsum([0, *(len(c) // 4 for c in cols[6])], dtype=np.int32)
+                    out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(cols[6]), dtype="<i4"))))
                 yield pa.RecordBatch.from_arrays(out, names)
 
     kind = df.schema[id_col].dataType.simpleString()
