@@ -9,12 +9,13 @@ forms share), and bins of its shape (shares of
 capitals, of symbols, of bars, of digits and of repeated words, mean word length, length), hashed into
 a table of weights of fixed size.
 
-The fit reads at most `max_rows` labelled rows, chosen by a hash of their id; scoring covers every
-document, and one with the weights of a fixed-size table and two thresholds.
+The fit reads at most `max_rows` labelled rows, chosen by a hash of their id, and is the work of one task
+on an executor; scoring covers every document, with the weights of a fixed-size table and two thresholds.
 
 Defined results: null text counts as empty and scores by its shape alone. Labels with a null rating or
 for no document are left out; of several labels of one document the lowest counts. Without labels every
-document has the highest grade. Repeated rows are scored each by itself; df's own columns are kept, but
+document has the highest grade, and so has every one where no labelled document is in df. An empty table has no
+rows. Repeated rows are scored each by itself; df's own columns are kept, but
 for those that bear the names of the scores.
 """
 
@@ -41,8 +42,8 @@ PREFIXES = (4, 5, 6)
 #: Most labelled rows that the fit reads; fewest of them that must have a feature for it to get a weight.
 MAX_ROWS, MIN_ROWS = 10_000, 4
 GRADES = 3
-#: Features handled at once in a pass of the fit.
-BLOCK = 400_000
+#: Most rows to a step of the fit.
+BLOCK = 1_000
 #: A document is kept if it is of the highest grade with at least this probability.
 KEEP = 0.5
 _WORD = regex.compile(rb"[a-z0-9\x80-\xff]+|[!-/:-@\[-`{-~]{2,}").findall  # or a run of punctuation
@@ -84,53 +85,54 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - scores[:, None], -60, 60)))
 
 
-def fit(lengths: np.ndarray, flat: np.ndarray, grades: np.ndarray, n_grades: int = GRADES, bits: int = BITS, steps: int = 120, rate: float = 0.08, ridge: float = 7e-4, min_rows: int = MIN_ROWS) -> Model:
-    """Full-batch Adam on the mean negative log likelihood with a ridge on the weights. lengths: how many of the features in flat each row has."""
-    size = 1 << bits
-    if not len(lengths):
+def fit(lengths: np.ndarray, flat: np.ndarray, grades: np.ndarray, n_grades: int = GRADES, bits: int = BITS, epochs: int = 30, rate: float = 0.03, ridge: float = 2e-3, min_rows: int = MIN_ROWS) -> Model:
+    """Adam on the mean negative log likelihood with a ridge on the weights, block of rows by block, with a rate that falls to 0. lengths: how many of the features in flat each row has."""
+    size, n = 1 << bits, len(lengths)
+    if not n:
         return Model(np.zeros(size), np.full(n_grades - 1, -60.0))
-    often = np.bincount(flat, minlength=size) >= min_rows
-    used = np.flatnonzero(often)
+    used = np.flatnonzero(np.bincount(flat, minlength=size) >= min_rows)
     column = np.full(size, -1, dtype=np.int32)
     column[used] = np.arange(len(used))
-    # Rows in blocks of about BLOCK features, so that a pass holds little beside them: first row, rows, and row and column of each feature.
-    blocks, ends, first = [], np.cumsum(lengths), 0
-    while first < len(lengths):
-        begin = int(ends[first - 1]) if first else 0
-        last = max(first + 1, int(np.searchsorted(ends, begin + BLOCK, side="right")))
-        here = flat[begin : int(ends[last - 1])]
-        mine = often[here]
-        row = np.repeat(np.arange(last - first, dtype=np.int32), lengths[first:last])[mine]
-        blocks.append((first, last - first, row, column[here[mine]]))
-        first = last
-    del flat
-    # The first threshold and the logarithms of the steps to the next.
-    share = np.clip([(grades >= k).mean() for k in range(1, n_grades)], 1e-3, 1 - 1e-3)
-    start = -np.log(share / (1 - share))
-    x = np.concatenate([np.zeros(len(used)), start[:1], np.log(np.maximum(np.diff(start), 0.05))])
+    ends, rows = np.cumsum(lengths), max(BLOCK // 20, min(BLOCK, n // 10))
+    x = start(grades, len(used), n_grades)
     m, v = np.zeros_like(x), np.zeros_like(x)
-    n, w = len(lengths), len(used)
-    for t in range(1, steps + 1):
-        score = np.concatenate([np.bincount(r, weights=x[c], minlength=k) for _, k, r, c in blocks])
-        gaps = np.exp(x[w + 1 :])
-        cuts = np.concatenate([[-60.0], x[w] + np.concatenate([[0.0], np.cumsum(gaps)]), [60.0]])
-        low, high = (1 / (1 + np.exp(-np.clip(cuts[grades + k] - score, -60, 60))) for k in (0, 1))
-        p = np.maximum(high - low, 1e-12)
-        d_high, d_low = high * (1 - high) / p / n, low * (1 - low) / p / n
-        g_cut = np.bincount(grades + 1, weights=-d_high, minlength=n_grades + 1) + np.bincount(grades, weights=d_low, minlength=n_grades + 1)
-        inner = g_cut[1:n_grades]
-        g_gaps = np.cumsum(inner[::-1])[::-1][1:] * gaps
-        slope, g_weights = d_high - d_low, ridge * x[:w]
-        for at, k, r, c in blocks:
-            g_weights += np.bincount(c, weights=slope[at : at + k][r], minlength=w)
-        g = np.concatenate([g_weights, [inner.sum()], g_gaps])
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        x = x - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-    weights = np.zeros(size)
+    steps, t = epochs * -(-n // rows), 0
+    for _ in range(epochs):
+        for first in range(0, n, rows):
+            here = column[flat[ends[first - 1] if first else 0 : ends[min(n, first + rows) - 1]]]
+            row = np.repeat(np.arange(len(lengths[first : first + rows])), lengths[first : first + rows])[here >= 0]
+            _, g = loss(x, row, here[here >= 0], grades[first : first + rows], n_grades, ridge)
+            t += 1
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            x = x - rate * (1 - (t - 1) / steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+    weights, w = np.zeros(size), len(used)
     weights[used] = x[:w]
     return Model(weights, x[w] + np.concatenate([[0.0], np.cumsum(np.exp(x[w + 1 :]))]))
 
 
+def start(grades: np.ndarray, w: int, n_grades: int) -> np.ndarray:
+    """Where the fit begins: no weights, the first threshold and the logarithms of the steps to the next as the grades' shares have them."""
+    share = np.clip([(grades >= k).mean() for k in range(1, n_grades)], 1e-3, 1 - 1e-3)
+    cuts = -np.log(share / (1 - share))
+    return np.concatenate([np.zeros(w), cuts[:1], np.log(np.maximum(np.diff(cuts), 0.05))])
+
+
+def loss(x: np.ndarray, row: np.ndarray, column: np.ndarray, grades: np.ndarray, n_grades: int, ridge: float) -> tuple[float, np.ndarray]:
+    """The mean negative log likelihood of some rows with half the ridge times the squared weights, and its gradient. x: weights, first threshold, logarithms of the steps; row and column of each feature."""
+    n, w = len(grades), len(x) - n_grades + 1
+    score = np.bincount(row, weights=x[column], minlength=n)
+    gaps = np.exp(x[w + 1 :])
+    cuts = np.concatenate([[-60.0], x[w] + np.concatenate([[0.0], np.cumsum(gaps)]), [60.0]])
+    low, high = (1 / (1 + np.exp(-np.clip(cuts[grades + k] - score, -60, 60))) for k in (0, 1))
+    p = np.maximum(high - low, 1e-12)
+    d_high, d_low = high * (1 - high) / p / n, low * (1 - low) / p / n
+    g_cut = np.bincount(grades + 1, weights=-d_high, minlength=n_grades + 1) + np.bincount(grades, weights=d_low, minlength=n_grades + 1)
+    inner = g_cut[1:n_grades]
+    g_gaps = np.cumsum(inner[::-1])[::-1][1:] * gaps
+    g = np.concatenate([np.bincount(column, weights=(d_high - d_low)[row], minlength=w) + ridge * x[:w], [inner.sum()], g_gaps])
+    return float(-np.log(p).mean() + ridge / 2 * (x[:w] ** 2).sum()), g
+
+
 def grade(quality: Column, toxic: Column) -> Column:
     """0 toxic, 1 of low quality, 2 good; null if either rating is."""
     return F.when(quality.isNull() | toxic.isNull(), None).when(toxic > 0, 0).when(quality <= 0, 1).otherwise(2)
@@ -147,10 +149,22 @@ def train(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, grade_co
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([features(t) for t in batch.column(2).to_pylist()], pa.list_(pa.int32()))], ["id", "grade", "features"])
 
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(1).to_numpy(), b.column(2)) for b in batches]
+        lengths = np.concatenate([np.zeros(0, np.int64), *(np.asarray(f.value_lengths()) for _, f in parts)])
+        model = fit(lengths, np.concatenate([np.zeros(0, np.int32), *(np.asarray(f.flatten()) for _, f in parts)]), np.concatenate([np.zeros(0, np.int64), *(g.astype(np.int64) for g, _ in parts)]))
+        at = np.flatnonzero(model.weights)
+        yield pa.RecordBatch.from_arrays([pa.array([at.astype(np.int32)]), pa.array([model.weights[at]]), pa.array([model.thresholds])], ["at", "weights", "thresholds"])
+
     kind = df.schema[id_col].dataType.simpleString()
-    rows = found.mapInArrow(run, f"id {kind}, grade int, features array<int>").orderBy(F.xxhash64("id"), "id").limit(max_rows).toArrow()
-    found = rows.column("features").combine_chunks()
-    return fit(np.asarray(found.value_lengths()), np.asarray(found.flatten()), rows.column("grade").to_numpy().astype(np.int64))
+    sample = found.mapInArrow(run, f"id {kind}, grade int, features array<int>").orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    # One task fits on the sample, which has a bound; one row of at most 2 ** BITS weights comes back.
+    fitted = sample.mapInArrow(learn, "at array<int>, weights array<double>, thresholds array<double>").collect()
+    if not fitted:
+        return fit(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64))
+    weights = np.zeros(1 << BITS)
+    weights[np.array(fitted[0]["at"], dtype=np.int64)] = fitted[0]["weights"]
+    return Model(weights, np.array(fitted[0]["thresholds"]))
 
 
 def score(df: DataFrame, text_col: str, model: Model, keep: float = KEEP) -> DataFrame:
