@@ -42,8 +42,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what is left into sequences."""
-    return packing.pack(docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    """Packs what is left into sequences: a row a piece, with its token ids and its place."""
+    return packing.pack(docs, "doc_id", "text", public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [
