@@ -48,14 +48,30 @@ def test_byte_bpe_on_random_text():
 def test_byte_bpe_offsets_cover_split_characters(spark, docs):
     out = byte_bpe.encode(docs.filter("doc_id = 4"), "doc_id", "text", RANKS, public_tokenizers.PATTERN)
     r = out.collect()[0]
-    text, raw = ODD[4], [b"" for _ in r["ids"]]
+    text = ODD[4]
+    codec = byte_bpe.ByteBpe(byte_bpe.tokenizer_json(byte_bpe.read_ranks(RANKS)), public_tokenizers.PATTERN)
     assert r["starts"][0] == 0 and r["ends"][-1] == len(text)
-    assert all(a < b for a, b in zip(r["starts"], r["ends"], strict=True)) and all(x <= y for x, y in zip(r["starts"], r["starts"][1:]))
-    assert raw is not None
+    shared = 0
+    for k, (i, a, b) in enumerate(zip(r["ids"], r["starts"], r["ends"], strict=True)):
+        token = codec.decode([i])
+        assert token in text[a:b].encode() and a < b and (k == 0 or a >= r["starts"][k - 1])
+        shared += token != text[a:b].encode()
+    assert shared > 1  # some tokens hold a part of a character, and cover the whole of it
     back = byte_bpe.decode(out, "doc_id", "ids", RANKS, public_tokenizers.PATTERN).collect()[0]
-    assert back["text"] == text
-    half = byte_bpe.decode(spark.createDataFrame([(1, [r["ids"][2]]), (2, None)], "doc_id long, ids array<int>"), "doc_id", "ids", RANKS, public_tokenizers.PATTERN).collect()
-    assert half[1]["text"] == ""
+    assert back["text"] == text and bytes(back["decoded"]) == text.encode()
+    cut = next(k for k in range(len(r["ids"])) if r["ends"][k] > r["starts"][k + 1])  # the first of the tokens that share a character
+    parts = [(1, r["ids"][: cut + 1]), (2, None), (3, r["ids"][cut + 1 :]), (None, [])]
+    half = byte_bpe.decode(spark.createDataFrame(parts, "doc_id long, ids array<int>"), "doc_id", "ids", RANKS, public_tokenizers.PATTERN).collect()
+    assert half[0]["text"].endswith("\ufffd") and bytes(half[0]["decoded"]) + bytes(half[2]["decoded"]) == text.encode()
+    assert half[1]["text"] == half[3]["text"] == "" and half[3]["doc_id"] is None
+
+
+def test_byte_bpe_without_rows_and_with_clashing_names(spark):
+    df = spark.createDataFrame([("a b", 1)], "n_tokens string, ids_sha256 int")
+    got = byte_bpe.round_trip(df.withColumnRenamed("ids_sha256", "starts"), "starts", "n_tokens", RANKS, public_tokenizers.PATTERN).collect()
+    assert got[0]["starts"] == 1 and got[0]["n_tokens"] == 2
+    for f in (byte_bpe.round_trip, byte_bpe.encode):
+        assert f(df.limit(0), "ids_sha256", "n_tokens", RANKS, public_tokenizers.PATTERN).count() == 0
 
 
 def test_pack(spark, docs):
@@ -157,6 +173,20 @@ def test_lines(spark):
     assert line_dedup.dedup_lines(df.limit(0), "id", "text").count() == 0
 
 
+def test_lines_with_repeated_and_null_ids_and_one_line_everywhere(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "GROUP", 20)  # many copies of an index
+    everywhere, four = "this line stands in every one of the texts of the table", "this line stands in four documents, in one of them twice"
+    rows = [(i, f"{everywhere}\n text {i} \n{everywhere.upper()}") for i in range(60)] + [(k, four) for k in (100, 101, 102, 103, 103)]
+    rows += [(59, f"again\n{everywhere}"), (None, f"{everywhere}\nrest"), (None, four), (None, f"{everywhere}\nrest"), (200, "x" * 300_000 + "\n\n")]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "id long, text string, shard int, h1 string")
+    got = sorted(((r["id"] is None, r["id"] or 0, r["text"], r["n_lines"], r["n_dropped"], r["shard"], r["h1"]) for r in line_dedup.dedup_lines(df, "id", "text").collect()))
+    want = []
+    for i, text in rows:
+        kept = [x for x in text.split("\n") if x.lower() != everywhere or i == 59]
+        want.append((i is None, i or 0, "\n".join(kept), text.count("\n") + 1, text.count("\n") + 1 - len(kept), 1, "x"))
+    assert got == sorted(want)
+
+
 def test_perfect_hash_is_minimal():
     h = np.random.default_rng(9).integers(-(2**63), 2**63 - 1, 5000)
     perfect = line_dedup.PerfectHash.load(line_dedup.PerfectHash.build(h).dump())

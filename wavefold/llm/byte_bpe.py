@@ -7,7 +7,8 @@ words of a corpus recur.
 
 Defined results: null text counts as empty; an empty text has no ids. The pattern has no
 catastrophic cases, so very long texts only take time in proportion. Rows are never joined or
-grouped, so ties, repeated rows and null keys pass through as they are.
+grouped, so ties, repeated rows and null keys pass through as they are; an empty table has no rows. Of df's
+columns only the two named are read, so others may bear any names; the id may not be named as a result is.
 """
 
 from __future__ import annotations

@@ -16,10 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one where none is named, as in tests."""
+    """The folder that the cluster shares. On a cluster it must be named: a folder of one machine would lose rows."""
     named = spark.conf.get(SHARED, None)
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="wavefold-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{SHARED} must name a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="wavefold-")  # driver and executor are one process
         spark.conf.set(SHARED, named)
     return named.rstrip("/")
 

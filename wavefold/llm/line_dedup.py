@@ -7,14 +7,16 @@ hash, a slot in its arrays of fingerprints, document counts and keepers. Line ha
 shard that may know them and probe its arrays; what comes back to a document is its list of hashes
 to drop, so line texts are never joined or moved.
 
-A very common line makes one shard busy, so each shard's arrays stand in several copies and a
-document's lines go to the copy that its id chooses. The arrays of one shard stay small because the
-number of shards follows the number of indexed keys. Nothing passes through the driver but that number.
-
-Defined results: null or empty text is one empty line. A row is a document; rows that share an id
-share their drops. A key's lines stay in the document with the largest id holding it and go from all
-others; a text left without lines is empty. Columns of df pass through, but for the text and for any
-that bear the names of the two counts.
+The arrays of one shard stay small because the number of shards follows the number of indexed keys. A
+shard's arrays stand in as many copies as GROUP goes into the line hashes that are sent there, and a
+document's lines go to the copy that its id and text choose, so a line found everywhere makes no task
+longer than others. Nothing passes through the driver but the number of shards.
+
+Defined results: null or empty text is one empty line. Rows that share an id are one document: a key
+in them counts once, and stays in all of them if that id is the largest. A row with a null id counts as
+no document and loses the lines that others hold often enough. A key's lines stay in the document with
+the largest id holding it and go from all others; a text left without lines is empty. Columns of df pass
+through, but for the text and for any that bear the names of the two counts; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +36,10 @@ from pyspark.sql import types as T
 from wavefold.llm.common import materialise, text_or_empty
 
 MIN_CHARS, MIN_DOCS = 40, 5
-#: Fewest shards, most keys in a shard as it is planned, and copies of each shard's arrays.
-SHARDS, SHARD_KEYS, COPIES = 32, 50_000, 16
+#: Fewest shards, most keys in a shard as it is planned, and line hashes to a copy of a shard's arrays.
+SHARDS, SHARD_KEYS, GROUP = 32, 50_000, 500_000
+#: Most shards whose number of copies is sent to all executors; beyond that it is joined.
+SENT_SHARDS = 100_000
 SPACES = b" \t\n\x0b\x0c\r"
 
 
@@ -47,20 +52,20 @@ def line_key(line: bytes, min_chars: int) -> bytes | None:
 
 
 def hash_lines(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """A row for each document and distinct key in it: id, h1, h2 (the two halves of the key's hash)."""
+    """A row for each row of df and distinct key in it: id, t (a hash of the text), h1, h2 (the two halves of the key's hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, found = [], []
-            for k, text in enumerate(batch.column(1).to_pylist()):
+            for k, text in enumerate(batch.column(2).to_pylist()):
                 own = {xxhash.xxh3_128_digest(key) for line in text.encode("utf-8").split(b"\n") if (key := line_key(line, min_chars)) is not None}
                 row += [k] * len(own)
                 found += own
-            halves = np.frombuffer(b"".join(found), dtype="<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["id", "h1", "h2"])
+            halves, at = np.frombuffer(b"".join(found), dtype="<i8").reshape(-1, 2), pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["id", "t", "h1", "h2"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col), text_or_empty(text_col)).mapInArrow(run, f"id {kind}, h1 bigint, h2 bigint")
+    return df.select(F.col(id_col), F.xxhash64(text_or_empty(text_col)), text_or_empty(text_col)).mapInArrow(run, f"id {kind}, t bigint, h1 bigint, h2 bigint")
 
 
 def _spread(h: np.ndarray, level: int, width: int) -> np.ndarray:
@@ -132,38 +137,43 @@ def build_index(frequent: DataFrame, shards: int, id_type: T.DataType) -> DataFr
     return frequent.withColumn("shard", F.pmod("h1", F.lit(shards))).groupBy("shard").applyInPandas(run, f"shard bigint, hash binary, fingerprints binary, counts binary, keepers array<{id_type.simpleString()}>")
 
 
-def probe(lines: DataFrame, index: DataFrame, shards: int, copies: int, min_docs: int) -> DataFrame:
-    """The rows (id, h1, h2) of lines that a document must drop."""
+def probe(lines: DataFrame, index: DataFrame, shards: int, min_docs: int) -> DataFrame:
+    """The rows (id, t, h1, h2) of lines that a document must drop."""
+    names = ["id", "t", "h1", "h2"]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["id", "h1", "h2"]
         if not right.num_rows or not left.num_rows:
             return left.select(names).slice(0, 0)
-        shard = right.to_pylist()[0]
-        fingerprints, counts = (np.frombuffer(shard[k], "<i8") for k in ("fingerprints", "counts"))
-        keepers = np.array(shard["keepers"], dtype=object)
-        ids = np.array(left.column("id").to_pylist(), dtype=object)
+        fingerprints, counts = (np.frombuffer(right.column(k)[0].as_py(), "<i8") for k in ("fingerprints", "counts"))
+        keepers = right.column("keepers").combine_chunks().flatten()
+        perfect = PerfectHash.load(right.column("hash")[0].as_py())
         h1, h2 = (left.column(k).to_numpy() for k in ("h1", "h2"))
-        perfect = PerfectHash.load(shard["hash"])
-        drop = np.zeros(len(h1), dtype=bool)
+        ids, drop = left.column("id").combine_chunks(), np.zeros(len(h1), dtype=bool)
         for h in (h1, h2):
             slot = perfect.slots(h)
-            drop |= (slot >= 0) & (fingerprints[slot] == h2) & (counts[slot] >= min_docs) & (keepers[slot] != ids)
+            known = np.flatnonzero((slot >= 0) & (fingerprints[slot] == h2) & (counts[slot] >= min_docs))
+            own = pc.fill_null(pc.equal(keepers.take(pa.array(slot[known])), ids.take(pa.array(known))), False)
+            drop[known[~np.asarray(own)]] = True
         return left.select(names).filter(pa.array(drop))
 
-    salted = lines.withColumns({"shard": F.pmod("h1", F.lit(shards)), "copy": F.pmod(F.xxhash64("id"), F.lit(copies))})
-    copied = index.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(copies - 1).cast("bigint"))))
+    sent = lines.withColumn("shard", F.pmod("h1", F.lit(shards)))
+    # A row for each shard.
+    sizes = sent.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP)).alias("copies"))
+    salted = sent.join(F.broadcast(sizes) if shards <= SENT_SHARDS else sizes, "shard").select(*names, "shard", F.pmod(F.xxhash64("id", "t"), F.col("copies")).alias("copy"))
+    places = sizes.select(F.col("shard").alias("__shard"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).alias("copy"))
+    copied = index.join(places, F.col("shard") == F.col("__shard")).select(*index.columns, "copy")
     kind = lines.schema["id"].dataType.simpleString()
-    return salted.groupBy("shard", "copy").cogroup(copied.groupBy("shard", "copy")).applyInArrow(run, f"id {kind}, h1 bigint, h2 bigint")
+    return salted.groupBy("shard", "copy").cogroup(copied.groupBy("shard", "copy")).applyInArrow(run, f"id {kind}, t bigint, h1 bigint, h2 bigint")
 
 
 def dedup_lines(df: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, lines_col: str = "n_lines", dropped_col: str = "n_dropped") -> DataFrame:
     """df with the text rewritten, n_lines (before dropping) and n_dropped."""
     lines = materialise(hash_lines(df, id_col, text_col, min_chars), "lines")
-    frequent = materialise(lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= min_docs), "frequent-lines")
+    frequent = materialise(lines.groupBy("h1", "h2").agg(F.count_distinct("id").alias("n"), F.max("id").alias("keeper")).filter(F.col("n") >= min_docs), "frequent-lines")
     shards = max(SHARDS, math.ceil(frequent.count() / SHARD_KEYS))
-    drops = probe(lines, build_index(frequent, shards, lines.schema["id"].dataType), shards, COPIES, min_docs)
-    by_doc = drops.groupBy(F.col("id").alias("__id")).agg(F.collect_set(F.struct("h1", "h2")).alias("__drops"))
+    index = materialise(build_index(frequent, shards, lines.schema["id"].dataType), "line-index")
+    drops = probe(lines, index, shards, min_docs)
+    by_doc = drops.groupBy(F.col("id").alias("__id"), F.col("t").alias("__t")).agg(F.collect_set(F.struct("h1", "h2")).alias("__drops"))
     kept = [c for c in df.columns if c not in (lines_col, dropped_col)]
     fields = [T.StructField(c, T.StringType() if c == text_col else df.schema[c].dataType) for c in kept]
     schema = T.StructType([*fields, T.StructField(lines_col, T.LongType()), T.StructField(dropped_col, T.LongType())])
@@ -185,5 +195,7 @@ def dedup_lines(df: DataFrame, id_col: str, text_col: str, min_chars: int = MIN_
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*kept, lines_col, dropped_col])
 
-    joined = df.select(*kept).withColumn(text_col, text_or_empty(text_col)).join(by_doc, F.col(id_col).eqNullSafe(F.col("__id")), "left")
+    texts = df.select(*kept).withColumn(text_col, text_or_empty(text_col))
+    # By id and text, so that many rows of one id, or of none, are no one task's work.
+    joined = texts.join(by_doc, (F.xxhash64(text_col) == F.col("__t")) & F.col(id_col).eqNullSafe(F.col("__id")), "left")
     return joined.select(*kept, "__drops").mapInArrow(run, schema)
