@@ -202,18 +202,56 @@ def test_one_longer_embedding_parts_no_others(spark):
 
 
 def test_visits_reach_the_target_recall():
-    """Neighbours at exactly the threshold are found by the visited cells with the stated probability."""
+    """Neighbours at exactly the threshold are found in the visited cells with the stated probability."""
     rng = np.random.default_rng(7)
     x = embedding_dedup._unit(rng.normal(size=(6000, 32)))
     books = embedding_dedup.fit_codes(x[:, :16], 16), embedding_dedup.fit_codes(x[:, 16:], 16)
-    visits = embedding_dedup.visits_needed(x[:2000], books, 0.9, 0.99)
+    bound = embedding_dedup.stop_bound(x[:2000], books, 0.9, 0.99)
     again = x[2000:4000]
     noise = rng.normal(size=again.shape)
     noise = embedding_dedup._unit(noise - (noise * again).sum(axis=1, keepdims=True) * again)
-    first, second = embedding_dedup.own_cells(0.9 * again + np.sqrt(0.19) * noise, books)
-    distances = embedding_dedup.cell_order(again, books)
-    rank = (distances < distances[np.arange(2000), first * 16 + second][:, None]).sum(axis=1)
-    assert (rank < visits).mean() > 0.97 and visits < 256
+    first, second, _ = embedding_dedup.own_cells(0.9 * again + np.sqrt(0.19) * noise, books)
+    query, centroid, depth, order = embedding_dedup.staircase(embedding_dedup._square_distances(again[:, :16], books[0]), embedding_dedup._square_distances(again[:, 16:], books[1]), bound)
+    visited = {(q, c, s) for q, c, d in zip(query, centroid, depth, strict=True) for s in order[q, :d]}
+    assert np.mean([(k, first[k], second[k]) in visited for k in range(2000)]) > 0.97 and len(visited) < 2000 * 200
+
+
+def test_the_staircase_is_what_the_multi_sequence_visits():
+    rng = np.random.default_rng(8)
+    first, second = rng.random((40, 7)), rng.random((40, 9))
+    query, centroid, depth, order = embedding_dedup.staircase(first, second, 0.4)
+    for k in range(40):
+        visits = list(embedding_dedup.multi_sequence(first[k], second[k]))
+        assert len(visits) == 63 and all(x[0] <= y[0] for x, y in zip(visits, visits[1:], strict=False))
+        stopped = {(a, b) for d, a, b in visits if d <= visits[0][0] + 0.4}
+        assert {(c, s) for q, c, d in zip(query, centroid, depth, strict=True) if q == k for s in order[k, :d]} == stopped
+
+
+def test_embeddings_of_extreme_size_and_repeated_ids(spark):
+    tiny, huge = [1e-200, 2e-200], [1e200, 2.0001e200]
+    rows = [(0, tiny), (1, huge), (2, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [2.0, -1.0]), (4, [5e-324, 1e-323])]
+    got = {(r["id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.link(spark.createDataFrame(rows, "id long, v array<double>").selectExpr("*", "1 AS rep", "'x' AS vector"), "id", "v").collect()}
+    assert got == {(0, 4, 0, True), (1, 4, 0, False), (2, 4, 0, False), (3, 0, 3, True), (4, 4, 0, False)}
+    assert embedding_dedup.link(spark.createDataFrame([], "id long, v array<float>"), "id", "v").count() == 0
+
+
+def test_recall_of_the_index_at_production_settings(spark):
+    """All rows of the test table, with close companions, beyond the number where all cells are visited."""
+    import pyarrow.parquet as pq
+
+    x = np.array(pq.read_table("/root/testdata/sf0.1/embeddings.parquet", columns=["embedding"]).column(0).to_pylist(), dtype=np.float32)
+    rng = np.random.default_rng(9)
+    noise = rng.normal(size=x.shape)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit + noise / np.linalg.norm(noise, axis=1, keepdims=True) * rng.uniform(0.2, 0.48, (len(x), 1))
+    x = np.concatenate([x, near.astype(np.float32)])
+    got = {r["id"]: r for r in embedding_dedup.link(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id int, v array<float>"), "id", "v").collect()}
+    unit = embedding_dedup._unit(x)
+    link = unit @ unit.T >= 0.9
+    np.fill_diagonal(link, False)
+    assert link.sum() > 3000
+    assert sum(r["n_links"] for r in got.values()) >= 0.99 * link.sum()
+    assert all(got[i]["n_links"] <= link[i].sum() for i in got)
 
 
 def test_classifier_on_held_out_rows(spark):
