@@ -8,18 +8,23 @@ the likelihood of labelled pages, with the same messages giving the expected cou
 
 A batch's pages form one forest, and messages are passed for all nodes of a depth at once.
 
+The parser passes every character once, whatever is left unclosed.
+
 Defined results: a page that is null, empty or without main text gives an empty text. Unclosed and
 stray tags are mended as browsers do in the common cases. Character references are decoded, white space
 inside a block (line breaks too) becomes one space, and blocks are joined in page order by a line end.
-Rows are handled one by one: ties, repeated rows and null keys pass through, other columns are not read.
+Rows are handled one by one: ties, repeated rows and null keys pass through, other columns are not read. An
+empty table has no rows; nesting beyond DEEPEST blocks is flattened, and a very long page takes time in proportion.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +36,54 @@ from wavefold.llm.labelled_pages import labelled_pages
 # Elements that stand as blocks, have no end tag, or hold no text to read.
 BLOCKS = frozenset("address article aside blockquote body button caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNREAD = "script|style|noscript|template|iframe|svg|math|title|object|canvas|audio|video"
+UNREAD = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in "script style noscript template iframe svg math title object canvas audio video".split()}
 #: Which open elements a new one ends, and what bounds the search for them.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<unread>{UNREAD})\b[^>]*>.*?(?:</(?P=unread)\s*>|\Z)|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*|[^>]*)>|<[!?/][^>]*>", re.I | re.S)
+#: Elements that ask for an answer, and words that open what is not main text.
+ASKS = frozenset("form input button textarea select label".split())
+CUES = frozenset("reply comments comment advertisement sponsored share subscribe copyright © cookies login search menu kommentare commentaires comentarios anzeige".split())
+#: Deepest nesting of blocks; what would lie deeper hangs on the deepest, as browsers have it.
+DEEPEST = 512
+_OPEN = re.compile(r"<(?:(?P<comment>!--)|(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)|[!?/])", re.I)
+_MARK = re.compile(r"""=\s*(["'])|>""")
 _NAMES = re.compile(r"""\b(class|id|role|data-main)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
+_CUE = re.compile(r"[^\W\d_]+|©")
+
+
+def tokens(source: str) -> Iterator[tuple[str, bool, str, str]]:
+    """What stands before each tag, whether it is an end tag, its name and its attributes; last what stands after all tags, with an empty name.
+
+    Every character is passed once: a quote or a tag that doesn't end is sought only once, a tag without an end goes to the end of the page, and one with an
+    unclosed quote to its first ">".
+    """
+    at = begin = 0
+    closed = {'"': True, "'": True}
+    while m := _OPEN.search(source, begin):
+        text, begin = source[at : m.start()], m.end()
+        if m["comment"]:
+            end = source.find("-->", m.end() - 2)
+            at = begin = len(source) if end < 0 else end + 3
+            yield text, False, "", ""
+            continue
+        while mark := _MARK.search(source, begin):
+            begin = mark.end()
+            if not mark[1]:
+                break
+            if closed[mark[1]]:
+                end = source.find(mark[1], begin)
+                closed[mark[1]] = end >= 0
+                begin = end + 1 if end >= 0 else begin
+        if not mark:
+            yield text, False, "", ""
+            return
+        at, tag, rest = begin, (m["tag"] or "").lower(), source[m.end() : begin - 1]
+        yield text, bool(m["close"]), tag, rest
+        if tag in UNREAD and not m["close"] and not (tag in ("svg", "math") and rest.endswith("/")):
+            end = UNREAD[tag].search(source, begin)
+            at = begin = end.end() if end else len(source)
+    yield source[at:], False, "", ""
 
 
 @dataclass
@@ -66,8 +112,13 @@ class Page:
 def parse(source: str) -> Page:
     page = Page()
     stack = [page.add(-1, "#page")]
+    open_tags: Counter[str] = Counter()
     run: list[str] = []
-    links = in_link = at = 0
+    links = in_link = 0
+
+    def shut(depth: int) -> None:
+        open_tags.subtract(page.tags[x] for x in stack[depth:])
+        del stack[depth:]
 
     def flush() -> None:
         nonlocal links
@@ -83,45 +134,40 @@ def parse(source: str) -> Page:
             run.append(piece)
             links += len(piece.strip()) * (in_link > 0)
 
-    for m in _TOKEN.finditer(source):
-        read(source[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or "").lower()
-        if not tag:
-            continue
+    for text, close, tag, rest in tokens(source):
+        read(text)
         if tag == "br":
             run.append(" ")
         elif tag == "a":
-            in_link = 0 if m["close"] else 1
+            in_link = 0 if close else 1
         elif tag in BLOCKS:
             flush()
-            if m["close"]:
-                depth = next((k for k in range(len(stack) - 1, 0, -1) if page.tags[stack[k]] == tag), 0)
-                if depth:
-                    del stack[depth:]
+            if close:
+                if open_tags[tag]:
+                    shut(next(k for k in range(len(stack) - 1, 0, -1) if page.tags[stack[k]] == tag))
                 continue
             if page.tags[stack[-1]] == "p":
-                stack.pop()
+                shut(len(stack) - 1)
             if tag in ENDS:
                 ended, bounds = ENDS[tag]
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if any(open_tags[x] for x in ended) else ():
                     if page.tags[stack[k]] in bounds:
                         break
                     if page.tags[stack[k]] in ended:
-                        del stack[k:]
+                        shut(k)
                         break
             names, mark = [], -1
-            if "=" in m["rest"]:
-                for key, *values in _NAMES.findall(m["rest"]):
+            if "=" in rest:
+                for key, *values in _NAMES.findall(rest):
                     value = "".join(values)
                     if key.lower() == "data-main":
-                        mark = int(value)
+                        mark = int(value == "1")
                     else:
                         names += _SPLIT.split(value.lower())
             node = page.add(stack[-1], tag, tuple(x for x in names if x), mark=mark)
-            if tag not in VOID:
+            if tag not in VOID and len(stack) < DEEPEST:
                 stack.append(node)
-    read(source[at:])
+                open_tags[tag] += 1
     flush()
     return page
 
@@ -139,22 +185,37 @@ class Forest:
 
 
 def features(page: Page) -> list[list[str]]:
-    """What each node's own potential depends on."""
+    """What each node's own potential depends on: tag, names, links and length, and how it stands among its siblings and to the first heading."""
     n = len(page.parents)
     own = [0 if t is None else len(t) for t in page.texts]
-    chars, links = list(own), list(page.link_chars)
+    chars, links, blocks = list(own), list(page.link_chars), [int(t is not None) for t in page.texts]
+    heads, asks = [t == "h1" for t in page.tags], [t in ASKS for t in page.tags]
+    first_head = next((i for i in range(n) if heads[i]), n)
+    alike: Counter[tuple] = Counter()
+    largest: dict[int, int] = {}
     for i in range(n - 1, 0, -1):  # children come after parents
-        chars[page.parents[i]] += chars[i]
-        links[page.parents[i]] += links[i]
+        p = page.parents[i]
+        chars[p] += chars[i]
+        links[p] += links[i]
+        blocks[p] += blocks[i]
+        heads[p] |= heads[i]
+        asks[p] |= asks[i]
+        alike[p, page.tags[i], page.names[i]] += 1
+        if p not in largest or chars[i] >= chars[largest[p]]:
+            largest[p] = i
     whole = max(1, chars[0])
     out = []
     for i in range(n):
+        p = page.parents[i]
         share = f"links:{0 if not chars[i] else min(3, 4 * links[i] // chars[i])}"
         if page.texts[i] is not None:
             text = page.texts[i]
-            out.append(["text", f"in:{page.tags[page.parents[i]]}", "text " + share, f"length:{min(9, len(text).bit_length())}", f"stop:{text[-1] in '.!?:;,'}"])
+            out.append(["text", f"in:{page.tags[p]}", "text " + share, f"length:{min(9, len(text).bit_length())}", f"stop:{text[-1] in '.!?:;,'}", *(f"cue:{w}" for w in _CUE.findall(text[:60].lower())[:4] if w in CUES)])
         else:
-            out.append([f"tag:{page.tags[i]}", "element " + share, f"part:{4 * chars[i] // whole}", *(f"name:{x}" for x in page.names[i])])
+            side = "only" if p < 0 or len(largest) == 0 or chars[largest[p]] == chars[p] else "largest" if largest[p] == i else "before" if i < largest[p] else "after"
+            names = page.names[i]
+            out.append([f"tag:{page.tags[i]}", "element " + share, f"part:{4 * chars[i] // whole}", f"under:{page.tags[p]}" if p >= 0 else "root", f"side:{side}", f"blocks:{min(4, blocks[i].bit_length())}",
+                        f"alike:{min(3, alike[p, page.tags[i], names])}", f"h1:{'in' if heads[i] else 'after' if i > first_head else 'before'}", f"asks:{asks[i]}", f"named:{bool(names)}", *(f"name:{x}" for x in names), *(f"stem:{x[:5]}" for x in names)])
     return out
 
 
@@ -231,11 +292,12 @@ def _labels(page: Page) -> np.ndarray:
     return np.where(whole > 0, 2 * main >= whole, np.array(marks) > 0).astype(int)
 
 
-def train(sources: list[str], steps: int = 150, rate: float = 0.1, ridge: float = 0.02) -> Model:
+def train(sources: list[str], steps: int = 200, rate: float = 0.1, ridge: float = 0.003) -> Model:
     """Maximises the likelihood of the labels of all nodes of the pages, by Adam."""
     pages = [parse(s) for s in sources]
     label = np.concatenate([_labels(p) for p in pages])
-    vocabulary = {x: i for i, x in enumerate(sorted({x for p in pages for fs in features(p) for x in fs}))}
+    often = Counter(x for p in pages for x in {x for fs in features(p) for x in fs})
+    vocabulary = {x: i for i, x in enumerate(sorted(x for x, n in often.items() if n > 1))}
     f = forest(pages, vocabulary)
     w = len(vocabulary)
     kind, child = f.leaf.astype(int), np.flatnonzero(f.parent >= 0)
@@ -264,9 +326,16 @@ def main_texts(sources: list[str], model: Model) -> list[str]:
     return out
 
 
+@lru_cache(maxsize=1)
+def trained() -> Model:
+    """The model of the labelled pages."""
+    return train(list(labelled_pages()))
+
+
 def extract(df: DataFrame, html_col: str, keep: list[str], model: Model | None = None, batch: int = 128) -> DataFrame:
-    """A row for each page: the columns in keep, text and n_chars (its characters)."""
-    model = model or train(list(labelled_pages()))  # as large as the labelled pages' vocabulary
+    """A row for each page: the columns in keep, text and n_chars (its characters). A kept column that bears the name of a result is left out."""
+    model = model or trained()  # as large as the labelled pages' vocabulary
+    keep = [c for c in keep if c not in ("text", "n_chars")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
