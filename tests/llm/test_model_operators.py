@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from wavefold.llm import components, embedding_dedup, html_extract, labelled_pages, license_scan, order_minhash, quality_classifier
+from wavefold.llm import components, embedding_dedup, html_extract, labelled_pages, license_scan, license_texts, order_minhash, quality_classifier
 from wavefold.llm.queries import ORACLE_SQL, QUERIES
 
 
@@ -16,15 +16,15 @@ def words(rng, n):
 def test_licences(spark):
     rng = random.Random(1)
     filler = " ".join(words(rng, 200))
-    rows = [(k, f"{filler}\n{text} {filler}") for k, text in enumerate(license_scan.TEMPLATES.values())]
+    rows = [(k, f"{filler}\n{text} {filler}") for k, text in enumerate(license_texts.TEXTS.values())]
     rows += [(100, None), (101, ""), (102, "The driver lost a licence and the copyright of a song."), (103, filler + " Licensed under the Apache License, Version 1.1. " + filler), (104, "Released under the MIT License. " * 3)]
     got: dict = {}
     for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect():
         got.setdefault(r["doc_id"], []).append(r)
-    for k, (name, wording) in enumerate(license_scan.TEMPLATES):
+    for k, (name, wording) in enumerate(license_texts.TEXTS):
         assert [(r["license"], r["wording"], r["n_differences"]) for r in got[k]] == [(name, wording, 0)]
         text = rows[k][1][got[k][0]["start"] : got[k][0]["end"]]
-        assert text == license_scan.TEMPLATES[name, wording].rstrip(".") or wording != "statement"
+        assert text == license_texts.TEXTS[name, wording].rstrip(".") or wording != "statement"
     assert not {100, 101, 102} & set(got)
     assert got[103][0]["differences"] == ["-2.0 +1.1"]
     assert len(got[104]) == 3
@@ -42,11 +42,11 @@ def real_texts(characters):
 def test_licences_in_long_blocks_of_real_text(characters):
     texts = real_texts(characters)[:15]
     assert len(texts) == 15
-    for k, (name, wording) in enumerate(license_scan.TEMPLATES):
+    for k, (name, wording) in enumerate(license_texts.TEXTS):
         for x in texts:
             parts = [x[i : i + 1000] for i in range(0, len(x), 1000)]
             middle = len(parts) // 2
-            text = " copyright ".join([*parts[:middle], license_scan.TEMPLATES[name, wording], *parts[middle:]])
+            text = " copyright ".join([*parts[:middle], license_texts.TEXTS[name, wording], *parts[middle:]])
             assert len(license_scan.blocks(text)) == 1
             assert [(r["license"], r["wording"], r["n_differences"]) for r in license_scan.scan(text)] == [(name, wording, 0)], (k, text)
 
@@ -55,9 +55,9 @@ def test_licences_in_a_notice_file():
     rng = random.Random(4)
     want, parts = [], []
     while sum(map(len, parts)) < 30_000:
-        key = rng.choice(sorted(license_scan.TEMPLATES))
+        key = rng.choice(sorted(license_texts.TEXTS))
         want.append(key)
-        parts += [f"{' '.join(words(rng, rng.randint(3, 30)))}. Copyright {rng.randint(1990, 2020)} {' '.join(words(rng, 2))}.", license_scan.TEMPLATES[key]]
+        parts += [f"{' '.join(words(rng, rng.randint(3, 30)))}. Copyright {rng.randint(1990, 2020)} {' '.join(words(rng, 2))}.", license_texts.TEXTS[key]]
     text = "\n".join(parts)
     assert len(license_scan.blocks(text)) == 1
     got = license_scan.scan(text)
@@ -65,8 +65,77 @@ def test_licences_in_a_notice_file():
     assert all(a["end"] <= b["start"] for a, b in zip(got, got[1:]))
 
 
+#: Wordings that the pack doesn't have as they are, what they say, and whether words differ.
+REWORDED = [
+    ("This project is licensed under the MIT License", "MIT", False), ("Licensed under the MIT license.", "MIT", False), ("# SPDX-License-Identifier: MIT", "MIT", False), ("/* SPDX-License-Identifier: GPL-2.0-or-later */", "GPL-2.0", False),
+    ("Released under the BSD 3-Clause License.", "BSD-3-Clause", False), ("This dataset is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "CC-BY-NC-4.0", False),
+    ("This library is distributed under the terms of the GNU Lesser General Public License v2.1.", "LGPL-2.1", True), ("The code is available under the Apache 2.0 license, see LICENSE", "Apache-2.0", False), ("It was released under the terms of the Boost Software License, Version 1.0", "BSL-1.0", True),
+    ("You may use it as it is licensed under the Mozilla Public License 2.0 by its owner", "MPL-2.0", False), ("licensed under CC BY-SA 3.0", "CC-BY-SA-3.0", False),
+]
+
+
+def test_reworded_licences():
+    rng = random.Random(9)
+    for text, licence, differs in REWORDED:
+        for around in ("", " ".join(words(rng, 150))):
+            got = license_scan.scan(f"{around}\n{text}\n{around}")
+            assert [(r["license"], r["n_differences"] > 0) for r in got] == [(licence, differs)], (text, got)
+
+
+def best_share(wording, words):
+    """The most of a wording's words, in order, in any stretch of its length and the slack: longest common subsequences, without anchors, blocks or compression."""
+    slack = max(2, len(wording) // 5)
+    best = 0
+    for low in range(max(1, len(words) - len(wording) + slack)):
+        part = words[low : low + len(wording) + 2 * slack]
+        row = [0] * (len(part) + 1)
+        for w in wording:
+            last = 0
+            for j, x in enumerate(part, 1):
+                last, row[j] = row[j], last + 1 if x == w or w == "_" else max(row[j], row[j - 1])
+        best = max(best, row[-1])
+    return best / len(wording)
+
+
+def test_findings_equal_direct_alignment():
+    """A text has a finding if and only if some wording aligns with it well enough, whatever way it is sought."""
+    rng = random.Random(10)
+    pack = license_scan._pack()
+    chosen = rng.sample(pack.templates, 12)
+    chosen += [t for t in pack.templates if 20 < len(t.words) < 45][:6]
+    for t in chosen:
+        for edits in (0, 1, 2, len(t.words) // 8, len(t.words) // 5, len(t.words) // 3):
+            said = list(t.words)
+            for k in rng.sample(range(len(said)), min(edits, len(said))):
+                said[k] = rng.choice(["altered", said[k] + " more", ""])
+            text = f"{' '.join(words(rng, 30))} licence {' '.join(said)} {' '.join(words(rng, 30))}"
+            seen = [w.lower() for w in license_scan._WORD.findall(text)]
+            near = [x for x in pack.templates if len(set(x.words) & set(seen)) >= 0.6 * len(set(x.words))]
+            best = max((best_share(x.words, seen) for x in near), default=0)
+            got = license_scan.scan(text)
+            assert bool(got) == (best >= license_scan.MIN_FOUND), (t.key, text, got, best)
+
+
+def test_repeated_statements_take_time_in_proportion():
+    import time
+
+    took = []
+    for n in (400, 1600):
+        began = time.perf_counter()
+        assert len(license_scan.scan("Released under the MIT License. " * n)) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0]
+
+
+def test_licence_rows_of_odd_tables(spark):
+    df = spark.createDataFrame([(1, "Released under the MIT License.", "x", 5), (1, "Released under the MIT License.", "x", 5), (None, "SPDX-License-Identifier: ISC", None, None), (3, None, None, 1)], "doc_id long, text string, license string, `end` int")
+    got = license_scan.scan_licenses(df, "doc_id", "text").collect()
+    assert sorted((r["doc_id"] or 0, r["license"]) for r in got) == [(0, "ISC"), (1, "MIT"), (1, "MIT")]
+    assert license_scan.scan_licenses(df.limit(0), "doc_id", "text").count() == 0
+
+
 def test_a_licence_excerpt_does_not_hide_an_edited_copy():
-    template = license_scan.TEMPLATES["MIT", "text"]
+    template = license_texts.TEXTS["MIT", "text"]
     edited = template.split()
     for k in range(6, len(edited), 12):
         edited[k] = "altered"

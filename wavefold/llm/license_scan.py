@@ -1,11 +1,13 @@
 """License scans by conditional compression.
 
-Around every word that licences use, a candidate block is cut from the text. In it, all places are sought
-where a template's words stand in order, however many of them are the share that counts: how many a stretch
+Wordings are texts, headers, SPDX tags and the statements that a rule makes of names (see license_texts.py).
+Around every word that licences use, a candidate block is cut from the text. Of the wordings of which it has enough words, all places are sought
+where the words stand in order, however many of them are the share that counts: how many a stretch
 of the template's length can match at most is counted exactly, and the stretches that may hold enough are
 confirmed, best first, by the exact differences in wording. Each place is compressed by itself and with
-the template as a raw dictionary; where places of several templates overlap, the one that gets smallest by
-it wins, and the others are sought again in the words that are left.
+the wording as a raw dictionary; where places of several wordings overlap, the one wins that makes its place
+smaller by most, less what its differences in wording take to state, and the others are sought again in the
+words that are left.
 
 Defined results: a null or empty text has no findings, and neither has an empty table. Blocks overlap no
 other, so a very long text is handled block by block. Rows are scanned one by one: repeated rows have
@@ -17,7 +19,7 @@ from __future__ import annotations
 import difflib
 import heapq
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from math import ceil
 
 import numpy as np
@@ -27,26 +29,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Wording of common licences and notices; "_" stands for a name or a year, of any wording.
-TEMPLATES = {
-    ("Apache-2.0", "statement"): "Licensed under the Apache License, Version 2.0.",
-    ("Apache-2.0", "notice"): 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
-    ("MIT", "statement"): "Released under the MIT License.",
-    ("MIT", "text"): 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
-    ("GPL-3.0", "statement"): "This work is licensed under the GNU General Public License, version 3.",
-    ("GPL-2.0", "statement"): "This work is licensed under the GNU General Public License, version 2.",
-    ("GPL-3.0", "notice"): "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ("GPL-2.0", "notice"): "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
-    ("CC-BY-NC-4.0", "statement"): "Licensed under CC BY-NC 4.0.",
-    ("CC-BY-4.0", "statement"): "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    ("CC-BY-SA-4.0", "statement"): "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    ("BSD-3-Clause", "text"): "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of _ nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
-    ("ISC", "text"): "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    ("MPL-2.0", "notice"): "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
-    ("Unlicense", "text"): "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
-}
+from wavefold.llm.license_texts import templates
+
 #: Words that open a candidate block.
-ANCHOR = regex.compile(r"licen[sc]e|copyright|permission (?:is hereby|to use)|redistributions? |public domain|free software|creative commons|\bspdx\b|mozilla public", regex.I)
+ANCHOR = regex.compile(r"licen[sc]e|copyright|permission (?:is |to use)|redistributions? |public domain|free software|creative commons|spdx|software is provided|be useful|(?:released|distributed|available) under", regex.I)
 #: Characters before and after an anchor that belong to its block.
 BEFORE, AFTER = 700, 900
 #: Least share of a template's words found.
@@ -68,20 +54,23 @@ def blocks(text: str) -> list[tuple[int, int]]:
 
 
 class Template:
-    """A template's words and compressor. A place lies in a stretch of reach words: the template's length and some slack at both ends."""
+    """A wording's words and compressor. A place lies in a stretch of reach words: the wording's length and some slack at both ends."""
 
     def __init__(self, license_id: str, kind: str, text: str) -> None:
-        self.key, self.words = (license_id, kind), [w.lower() for w in _WORD.findall(text)]
+        self.key, self.text, self.words = (license_id, kind), text, [w.lower() for w in _WORD.findall(text)]
         self.slack = max(2, len(self.words) // 5)
         self.reach, self.need = len(self.words) + 2 * self.slack, ceil(MIN_FOUND * len(self.words))
-        self.compressor = zstandard.ZstdCompressor(level=_LEVEL, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(text.encode("utf-8"), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
         self.any = self.words.count("_")
         self.bits: dict[str, int] = {}
         for k, w in enumerate(self.words):
             self.bits[w] = self.bits.get(w, 0) | 1 << k
 
+    @cached_property
+    def compressor(self) -> zstandard.ZstdCompressor:
+        return zstandard.ZstdCompressor(level=_LEVEL, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(self.text.encode("utf-8"), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+
     def most(self, words: list[str], low: int) -> int:
-        """How many template words the stretch from low on matches in order, at most."""
+        """How many of the wording's words the stretch from low on matches in order, at most."""
         full = left = (1 << len(self.words)) - 1
         for w in words[low : low + self.reach]:
             if at := self.bits.get(w):
@@ -90,7 +79,7 @@ class Template:
         return len(self.words) - left.bit_count() + self.any
 
     def places(self, words: list[str], known: np.ndarray) -> list[tuple[int, int, int, list[str]]]:
-        """All places of the template, none overlapping another, as differences() has them; known: which words are any of the template's."""
+        """All places of the wording, none overlapping another, as differences() has them; known: which words are any of the wording's."""
         until = np.concatenate([[0], np.cumsum(known)])
         lows = np.arange(len(words))
         lows = lows[until[np.minimum(lows + self.reach, len(words))] - until[:-1] >= self.need - self.any]
@@ -105,28 +94,40 @@ class Template:
                     heapq.heappush(queue, (-now, low))
                 continue
             run = difflib.SequenceMatcher(None, self.words, free[low : low + self.reach], autojunk=False).find_longest_match()
-            for begin in (low + run.b - run.a - self.slack, low):
-                if begin in failed:
-                    continue
-                if (match := differences(self.words, free, begin)) and match[2] >= self.need:
-                    a, b = match[:2]
-                    free[a:b] = [""] * (b - a)
-                    out.append(match)
-                    failed.clear()
-                    heapq.heappush(queue, (n, low))  # may hold another
-                    break
-                failed.add(begin)
+            begins = [x for x in (low + run.b - run.a - self.slack, low) if x not in failed]
+            matches = [m for begin in begins if (m := differences(self.words, free, begin)) and m[2] >= self.need]
+            if matches:
+                best = a, b, _, _ = max(matches, key=lambda m: (m[2], -len(m[3])))
+                free[a:b] = [""] * (b - a)
+                out.append(best)
+                failed.difference_update(range(a - 2 * self.reach, b + self.reach))
+                heapq.heappush(queue, (n, low))  # may hold another
+            else:
+                failed.update(begins)
         return out
 
 
+class Pack:
+    """All wordings, and which words of the pack each has how often."""
+
+    def __init__(self) -> None:
+        self.plain = zstandard.ZstdCompressor(level=_LEVEL, write_content_size=False)
+        self.templates = [Template(*key, text) for key, texts in templates().items() for text in texts]
+        self.ids = {w: k for k, w in enumerate(sorted({w for t in self.templates for w in t.bits}))}
+        self.has = np.zeros((len(self.ids) + 1, len(self.templates)), dtype=np.int16)  # the last row: all other words
+        for k, t in enumerate(self.templates):
+            for w in t.words:
+                self.has[self.ids[w], k] += 1
+        self.need = np.array([t.need - t.any for t in self.templates])
+
+    def candidates(self, ids: np.ndarray) -> np.ndarray:
+        """Wordings of which enough words are among those with the given ids."""
+        return np.flatnonzero(self.has[np.unique(ids)].sum(axis=0) >= self.need)
+
+
 @lru_cache(maxsize=1)
-def _prepared() -> tuple[zstandard.ZstdCompressor, list[Template], dict[str, int]]:
-    """The plain compressor, the templates, and for each word which templates have it, as bits."""
-    templates, known = [Template(*key, text) for key, text in TEMPLATES.items()], {}
-    for k, t in enumerate(templates):
-        for w in t.bits:
-            known[w] = known.get(w, 0) | 1 << k
-    return zstandard.ZstdCompressor(level=_LEVEL, write_content_size=False), templates, known
+def _pack() -> Pack:
+    return Pack()
 
 
 def differences(template: list[str], words: list[str], begin: int) -> tuple[int, int, int, list[str]] | None:
@@ -151,30 +152,35 @@ def differences(template: list[str], words: list[str], begin: int) -> tuple[int,
 
 def scan(text: str) -> list[dict]:
     """The findings in a text."""
-    plain, templates, known = _prepared()
+    pack = _pack()
     out = []
     for begin, end in blocks(text):
         block = text[begin:end]
         spans = [(m.start(), m.end()) for m in _WORD.finditer(block)]
         words = [block[a:b].lower() for a, b in spans]
-        sought = range(len(templates))
-        while sought:
-            has = np.array([known.get(w, 0) for w in words], dtype=np.int64)
+        other = len(pack.ids)
+        ids = np.array([pack.ids.get(w, other) for w in words], dtype=np.int64)
+        sought = pack.candidates(ids) if len(ids) else ()
+        while len(sought):
             ranked = []
             for k in sought:
-                for match in templates[k].places(words, has >> k & 1):
+                t = pack.templates[k]
+                for match in t.places(words, pack.has[ids, k] > 0):
                     raw = block[spans[match[0]][0] : spans[match[1] - 1][1]].encode("utf-8")
-                    gain = len(plain.compress(raw)) - len(templates[k].compressor.compress(raw))
-                    ranked.append((-gain, len(match[3]), k, match))
-            before, again = list(words), set()
-            for loss, _, k, (a, b, found, said) in sorted(ranked, key=lambda x: x[:3] + x[3][:2]):
-                if words[a:b] != before[a:b]:
+                    gain = len(pack.plain.compress(raw)) - len(t.compressor.compress(raw))
+                    ranked.append((sum(map(len, match[3])) - gain, len(match[3]), k, gain, match))
+            taken, again = np.zeros(len(words), dtype=bool), set()
+            for _, _, k, gain, (a, b, found, said) in sorted(ranked, key=lambda x: x[:3] + x[4][:2]):
+                if taken[a:b].any():
                     again.add(k)
                     continue
-                words[a:b] = [""] * (b - a)
-                license_id, kind = templates[k].key
-                out.append({"license": license_id, "wording": kind, "start": begin + spans[a][0], "end": begin + spans[b - 1][1], "gain": -loss, "found": found / len(templates[k].words), "n_differences": len(said), "differences": said})
-            sought = sorted(again)
+                taken[a:b] = True
+                license_id, kind = pack.templates[k].key
+                out.append({"license": license_id, "wording": kind, "start": begin + spans[a][0], "end": begin + spans[b - 1][1], "gain": gain, "found": found / len(pack.templates[k].words), "n_differences": len(said), "differences": said})
+            for at in np.flatnonzero(taken):
+                words[at] = ""
+            ids[taken] = other
+            sought = sorted(again & set(pack.candidates(ids)))
     return sorted(out, key=lambda x: (x["start"], x["license"], x["wording"]))
 
 
