@@ -279,15 +279,52 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert order_minhash.near_duplicates(df.limit(0), "doc_id", "text").count() == 0
 
 
-def test_similarity_is_ordered_and_profiles_bound_it():
+def test_similarity_is_ordered():
     rng = random.Random(5)
     a = words(rng, 80)
     mers = [order_minhash.kmers(order_minhash.word_hashes(" ".join(x))) for x in (a, a[40:] + a[:40], [*a[:20], "x", *a[20:]])]
     assert order_minhash.similarity(mers[0], mers[0]) == 1 and order_minhash.similarity(mers[0], mers[1], 0.01) < 0.6 < order_minhash.similarity(mers[0], mers[2], 0.01)
-    counts = [np.frombuffer(order_minhash.profile(m), "<u2") for m in mers]
-    for i, x in enumerate(mers):
-        for j, y in enumerate(mers):
-            assert np.minimum(counts[i], counts[j]).sum() >= len(np.intersect1d(x, y))
+
+
+def test_similar_texts_share_a_rarest_kmer():
+    rng = random.Random(6)
+    counts = np.array([rng.choice([1, 1, 2, 900]) for _ in range(order_minhash.CELLS)])
+    for _ in range(300):
+        a = words(rng, rng.randint(5, 120))
+        b = list(a)
+        for _ in range(rng.randint(0, 4)):
+            b[rng.randrange(len(b))] = words(rng, 1)[0]
+        x, y = (order_minhash.kmers(order_minhash.word_hashes(" ".join(t))) for t in (a, b))
+        if order_minhash.similarity(x, y) >= 0.8:
+            assert set(order_minhash.rarest(x, counts, 0.8)) & set(order_minhash.rarest(y, counts, 0.8))
+
+
+def test_pages_of_one_template_meet_no_one(spark, monkeypatch):
+    """Texts that share 70 % of their words are in common buckets, but no pair of them is compared; two that differ by a word still link."""
+    rng = random.Random(7)
+    template = words(rng, 180)
+    rows = [(i, " ".join(template + words(rng, 60))) for i in range(150)]
+    rows.append((150, rows[3][1] + " more"))
+    compared = []
+    verified = order_minhash._verified
+
+    def counted(pairs, texts, threshold):
+        compared.append(pairs.count())
+        return verified(pairs, texts, threshold)
+
+    monkeypatch.setattr(order_minhash, "_verified", counted)
+    got = {r["id"]: r["class_id"] for r in order_minhash.near_duplicates(spark.createDataFrame([(*r, "x") for r in rows], "id long, text string, kept string"), "id", "text").collect()}
+    assert got == {i: 3 if i == 150 else i for i in range(151)}
+    assert compared[0] <= 151 and sum(compared[1:]) < 60
+
+
+def test_near_duplicates_of_repeated_ids_and_long_texts(spark):
+    rng = random.Random(8)
+    long = words(rng, 60_000)
+    a, b = " ".join(words(rng, 60)), " ".join(words(rng, 60))
+    rows = [(5, a), (5, b), (5, a), (7, b + " x"), (9, a), (None, a), (None, a), (20, " ".join(long)), (21, " ".join([*long[:100], "x", *long[100:]])), (30, None), (31, "")]
+    got = sorted((r["id"] or 0, r["class_id"] or 0, r["kept"]) for r in order_minhash.near_duplicates(spark.createDataFrame([(*r, 1, 2) for r in rows], "id int, text string, tag int, salt int"), "id", "text").collect())
+    assert got == sorted([(5, 5, True)] * 3 + [(7, 5, False), (9, 5, False), (0, 0, True), (0, 0, True), (20, 20, True), (21, 20, False), (30, 30, True), (31, 30, False)])
 
 
 @pytest.mark.parametrize("dim", [1, 16])

@@ -34,5 +34,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Parts into which the rows of a key that may be busy are dealt.
+SALTS = 32
+
+
+def salt(*names: str, parts: int = SALTS) -> Column:
+    """Deals rows of one key by other columns, so that none of the parts has more than its share."""
+    return F.pmod(F.xxhash64(*names), F.lit(parts)).cast("int")
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

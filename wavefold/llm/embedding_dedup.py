@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wavefold.llm.common import materialise
+from wavefold.llm.common import materialise, salt
 from wavefold.llm.components import components
 
 THRESHOLD = 0.9
@@ -46,8 +46,6 @@ RECALL, SAMPLE, SAMPLED, PROBES = 0.999, 16_384, 8, 2_048
 CELL, BLOCK = 12, 4_096
 #: Numbers in a matrix of distances or products that is held at once.
 HELD = 4_000_000
-#: Parts into which the rows of one vector are dealt when they meet their class.
-SALTS = 32
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -180,11 +178,11 @@ def link(df: DataFrame, id_col: str, vector_col: str, threshold: float = THRESHO
     """A row for each row of df: id, n_links (other vectors linked directly), component_id (least id reachable by links) and kept."""
     spark = df.sparkSession
     of_floats = df.schema[vector_col].dataType.elementType == T.FloatType()
-    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>" if of_floats else "array<double>").alias("vector")).withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>" if of_floats else "array<double>").alias("vector")).withColumn("salt", salt("id"))
     finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     valid = rows.filter(F.col("id").isNotNull() & F.col("vector").isNotNull() & finite & F.exists("vector", lambda v: v != 0))
     salted = valid.groupBy("vector", "salt").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    classes = materialise(salted.groupBy("vector").agg(F.min("rep").alias("rep"), F.sum("n").alias("n"), F.collect_set("salt").alias("salts")), "vectors")  # at most SALTS salts
+    classes = materialise(salted.groupBy("vector").agg(F.min("rep").alias("rep"), F.sum("n").alias("n"), F.collect_set("salt").alias("salts")), "vectors")  # at most one for each salt
     kind = classes.schema["rep"].dataType.simpleString()
     sizes = classes.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy("dim").collect()  # a row for each length
     found = spark.createDataFrame([], f"a {kind}, b {kind}, linked bigint")

@@ -8,12 +8,15 @@ have shorter sketches, and texts near the border have both kinds, so that no nea
 
 Texts with the same words are one class, represented by its least id. The representatives in one bucket
 (one value of a sketch) are compared in two rounds, not in all pairs. First each is compared with its
-buckets' most connected member. Then, in the buckets that still hold several components, members outside
-the largest component are held against all members of other components in their buckets, block by block inside tasks,
-where profiles of k-mer counts rule out what can't reach the threshold; only pairs that may reach it
-become rows. Whatever is in one component already needs no more links. So no link between members of a
-bucket that would join two components is left out, and a bucket of thousands of copies costs a few
-comparisons each.
+buckets' most connected member. Whatever is in one component then needs no more links, so the second round
+takes only the members of buckets that still hold several components, and of these the pairs of different
+components that can still reach the threshold: two texts that share enough k-mers share one of the rarest of
+either, as many as may be unmatched and one more, in any order of k-mers that is the same for all. The order
+is by how often a k-mer occurs, counted in a table of fixed size, so that what a family of texts has in
+common comes last and brings nobody together; pages made from one template with different contents meet
+no one. What does meet by a rare k-mer is held against each other block by block inside tasks, and only if
+a sketch is the same too. So no link between members of a bucket that would join two components is left
+out, and a bucket of thousands of copies costs a few comparisons each.
 
 A pair is verified by aligning its k-mers: matching labelled k-mers whose positions differ by more than
 the threshold allows lie outside the band, and the longest common order of the others over their union
@@ -33,10 +36,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavefold.llm.common import materialise, text_or_empty
+from wavefold.llm.common import materialise, salt, text_or_empty
 from wavefold.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -44,8 +48,10 @@ SHINGLE, THRESHOLD = 5, 0.8
 FUNCTIONS, ORDER = 48, 8
 SHORT_FUNCTIONS, SHORT_ORDER, LONG = 16, 3, 24
 PUNCTUATION = string.punctuation + "«»“”‘’„‚…–—¿¡·"
-#: Bins of a text's k-mer profile; members of a bucket that meet in one task, of those outside the largest component and of all.
-BINS, OUTSIDE, ALL = 256, 1_024, 4_096
+#: Cells of the table of k-mer counts; members that meet in one task, of those outside the largest component and of all.
+CELLS, OUTSIDE, ALL = 1 << 18, 1_024, 4_096
+#: Copies in which a text stands that very many are compared with.
+COPIES = 1_024
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, size=(FUNCTIONS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -133,41 +139,29 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
 
 
 def sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A row for each document with an id: id, n (k-mers), w1 and w2 (a hash of its words), keys (its sketches) and profile."""
+    """A row for each row with an id: id, tag (a number of the row), n (k-mers), w1 and w2 (a hash of its words), keys (its sketches) and words (their 32-bit hashes as bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tag = TaskContext.get().partitionId() << 40
         for batch in batches:
-            n, halves, keys, profiles = [], [], [], []
+            n, halves, keys, words = [], [], [], []
             for text in batch.column(1).to_pylist():
-                words = word_hashes(text)
-                mers = kmers(words)
+                hashes = word_hashes(text)
+                mers = kmers(hashes)
                 n.append(len(mers))
-                halves.append(xxhash.xxh3_128_digest(words.tobytes()))
+                words.append(hashes.tobytes())
+                halves.append(xxhash.xxh3_128_digest(words[-1]))
                 keys.append(sketches(mers))
-                profiles.append(profile(mers))
             w = np.frombuffer(b"".join(halves), dtype="<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(w[:, 0]), pa.array(w[:, 1]), pa.array(keys, pa.list_(pa.int64())), pa.array(profiles, pa.binary())], ["id", "n", "w1", "w2", "keys", "profile"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.arange(tag, tag + len(n))), pa.array(n, pa.int64()), pa.array(w[:, 0]), pa.array(w[:, 1]), pa.array(keys, pa.list_(pa.int64())), pa.array(words, pa.binary())], ["id", "tag", "n", "w1", "w2", "keys", "words"])
+            tag += len(n)
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.filter(F.col(id_col).isNotNull()).select(F.col(id_col), text_or_empty(text_col)).mapInArrow(run, f"id {kind}, n bigint, w1 bigint, w2 bigint, keys array<bigint>, profile binary")
+    return df.filter(F.col(id_col).isNotNull()).select(F.col(id_col), text_or_empty(text_col)).mapInArrow(run, f"id {kind}, tag bigint, n bigint, w1 bigint, w2 bigint, keys array<bigint>, words binary")
 
 
-def _words_of(df: DataFrame, id_col: str, text_col: str, needed: DataFrame) -> DataFrame:
-    """(id, words) of the documents in needed (id, w1, w2): words is the 32-bit word hashes as bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [word_hashes(t).tobytes() for t in batch.column(1).to_pylist()]
-            w = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), dtype="<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(w[:, 0]), pa.array(w[:, 1]), pa.array(words, pa.binary())], ["id", "w1", "w2", "words"])
-
-    kind = df.schema[id_col].dataType.simpleString()
-    found = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col), text_or_empty(text_col)).mapInArrow(run, f"id {kind}, w1 bigint, w2 bigint, words binary")
-    return found.join(needed, ["id", "w1", "w2"], "left_semi").select("id", "words")
-
-
-def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough."""
+def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) that share a sketch and whose texts (rep, keys, words) are similar enough. A text that is in very many pairs as a stands in COPIES, among which they are dealt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,90 +173,114 @@ def _verified(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    sides = [words.select(F.col("id").alias(c), F.col("words").alias(f"{c}_words")) for c in ("b", "a")]
-    return pairs.select("a", "b").join(sides[0], "b").join(sides[1], "a").select("a", "b", "a_words", "b_words").mapInArrow(run, f"a {kind}, b {kind}")
+    sides = [texts.select(F.col("rep").alias(c), F.col("keys").alias(f"{c}_keys"), F.col("words").alias(f"{c}_words")) for c in ("a", "b")]
+    dealt = pairs.select("a", "b", salt("b", parts=COPIES).alias("salt"))
+    left = dealt.select("a", "salt").distinct().join(sides[0], "a")  # no more rows than pairs
+    joined = dealt.join(sides[1], "b").join(left, ["a", "salt"]).filter(F.arrays_overlap("a_keys", "b_keys"))
+    return joined.select("a", "b", "a_words", "b_words").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _closest(met: DataFrame) -> DataFrame:
-    """For each text of (rep, a) the partner that it meets in the most buckets."""
-    times = met.groupBy("rep", "a").agg(F.count(F.lit(1)).alias("times"))
-    return times.groupBy("rep").agg(F.max(F.struct("times", "a")).alias("best")).select("rep", "best.a")
+def _mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """(rep, n, component) of those that are in a bucket that still holds several components."""
+    placed = members.join(parts, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"), salt("rep").alias("salt"))
+    ends = placed.groupBy("key", "salt").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    mixed = ends.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_set("salt").alias("salts")).filter("low < high")
+    return placed.join(mixed.select("key", F.explode("salts").alias("salt")), ["key", "salt"]).select("rep", "n", "component").distinct()
 
 
-def _mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """The members of buckets that still hold several components: key, rep, n, component, main (the bucket's largest component)."""
-    placed = members.join(parts, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    largest = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max(F.struct("size", "component")).alias("most"), F.count(F.lit(1)).alias("parts"))
-    return placed.join(largest.filter(F.col("parts") > 1).select("key", F.col("most.component").alias("main")), "key")
+def rarest(mers: np.ndarray, counts: np.ndarray, threshold: float) -> np.ndarray:
+    """The k-mers by which a text meets others: the rarest, as many as may be unmatched and one more; counts: how often the k-mers of a cell occur. Two texts with a similarity of threshold or more have one in common."""
+    many = len(mers) - int(np.ceil(threshold * len(mers) - 1e-9)) + 1
+    order = np.lexsort((mers, counts[(mers >> np.uint64(17)).astype(np.int64) % CELLS]))
+    return mers[order[:many]]
 
 
-def profile(mers: np.ndarray) -> bytes:
-    """How many k-mers fall in each bin; two profiles' lesser counts add up to no less than the k-mers that two texts share."""
-    counts = np.bincount((mers >> np.uint64(17)).astype(np.int64) % BINS, minlength=BINS)
-    return (counts if counts.max(initial=0) < 2**16 else np.full(BINS, 2**16 - 1)).astype("<u2").tobytes()
+def _counts(texts: DataFrame) -> np.ndarray:
+    """How many k-mers of the texts (words) fall in each cell of a table of fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, dtype=np.int64)
+        for batch in batches:
+            for raw in batch.column(0):
+                np.add.at(total, (kmers(np.frombuffer(raw.as_py(), np.uint32)) >> np.uint64(17)).astype(np.int64) % CELLS, 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
+
+    found = texts.select("words").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most CELLS rows
+    out = np.zeros(CELLS, dtype=np.int64)
+    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    return out
 
 
-def _in_blocks(mixed: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (rep, a) of different components that meet in a bucket, of which one is outside the bucket's largest component, and that may be similar enough. Each pair comes from the least bucket it shares."""
-    rep_type = mixed.schema["rep"].dataType.simpleString()
-    rows = mixed.join(classes.select("rep", "keys", "profile"), "rep").withColumn("outside", F.col("component") != F.col("main"))
-    blocks = mixed.groupBy("key").agg(*(F.greatest(F.lit(1), F.ceil(n / F.lit(size))).cast("int").alias(name) for name, n, size in (("o_blocks", F.count_if(F.col("component") != F.col("main")), OUTSIDE), ("m_blocks", F.count(F.lit(1)), ALL))))
-    sized = rows.join(blocks, "key")
+def _rare_pairs(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (rep, a) of different components of mixed (rep, n, component) that share one of the rarest k-mers of either, and by their lengths may be similar enough."""
+    kind = mixed.schema["rep"].dataType.simpleString()
+    rows = materialise(mixed.join(texts.select("rep", "words"), "rep"), "mixed")
+    counts = mixed.sparkSession.sparkContext.broadcast(_counts(rows).astype(np.int64))  # of fixed size
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [rarest(kmers(np.frombuffer(raw.as_py(), np.uint32)), counts.value, threshold) for raw in part.column(3)]
+                row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), part.column(2).take(row), pa.array(np.concatenate(found).view(np.int64))], ["rep", "n", "component", "mer"])
+
+    met = materialise(rows.select("rep", "n", "component", "words").mapInArrow(meet, f"rep {kind}, n bigint, component {kind}, mer bigint"), "rare").withColumn("salt", salt("rep"))
+    parts = met.groupBy("mer", "salt").agg(F.mode("component").alias("main"), F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
+    groups = parts.groupBy("mer").agg(F.max_by("main", "size").alias("main"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("size").alias("size"), F.collect_set("salt").alias("salts")).filter("low < high")
+    blocks = groups.select("mer", "main", F.ceil(F.col("size") / OUTSIDE).cast("int").alias("o_blocks"), F.ceil(F.col("size") / ALL).cast("int").alias("m_blocks"), F.explode("salts").alias("salt"))
+    sized = met.join(blocks, ["mer", "salt"])
     side = lambda own, other: F.explode(F.transform(F.sequence(F.lit(0), F.col(other) - 1), lambda k: F.struct(F.pmod(F.xxhash64("rep"), F.col(own)).cast("int").alias("own"), k.alias("other"))))
-    kept = ["key", "rep", "n", "component", "keys", "profile"]
-    outside = sized.filter("outside").select(*kept, side("o_blocks", "m_blocks").alias("b")).select(*kept, F.lit(True).alias("asks"), F.col("b.own").alias("o_block"), F.col("b.other").alias("m_block"))
+    kept = ["mer", "rep", "n", "component"]
+    outside = sized.filter(F.col("component") != F.col("main")).select(*kept, side("o_blocks", "m_blocks").alias("b")).select(*kept, F.lit(True).alias("asks"), F.col("b.own").alias("o_block"), F.col("b.other").alias("m_block"))
     members = sized.select(*kept, side("m_blocks", "o_blocks").alias("b")).select(*kept, F.lit(False).alias("asks"), F.col("b.other").alias("o_block"), F.col("b.own").alias("m_block"))
 
     def run(t: pa.Table) -> pa.Table:
-        asks = np.asarray(t.column("asks"))
+        asks, n = np.asarray(t.column("asks")), np.asarray(t.column("n")).astype(float)
         q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
-        n = np.asarray(t.column("n")).astype(float)
-        component = np.asarray(t.column("component"))
-        kind = t.schema.field("rep").type
-        left, right = [], []
-        if len(q) and len(m):
-            key = t.column("key")[0].as_py()
-            counts = np.frombuffer(b"".join(t.column("profile").to_pylist()), "<u2").reshape(-1, BINS)
-            keys = [set(x) for x in t.column("keys").to_pylist()]
-            m_counts, m_n, m_component = counts[m], n[m], component[m]
-            for i in q:
-                shared = np.minimum(counts[i], m_counts).sum(axis=1, dtype=np.int64)
-                may = (m_component != component[i]) & (shared >= threshold * (n[i] + m_n - shared) - 1e-9)
-                for j in m[may]:
-                    if min(keys[i] & keys[j]) == key:
-                        left.append(i)
-                        right.append(j)
-        reps = t.column("rep").combine_chunks()
-        return pa.table({"rep": reps.take(pa.array(left, pa.int64())), "a": reps.take(pa.array(right, pa.int64()))}, schema=pa.schema([("rep", kind), ("a", kind)]))
-
-    return outside.unionByName(members).groupBy("key", "o_block", "m_block").applyInArrow(run, f"rep {rep_type}, a {rep_type}")
+        component, reps = np.asarray(t.column("component")), t.column("rep").combine_chunks()
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in q:
+            near = m[(component[m] != component[i]) & (np.minimum(n[m], n[i]) >= threshold * np.maximum(n[m], n[i]) - 1e-9)]
+            left.append(np.full(len(near), i))
+            right.append(near)
+        return pa.table({"rep": reps.take(pa.array(np.concatenate(left))), "a": reps.take(pa.array(np.concatenate(right)))})
+
+    return outside.unionByName(members).groupBy("mer", "o_block", "m_block").applyInArrow(run, f"rep {kind}, a {kind}")
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each row of df: id, class_id (least id of its near-duplicates) and kept (whether it is that one)."""
-    docs = materialise(sketched(df, id_col, text_col), "sketches")
-    least = docs.groupBy("w1", "w2").agg(F.min(F.struct("id", "n", "keys", "profile")).alias("one"))
-    classes = materialise(least.select("w1", "w2", F.col("one.id").alias("rep"), "one.n", "one.keys", "one.profile"), "classes")
-    exploded = classes.select("rep", "n", F.explode("keys").alias("key"))
-    buckets = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1).select("key")
-    met = materialise(exploded.join(buckets, "key"), "met")
+    docs = materialise(sketched(df, id_col, text_col).withColumn("salt", salt("id")), "sketches")
+    # Texts with the same words: the least id, a row that has it, and the salts by which the others are dealt.
+    least = docs.groupBy("w1", "w2", "salt").agg(F.min("id").alias("rep"), F.min_by("tag", "id").alias("tag"))
+    groups = materialise(least.groupBy("w1", "w2").agg(F.min("rep").alias("rep"), F.min_by("tag", "rep").alias("tag"), F.collect_set("salt").alias("salts")), "classes")
+    classes = materialise(docs.select("tag", "n", "keys").join(groups.select("tag", "rep"), "tag"), "sketched")
+
+    exploded = classes.select("rep", "n", F.explode("keys").alias("key"), salt("rep").alias("salt"))
+    sizes = exploded.groupBy("key", "salt").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.sum("size").alias("size"), F.collect_set("salt").alias("salts")).filter("size > 1")
+    met = materialise(exploded.join(sizes.select("key", F.explode("salts").alias("salt")), ["key", "salt"]), "met")
     often = met.groupBy("rep").agg(F.count(F.lit(1)).alias("often"))  # a text near many others is in many buckets
     members = materialise(met.join(often, "rep"), "members")
-    needed = often.select(F.col("rep").alias("id")).join(classes.select(F.col("rep").alias("id"), "w1", "w2"), "id")
-    words = materialise(_words_of(df, id_col, text_col, needed), "words")
-
-    centre = members.groupBy("key").agg(F.max(F.struct("often", F.col("rep").alias("a"))).alias("best")).select("key", F.col("best.a").alias("a"))
-    pairs = _closest(members.join(centre, "key").filter(F.col("rep") != F.col("a")).select("rep", "a"))
-    tried = materialise(pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")), "pairs")
-    links = materialise(_verified(tried, words, threshold), "links")
+    needed = classes.select("tag", "rep", "keys").join(often.select("rep"), "rep", "left_semi")
+    texts = materialise(docs.select("tag", "words").join(needed, "tag"), "words")
+
+    centre = members.groupBy("key", "salt").agg(F.max_by("rep", "often").alias("a"), F.max("often").alias("often")).groupBy("key").agg(F.max_by("a", "often").alias("a"), F.collect_set("salt").alias("salts"))
+    together = members.select("key", "salt", "rep").join(centre.select("key", "a", F.explode("salts").alias("salt")), ["key", "salt"]).filter(F.col("rep") != F.col("a"))
+    times = together.groupBy("rep", "a").agg(F.count(F.lit(1)).alias("times"))
+    # With each text the centre that it meets in the most buckets.
+    tried = materialise(times.groupBy("rep").agg(F.max_by("a", "times").alias("a")).select("a", F.col("rep").alias("b")), "pairs")
+    links = materialise(_verified(tried, texts, threshold), "links")
     whole = components(links, "a", "b").withColumnRenamed("id", "rep")
-    mixed = materialise(_mixed(members, whole), "mixed")
-    fresh = _in_blocks(mixed, classes, threshold).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = materialise(_verified(fresh, words, threshold), "links")
-    if not more.isEmpty():
-        whole = components(links.union(more), "a", "b").withColumnRenamed("id", "rep")
-
-    found = docs.select("id", "w1", "w2").distinct().join(classes.select("w1", "w2", "rep"), ["w1", "w2"]).join(whole, "rep", "left")
-    by_doc = found.groupBy("id").agg(F.min(F.coalesce("component", "rep")).alias("class_id"))
+    mixed = materialise(_mixed(members, whole), "unresolved")
+    if not mixed.isEmpty():
+        fresh = _rare_pairs(mixed, texts, threshold).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
+        more = materialise(_verified(fresh, texts, threshold), "links")
+        if not more.isEmpty():
+            whole = components(links.union(more), "a", "b").withColumnRenamed("id", "rep")
+
+    placed = groups.join(whole, "rep", "left").select("w1", "w2", F.coalesce("component", "rep").alias("class"), F.explode("salts").alias("salt"))
+    by_doc = docs.select("id", "w1", "w2", "salt").join(placed, ["w1", "w2", "salt"]).groupBy("id").agg(F.min("class").alias("class_id"))
     out = df.select(F.col(id_col).alias("__id")).join(by_doc, F.col("__id") == F.col("id"), "left")
     return out.select(F.col("__id").alias(id_col), "class_id", F.coalesce(F.col("__id") == F.col("class_id"), F.lit(True)).alias("kept"))
