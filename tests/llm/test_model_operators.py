@@ -433,6 +433,47 @@ def test_classifier_on_held_out_rows(spark):
     assert quality_classifier.score(docs, "text", nothing).filter("kept").count() == 602
 
 
+def test_the_gradient_is_that_of_the_loss():
+    rng = np.random.default_rng(12)
+    row = np.repeat(np.arange(40), 6)
+    column, grades = rng.integers(0, 15, len(row)), rng.integers(0, 4, 40)
+    x = np.concatenate([rng.normal(size=15), [-1.0], rng.normal(size=2)])
+    value, g = quality_classifier.loss(x, row, column, grades, 4, 0.01)
+    cuts = np.array([-60, x[15], x[15] + np.exp(x[16]), x[15] + np.exp(x[16]) + np.exp(x[17]), 60])
+    plain = 0.0
+    for k in range(40):
+        score = sum(x[c] for r, c in zip(row, column, strict=True) if r == k)
+        below = lambda t: 1 / (1 + np.exp(-(t - score)))
+        plain -= np.log(below(cuts[grades[k] + 1]) - below(cuts[grades[k]])) / 40
+    assert value == pytest.approx(plain + 0.005 * (x[:15] ** 2).sum())
+    for k in range(len(x)):
+        step = np.zeros(len(x))
+        step[k] = 1e-6
+        slope = (quality_classifier.loss(x + step, row, column, grades, 4, 0.01)[0] - quality_classifier.loss(x - step, row, column, grades, 4, 0.01)[0]) / 2e-6
+        assert g[k] == pytest.approx(slope, abs=1e-6)
+
+
+def test_features_by_a_plain_version():
+    import xxhash
+
+    text = "The cat, the CAT!! sat 12| Ünder the-mat."
+    mask = (1 << quality_classifier.BITS) - 1
+    words = {b"the", b"cat", b"sat", b"12", b"mat", b"!!", "Ü".encode() + b"nder"}  # bytes beyond ASCII keep their case
+    parts = words | {b"<" + w[:k] for w in words for k in (4, 5, 6)}
+    own = set(quality_classifier.features(text).tolist())
+    assert {xxhash.xxh3_64_intdigest(w) & mask for w in parts} <= own
+    assert len(own) <= len(parts) + 9 * quality_classifier.SHAPE_COPIES
+
+
+def test_classifier_on_empty_tables(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([], "doc_id long, text string, p_low string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    model = quality_classifier.train(docs, labels, "doc_id", "text", quality_classifier.grade(F.col("quality"), F.col("toxic")))
+    assert quality_classifier.score(docs, "text", model).count() == 0 and not model.weights.any()
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_queries_equal_sql(spark, name):
     import os
@@ -487,3 +528,65 @@ def test_pipeline_with_null_and_repeated_ids(spark):
     assert near.columns == docs.columns
     assert near.filter("doc_id IS NULL").count() == nameless.filter("doc_id IS NULL").count() > 0
     assert near.filter("doc_id IS NOT NULL").count() < nameless.filter("doc_id IS NOT NULL").count()
+
+
+def test_pipeline_by_brute_force(spark):
+    """Every stage of the whole pipeline against loops over all documents and all pairs of them; the classifier's weights are the fit's own."""
+    import zlib
+
+    import corpus_pipeline
+    import public_tokenizers
+    from pyspark.sql import functions as F
+    from tokenizers import Tokenizer
+
+    from tests.llm.test_text_operators import brute_lines, plain_verdicts
+    from wavefold.llm.common import table
+
+    folder = "/root/testdata/sf0.001"
+    docs = table(spark, folder, "documents")
+    model = quality_classifier.train(docs, table(spark, folder, "labels"), "doc_id", "text", quality_classifier.grade(F.col("quality"), F.col("toxic")))
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.collect()]
+    good = lambda t: 1 / (1 + np.exp(model.thresholds[-1] - sum(model.weights[k] for k in quality_classifier.features(t or "")))) >= 0.5
+    rows = [r for r in rows if good(r[1])]
+    passed = plain_verdicts(rows)
+    rows = [r for r in rows if passed[r[0]]]
+    texts = {i: t for i, (t, _, _) in brute_lines([r[:2] for r in rows]).items()}
+    mers = {i: order_minhash.kmers(order_minhash.word_hashes(t)) for i, t in texts.items()}
+    classes = {i: i for i in texts}
+    for a in sorted(texts):
+        for b in sorted(texts):
+            if a < b and classes[a] != classes[b] and order_minhash.similarity(mers[a], mers[b]) >= 0.8:
+                x, y = classes[a], classes[b]
+                classes = {i: min(x, y) if c in (x, y) else c for i, c in classes.items()}
+    kept = {i: texts[i] for i in texts if classes[i] == i}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = set()
+    for i, t in kept.items():
+        ids = [*tokenizer.encode(t, add_special_tokens=False).ids, 0]
+        want |= {(i, k // 2048, k, tuple(ids[k : k + 2048])) for k in range(0, len(ids), 2048)}
+    got = corpus_pipeline.run(spark, folder).collect()
+    assert {(r["doc_id"], r["piece"], r["start"], tuple(r["ids"])) for r in got} == want and len(got) == len(want)
+    assert all(r["length"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in got)
+
+
+def test_pipeline_stages_on_odd_tables(spark):
+    """Empty tables, columns named as results are, nulls in every column and repeated rows."""
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+    from wavefold.llm.common import table
+
+    folder = "/root/testdata/sf0.001"
+    docs = table(spark, folder, "documents")
+    names = ["kept", "p_low", "expected_grade", "n_lines", "n_dropped", "class_id", "n_words", "language", "id", "t", "h1", "tag", "shard", "salt"]
+    odd = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names})
+    nothing = spark.range(3).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in odd.schema))
+    odd = odd.union(odd.filter("doc_id % 7 = 0")).union(nothing)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, folder).cache()
+        assert out.columns == odd.columns and [f.dataType for f in out.schema] == [f.dataType for f in odd.schema], name
+        assert out.filter("doc_id IS NOT NULL AND (" + " OR ".join(f"{c} <> concat('{c}', doc_id)" for c in names) + ")").count() == 0
+        n = out.count()
+        assert {"line dedup": n == odd.count(), "near-dedup": 3 < n < docs.count()}.get(name, n > 0), name
+        assert stage(spark, odd.limit(0), folder).count() == 0
+    assert corpus_pipeline.pack(spark, odd, folder).filter("doc_id IS NULL").count() == 3
+    assert corpus_pipeline.pack(spark, odd.limit(0), folder).count() == 0

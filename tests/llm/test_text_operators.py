@@ -242,3 +242,62 @@ def test_rubbish_without_a_language_is_no_reference(spark):
         foreign = [(200 + k, pick(other, 300), ("it", "ru")[i]) for k in range(40)]
         assert kept(rows + foreign) == set(range(40)) | set(range(200, 240))
     assert kept([r for r in rows if r[0] < 40 and r[0] % 2] + [(1000, rows[0][1], None)]) == {*range(1, 40, 2), 1000}
+
+
+def plain_verdicts(rows):
+    """kept of each (id, text, language) by loops over characters and words, dictionaries and logarithms of single numbers; all languages known."""
+    import math
+
+    names = list(quality_rules.CHARACTER_CLASSES)
+    common = {w for ws in quality_rules.COMMON_WORDS.values() for w in ws.split()}
+
+    def histograms(text):
+        chars, words = Counter(), Counter()
+        for c in text:
+            chars[next((n for n in names if c in quality_rules.CHARACTER_CLASSES[n]), "other" if c.isascii() else "beyond")] += 1
+        for w in text.encode().split():
+            w = w.lower().decode()
+            words[w if w in common else None] += 1
+        return [{k: v / sum(h.values()) for k, v in h.items()} if h else {} for h in (chars, words)]
+
+    def distance(p, q):
+        if not p:
+            return 0.0
+        m = {k: (p.get(k, 0) + q.get(k, 0)) / 2 for k in {*p, *q}}
+        half = lambda x: sum(v * math.log2(v / m[k]) for k, v in x.items() if v > 0)
+        return math.sqrt(max(0.0, (half(p) + half(q)) / 2))
+
+    found = {i: (histograms(t or ""), lang) for i, t, lang in rows}
+    reference = []
+    for lang in sorted({lang for _, lang in found.values()}):
+        reference.append([])
+        for k in (0, 1):
+            mine = [h[k] for h, x in found.values() if x == lang and h[k]]
+            reference[-1].append({b: sum(h.get(b, 0) for h in mine) / len(mine) for h in mine for b in h})
+    out = {}
+    for i, text, _ in rows:
+        n_words, _, _, _, n_repeat = brute_counts(text or "")
+        near = []
+        for k in (0, 1):
+            mixed = [{b: (x[k].get(b, 0) + y[k].get(b, 0)) / 2 for b in {*x[k], *y[k]}} for x in reference for y in reference]
+            near.append(min(distance(found[i][0][k], m) for m in mixed))
+        failed = n_words < 10 or 100 * n_repeat > 20 * n_words
+        odd = near[0] > quality_rules.MAX_CHARACTER_DISTANCE and len(text or "") >= quality_rules.MIN_CHARACTERS
+        odd |= n_words >= quality_rules.MIN_WORDS and (near[1] > quality_rules.MAX_WORD_DISTANCE or near[0] > quality_rules.BOTH[0] and near[1] > quality_rules.BOTH[1])
+        out[i] = not failed and not odd
+    return out
+
+
+def test_verdicts_equal_plain_ones(spark):
+    rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()]
+    rows += [(100_000, "#$% " * 400, "en"), (100_001, " ".join(f"wort{k}" for k in range(300)), "de"), (100_002, None, "fr"), (100_003, "kurz", "de")]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, lang string, n_words int, language string")
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judge(df, "doc_id", "text", "lang").collect()}
+    assert got == plain_verdicts(rows) and 0 < sum(got.values()) < len(got)
+
+
+def test_rules_on_odd_rows(spark):
+    text = "the house of the river and a letter to the people in that garden was on it " * 3
+    rows = [(1, text, None), (1, text, None), (None, text, "en"), (2, "x" * 2_000_000, "en"), (3, "the of and to in a is that " * 40_000, "en"), (4, None, None), (5, "", "de")]
+    got = [(r["doc_id"], r["n_words"], r["base_failed"]) for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang").collect()]
+    assert sorted((i or 0, n, f) for i, n, f in got) == sorted([(1, 51, True)] * 2 + [(0, 51, True), (2, 1, True), (3, 320_000, True), (4, 0, True), (5, 0, True)])
