@@ -14,11 +14,16 @@ from wavefold.llm import line_dedup, order_minhash, packing, quality_classifier,
 from wavefold.llm.common import materialise, table
 
 
+def _alone(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns and all columns in one, so that columns of any names pass through an operator as they are."""
+    return docs.select(F.struct("*").alias("__doc"), *names)
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents that the ordinal classifier, fitted on the labelled ones among docs, takes for good."""
+    """Keeps the documents that the ordinal classifier, fitted on the labelled ones among docs, takes for good. Each row is judged by its own text; without labelled documents all stay."""
     labels = table(spark, sf_dir, "labels")
     model = quality_classifier.train(docs, labels, "doc_id", "text", quality_classifier.grade(F.col("quality"), F.col("toxic")))
-    return quality_classifier.score(docs, "text", model).filter("kept").select(docs.columns)
+    return quality_classifier.score(_alone(docs, "text"), "text", model).filter("kept").select("__doc.*")
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,15 +35,17 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops repeated lines; n_chars follows the text."""
-    return line_dedup.dedup_lines(docs, "doc_id", "text").withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
+    """Drops repeated lines; n_chars follows the text, a null text is an empty one. No document goes."""
+    out = line_dedup.dedup_lines(_alone(docs, "doc_id", "text"), "doc_id", "text")
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}
+    return out.select(*(new.get(c, F.col("__doc").getField(c)).alias(c) for c in docs.columns))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates, and all without an id, which are compared with nothing."""
-    named = docs.filter(F.col("doc_id").isNotNull())
-    kept = order_minhash.near_duplicates(named, "doc_id", "text").filter("kept").select("doc_id")
-    return named.join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """Keeps one document of each group of near-duplicates, and all without an id, which are compared with nothing. Rows that share an id are one document; of those that share the text too one stays."""
+    named = docs.filter(F.col("doc_id").isNotNull()).withColumn("__text", F.xxhash64("text"))
+    kept = order_minhash.near_duplicates(named, "doc_id", "text").filter("kept").select("doc_id").distinct()
+    return named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "__text"]).select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
