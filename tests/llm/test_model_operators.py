@@ -286,21 +286,18 @@ def test_similarity_is_ordered():
     assert order_minhash.similarity(mers[0], mers[0]) == 1 and order_minhash.similarity(mers[0], mers[1], 0.01) < 0.6 < order_minhash.similarity(mers[0], mers[2], 0.01)
 
 
-def test_similar_texts_share_a_rarest_kmer():
-    rng = random.Random(6)
-    counts = np.array([rng.choice([1, 1, 2, 900]) for _ in range(order_minhash.CELLS)])
-    for _ in range(300):
-        a = words(rng, rng.randint(5, 120))
-        b = list(a)
-        for _ in range(rng.randint(0, 4)):
-            b[rng.randrange(len(b))] = words(rng, 1)[0]
-        x, y = (order_minhash.kmers(order_minhash.word_hashes(" ".join(t))) for t in (a, b))
-        if order_minhash.similarity(x, y) >= 0.8:
-            assert set(order_minhash.rarest(x, counts, 0.8)) & set(order_minhash.rarest(y, counts, 0.8))
+def test_profiles_bound_what_is_shared():
+    rng = random.Random(5)
+    a = words(rng, 80)
+    mers = [order_minhash.kmers(order_minhash.word_hashes(" ".join(x))) for x in (a, a[40:] + a[:40], [*a[:20], "x", *a[20:]], words(rng, 70))]
+    counts = [np.frombuffer(order_minhash.profile(m), "<u2") for m in mers]
+    for i, x in enumerate(mers):
+        for j, y in enumerate(mers):
+            assert np.minimum(counts[i], counts[j]).sum() >= len(np.intersect1d(x, y))
 
 
 def test_pages_of_one_template_meet_no_one(spark, monkeypatch):
-    """Texts that share 70 % of their words are in common buckets, but no pair of them is compared; two that differ by a word still link."""
+    """Texts that share three quarters of their words are in common buckets, but hardly a pair of them becomes a row; two that differ by a word still link."""
     rng = random.Random(7)
     template = words(rng, 180)
     rows = [(i, " ".join(template + words(rng, 60))) for i in range(150)]

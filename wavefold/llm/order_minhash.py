@@ -8,15 +8,13 @@ have shorter sketches, and texts near the border have both kinds, so that no nea
 
 Texts with the same words are one class, represented by its least id. The representatives in one bucket
 (one value of a sketch) are compared in two rounds, not in all pairs. First each is compared with its
-buckets' most connected member. Whatever is in one component then needs no more links, so the second round
-takes only the members of buckets that still hold several components, and of these the pairs of different
-components that can still reach the threshold: two texts that share enough k-mers share one of the rarest of
-either, as many as may be unmatched and one more, in any order of k-mers that is the same for all. The order
-is by how often a k-mer occurs, counted in a table of fixed size, so that what a family of texts has in
-common comes last and brings nobody together; pages made from one template with different contents meet
-no one. What does meet by a rare k-mer is held against each other block by block inside tasks, and only if
-a sketch is the same too. So no link between members of a bucket that would join two components is left
-out, and a bucket of thousands of copies costs a few comparisons each.
+buckets' most connected member. Then, in the buckets that still hold several components, members outside
+the largest component are held against all members of other components in their buckets, block by block inside tasks,
+where profiles of k-mer counts rule out what can't reach the threshold; only pairs that may reach it
+become rows. Whatever is in one component already needs no more links. So no link between members of a
+bucket that would join two components is left out, and a bucket of thousands of copies costs a few
+comparisons each. What the second round costs grows with the square of the members of one bucket that
+nothing links, but as bytes compared in blocks, not as rows.
 
 A pair is verified by aligning its k-mers: matching labelled k-mers whose positions differ by more than
 the threshold allows lie outside the band, and the longest common order of the others over their union
@@ -48,8 +46,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 FUNCTIONS, ORDER = 48, 8
 SHORT_FUNCTIONS, SHORT_ORDER, LONG = 16, 3, 24
 PUNCTUATION = string.punctuation + "«»“”‘’„‚…–—¿¡·"
-#: Cells of the table of k-mer counts; members that meet in one task, of those outside the largest component and of all.
-CELLS, OUTSIDE, ALL = 1 << 18, 1_024, 4_096
+#: Bins of a text's k-mer profile; members of a bucket that meet in one task, of those outside the largest component and of all.
+BINS, OUTSIDE, ALL = 256, 1_024, 4_096
 #: Copies in which a text stands that very many are compared with.
 COPIES = 1_024
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, size=(FUNCTIONS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -181,73 +179,68 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 
 
 def _mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """(rep, n, component) of those that are in a bucket that still holds several components."""
-    placed = members.join(parts, "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"), salt("rep").alias("salt"))
-    ends = placed.groupBy("key", "salt").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    mixed = ends.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.collect_set("salt").alias("salts")).filter("low < high")
-    return placed.join(mixed.select("key", F.explode("salts").alias("salt")), ["key", "salt"]).select("rep", "n", "component").distinct()
+    """The members of buckets that still hold several components: key, rep, n, component, main (about the bucket's largest component) and how many blocks it fills."""
+    placed = members.join(parts, "rep", "left").select("key", "salt", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    sizes = placed.groupBy("key", "component", "salt").agg(F.count(F.lit(1)).alias("size")).groupBy("key", "component").agg(F.sum("size").alias("size"), F.collect_set("salt").alias("salts"))
+    largest = sizes.groupBy("key").agg(F.max_by("component", "size").alias("main"), F.max("size").alias("most"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    blocks = largest.select("key", "main", F.greatest(F.lit(1), F.ceil((F.col("size") - F.col("most")) / OUTSIDE)).cast("int").alias("o_blocks"), F.ceil(F.col("size") / ALL).cast("int").alias("m_blocks"))
+    back = sizes.select("key", "component", F.explode("salts").alias("salt")).join(blocks, "key")
+    return placed.join(back, ["key", "component", "salt"]).select("key", "rep", "n", "component", "main", "o_blocks", "m_blocks")
 
 
-def rarest(mers: np.ndarray, counts: np.ndarray, threshold: float) -> np.ndarray:
-    """The k-mers by which a text meets others: the rarest, as many as may be unmatched and one more; counts: how often the k-mers of a cell occur. Two texts with a similarity of threshold or more have one in common."""
-    many = len(mers) - int(np.ceil(threshold * len(mers) - 1e-9)) + 1
-    order = np.lexsort((mers, counts[(mers >> np.uint64(17)).astype(np.int64) % CELLS]))
-    return mers[order[:many]]
+def profile(mers: np.ndarray) -> bytes:
+    """How many k-mers fall in each bin; two profiles' lesser counts add up to no less than the k-mers that two texts share."""
+    counts = np.bincount((mers >> np.uint64(17)).astype(np.int64) % BINS, minlength=BINS)
+    return (counts if counts.max(initial=0) < 2**16 else np.full(BINS, 2**16 - 1)).astype("<u2").tobytes()
 
 
-def _counts(texts: DataFrame) -> np.ndarray:
-    """How many k-mers of the texts (words) fall in each cell of a table of fixed size."""
+def _profiles(texts: DataFrame, needed: DataFrame) -> DataFrame:
+    """(rep, keys, profile) of the texts whose rep is needed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, dtype=np.int64)
         for batch in batches:
-            for raw in batch.column(0):
-                np.add.at(total, (kmers(np.frombuffer(raw.as_py(), np.uint32)) >> np.uint64(17)).astype(np.int64) % CELLS, 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["cell", "n"])
-
-    found = texts.select("words").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most CELLS rows
-    out = np.zeros(CELLS, dtype=np.int64)
-    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    return out
+            found = [profile(kmers(np.frombuffer(raw.as_py(), np.uint32))) for raw in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["rep", "keys", "profile"])
 
+    kind = texts.schema["rep"].dataType.simpleString()
+    return texts.select("rep", "keys", "words").join(needed.select("rep").distinct(), "rep", "left_semi").mapInArrow(run, f"rep {kind}, keys array<bigint>, profile binary")
 
-def _rare_pairs(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (rep, a) of different components of mixed (rep, n, component) that share one of the rarest k-mers of either, and by their lengths may be similar enough."""
-    kind = mixed.schema["rep"].dataType.simpleString()
-    rows = materialise(mixed.join(texts.select("rep", "words"), "rep"), "mixed")
-    counts = mixed.sparkSession.sparkContext.broadcast(_counts(rows).astype(np.int64))  # of fixed size
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = [rarest(kmers(np.frombuffer(raw.as_py(), np.uint32)), counts.value, threshold) for raw in part.column(3)]
-                row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(row), part.column(1).take(row), part.column(2).take(row), pa.array(np.concatenate(found).view(np.int64))], ["rep", "n", "component", "mer"])
-
-    met = materialise(rows.select("rep", "n", "component", "words").mapInArrow(meet, f"rep {kind}, n bigint, component {kind}, mer bigint"), "rare").withColumn("salt", salt("rep"))
-    parts = met.groupBy("mer", "salt").agg(F.mode("component").alias("main"), F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("size"))
-    groups = parts.groupBy("mer").agg(F.max_by("main", "size").alias("main"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("size").alias("size"), F.collect_set("salt").alias("salts")).filter("low < high")
-    blocks = groups.select("mer", "main", F.ceil(F.col("size") / OUTSIDE).cast("int").alias("o_blocks"), F.ceil(F.col("size") / ALL).cast("int").alias("m_blocks"), F.explode("salts").alias("salt"))
-    sized = met.join(blocks, ["mer", "salt"])
+def _in_blocks(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (rep, a) of different components that meet in a bucket, of which one is outside the bucket's main component, and that may be similar enough. Each pair comes from the least bucket it shares."""
+    rep_type = mixed.schema["rep"].dataType.simpleString()
+    sized = mixed.join(_profiles(texts, mixed), "rep")
     side = lambda own, other: F.explode(F.transform(F.sequence(F.lit(0), F.col(other) - 1), lambda k: F.struct(F.pmod(F.xxhash64("rep"), F.col(own)).cast("int").alias("own"), k.alias("other"))))
-    kept = ["mer", "rep", "n", "component"]
+    kept = ["key", "rep", "n", "component", "keys", "profile"]
     outside = sized.filter(F.col("component") != F.col("main")).select(*kept, side("o_blocks", "m_blocks").alias("b")).select(*kept, F.lit(True).alias("asks"), F.col("b.own").alias("o_block"), F.col("b.other").alias("m_block"))
     members = sized.select(*kept, side("m_blocks", "o_blocks").alias("b")).select(*kept, F.lit(False).alias("asks"), F.col("b.other").alias("o_block"), F.col("b.own").alias("m_block"))
 
     def run(t: pa.Table) -> pa.Table:
-        asks, n = np.asarray(t.column("asks")), np.asarray(t.column("n")).astype(float)
+        asks = np.asarray(t.column("asks"))
         q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
-        component, reps = np.asarray(t.column("component")), t.column("rep").combine_chunks()
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in q:
-            near = m[(component[m] != component[i]) & (np.minimum(n[m], n[i]) >= threshold * np.maximum(n[m], n[i]) - 1e-9)]
-            left.append(np.full(len(near), i))
-            right.append(near)
-        return pa.table({"rep": reps.take(pa.array(np.concatenate(left))), "a": reps.take(pa.array(np.concatenate(right)))})
-
-    return outside.unionByName(members).groupBy("mer", "o_block", "m_block").applyInArrow(run, f"rep {kind}, a {kind}")
+        n = np.asarray(t.column("n")).astype(float)
+        component = np.asarray(t.column("component"))
+        kind = t.schema.field("rep").type
+        left, right = [], []
+        if len(q) and len(m):
+            key = t.column("key")[0].as_py()
+            counts = np.frombuffer(b"".join(t.column("profile").to_pylist()), "<u2").reshape(-1, BINS)
+            keys = [set(x) for x in t.column("keys").to_pylist()]
+            order = m[np.argsort(n[m], kind="stable")]
+            lengths = n[order]
+            for i in q:
+                near = slice(np.searchsorted(lengths, threshold * n[i] - 1e-6), np.searchsorted(lengths, n[i] / threshold + 1e-6, side="right"))
+                others = order[near]
+                others = others[component[others] != component[i]]
+                shared = np.minimum(counts[i], counts[others]).sum(axis=1, dtype=np.int64)
+                for j in others[shared >= threshold * (n[i] + n[others] - shared) - 1e-9]:
+                    if min(keys[i] & keys[j]) == key:
+                        left.append(i)
+                        right.append(j)
+        reps = t.column("rep").combine_chunks()
+        return pa.table({"rep": reps.take(pa.array(left, pa.int64())), "a": reps.take(pa.array(right, pa.int64()))}, schema=pa.schema([("rep", kind), ("a", kind)]))
+
+    return outside.unionByName(members).groupBy("key", "o_block", "m_block").applyInArrow(run, f"rep {rep_type}, a {rep_type}")
 
 
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
@@ -275,7 +268,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
     whole = components(links, "a", "b").withColumnRenamed("id", "rep")
     mixed = materialise(_mixed(members, whole), "unresolved")
     if not mixed.isEmpty():
-        fresh = _rare_pairs(mixed, texts, threshold).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
+        fresh = _in_blocks(mixed, texts, threshold).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
         more = materialise(_verified(fresh, texts, threshold), "links")
         if not more.isEmpty():
             whole = components(links.union(more), "a", "b").withColumnRenamed("id", "rep")
