@@ -5,7 +5,8 @@ import os
 import duckdb
 import pytest
 
-from wavefold.plans.catalogue import ORACLE_SQL, QUERIES
+from wavefold.plans import catalogue, volume_queries  # noqa: F401  (each registers its queries)
+from wavefold.plans.registry import ORACLE_SQL, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 

@@ -1,11 +1,10 @@
-"""Analytic and identity tests of trace functions, kernels, codecs, grids and the solver."""
+"""Analytic and identity tests of trace functions, kernels, codecs and grids."""
 
 import numpy as np
 import pytest
 
 from wavefold.functions import codecs, kernels, traces, wavelets
 from wavefold.plans import grids
-from wavefold.plans.solver import Medium, central, differences, migrate, model
 
 
 def test_shift_there_and_back():
@@ -23,15 +22,7 @@ def test_derivatives_of_a_sine():
     assert np.abs(traces.compact_derivative(1 / n)(x) - 2 * np.pi * k * np.cos(2 * np.pi * k * t)).max() < 0.1
 
 
-@pytest.mark.parametrize("order", [4, 8, 12])
-def test_central_differences_are_exact_for_polynomials(order):
-    x = np.linspace(0, 1, 40)
-    for derivative, exact in ((1, 3 * x**2), (2, 6 * x)):
-        got = differences(x[None] ** 3, 1, central(order, derivative), x[1], derivative)[0]
-        assert np.allclose(got[order:-order], exact[order:-order])
-
-
-@pytest.mark.parametrize("kernel", ["linear", "lanczos", "lagrange"])
+@pytest.mark.parametrize("kernel", ["linear", "lagrange"])
 def test_kernels_keep_constants(kernel):
     w = kernels.weights(30, np.linspace(0, 29, 57), kernel, 4)
     assert np.allclose(w.sum(axis=1), 1)
@@ -78,57 +69,20 @@ def test_settings():
     assert (grids.smooth_least(np.array([5.0, 1, 5, 5]), 3) <= [5, 1, 5, 5]).all()
 
 
-def test_arrival_time_in_two_layers():
-    """The direct wave arrives at distance over velocity, within two samples."""
-    medium = Medium(np.where(np.arange(200) < 100, 2000.0, 3000.0), 5.0)
-    dt = 0.5 * medium.stable_dt()
-    wavelet = wavelets.ricker(81, dt, 30.0)
-    data = model(medium, dt, np.array([[20]]), wavelet, np.array([[90]]), 500)
-    arrival = (np.abs(data[0]).argmax() - 40) * dt
-    assert abs(arrival - 70 * 5.0 / 2000.0) < 0.012
-
-
-def test_zero_stays_zero_and_shots_do_not_mix():
-    medium = Medium(np.full((30, 30), 2000.0), 10.0)
-    dt = 0.5 * medium.stable_dt()
-    wavelet = wavelets.ricker(41, dt, 20.0)
-    both = model(medium, dt, np.array([[10, 10], [20, 15]]), wavelet, np.array([[5, 5], [25, 5]]), 60)
-    one = model(medium, dt, np.array([[20, 15]]), wavelet, np.array([[25, 5]]), 60)
-    assert np.allclose(both[1], one[0])
-    assert not model(medium, dt, np.array([[10, 10]]), np.zeros(5), np.array([[5, 5]]), 30).any()
-
-
-@pytest.mark.parametrize("extra", [{"density": np.full((24, 24), 2.0)}, {"epsilon": np.full((24, 24), 0.1), "delta": np.full((24, 24), 0.05)}])
-def test_other_media_are_stable(extra):
-    medium = Medium(np.full((24, 24), 2000.0), 10.0, **extra)
-    dt = 0.4 * medium.stable_dt()
-    data = model(medium, dt, np.array([[12, 12]]), wavelets.ricker(41, dt, 15.0) / wavelets.GAIN, np.array([[6, 12]]), 200)
-    assert np.isfinite(data).all() and 0 < np.abs(data).max() < 1e3
-
-
-def test_image_of_a_scatterer():
-    """The stacked image of a single reflector peaks within a few cells of it."""
-    velocity = np.full(120, 2000.0)
-    reflectivity = np.zeros(120)
-    reflectivity[70] = 1e-4
-    medium = Medium(velocity, 5.0)
-    dt = 0.5 * medium.stable_dt()
-    wavelet = wavelets.ricker(61, dt, 40.0)
-    places, receiver = np.array([[20], [24], [28]]), np.array([[22], [22], [22]])
-    data = model(medium, dt, places, wavelet, receiver, 500, reflectivity)
-    image, light = migrate(medium, dt, places, wavelet, receiver, data)
-    below = np.abs(image.sum(axis=0)[0][45:110])
-    assert abs(int(below.argmax()) + 45 - 70) <= 4 and (light >= 0).all()
-
-
-@pytest.mark.parametrize(("order", "dt"), [(4, 0.0), (5, 0.001)])
-def test_relaxations_fit_a_constant_quality_factor(order, dt):
-    from wavefold.plans import attenuation
-
-    fitted = attenuation.fit(1.0, 40.0, 13.0, order=order, dt=dt)
-    x = np.linspace(1.5, 38, 201) / 13.0
-    miss = attenuation.response(x, fitted, 2 * np.pi * 13.0 * dt) - attenuation.target(x)
-    assert np.abs(miss.real).max() < 0.15 and np.abs(miss.imag).max() < 0.15
+def test_lagrange_is_exact_for_polynomials_on_uneven_axes():
+    axis = np.array([0.0, 1.0, 2.5, 4.0, 4.5, 7.0, 10.0])
+    places = np.array([0.0, 0.3, 2.5, 3.3, 5.0, 9.0, 10.0, 11.0, -1.0])
+    for points, degree, inside in ((2, 1, slice(None)), (4, 3, slice(2, 5))):
+        m = kernels.lagrange_axis(axis, places, points)
+        assert np.allclose((m @ axis**degree)[inside], (places**degree)[inside])
+    assert np.allclose(kernels.lagrange_axis(axis, axis, 6), np.eye(7))
+
+
+def test_kernels_at_the_ends():
+    assert (kernels.weights(1, np.array([0.0, 5.0]), "lanczos", 4) == 1).all()
+    m = kernels.weights(10, np.array([-0.1, 0.0, 0.5, 4.5, 9.0, 9.1]), "lanczos", 4)
+    assert not m[[0, 5]].any() and np.allclose(m[1], np.eye(10)[0]) and np.allclose(m[4], np.eye(10)[9])
+    assert np.flatnonzero(np.abs(m[2]) > 1e-12).tolist() == [0, 1] and len(np.flatnonzero(np.abs(m[3]) > 1e-12)) == 8
 
 
 def test_image_filters(spark):

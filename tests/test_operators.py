@@ -33,6 +33,45 @@ def test_medians(spark):
     assert in_order(stencils.running_median(series(spark, x), ["k"], "i", "v", 2), "median") == [float(np.median(padded[i : i + 5])) for i in range(8)]
 
 
+def test_stencils_take_places_not_rows(spark):
+    """A gap in a line is a gap: the rows on either side of it are no neighbours."""
+    rows = spark.createDataFrame([(0, i, float(v)) for i, v in ((0, 1), (1, 2), (2, 4), (10, 8), (11, 16), (500, 3))], "k int, i int, v double")
+    assert in_order(stencils.box_mean(rows, ["k"], "i", "v", 1), "mean") == pytest.approx([4 / 3, 7 / 3, 3, 12, 12, 3])
+    one = [0, 0.8, -0.2, 4 / 105, -1 / 280]
+    x = np.zeros(520)
+    x[[0, 1, 2, 10, 11, 500]] = 1, 2, 4, 8, 16, 3
+    want = [sum(c * (x[i + k] - (x[i - k] if i >= k else 0)) for k, c in enumerate(one)) for i in (0, 1, 2, 10, 11, 500)]
+    assert in_order(stencils.derivative(rows, ["k"], "i", "v", "d"), "d") == pytest.approx(want)
+    fine = {r["fine"]: r["v"] for r in stencils.upsample(rows, ["k"], "i", "v").collect()}
+    assert fine[1] == 1.5 and fine[5] == 4 and fine[21] == 12 and fine[1001] == 3
+    assert stencils.weighted(rows, ["k"], "i", "v", [0.25, 0.5, 0.25], "s").filter("i = 2").first()["s"] == pytest.approx((0.25 * 2 + 0.5 * 4) / 0.75)
+
+
+def test_stencils_need_no_window(spark, capsys):
+    stencils.box_mean(series(spark, [1, 2, 3]), ["k"], "i", "v", 2).explain()
+    plan = capsys.readouterr().out
+    assert "Window" not in plan and "NestedLoop" not in plan
+
+
+def test_filters_of_volumes_equal_numpy(spark):
+    x = np.random.default_rng(3).normal(size=(5, 6, 4))
+    cells = spark.createDataFrame([(i, j, k, float(x[i, j, k])) for i in range(5) for j in range(6) for k in range(4)], "a int, b int, c int, v double")
+    want = x
+    for axis, half in ((1, 2), (0, 1), (2, 1)):
+        padded = np.pad(want, [(half, half) if n == axis else (0, 0) for n in range(3)], mode="edge")
+        want = np.stack([np.take(padded, range(i, i + want.shape[axis]), axis) for i in range(2 * half + 1)]).mean(axis=0)
+    got = stencils.along_axes(cells, [], ["a", "b", "c"], "v", [("b", stencils.mean_along("v", 2)), ("a", stencils.mean_along("v", 1)), ("c", stencils.mean_along("v", 1))])
+    assert all(r["v"] == pytest.approx(want[r["a"], r["b"], r["c"]]) for r in got.collect())
+    for accuracy in (2, 8, 16):
+        t = np.arange(-accuracy, accuracy + 1, dtype=float)
+        for second in (False, True):
+            c = stencils.differences(accuracy, second)
+            both = np.array([*((1 if second else -1) * v for v in c[:0:-1]), *c])
+            n = len(c) - 1
+            k = np.arange(-n, n + 1, dtype=float)
+            assert (both * k**2).sum() == pytest.approx(2 if second else 0, abs=1e-9) and (both * k).sum() == pytest.approx(0 if second else 1, abs=1e-9) and len(t)
+
+
 def test_lag_join_equals_loops(spark):
     rng = np.random.default_rng(1)
     a, b = rng.integers(1, 9, 20), rng.integers(1, 9, 20)
@@ -51,11 +90,100 @@ def test_lag_join_is_an_equi_join(spark, capsys):
     assert "NestedLoop" not in capsys.readouterr().out
 
 
-def test_bilinear_is_exact_for_planes(spark):
+def test_linear_lookups_are_exact_for_planes_and_keep_points_apart(spark):
     cells = spark.createDataFrame([(i, j, 2.0 * i - 3.0 * j) for i in range(5) for j in range(4)], "ix long, iy long, v double")
-    points = spark.createDataFrame([(0.5, 0.25), (3.9, 2.2), (-0.5, 3.5)], "x double, y double")
-    for r in lookups.bilinear(points, cells, "x", "y", (5, 4), "v").collect():
-        assert r["v"] == pytest.approx(2 * r["x"] - 3 * r["y"])
+    places = [(0.5, 0.25), (3.9, 2.2), (-0.5, 3.5), (0.5, 0.25), (4.0, 3.0)]
+    points = spark.createDataFrame([(k, *p) for k, p in enumerate(places)], "id int, x double, y double")
+    got = {r["id"]: r["v"] for r in lookups.bilinear(points, ["id"], cells, "x", "y", (5, 4), "v").collect()}
+    assert got == pytest.approx({k: 2 * x - 3 * y for k, (x, y) in enumerate(places)})
+    clamped = lookups.linear(points, ["id"], {"ix": "x", "iy": "y"}, {"ix": 5, "iy": 4}, cells, "v", clamp=True)
+    assert {r["id"]: r["v"] for r in clamped.collect()} == pytest.approx({k: 2 * min(max(x, 0), 4) - 3 * min(max(y, 0), 3) for k, (x, y) in enumerate(places)})
+    holed = lookups.bilinear(points, ["id"], cells.filter("ix <> 1"), "x", "y", (5, 4), "v")
+    assert {r["id"] for r in holed.filter("v IS NULL").collect()} == {0, 2, 3}
+    assert lookups.bilinear(points.limit(0), ["id"], cells, "x", "y", (5, 4), "v").count() == 0
+
+
+def test_regrid_keeps_planes_and_slowness(spark):
+    source, target = {"a": (0.0, 2.0, 4), "b": (1.0, 1.0, 1), "c": (0.0, 1.0, 3)}, {"a": (-1.0, 1.0, 9), "b": (0.0, 1.0, 2), "c": (0.0, 0.5, 5)}
+    cells = spark.createDataFrame([(i, 0, k, 1 / (10.0 + i + 5 * k)) for i in range(4) for k in range(3)], "a long, b long, c long, v double")
+    got = lookups.regrid(cells, source, target, "v", reciprocal=True).collect()
+    assert len(got) == 90
+    assert all(1 / r["v"] == pytest.approx(10 + min(max((r["a"] - 1) / 2, 0), 3) + 5 * r["c"] * 0.5) for r in got)
+
+
+def test_layered_velocity_keeps_the_time(spark):
+    cells = spark.createDataFrame([(i, z, 1000.0 + 100 * z) for i in range(3) for z in range(6)], "ix long, z long, v double")
+    points = spark.createDataFrame([(7, 0.4), (8, 5.0)], "id int, x double")
+    rows = lookups.layered(cells, points, ["id"], {"ix": "x"}, {"ix": 3}, "z", 10.0, 25.0, "v").collect()
+    time = sum(10 / (1000.0 + 100 * z) for z in range(6))
+    for i in (7, 8):
+        assert sum(r["covered"] / r["v"] for r in rows if r["id"] == i) == pytest.approx(time)
+
+
+def test_vectors(spark):
+    from pyspark.sql import functions as F
+
+    from wavefold.operators import vectors
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(40, 7)) * 3
+    x[0, :6] = 0
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id int, a0 double, a1 double, a2 double, b0 double, b1 double, b2 double, angle double")
+    a, b = (tuple(F.col(f"{n}{k}") for k in range(3)) for n in "ab")
+    turned = vectors.rotate(a, b, F.col("angle") * 40)
+    out = df.select("id", F.array(*vectors.cross(a, b)).alias("cross"), F.array(*vectors.project(a, b)).alias("project"), F.array(*turned).alias("turned"), vectors.norm(turned).alias("long"))
+    for r in out.collect():
+        u, v, angle = x[r["id"], :3], x[r["id"], 3:6], np.radians(x[r["id"], 6] * 40)
+        assert np.allclose(r["cross"], np.cross(u, v)) and r["long"] == pytest.approx(np.linalg.norm(u))
+        n = v / np.linalg.norm(v) if v.any() else v
+        assert np.allclose(r["project"], n * (u @ n)) and np.allclose(r["turned"], u * np.cos(angle) + np.cross(n, u) * np.sin(angle) + n * (n @ u) * (1 - np.cos(angle)))
+
+
+def test_surveys_delays_and_templates(spark):
+    from pyspark.sql import functions as F
+
+    from wavefold.operators import frames
+
+    s = frames.survey([(0.0, 0.0, 1, 1), (300.0, 400.0, 11, 1), (-80.0, 60.0, 1, 5)])
+    assert s.spacing == (50.0, 25.0)
+    with pytest.raises(ValueError, match="corners"):
+        frames.survey([(0.0, 0.0, 1, 1), (-80.0, 60.0, 1, 5), (300.0, 400.0, 11, 1)])
+    x, y = frames.place_of_lines(F.lit(4), F.lit(3), s)
+    assert spark.range(1).select(*frames.lines_of_place(x, y, s)).first() == (4, 3)
+    lines = spark.createDataFrame([("# all",), ("",), ("7  1.5 2 0.25 3 4 0.5 # two",), ("8",)], "t string")
+    assert [tuple(r) for r in frames.parse_delays(lines, "t").collect()] == [(7, None, 1.5, 2.0, 0.25), (7, None, 3.0, 4.0, 0.5)]
+    with pytest.raises(Exception, match="not a delay line"):
+        frames.parse_delays(spark.createDataFrame([("7 1 2",)], "t string"), "t").collect()
+    data = spark.createDataFrame([(1, 3, "c"), (1, 2, "b")], "shot int, r int, d string")
+    template = spark.createDataFrame([(1, 8, 80), (1, 9, 90)], "shot int, r int, h int")
+    assert {(r["r"], r["d"], r["h"]) for r in frames.with_template(data, template, ["shot"], ["r"], ["h"]).collect()} == {(2, "b", 80), (3, "c", 90)}
+    with pytest.raises(Exception, match="counts"):
+        frames.with_template(data, template.limit(1), ["shot"], ["r"], ["h"]).collect()
+
+
+def test_stored_shots_are_read_by_bucket(spark, tmp_path, capsys):
+    from wavefold.sources.tables import extract_shots, store_shots
+
+    traces = spark.range(500).selectExpr("id % 50 AS shot", "id AS trace")
+    store_shots(traces, f"{tmp_path}/shots", "shot", 8)
+    some = extract_shots(spark, f"{tmp_path}/shots", "shot", [3, 17], 8)
+    assert sorted(r["trace"] for r in some.collect()) == sorted(i for i in range(500) if i % 50 in (3, 17))
+    some.explain("formatted")
+    assert "PartitionFilters: [isnotnull(bucket" in capsys.readouterr().out.replace("PartitionFilters: [bucket", "PartitionFilters: [isnotnull(bucket")
+    assert extract_shots(spark, f"{tmp_path}/shots", "shot").count() == 500
+
+
+def test_tapers_and_cones(spark):
+    from pyspark.sql import functions as F
+
+    from wavefold.operators import tapers
+
+    i = F.col("id")
+    rows = spark.range(9).select("id", tapers.edges(i, 9, 3).alias("e"), tapers.boundary(i, 9, 2, 0.8).alias("b"), tapers.smooth_step(i / 8).alias("s"), reductions.cone_weight(i, F.lit(3.0)).alias("c"), reductions.cone_weight(i, F.lit(-1.0)).alias("none")).orderBy("id").collect()
+    assert [r["e"] for r in rows] == pytest.approx([0, 0.25, 0.75, 1, 1, 1, 0.75, 0.25, 0])
+    assert [r["b"] for r in rows] == pytest.approx([0.8, 0.9, 1, 1, 1, 1, 1, 0.9, 0.8])
+    assert rows[0]["s"] == 0 and rows[4]["s"] == pytest.approx(0.5) and rows[8]["s"] == 1
+    assert [r["c"] for r in rows] == pytest.approx([1, 1, 1, 1, 0.75, 0.25, 0, 0, 0]) and not any(r["none"] for r in rows)
 
 
 def test_mirror_is_odd(spark):
@@ -116,8 +244,8 @@ def test_scatter_is_the_adjoint_of_gather(spark, half):
     cells = spark.createDataFrame([(i, float(v)) for i, v in enumerate(rng.normal(size=50))], "ix long, v double")
     a = {r["id"]: r["a"] for r in places.collect()}
     v = {r["ix"]: r["v"] for r in cells.collect()}
-    one = sum(r["v"] * a[r["id"]] for r in lookups.gather(places, ["id"], "x", cells, "v", half).collect())
-    two = sum(r["added"] * v[r["ix"]] for r in lookups.scatter(places, "x", "a", half).collect())
+    one = sum(r["v"] * a[r["id"]] for r in lookups.gather(places, ["id"], {"ix": "x"}, cells, "v", half).collect())
+    two = sum(r["added"] * v[r["ix"]] for r in lookups.scatter(places, {"ix": "x"}, "a", half).collect())
     assert one == pytest.approx(two)
 
 

@@ -26,13 +26,28 @@ def lagrange(x: np.ndarray, half: int) -> np.ndarray:
 KERNELS = {"lanczos": lanczos, "linear": linear, "lagrange": lagrange}
 
 
-def weights(n: int, places: np.ndarray, kernel: str, half: int) -> np.ndarray:
-    """A row for each place (in samples) with the weights of the n samples; zero for a place beyond them. Near the ends the kernel narrows, so that it stays inside."""
+def weights(n: int, places: np.ndarray, kernel: str, half: int, narrow: bool = True) -> np.ndarray:
+    """A row for each place (in samples) with the weights of the n samples, which are those of the kernel as they are; zero for a place beyond them. Near the ends the kernel narrows, so that it stays inside, or with narrow=False is cut. One sample alone holds everywhere."""
+    if n == 1:
+        return np.ones((len(places), 1))
     at = np.arange(n)
     out = np.zeros((len(places), n))
     for i, p in enumerate(places):
         if 0 <= p <= n - 1:
-            room = int(min(half, max(1, np.floor(p) + 1), max(1, n - 1 - np.floor(p))))
-            row = KERNELS[kernel](at - p, room)
-            out[i] = row / row.sum() if kernel == "lanczos" else row
+            base = min(n - 2, int(np.floor(p)))
+            out[i] = KERNELS[kernel](at - p, min(half, min(base, n - 2 - base) + 1) if narrow else half)
+    return out
+
+
+def lagrange_axis(axis: np.ndarray, places: np.ndarray, points: int) -> np.ndarray:
+    """A row for each place with the weights of the samples of an uneven, ascending axis: the polynomial through the `points` around it, fewer near the ends; beyond the ends the straight line through the last two."""
+    n = len(axis)
+    out = np.zeros((len(places), n))
+    for i, p in enumerate(places):
+        base = int(np.clip(np.searchsorted(axis, p, side="right") - 1, 0, max(0, n - 2)))
+        room = 1 if p < axis[0] or p > axis[-1] else min(points // 2, base + 1, n - 1 - base)
+        used = np.arange(base - room + 1, base + room + 1) if n > 1 else np.array([0])
+        for j in used:
+            others = used[used != j]
+            out[i, j] = np.prod((p - axis[others]) / (axis[j] - axis[others]))
     return out

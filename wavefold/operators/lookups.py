@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -13,22 +13,73 @@ def lag_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, half
     return spread.join(other, [*keys, "__at"]).groupBy(*keys, "lag").agg(F.sum(F.col("__a") * F.col("__b")).alias("correlation"), F.count(F.lit(1)).alias("n"))
 
 
-def bilinear(points: DataFrame, cells: DataFrame, x: str, y: str, shape: tuple[int, int], value: str) -> DataFrame:
-    """Values at points between cells (ix, iy). The base cell is clamped into the grid while the fraction is not, so that points outside extrapolate."""
-    nx, ny = shape
-    base = {n: F.least(F.greatest(F.floor(c), F.lit(0)), F.lit(k - 2)) for n, c, k in (("__i", x, nx), ("__j", y, ny))}
-    corners = [F.struct((F.col("__i") + i).alias("ix"), (F.col("__j") + j).alias("iy"), ((F.col("__fx") if i else 1 - F.col("__fx")) * (F.col("__fy") if j else 1 - F.col("__fy"))).alias("w")) for i in (0, 1) for j in (0, 1)]
-    based = points.withColumns(base).withColumns({"__fx": F.col(x) - F.col("__i"), "__fy": F.col(y) - F.col("__j")})
-    spread = based.select(*points.columns, F.explode(F.array(*corners)).alias("__c")).select(*points.columns, F.col("__c.ix").alias("ix"), F.col("__c.iy").alias("iy"), F.col("__c.w").alias("__w"))
-    return spread.join(cells.select("ix", "iy", F.col(value).alias("__v")), ["ix", "iy"]).groupBy(*points.columns).agg(F.sum(F.col("__w") * F.col("__v")).alias(value))
-
-
-def interval_average(cells: DataFrame, low: Column, high: Column, value: Column, width: float) -> DataFrame:
-    """Length-weighted averages of cells [low, high) over bins of the given width: each cell is spread over the bins it overlaps."""
-    spread = cells.select(low.alias("lo"), high.alias("hi"), value.alias("v")).filter(F.col("hi") > F.col("lo"))
+def linear(points: DataFrame, keys: list[str], at: dict[str, str], shape: dict[str, int], cells: DataFrame, value: str, clamp: bool = False, reciprocal: bool = False) -> DataFrame:
+    """(keys, value) at points between cells, linear along every axis. at: cell index to point column; shape: how many places each axis has; keys: what tells points apart, repeated points too.
+
+    The base cell is clamped into the grid while the fraction is not, so that points outside extrapolate; with clamp they take the nearest edge. With reciprocal 1 / value is interpolated. An axis of
+    one place is constant. A point of which a corner with a weight is not there has no value (null).
+    """
+    based, corners = points, [[]]
+    for index, c in at.items():
+        n = shape[index]
+        x = F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(n - 1.0)) if clamp else F.col(c)
+        based = based.withColumn(f"__i_{index}", F.least(F.greatest(F.floor(x), F.lit(0)), F.lit(max(0, n - 2))).cast("bigint")).withColumn(f"__f_{index}", x - F.col(f"__i_{index}") if n > 1 else F.lit(0.0))
+        corners = [[*corner, (index, k)] for corner in corners for k in (0, 1)[: min(2, n)]]
+    places = []
+    for corner in corners:
+        weight = F.lit(1.0)
+        for index, k in corner:
+            weight = weight * (F.col(f"__f_{index}") if k else 1 - F.col(f"__f_{index}"))
+        places.append(F.struct(*((F.col(f"__i_{index}") + k).alias(index) for index, k in corner), weight.alias("__w")))
+    spread = based.select(*keys, F.explode(F.array(*places)).alias("__c")).select(*keys, "__c.*").filter("__w != 0")
+    found = spread.join(cells.select(*(F.col(i).cast("bigint").alias(i) for i in at), (1 / F.col(value) if reciprocal else F.col(value)).alias("__v")), list(at), "left")
+    total = F.when(F.count_if(F.col("__v").isNull()) == 0, F.sum(F.col("__w") * F.col("__v")))
+    return found.groupBy(*keys).agg((1 / total if reciprocal else total).alias(value))
+
+
+def bilinear(points: DataFrame, keys: list[str], cells: DataFrame, x: str, y: str, shape: tuple[int, int], value: str) -> DataFrame:
+    """Values at points between cells (ix, iy)."""
+    return linear(points, keys, {"ix": x, "iy": y}, {"ix": shape[0], "iy": shape[1]}, cells, value)
+
+
+def nodes(spark: SparkSession, axes: dict[str, tuple[float, float, int]]) -> DataFrame:
+    """All places of a regular grid: an index and a coordinate x_<index> for each axis (name: origin, step, count)."""
+    count = 1
+    for _, _, n in axes.values():
+        count *= n
+    out, below = spark.range(count), 1
+    for index, (origin, step, n) in axes.items():
+        i = F.pmod(F.floor(F.col("id") / below), F.lit(n)).cast("bigint")
+        out = out.withColumn(index, i).withColumn(f"x_{index}", origin + i * step)
+        below *= n
+    return out.drop("id")
+
+
+def regrid(cells: DataFrame, source: dict[str, tuple[float, float, int]], target: dict[str, tuple[float, float, int]], value: str, reciprocal: bool = False, clamp: bool = True) -> DataFrame:
+    """Values of a volume at the places of another grid, edges clamped; axes as (origin, step, count). With reciprocal the slowness of velocities is interpolated."""
+    grid = nodes(cells.sparkSession, target)
+    points = grid.select(*target, *(((F.col(f"x_{a}") - source[a][0]) / source[a][1]).alias(f"__at_{a}") for a in source)).select(*(F.col(a).alias(f"__to_{a}") for a in target), *(f"__at_{a}" for a in source))
+    out = linear(points, [f"__to_{a}" for a in target], {a: f"__at_{a}" for a in source}, {a: n for a, (_, _, n) in source.items()}, cells, value, clamp, reciprocal)
+    return out.select(*(F.col(f"__to_{a}").alias(a) for a in target), value)
+
+
+def interval_average(cells: DataFrame, low: Column, high: Column, value: Column, width: float, keys: list[str] | None = None) -> DataFrame:
+    """Length-weighted averages of cells [low, high) over bins of the given width, within keys: each cell is spread over the bins it overlaps."""
+    keys = keys or []
+    spread = cells.select(*keys, low.alias("lo"), high.alias("hi"), value.alias("v")).filter(F.col("hi") > F.col("lo"))
     spread = spread.withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") / width), F.ceil(F.col("hi") / width) - 1)))
     length = F.least(F.col("hi"), (F.col("bin") + 1) * F.lit(width)) - F.greatest(F.col("lo"), F.col("bin") * F.lit(width))
-    return spread.withColumn("length", length).groupBy("bin").agg((F.sum(F.col("length") * F.col("v")) / F.sum("length")).alias("average"), F.sum("length").alias("covered"))
+    return spread.withColumn("length", length).groupBy(*keys, "bin").agg((F.sum(F.col("length") * F.col("v")) / F.sum("length")).alias("average"), F.sum("length").alias("covered"))
+
+
+def layered(cells: DataFrame, points: DataFrame, keys: list[str], at: dict[str, str], shape: dict[str, int], depth: str, thickness: float, width: float, velocity: str) -> DataFrame:
+    """(keys, bin, velocity): at each point the columns of a velocity model, laterally linear and of mean slowness over depth bins of the given width. Every depth of the model is looked up, then overlapped with the bins."""
+    depths = cells.select(F.col(depth).alias("__depth")).distinct()
+    asked = points.crossJoin(F.broadcast(depths))  # as many as the model has depths
+    there = cells.withColumn("__depth", F.col(depth))
+    looked = linear(asked.withColumn("__z", F.col("__depth").cast("double")), [*keys, "__depth"], {**at, depth: "__z"}, {**shape, depth: 2**31}, there, velocity, clamp=True, reciprocal=True)
+    out = interval_average(looked.filter(F.col(velocity).isNotNull()), F.col("__depth") * thickness, (F.col("__depth") + 1) * thickness, 1 / F.col(velocity), width, keys)
+    return out.select(*keys, "bin", (1 / F.col("average")).alias(velocity), "covered")
 
 
 def as_of(rows: DataFrame, keys: list[str], at: str, table: DataFrame, table_at: str, columns: list[str]) -> DataFrame:
@@ -65,27 +116,36 @@ def mismatches(a: DataFrame, b: DataFrame, keys: list[str], value: str, toleranc
     return joined.select(*keys, F.col(value).alias("a"), F.col("__b").alias("b"), off.alias("relative")).filter(F.col("relative") > tolerance)
 
 
-def spread_weights(places: DataFrame, x: str, half: int) -> DataFrame:
-    """Each place with the cells (ix) it touches and their weights (w): linear for half 1, a windowed sinc over 2 half cells beyond that."""
+def spread_weights(places: DataFrame, x: str, half: int, index: str = "ix", weight: str = "w") -> DataFrame:
+    """Each place with the cells (index) it touches along an axis and their weights: linear for half 1, a windowed sinc over 2 half cells beyond that. A weight that is there already is multiplied by it."""
     base = F.floor(x)
     cells = F.transform(F.sequence(F.lit(1 - half), F.lit(half)), lambda k: (base + k).cast("bigint"))
 
-    def weight(ix: Column) -> Column:
+    def one(ix: Column) -> Column:
         t = F.abs(F.col(x) - ix)
         if half == 1:
             return 1 - t
         a, b = t * 3.141592653589793, t * (3.141592653589793 / half)
         return F.when(t < 1e-9, 1.0).otherwise(F.sin(a) / a * F.sin(b) / b)
 
-    touched = F.transform(cells, lambda ix: F.struct(ix.alias("ix"), weight(ix).alias("w")))
-    return places.withColumn("__t", F.explode(touched)).withColumns({"ix": F.col("__t.ix"), "w": F.col("__t.w")}).drop("__t")
+    touched = F.transform(cells, lambda ix: F.struct(ix.alias("ix"), one(ix).alias("w")))
+    own = F.col("__t.w") * F.col(weight) if weight in places.columns else F.col("__t.w")
+    return places.withColumn("__t", F.explode(touched)).withColumns({index: F.col("__t.ix"), weight: own}).drop("__t")
+
+
+def spread_axes(places: DataFrame, at: dict[str, str], half: int) -> DataFrame:
+    """spread_weights() along several axes (cell index to column), weights multiplied."""
+    for index, x in at.items():
+        places = spread_weights(places, x, half, index)
+    return places
 
 
-def gather(receivers: DataFrame, keys: list[str], x: str, cells: DataFrame, value: str, half: int = 1) -> DataFrame:
-    """A field's value at each receiver: the weighted sum of the cells it touches; cells that are not there count as zero."""
-    return spread_weights(receivers, x, half).join(cells.select("ix", value), "ix", "left").groupBy(*keys).agg(F.sum(F.col("w") * F.coalesce(F.col(value), F.lit(0))).alias(value))
+def gather(receivers: DataFrame, keys: list[str], at: dict[str, str], cells: DataFrame, value: str, half: int = 1) -> DataFrame:
+    """A field's value at each receiver: the weighted sum of the cells it touches along all axes (cell index to column); cells that are not there count as zero. keys tell receivers apart, repeated places too."""
+    touched = spread_axes(receivers, at, half).select(*keys, *at, "w")
+    return touched.join(cells.select(*at, value), list(at), "left").groupBy(*keys).agg(F.sum(F.col("w") * F.coalesce(F.col(value), F.lit(0))).alias(value))
 
 
-def scatter(sources: DataFrame, x: str, amplitude: str, half: int = 1) -> DataFrame:
-    """What sources add to each cell (ix, added); the adjoint of gather, with partial sums before the shuffle."""
-    return spread_weights(sources, x, half).groupBy("ix").agg(F.sum(F.col("w") * F.col(amplitude)).alias("added"))
+def scatter(sources: DataFrame, at: dict[str, str], amplitude: str, half: int = 1) -> DataFrame:
+    """What sources add to each cell (indices, added); the adjoint of gather, with partial sums before the shuffle."""
+    return spread_axes(sources, at, half).groupBy(*at).agg(F.sum(F.col("w") * F.col(amplitude)).alias("added"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavefold.operators.stencils import box_mean, derivative
+from wavefold.operators import stencils
 
 
 def snap_to_grid(traces: DataFrame, x: str, value: str, step: float) -> DataFrame:
@@ -52,14 +52,13 @@ def step_squared(velocity: Column, dt: float) -> Column:
 def coarsen(cells: DataFrame, keys: list[str], order: str, velocity: str, ratio: int) -> DataFrame:
     """Every ratio-th place with the mean slowness around it, as velocity."""
     slow = cells.withColumn("__s", 1 / F.col(velocity))
-    mean = box_mean(slow, keys, order, "__s", ratio // 2)
+    mean = stencils.box_mean(slow, keys, order, "__s", ratio // 2)
     return mean.filter(F.pmod(F.col(order), F.lit(ratio)) == 0).select(*keys, order, (1 / F.col("mean")).alias(velocity))
 
 
 def laplacian(cells: DataFrame, ix: str, iz: str, value: str, dx: float, dz: float) -> DataFrame:
-    """Sum of the second differences along both axes, neighbours outside as zero."""
-    along = derivative(cells, [ix], iz, value, "__zz", second=True, step=dz)
-    return derivative(along, [iz], ix, value, "__xx", second=True, step=dx).withColumn("laplacian", F.col("__xx") + F.col("__zz")).drop("__xx", "__zz")
+    """Sum of the second differences along both axes, neighbours that are not there as zero."""
+    return stencils.laplacian(cells, [], {ix: dx, iz: dz}, value)
 
 
 def depth_power(value: Column, depth: Column, power: float) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,9 +50,54 @@ def profile(cells: DataFrame, depth: str, value: str) -> DataFrame:
     return cells.groupBy(depth).agg(F.min(value).alias("least"), F.max(value).alias("largest"), F.avg(value).alias("mean"))
 
 
-def stable_step(cells: DataFrame, velocity: Column, wavenumber: float, anisotropy: Column) -> DataFrame:
-    """The largest stable time step: the least over cells of 2 / (k v sqrt(anisotropy))."""
-    return cells.agg(F.min(2.0 / (wavenumber * velocity * F.sqrt(anisotropy))).alias("dt"))
+def stable_step(cells: DataFrame, wavenumber: float, speed: Column, anisotropy: Column | None = None, density: Column | None = None, attenuation: float = 1.0) -> DataFrame:
+    """The largest stable time step (dt): the least over cells of 2 / (k speed), over sqrt(anisotropy); with density the speed counts times its root, and the least root of all multiplies the step; attenuation rescales it."""
+    rate = speed if anisotropy is None else speed * F.sqrt(anisotropy)
+    if density is None:
+        return cells.agg((F.min(2.0 / (wavenumber * rate)) * attenuation).alias("dt"))
+    return cells.agg((F.min(2.0 / (wavenumber * rate * F.sqrt(density))) * F.sqrt(F.min(density)) * attenuation).alias("dt"))
+
+
+def attenuation_rescale(least_quality: float, top: float, reference: float) -> float:
+    """What the step is multiplied by for the strongest attenuation, from the smallest quality factor."""
+    return 1 - (3 + 2 / math.pi * math.log(top / reference)) / least_quality
+
+
+def anisotropic_rate(velocity: Column, epsilon: Column, delta: Column, steps: tuple[float, ...], axis: tuple[Column, Column] | None = None) -> Column:
+    """The fastest of the modes of a cell: over all choices of axes of velocity sqrt((t + sqrt(t t - 8 (e - d) h v)) / 2), t = (1 + 2 e) h + v, h and v the squared wavenumbers across and along the symmetry axis.
+
+    steps: dx, dz or dx, dy, dz. axis: horizontal parts of a tilted symmetry axis.
+    """
+    inverse = [F.lit(1.0 / s) for s in steps]
+    kx, ky, kz = (inverse[0], F.lit(0.0), inverse[1]) if len(steps) == 2 else inverse
+    if axis is not None:
+        x, y = axis
+        sine = F.sqrt(x * x + y * y)
+        cosine = F.sqrt(F.greatest(1 - sine * sine, F.lit(0.0)))
+        cos_phi, sin_phi = F.when(sine > 1e-15, -x / sine).otherwise(1.0), F.when(sine > 1e-15, -y / sine).otherwise(0.0)
+        kx, ky, kz = cos_phi * cosine * kx + sin_phi * cosine * ky - sine * kz, (-sin_phi * kx + cos_phi * ky) if len(steps) == 3 else F.lit(0.0), cos_phi * sine * kx + sin_phi * sine * ky + cosine * kz
+    squares, modes = [k * k for k in (kz, kx, ky)], []
+    for choice in range(1, 8 if len(steps) == 3 else 4):
+        v = squares[0] if choice & 1 else F.lit(0.0)
+        h = sum((squares[i] for i in (1, 2) if choice >> i & 1), F.lit(0.0))
+        t = (1 + 2 * epsilon) * h + v
+        modes.append(F.sqrt((t + F.sqrt(F.greatest(t * t - 8 * (epsilon - delta) * h * v, F.lit(0.0)))) / 2))
+    return velocity * F.greatest(*modes)
+
+
+def least_between(cells: DataFrame, depth: str, value: str, low: Column, high: Column) -> DataFrame:
+    """The least value over a range of depths (ends included), and how many cells it has; the range must lie inside the model to mean all of it."""
+    return cells.filter(F.col(depth).between(low, high)).agg(F.min(value).alias("least"), F.count(F.lit(1)).alias("n"))
+
+
+def surface_and_least(cells: DataFrame, depth: str, surface: int, value: str) -> DataFrame:
+    """The mean value at the surface's depth and the least of all, in one pass."""
+    return cells.agg(F.avg(F.when(F.col(depth) == surface, F.col(value))).alias("at_surface"), F.min(value).alias("least"))
+
+
+def mean_and_deviation(cells: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Mean and population deviation."""
+    return cells.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"))
 
 
 def checks(cells: DataFrame, columns: list[str], least: float) -> DataFrame:
@@ -64,14 +111,23 @@ def checks(cells: DataFrame, columns: list[str], least: float) -> DataFrame:
     return one.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def cone_weight(depth: Column, offset: Column, table: list[tuple[float, float]], taper: float) -> Column:
-    """1 inside the cone, a cosine outside it over the taper, then 0. table: depth and radius, ascending; straight between entries and beyond them."""
+def cone_radius(depth: Column, table: list[tuple[float, float]]) -> Column:
+    """The radius of a cone at a depth. table: depth and radius, ascending; straight between entries and beyond them."""
     radius = None
     for (z0, r0), (z1, r1) in reversed(list(zip(table, table[1:], strict=False))):
         line = r0 + (depth - z0) * ((r1 - r0) / (z1 - z0))
-        radius = line if radius is None else F.when(depth < z1, line).otherwise(radius)
-    beyond = (offset - radius) / taper
-    return F.when(beyond <= 0, 1.0).when(beyond >= 1, 0.0).otherwise(0.5 + 0.5 * F.cos(beyond * 3.141592653589793))
+        radius = line if radius is None else F.when(depth <= z1, line).otherwise(radius)
+    return radius
+
+
+def cone_angle_radius(depth: Column, degrees: float, least: float) -> Column:
+    return depth * math.tan(math.radians(degrees)) + least
+
+
+def cone_weight(offset: Column, radius: Column) -> Column:
+    """1 inside the cone, a cosine from there down to 0 at twice its radius; 0 all over where there is no cone (a radius of 0 or less)."""
+    beyond = (offset - radius) / radius
+    return F.when(offset <= radius, 1.0).when((radius <= 0) | (beyond > 1), 0.0).otherwise(0.5 * (1 + F.cos(beyond * math.pi)))
 
 
 def vti_scale(epsilon: Column, delta: Column, h: Column, z: Column) -> Column:

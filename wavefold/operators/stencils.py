@@ -1,72 +1,153 @@
-"""Sliding means, medians, weighted sums and derivatives along an ordered axis, each with its own rule for edges."""
+"""Sliding means, medians, weighted sums and derivatives along an axis of numbered places.
+
+A neighbour is the row at the place so many steps away, matched by equality, not the next row there is: each
+row is spread to the places that it is a neighbour of, and what meets at a place is aggregated. There is no
+window over a whole line, so the work of a long line, or of few lines, is dealt to all tasks.
+
+Places beyond the first and the last row of a line repeat that row, where edges are said to be repeated. A place
+missing within a line is left out of means, medians and weighted sums (weights are those of the rest), and
+counts as zero in derivatives. Places without a row of their own have no result.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from collections.abc import Callable
+from math import factorial
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def axis(keys: list[str], order: str) -> WindowSpec:
-    return Window.partitionBy(*keys).orderBy(order)
+def around(rows: DataFrame, keys: list[str], order: str, value: str, half: int) -> DataFrame:
+    """A row (keys, order, __k, __v) for each place and its neighbours __k steps away, from -half to half, edges repeated. Rows of one place must not be repeated."""
+    span = rows.groupBy(*keys).agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
+    at = F.col(order)
+    put = lambda place, k: F.struct(place.cast("bigint").alias("place"), k.cast("int").alias("k"))
+    inside = F.filter(F.transform(F.sequence(F.lit(-half), F.lit(half)), lambda k: put(at - k, k)), lambda t: t["place"].between(F.col("__lo"), F.col("__hi")))
+    # The first row stands for what is before it at the places up to half - 1 after it, and the last one likewise.
+    before = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(half - 1)), lambda d: F.transform(F.sequence(F.lit(-half), -d - 1), lambda k: put(at + d, k)))) if half else F.array()
+    after = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(half - 1)), lambda d: F.transform(F.sequence(d + 1, F.lit(half)), lambda k: put(at - d, k)))) if half else F.array()
+    within = lambda x: F.filter(x, lambda t: t["place"].between(F.col("__lo"), F.col("__hi")))
+    parts = [inside] if not half else [inside, F.when(at == F.col("__lo"), within(before)).otherwise(F.slice(within(before), 1, 0)), F.when(at == F.col("__hi"), within(after)).otherwise(F.slice(within(after), 1, 0))]
+    joined = rows.select(*keys, order, value).join(span, keys) if keys else rows.select(order, value).crossJoin(F.broadcast(span))
+    return joined.select(*keys, F.col(value).alias("__v"), F.explode(F.concat(*parts)).alias("__t")).select(*keys, F.col("__t.place").cast(rows.schema[order].dataType).alias(order), F.col("__t.k").alias("__k"), "__v")
 
 
-def box_mean(rows: DataFrame, keys: list[str], order: str, value: str, half: int) -> DataFrame:
-    """Mean over 2 half + 1 places, edges repeated: what is missing before the first or after the last row counts as that row."""
-    w, whole = axis(keys, order), Window.partitionBy(*keys)
-    nth, n = F.row_number().over(w), F.count(F.lit(1)).over(whole)
-    inside = F.sum(value).over(w.rowsBetween(-half, half))
-    first, last = F.min_by(value, order).over(whole), F.max_by(value, order).over(whole)
-    before, after = F.greatest(half - nth + 1, F.lit(0)), F.greatest(nth + half - n, F.lit(0))
-    return rows.withColumn("mean", (inside + before * first + after * last) / (2 * half + 1))
+def _at_places(rows: DataFrame, keys: list[str], order: str, value: str, half: int, result: Column, name: str) -> DataFrame:
+    """(keys, order, value, name) at the places that have a row."""
+    own = F.max(F.when(F.col("__k") == 0, F.col("__v"))).alias(value)
+    return around(rows, keys, order, value, half).groupBy(*keys, order).agg(own, F.count_if(F.col("__k") == 0).alias("__own"), result.alias(name)).filter("__own > 0").drop("__own")
 
 
-def neighbours(value: str, w: WindowSpec, half: int) -> list[Column]:
-    """The values from half places before to half after; one outside is the place's own value for half 1, else the nearest inside."""
-    near: dict[int, Column] = {0: F.col(value)}
-    for k in range(1, half + 1):
-        near[-k] = F.coalesce(F.lag(value, k).over(w), near[1 - k])
-        near[k] = F.coalesce(F.lead(value, k).over(w), near[k - 1])
-    return [near[k] for k in range(-half, half + 1)]
+def box_mean(rows: DataFrame, keys: list[str], order: str, value: str, half: int, name: str = "mean") -> DataFrame:
+    """Mean over 2 half + 1 places, edges repeated."""
+    return _at_places(rows, keys, order, value, half, F.avg("__v"), name)
 
 
-def median3(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """Median of three as sum less extremes; end points stay."""
-    a, b, c = neighbours(value, axis(keys, order), 1)
-    return rows.withColumn("median", a + b + c - F.greatest(a, b, c) - F.least(a, b, c))
+def running_median(rows: DataFrame, keys: list[str], order: str, value: str, half: int, name: str = "median") -> DataFrame:
+    """Median of 2 half + 1 places, edges repeated; of an even number the lower of the two in the middle. With half 1 the end points stay."""
+    return _at_places(rows, keys, order, value, half, F.element_at(F.array_sort(F.collect_list("__v")), F.ceil(F.count("__v") / 2).cast("int")), name)
 
 
-def running_median(rows: DataFrame, keys: list[str], order: str, value: str, half: int) -> DataFrame:
-    """Median of 2 half + 1 places, edges repeated."""
-    return rows.withColumn("median", F.element_at(F.array_sort(F.array(*neighbours(value, axis(keys, order), half))), half + 1))
+def median3(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    return running_median(rows, keys, order, value, 1)
 
 
 def weighted(rows: DataFrame, keys: list[str], order: str, value: str, weights: list[float], name: str) -> DataFrame:
-    """Weighted sum of a place and its neighbours, edges repeated; weights go from the one before to the one after."""
+    """Weighted mean of a place and its neighbours, edges repeated; weights go from the one before to the one after."""
     half = len(weights) // 2
-    total = None
-    for weight, x in zip(weights, neighbours(value, axis(keys, order), half), strict=True):
-        total = weight * x if total is None else total + weight * x
-    return rows.withColumn(name, total)
+    weight = F.element_at(F.array(*map(F.lit, weights)), F.col("__k") + half + 1)
+    return _at_places(rows, keys, order, value, half, F.sum(weight * F.col("__v")) / F.sum(F.when(F.col("__v").isNotNull(), weight)) * sum(weights), name)
+
+
+def along_axes(cells: DataFrame, keys: list[str], axes: list[str], value: str, steps: list[tuple[str, Callable[[DataFrame, list[str], str], DataFrame]]]) -> DataFrame:
+    """Filters one after another, each along one axis of cells (keys, axes, value): (axis, function of cells, keys of a line and axis that gives a column "filtered")."""
+    for axis, step in steps:
+        lines = [*keys, *(a for a in axes if a != axis)]
+        cells = step(cells.select(*keys, *axes, value), lines, axis).select(*keys, *axes, F.col("filtered").alias(value))
+    return cells
+
+
+#: Weights of common smoothing filters.
+SMOOTH_3, MEAN_3, QUARTERS, SMOOTH_5 = [0.2, 0.6, 0.2], [1 / 3, 1 / 3, 1 / 3], [0.25, 0.5, 0.25], [0.04, 0.16, 0.6, 0.16, 0.04]
+
+
+def mean_along(value: str, half: int) -> Callable[[DataFrame, list[str], str], DataFrame]:
+    return lambda cells, keys, axis: box_mean(cells, keys, axis, value, half, "filtered")
+
+
+def median_along(value: str, half: int = 1) -> Callable[[DataFrame, list[str], str], DataFrame]:
+    return lambda cells, keys, axis: running_median(cells, keys, axis, value, half, "filtered")
+
+
+def weighted_along(value: str, weights: list[float]) -> Callable[[DataFrame, list[str], str], DataFrame]:
+    return lambda cells, keys, axis: weighted(cells, keys, axis, value, weights, "filtered")
+
+
+def differences(order: int, second: bool) -> list[float]:
+    """Weights of the central difference of an even order for distances 0 to order / 2; those of the other side are the same, negated for a first difference."""
+    n = order // 2
+    common = [(-1) ** (k + 1) * factorial(n) ** 2 / (factorial(n - k) * factorial(n + k)) for k in range(1, n + 1)]
+    if second:
+        return [-2 * sum(1 / k**2 for k in range(1, n + 1)), *(2 * c / k**2 for k, c in enumerate(common, 1))]
+    return [0.0, *(c / k for k, c in enumerate(common, 1))]
+
+
+def derivative(rows: DataFrame, keys: list[str], order: str, value: str, name: str, second: bool = False, step: float = 1.0, accuracy: int = 8) -> DataFrame:
+    """(keys, order, value, name): central difference of the given order of accuracy; neighbours that are not there count as zero."""
+    one = differences(accuracy, second)
+    half = len(one) - 1
+    weights = [*((1 if second else -1) * c for c in one[:0:-1]), *one]
+    near = F.explode(F.transform(F.sequence(F.lit(-half), F.lit(half)), lambda k: F.struct((F.col(order) - k).alias("place"), k.alias("k"))))
+    spread = rows.select(*keys, F.col(value).alias("__v"), near.alias("__t")).select(*keys, F.col("__t.place").alias(order), F.col("__t.k").alias("__k"), "__v")
+    total = F.sum(F.element_at(F.array(*map(F.lit, weights)), F.col("__k") + half + 1) * F.col("__v")) / (step**2 if second else step)
+    met = spread.groupBy(*keys, order).agg(F.max(F.when(F.col("__k") == 0, F.col("__v"))).alias(value), F.count_if(F.col("__k") == 0).alias("__own"), total.alias(name))
+    return met.filter("__own > 0").drop("__own")
+
+
+def gradient(cells: DataFrame, keys: list[str], axes: dict[str, float], value: str, accuracy: int = 8) -> DataFrame:
+    """Cells with a column d_<axis> for each axis (name: step): the first differences along all axes."""
+    out = cells.select(*keys, *axes, value)
+    for axis, step in axes.items():
+        lines = [*keys, *(a for a in axes if a != axis)]
+        one = derivative(cells.select(*keys, *axes, value), lines, axis, value, f"d_{axis}", step=step, accuracy=accuracy).drop(value)
+        out = out.join(one, [*keys, *axes])
+    return out
 
 
-# Central differences of order 8, for distances 1 to 4.
-FIRST_8 = (4 / 5, -1 / 5, 4 / 105, -1 / 280)
-SECOND_8 = (8 / 5, -1 / 5, 8 / 315, -1 / 560)
-SECOND_8_CENTRE = -205 / 72
+def divergence(cells: DataFrame, keys: list[str], axes: dict[str, tuple[str, float]], name: str, accuracy: int = 8) -> DataFrame:
+    """The sum over axes (name: component, step) of each component's first difference along its axis."""
+    parts = None
+    for axis, (component, step) in axes.items():
+        lines = [*keys, *(a for a in axes if a != axis)]
+        one = derivative(cells.select(*keys, *axes, component), lines, axis, component, "__d", step=step, accuracy=accuracy).select(*keys, *axes, "__d")
+        parts = one if parts is None else parts.union(one)
+    return parts.groupBy(*keys, *axes).agg(F.sum("__d").alias(name))
 
 
-def derivative(rows: DataFrame, keys: list[str], order: str, value: str, name: str, second: bool = False, step: float = 1.0) -> DataFrame:
-    """Central difference of order 8; neighbours outside count as zero."""
-    w = axis(keys, order)
-    total = SECOND_8_CENTRE * F.col(value) if second else F.lit(0.0)
-    for k, c in enumerate(SECOND_8 if second else FIRST_8, 1):
-        a, b = F.lead(value, k, 0).over(w), F.lag(value, k, 0).over(w)
-        total = total + c * (a + b if second else a - b)
-    return rows.withColumn(name, total / step**2 if second else total / step)
+def laplacian(cells: DataFrame, keys: list[str], axes: dict[str, float], value: str, accuracy: int = 8) -> DataFrame:
+    """(keys, axes, laplacian): the sum of the second differences along all axes (name: step), neighbours that are not there as zero. Every cell is spread once to all places that it adds to."""
+    targets = []
+    for axis, step in axes.items():
+        one = differences(accuracy, True)
+        for k in range(1 - len(one), len(one)):
+            targets.append(F.struct(*((F.col(a) + (k if a == axis else 0)).alias(a) for a in axes), F.lit(one[abs(k)] / step**2).alias("__w"), F.lit(k == 0).alias("__is")))
+    spread = cells.select(*keys, F.col(value).alias("__v"), F.explode(F.array(*targets)).alias("__t")).select(*keys, "__v", "__t.*")
+    return spread.groupBy(*keys, *axes).agg(F.sum(F.col("__w") * F.col("__v")).alias("laplacian"), F.max("__is").alias("__own")).filter("__own").drop("__own")
 
 
 def upsample(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """Twice as many places: each, and its mean with the next; the last is repeated."""
-    following = rows.withColumn("__next", F.coalesce(F.lead(value).over(axis(keys, order)), F.col(value)))
-    halves = F.array(F.struct((2 * F.col(order)).alias("fine"), F.col(value).alias("v")), F.struct((2 * F.col(order) + 1).alias("fine"), ((F.col(value) + F.col("__next")) / 2).alias("v")))
-    return following.select(*keys, F.explode(halves).alias("h")).select(*keys, "h.fine", F.col("h.v").alias(value))
+    """Twice as many places: each, and its mean with the next place; where that has no row its own value is repeated."""
+    following = rows.select(*keys, (F.col(order) - 1).alias(order), F.col(value).alias("__next"))
+    halves = F.array(F.struct((2 * F.col(order)).alias("fine"), F.col(value).alias("v")), F.struct((2 * F.col(order) + 1).alias("fine"), ((F.col(value) + F.coalesce("__next", value)) / 2).alias("v")))
+    return rows.join(following, [*keys, order], "left").select(*keys, F.explode(halves).alias("h")).select(*keys, "h.fine", F.col("h.v").alias(value))
+
+
+def smooth_least(profile: DataFrame, keys: list[str], order: str, value: str, rounds: int) -> DataFrame:
+    """So many times the lesser of each value and its mean with its neighbours (quarters), ends with the one neighbour (halves). A profile is short, a value a depth."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    for _ in range(rounds):
+        before, after = F.lag(value).over(w), F.lead(value).over(w)
+        mean = F.when(before.isNull() & after.isNull(), F.col(value)).when(before.isNull(), (F.col(value) + after) / 2).when(after.isNull(), (F.col(value) + before) / 2).otherwise((before + 2 * F.col(value) + after) / 4)
+        profile = profile.withColumn("__m", mean).withColumn(value, F.least(value, "__m")).drop("__m")
+    return profile

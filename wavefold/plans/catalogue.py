@@ -7,32 +7,18 @@ and receivers, parts for a depth model, embeddings for traces of samples.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from wavefold.functions import codecs, images, traces, wavelets
+from wavefold.functions import codecs, images, traces
 from wavefold.operators import frames, lookups, models, reductions, stencils
-from wavefold.plans import jobs
-from wavefold.plans.solver import Medium
+from wavefold.plans.registry import ORACLE_SQL, QUERIES, query
 from wavefold.sources.tables import lattice, shared_folder, table
 from wavefold.streaming.stacking import stack_stream
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def put(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return put
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def cents(c: str) -> Column:
@@ -120,7 +106,7 @@ def receiver_lattice(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT l_orderkey, l_linenumber, round(l_extendedprice / max(abs(l_extendedprice)) OVER (PARTITION BY l_orderkey), 6) AS amplitude FROM lineitem")
 def trace_normalize(spark: SparkSession, d: str) -> DataFrame:
     traces = table(spark, d, "lineitem")
-    most = F.max(F.abs("l_extendedprice")).over(stencils.Window.partitionBy("l_orderkey"))
+    most = F.max(F.abs("l_extendedprice")).over(Window.partitionBy("l_orderkey"))
     return traces.select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") / most, 6).alias("amplitude"))
 
 
@@ -130,10 +116,19 @@ def time_gain(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.col("l_quantity") * gain, 6).alias("gained"))
 
 
-@query("SELECT p_partkey, round(CASE WHEN b <= 0 THEN 1 WHEN b >= 1 THEN 0 ELSE 0.5 + 0.5 * cos(b * 3.141592653589793) END, 6)::DOUBLE AS weight FROM (SELECT p_partkey, (p_partkey % 100 - CASE WHEN p_size < 20 THEN 10.0 + p_size * 1.5 ELSE 40.0 + (p_size - 20) * 1.0 END) / 25.0 AS b FROM part)")
+_CONE = "SELECT p_partkey, round(CASE WHEN o <= r THEN 1 WHEN r <= 0 OR o > 2 * r THEN 0 ELSE 0.5 + 0.5 * cos((o - r) / r * 3.141592653589793) END, 6)::DOUBLE AS weight FROM (SELECT p_partkey, p_partkey % 200 AS o, {} AS r FROM part)"
+
+
+@query(_CONE.format("CASE WHEN p_size <= 20 THEN p_size * 2.0 - 10.0 ELSE 30.0 + (p_size - 20) * 1.5 END"))
 def cone_mute(spark: SparkSession, d: str) -> DataFrame:
-    weight = reductions.cone_weight(F.col("p_size"), F.col("p_partkey") % 100, [(0.0, 10.0), (20.0, 40.0), (50.0, 70.0)], 25.0)
-    return table(spark, d, "part").select("p_partkey", F.round(weight, 6).alias("weight"))
+    radius = reductions.cone_radius(F.col("p_size"), [(0.0, -10.0), (20.0, 30.0), (40.0, 60.0)])
+    return table(spark, d, "part").select("p_partkey", F.round(reductions.cone_weight(F.col("p_partkey") % 200, radius), 6).alias("weight"))
+
+
+@query(_CONE.format("p_size * tan(radians(60)) + 5.0"))
+def cone_mute_angle(spark: SparkSession, d: str) -> DataFrame:
+    radius = reductions.cone_angle_radius(F.col("p_size"), 60.0, 5.0)
+    return table(spark, d, "part").select("p_partkey", F.round(reductions.cone_weight(F.col("p_partkey") % 200, radius), 6).alias("weight"))
 
 
 @query("SELECT p_partkey, round(least(1.0, 0.5 * (1 + sqrt(greatest(0.0, 1 - 8 * (e - dl) * h2 * z2 / pow((1 + 2 * e) * h2 + z2, 2))))), 6) AS scale FROM (SELECT p_partkey, p_size / 200.0 AS e, p_size / 500.0 AS dl, pow(p_partkey % 37 + 1, 2) AS h2, pow(p_partkey % 23 + 1, 2) AS z2 FROM part)")
@@ -206,13 +201,15 @@ def lag_gathers(spark: SparkSession, d: str) -> DataFrame:
     return lookups.lag_join(_hourly(spark, d, "click"), _hourly(spark, d, "view"), ["user_id"], "hour", 2, F.col("v"), F.col("v"))
 
 
-@query("SELECT a.vec_id, round(list_sum(list_transform(range(1, 65), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)), 6) AS product, round(list_sum(list_transform(range(1, 65), lambda i: abs(a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE))), 6) AS magnitude FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 WHERE len(a.embedding) = 64 AND len(b.embedding) = 64")
+@query("WITH s AS (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT a.vec_id, round(sum(a.x * b.x), 6) + 0.0 AS product, round(sum(abs(a.x * b.x)), 6) AS magnitude, round(sum(greatest(a.x * b.x, 0)), 6) + 0.0 AS positive FROM s a JOIN s b ON b.vec_id = a.vec_id + 1 AND a.i = b.i GROUP BY a.vec_id")
 def embedding_correlate(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "embeddings").filter(F.size("embedding") == 64).select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
-    both = rows.join(rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
-    total = lambda x: F.round(F.aggregate(x, F.lit(0.0), lambda s, v: s + v), 6)
-    product = F.zip_with("a", "b", lambda x, y: x * y)
-    return both.select("vec_id", total(product).alias("product"), total(F.transform(product, F.abs)).alias("magnitude"))
+    """Each trace with the next one: their product over the samples that both have, its magnitude and its positive part."""
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
+    both = rows.join(rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id").filter(F.least(F.size("a"), F.size("b")) > 0)
+    n = F.least(F.size("a"), F.size("b"))
+    product = F.zip_with(F.slice("a", F.lit(1), n), F.slice("b", F.lit(1), n), lambda x, y: x * y)
+    total = lambda x: F.round(F.aggregate(x, F.lit(0.0), lambda s, v: s + v), 6) + 0.0
+    return both.select("vec_id", total(product).alias("product"), total(F.transform(product, F.abs)).alias("magnitude"), total(F.transform(product, lambda x: F.greatest(x, F.lit(0.0)))).alias("positive"))
 
 
 # Stencils on the daily series of each order priority
@@ -225,55 +222,71 @@ def _daily(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("line"), day).agg(F.sum(F.round("o_totalprice").cast("bigint")).alias("v"))
 
 
-@query(f"""
-    WITH r AS (SELECT line, day, v, row_number() OVER w AS i, count(*) OVER (PARTITION BY line) AS n, first_value(v) OVER w AS f, last_value(v) OVER (PARTITION BY line ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l,
-        sum(v) OVER (PARTITION BY line ORDER BY day ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS s FROM {_DAILY} WINDOW w AS (PARTITION BY line ORDER BY day))
-    SELECT line, day, round((s + greatest(3 - i + 1, 0) * f + greatest(i + 3 - n, 0) * l) / 7, 4)::DOUBLE AS mean FROM r
-""")
+def around_sql(rows: str, keys: list[str], order: str, half: int) -> str:
+    """(keys, order, k, v) of each place and those up to half steps away, edges repeated."""
+    same = " AND ".join(f"n.{c} = a.{c}" for c in keys) or "true"
+    by = f"PARTITION BY {', '.join(keys)}" if keys else ""
+    return f"(SELECT {', '.join(f'a.{c}' for c in [*keys, order])}, k, a.v AS own, n.v FROM (SELECT *, min({order}) OVER ({by}) AS lo, max({order}) OVER ({by}) AS hi FROM {rows}) a CROSS JOIN (SELECT unnest(range({-half}, {half + 1})) AS k) JOIN {rows} n ON {same} AND n.{order} = least(greatest(a.{order} + k, lo), hi))"
+
+
+def _weights_sql(weights: list[float]) -> str:
+    half = len(weights) // 2
+    return "CASE k " + " ".join(f"WHEN {k - half} THEN {w}::DOUBLE" for k, w in enumerate(weights)) + " END"
+
+
+@query(f"SELECT line, day, round(avg(v), 4) AS mean FROM {around_sql(_DAILY, ['line'], 'day', 3)} GROUP BY 1, 2")
 def box_mean(spark: SparkSession, d: str) -> DataFrame:
     return stencils.box_mean(_daily(spark, d), ["line"], "day", "v", 3).select("line", "day", F.round("mean", 4).alias("mean"))
 
 
-@query(f"SELECT line, day, (a + v + c - greatest(a, v, c) - least(a, v, c))::BIGINT AS median FROM (SELECT *, coalesce(lag(v) OVER w, v) AS a, coalesce(lead(v) OVER w, v) AS c FROM {_DAILY} WINDOW w AS (PARTITION BY line ORDER BY day))")
+@query(f"SELECT line, day, list_sort(list(v))[(count(*)::INT + 1) // 2] AS median FROM {around_sql(_DAILY, ['line'], 'day', 1)} GROUP BY 1, 2")
 def median3(spark: SparkSession, d: str) -> DataFrame:
     return stencils.median3(_daily(spark, d), ["line"], "day", "v").select("line", "day", "median")
 
 
-@query(f"""
-    WITH r AS (SELECT *, lag(v) OVER w AS a1, lag(v, 2) OVER w AS a2, lead(v) OVER w AS b1, lead(v, 2) OVER w AS b2 FROM {_DAILY} WINDOW w AS (PARTITION BY line ORDER BY day))
-    SELECT line, day, list_sort([v, coalesce(a1, v), coalesce(a2, a1, v), coalesce(b1, v), coalesce(b2, b1, v)])[3] AS median FROM r
-""")
+@query(f"SELECT line, day, list_sort(list(v))[(count(*)::INT + 1) // 2] AS median FROM {around_sql(_DAILY, ['line'], 'day', 2)} GROUP BY 1, 2")
 def running_median(spark: SparkSession, d: str) -> DataFrame:
     return stencils.running_median(_daily(spark, d), ["line"], "day", "v", 2).select("line", "day", "median")
 
 
-@query(f"SELECT line, day, 0.25 * coalesce(lag(v) OVER w, v) + 0.5 * v + 0.25 * coalesce(lead(v) OVER w, v) AS smooth FROM (SELECT line, day, v::DOUBLE AS v FROM {_DAILY}) WINDOW w AS (PARTITION BY line ORDER BY day)")
+@query(f"SELECT line, day, round(sum({_weights_sql(stencils.QUARTERS)} * v) / sum({_weights_sql(stencils.QUARTERS)}), 3) AS smooth FROM {around_sql(_DAILY, ['line'], 'day', 1)} GROUP BY 1, 2")
 def smooth121(spark: SparkSession, d: str) -> DataFrame:
-    return stencils.weighted(_daily(spark, d), ["line"], "day", "v", [0.25, 0.5, 0.25], "smooth").select("line", "day", "smooth")
+    return stencils.weighted(_daily(spark, d), ["line"], "day", "v", stencils.QUARTERS, "smooth").select("line", "day", F.round("smooth", 3).alias("smooth"))
 
 
-@query(f"SELECT line, day, round(0.04 * coalesce(lag(v, 2) OVER w, lag(v) OVER w, v) + 0.16 * coalesce(lag(v) OVER w, v) + 0.6 * v + 0.16 * coalesce(lead(v) OVER w, v) + 0.04 * coalesce(lead(v, 2) OVER w, lead(v) OVER w, v), 3) AS smooth FROM (SELECT line, day, v::DOUBLE AS v FROM {_DAILY}) WINDOW w AS (PARTITION BY line ORDER BY day)")
+@query(f"SELECT line, day, round(sum({_weights_sql(stencils.SMOOTH_5)} * v) / sum({_weights_sql(stencils.SMOOTH_5)}), 3) AS smooth FROM {around_sql(_DAILY, ['line'], 'day', 2)} GROUP BY 1, 2")
 def smooth5(spark: SparkSession, d: str) -> DataFrame:
-    out = stencils.weighted(_daily(spark, d), ["line"], "day", "v", [0.04, 0.16, 0.6, 0.16, 0.04], "smooth")
-    return out.select("line", "day", F.round("smooth", 3).alias("smooth"))
-
+    return stencils.weighted(_daily(spark, d), ["line"], "day", "v", stencils.SMOOTH_5, "smooth").select("line", "day", F.round("smooth", 3).alias("smooth"))
 
 
-_AROUND = ", ".join(f"coalesce(lead(v, {k}) OVER w, 0) AS a{k}, coalesce(lag(v, {k}) OVER w, 0) AS b{k}" for k in range(1, 5))
-_SERIES = f"(SELECT *, {_AROUND} FROM (SELECT line, day, v::DOUBLE AS v FROM {_DAILY}) WINDOW w AS (PARTITION BY line ORDER BY day))"
+def difference_sql(rows: str, keys: list[str], order: str, accuracy: int, second: bool) -> str:
+    """(keys, order, d): the central difference over true places, those that are not there counting as zero. Weights come from solving for exact polynomials, not from a closed form."""
+    half = accuracy // 2
+    k = np.arange(-half, half + 1, dtype=float)
+    target = np.zeros(len(k))
+    target[2 if second else 1] = 2.0 if second else 1.0
+    weights = np.linalg.solve(np.vander(k, len(k), increasing=True).T, target)
+    same = " AND ".join(f"n.{c} = a.{c}" for c in [*keys])
+    case = "CASE n.{0} - a.{0} ".format(order) + " ".join(f"WHEN {int(x)} THEN {float(w)!r}::DOUBLE" for x, w in zip(k, weights, strict=True)) + " END"
+    return f"(SELECT {', '.join(f'a.{c}' for c in [*keys, order])}, sum({case} * n.v) AS d FROM {rows} a JOIN {rows} n ON {same} AND n.{order} BETWEEN a.{order} - {half} AND a.{order} + {half} GROUP BY {', '.join(f'a.{c}' for c in [*keys, order])})"
 
 
-@query(f"SELECT line, day, round((4.0 / 5 * (a1 - b1) - 1.0 / 5 * (a2 - b2) + 4.0 / 105 * (a3 - b3) - 1.0 / 280 * (a4 - b4)) / 2, 3) AS slope FROM {_SERIES}")
+@query(f"SELECT line, day, round(d / 3.7, 3) + 0.0 AS slope FROM {difference_sql(_DAILY, ['line'], 'day', 8, False)}")
 def stencil_d1(spark: SparkSession, d: str) -> DataFrame:
-    return stencils.derivative(_daily(spark, d), ["line"], "day", "v", "slope", step=2.0).select("line", "day", F.round("slope", 3).alias("slope"))
+    return stencils.derivative(_daily(spark, d), ["line"], "day", "v", "slope", step=3.7).select("line", "day", (F.round("slope", 3) + 0.0).alias("slope"))
 
 
-@query(f"SELECT line, day, round((-205.0 / 72 * v + 8.0 / 5 * (a1 + b1) - 1.0 / 5 * (a2 + b2) + 8.0 / 315 * (a3 + b3) - 1.0 / 560 * (a4 + b4)) / 4, 3) AS curvature FROM {_SERIES}")
+@query(f"SELECT line, day, round(d / (1.3 * 1.3), 3) + 0.0 AS curvature FROM {difference_sql(_DAILY, ['line'], 'day', 8, True)}")
 def stencil_d2(spark: SparkSession, d: str) -> DataFrame:
-    return stencils.derivative(_daily(spark, d), ["line"], "day", "v", "curvature", second=True, step=2.0).select("line", "day", F.round("curvature", 3).alias("curvature"))
+    return stencils.derivative(_daily(spark, d), ["line"], "day", "v", "curvature", second=True, step=1.3).select("line", "day", (F.round("curvature", 3) + 0.0).alias("curvature"))
+
+
+@query(f"SELECT line, day, round(d / (1.37 * 1.37), 1) + 0.0 AS curvature FROM {difference_sql(_DAILY, ['line'], 'day', 14, True)}")
+def stencil_order_14(spark: SparkSession, d: str) -> DataFrame:
+    return stencils.derivative(_daily(spark, d), ["line"], "day", "v", "curvature", second=True, step=1.37, accuracy=14).select("line", "day", (F.round("curvature", 1) + 0.0).alias("curvature"))
 
 
-@query(f"SELECT line, 2 * day + h AS fine, CASE h WHEN 0 THEN v::DOUBLE ELSE (v + coalesce(lead, v)) / 2 END AS v FROM (SELECT *, lead(v) OVER (PARTITION BY line ORDER BY day) AS lead FROM {_DAILY}), (SELECT unnest([0, 1]) AS h)")
+@query(f"SELECT a.line, 2 * a.day + h AS fine, CASE h WHEN 0 THEN a.v::DOUBLE ELSE (a.v + coalesce(b.v, a.v)) / 2 END AS v FROM {_DAILY} a LEFT JOIN {_DAILY} b ON b.line = a.line AND b.day = a.day + 1, (SELECT unnest([0, 1]) AS h)")
 def refine_double(spark: SparkSession, d: str) -> DataFrame:
     return stencils.upsample(_daily(spark, d).withColumn("v", F.col("v").cast("double")), ["line"], "day", "v")
 
@@ -301,17 +314,22 @@ def interval_avg(spark: SparkSession, d: str) -> DataFrame:
 _GRID = "(SELECT p_size - 1 AS ix, replace(p_brand, 'Brand#', '')::INT - 1 AS iy, count(*)::BIGINT AS v FROM part GROUP BY 1, 2)"
 
 
+_LINE_ID = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
+
+
 @query(f"""
-    WITH q AS (SELECT DISTINCT l_quantity * 1.1 - 2.5 AS x, l_discount * 250.0 AS y FROM lineitem),
-    b AS (SELECT x, y, least(greatest(floor(x), 0), 48)::INT AS i, least(greatest(floor(y), 0), 23)::INT AS j FROM q),
-    c AS (SELECT x, y, i + a AS ix, j + k AS iy, (CASE a WHEN 1 THEN x - i ELSE 1 - (x - i) END) * (CASE k WHEN 1 THEN y - j ELSE 1 - (y - j) END) AS w FROM b, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS k))
-    SELECT round(x, 6) AS x, round(y, 6) AS y, round(sum(w * v), 6) + 0.0 AS v FROM c JOIN {_GRID} g USING (ix, iy) GROUP BY c.x, c.y
+    WITH q AS (SELECT {_LINE_ID}, l_quantity * 1.1 - 2.5 AS x, l_discount * 250.0 AS y FROM lineitem),
+    b AS (SELECT *, least(greatest(floor(x), 0), 48)::INT AS i, least(greatest(floor(y), 0), 23)::INT AS j FROM q),
+    c AS (SELECT {_LINE_ID}, i + a AS ix, j + k AS iy, (CASE a WHEN 1 THEN x - i ELSE 1 - (x - i) END) * (CASE k WHEN 1 THEN y - j ELSE 1 - (y - j) END) AS w FROM b, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS k))
+    SELECT {_LINE_ID}, CASE WHEN count(*) FILTER (v IS NULL) = 0 THEN round(sum(w * v), 6) + 0.0 END AS v FROM c LEFT JOIN {_GRID} g USING (ix, iy) WHERE w <> 0 GROUP BY {_LINE_ID}
 """)
 def bilinear_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Every line item is a point of its own, whether or not another lies at its place."""
+    keys = _LINE_ID.split(", ")
     cells = table(spark, d, "part").groupBy((F.col("p_size") - 1).alias("ix"), (F.regexp_replace("p_brand", "Brand#", "").cast("int") - 1).alias("iy")).agg(F.count(F.lit(1)).alias("v"))
-    points = table(spark, d, "lineitem").select((F.col("l_quantity") * 1.1 - 2.5).alias("x"), (F.col("l_discount") * 250.0).alias("y")).distinct()
-    out = lookups.bilinear(points, cells.withColumns({c: F.col(c).cast("bigint") for c in ("ix", "iy")}), "x", "y", (50, 25), "v")
-    return out.select(F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), (F.round("v", 6) + 0.0).alias("v"))
+    points = table(spark, d, "lineitem").select(*keys, (F.col("l_quantity") * 1.1 - 2.5).alias("x"), (F.col("l_discount") * 250.0).alias("y"))
+    out = lookups.bilinear(points, keys, cells, "x", "y", (50, 25), "v")
+    return out.select(*keys, (F.round("v", 6) + 0.0).alias("v"))
 
 
 @query("WITH g AS (SELECT p_size AS ix, min(p_partkey) AS v FROM part GROUP BY 1), t AS (SELECT DISTINCT (l_suppkey - 10) AS target FROM lineitem) SELECT target, v FROM t LEFT JOIN g ON ix = least(greatest(target, 1), 50)")
@@ -334,23 +352,23 @@ def time_to_depth(spark: SparkSession, d: str) -> DataFrame:
     return reductions.running_depth(_daily(spark, d), ["line"], "day", F.col("v"), 0.002).select("line", "day", F.round("depth", 3).alias("depth"))
 
 
-_PLACES = "(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_partkey + l_discount * 5 AS x FROM lineitem)"
+_PLACES = "(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_partkey + l_discount * 5 AS x FROM lineitem)"
 
 
 def _places(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", (F.col("l_partkey") + F.col("l_discount") * 5).alias("x"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", (F.col("l_partkey") + F.col("l_discount") * 5).alias("x"))
 
 
-@query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(sum((CASE k WHEN 0 THEN 1 - (x - i) ELSE x - i END) * coalesce(p_size, 0)), 6) + 0.0 AS p_size FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, x, floor(x)::BIGINT AS i FROM {_PLACES}), (SELECT unnest([0, 1]) AS k) LEFT JOIN part ON p_partkey = i + k GROUP BY 1, 2, 3, 4")
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, round(sum((CASE k WHEN 0 THEN 1 - (x - i) ELSE x - i END) * coalesce(p_size, 0)), 6) + 0.0 AS p_size FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, x, floor(x)::BIGINT AS i FROM {_PLACES}), (SELECT unnest([0, 1]) AS k) LEFT JOIN part ON p_partkey = i + k GROUP BY 1, 2, 3, 4, 5")
 def receiver_gather(spark: SparkSession, d: str) -> DataFrame:
-    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
     cells = table(spark, d, "part").select(F.col("p_partkey").alias("ix"), "p_size")
-    return lookups.gather(_places(spark, d).drop("l_quantity").distinct(), keys, "x", cells, "p_size").withColumn("p_size", F.round("p_size", 6) + 0.0)
+    return lookups.gather(_places(spark, d), keys, {"ix": "x"}, cells, "p_size").withColumn("p_size", F.round("p_size", 6) + 0.0)
 
 
 @query(f"SELECT floor(x)::BIGINT + k AS ix, round(sum((CASE k WHEN 0 THEN 1 - (x - floor(x)) ELSE x - floor(x) END) * l_quantity), 4) + 0.0 AS added FROM {_PLACES}, (SELECT unnest([0, 1]) AS k) GROUP BY 1")
 def source_scatter(spark: SparkSession, d: str) -> DataFrame:
-    return lookups.scatter(_places(spark, d), "x", "l_quantity").select("ix", (F.round("added", 4) + 0.0).alias("added"))
+    return lookups.scatter(_places(spark, d), {"ix": "x"}, "l_quantity").select("ix", (F.round("added", 4) + 0.0).alias("added"))
 
 
 # Models and checks
@@ -361,9 +379,11 @@ def depth_profile_min(spark: SparkSession, d: str) -> DataFrame:
     return reductions.profile(table(spark, d, "part"), "p_size", "p_partkey").withColumn("mean", F.round("mean", 6))
 
 
-@query("SELECT round(min(2.0 / (0.05 * p_retailprice * sqrt(1 + 2 * p_size / 200.0))), 9) AS dt FROM part")
+@query("SELECT round(min(2.0 / (0.05 * p_retailprice * sqrt(1 + 2 * p_size / 200.0))) * (1 - (3 + 2 / pi() * ln(3.0)) / 80.0), 9) AS dt FROM part")
 def stable_dt(spark: SparkSession, d: str) -> DataFrame:
-    return reductions.stable_step(table(spark, d, "part"), F.col("p_retailprice"), 0.05, 1 + 2 * F.col("p_size") / 200.0).select(F.round("dt", 9).alias("dt"))
+    """Vertical symmetry without direction, and attenuation."""
+    rescale = reductions.attenuation_rescale(80.0, 45.0, 15.0)
+    return reductions.stable_step(table(spark, d, "part"), 0.05, F.col("p_retailprice"), 1 + 2 * F.col("p_size") / 200.0, attenuation=rescale).select(F.round("dt", 9).alias("dt"))
 
 
 @query(" UNION ALL ".join(f"SELECT '{c}' AS name, count_if({c} IS NULL)::BIGINT AS nulls, count_if(isnan({c}::DOUBLE) OR isinf({c}::DOUBLE))::BIGINT AS not_finite, count_if({c} < 100)::BIGINT AS small FROM lineitem" for c in ("l_quantity", "l_extendedprice", "l_tax")))
@@ -444,22 +464,18 @@ def fill_holes(spark: SparkSession, d: str) -> DataFrame:
     return models.fill_holes(_daily(spark, d), ["line"], "day", "v").select("line", "day", "v")
 
 
-@query(f"""
-    WITH r AS (SELECT line, day, 1.0::DOUBLE / v AS v, row_number() OVER w AS i, count(*) OVER (PARTITION BY line) AS n, first_value(1.0::DOUBLE / v) OVER w AS f, last_value(1.0::DOUBLE / v) OVER (PARTITION BY line ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l,
-        sum(1.0::DOUBLE / v) OVER (PARTITION BY line ORDER BY day ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS s FROM {_DAILY} WINDOW w AS (PARTITION BY line ORDER BY day))
-    SELECT line, day, round(5 / (s + greatest(2 - i + 1, 0) * f + greatest(i + 2 - n, 0) * l), 3) AS v FROM r WHERE day % 4 = 0
-""")
+_SLOW = f"(SELECT line, day, 1.0::DOUBLE / v AS v FROM {_DAILY} WHERE v > 0)"
+
+
+@query(f"SELECT line, day, round(1 / avg(v), 3) AS v FROM {around_sql(_SLOW, ['line'], 'day', 2)} WHERE day % 4 = 0 GROUP BY 1, 2")
 def coarsen_slowness(spark: SparkSession, d: str) -> DataFrame:
     return models.coarsen(_daily(spark, d).filter("v > 0"), ["line"], "day", "v", 4).select("line", "day", F.round("v", 3).alias("v"))
 
 
-def _second(partition: str, order: str, name: str) -> str:
-    w = f"OVER (PARTITION BY {partition} ORDER BY {order})"
-    near = " + ".join(f"({c}) * (coalesce(lead(v, {k}) {w}, 0) + coalesce(lag(v, {k}) {w}, 0))" for k, c in enumerate(("8.0 / 5", "-1.0 / 5", "8.0 / 315", "-1.0 / 560"), 1))
-    return f"(-205.0 / 72 * v + {near}) AS {name}"
+_CELLS = f"(SELECT ix, iy, v::DOUBLE AS v FROM {_GRID})"
 
 
-@query(f"SELECT ix, iy, round(xx / 156.25 + yy / 100, 4) + 0.0 AS laplacian FROM (SELECT ix, iy, {_second('ix', 'iy', 'yy')}, {_second('iy', 'ix', 'xx')} FROM (SELECT ix, iy, v::DOUBLE AS v FROM {_GRID}))")
+@query(f"SELECT ix, iy, round(x.d / 156.25 + y.d / 100, 4) + 0.0 AS laplacian FROM {difference_sql(_CELLS, ['iy'], 'ix', 8, True)} x JOIN {difference_sql(_CELLS, ['ix'], 'iy', 8, True)} y USING (ix, iy)")
 def image_laplacian(spark: SparkSession, d: str) -> DataFrame:
     cells = table(spark, d, "part").groupBy((F.col("p_size") - 1).alias("ix"), (F.regexp_replace("p_brand", "Brand#", "").cast("int") - 1).alias("iy")).agg(F.count(F.lit(1)).cast("double").alias("v"))
     return models.laplacian(cells, "ix", "iy", "v", 12.5, 10.0).select("ix", "iy", (F.round("laplacian", 4) + 0.0).alias("laplacian"))
@@ -496,24 +512,50 @@ def resample_linear(spark: SparkSession, d: str) -> DataFrame:
     return _samples(traces.map_traces(_traces(spark, d), ["vec_id"], "samples", traces.resample(1.0, 0.5, 127, "linear", 1)), 5)
 
 
-@query()
+_SAMPLES = "(SELECT vec_id, len(embedding) AS n, unnest(range(len(embedding))) AS j, unnest(embedding)::DOUBLE AS x FROM embeddings)"
+
+
+def _circular(kernel: str, digits: int = 7) -> str:
+    """A map by frequencies as a circular convolution: kernel is the sum over the frequencies m (of n samples) of each weight times its cosine at m d / n, for the distance d between samples."""
+    return f"""WITH k AS (SELECT n, d, {kernel} AS g FROM (SELECT n, unnest(range(n)) AS d FROM (SELECT DISTINCT len(embedding) AS n FROM embeddings)), (SELECT unnest(range(4096)) AS m) WHERE m <= n // 2 GROUP BY n, d)
+        SELECT vec_id, i, round(sum(g * x), {digits}) + 0.0 AS x FROM {_SAMPLES} s JOIN (SELECT n, unnest(range(n)) AS i FROM (SELECT DISTINCT len(embedding) AS n FROM embeddings)) o USING (n) JOIN k ON k.n = s.n AND k.d = (i - j + s.n) % s.n GROUP BY vec_id, i"""
+
+
+#: Twice, but once for the first frequency and for the last of an even number of samples.
+_TWICE = "(CASE WHEN m = 0 OR 2 * m = n THEN 1 ELSE 2 END)"
+_BAND = "(CASE WHEN f <= 4 OR f >= 80 THEN 0 WHEN f < 8 THEN 0.5 - 0.5 * cos(pi() * (f - 4) / 4) WHEN f <= 60 THEN 1 ELSE 0.5 - 0.5 * cos(pi() * (80 - f) / 20) END)".replace("f ", "(m / (n * 0.004)) ").replace("(f", "((m / (n * 0.004))").replace("- f)", "- m / (n * 0.004))")
+
+
+@query("""
+    WITH o AS (SELECT vec_id, embedding, len(embedding) AS n, unnest(range(84)) AS i FROM embeddings),
+    p AS (SELECT *, i * 0.003::DOUBLE / 0.004::DOUBLE AS pos, least(n - 2, floor(i * 0.003::DOUBLE / 0.004::DOUBLE))::INT AS b FROM o),
+    q AS (SELECT *, least(9, least(b, n - 2 - b) + 1) AS h FROM p WHERE pos <= n - 1),
+    w AS (SELECT vec_id, i, h, pos - j AS t, embedding[j + 1]::DOUBLE AS x FROM (SELECT *, unnest(range(b - h + 1, b + h + 1)) AS j FROM q)),
+    s AS (SELECT vec_id, i, sum(x * CASE WHEN abs(t) < 1e-12 THEN 1 WHEN abs(t) >= h THEN 0 ELSE sin(pi() * t) / (pi() * t) * sin(pi() * t / h) / (pi() * t / h) END) AS x FROM w GROUP BY 1, 2)
+    SELECT o.vec_id, o.i, round(coalesce(s.x, 0), 7) + 0.0 AS x FROM o LEFT JOIN s ON s.vec_id = o.vec_id AND s.i = o.i
+""")
 def resample_traces(spark: SparkSession, d: str) -> DataFrame:
-    return _samples(traces.map_traces(_traces(spark, d), ["vec_id"], "samples", traces.resample(0.004, 0.003, 84, "lanczos", 9)), 9)
+    return _samples(traces.map_traces(_traces(spark, d), ["vec_id"], "samples", traces.resample(0.004, 0.003, 84, "lanczos", 9)), 7)
 
 
-@query()
+@query(_circular(f"sum({_TWICE} * {_BAND} * 2 * pi() * (m / (n * 0.004)) * cos(2 * pi() * m * d / n)) / n", 5))
 def band_pass(spark: SparkSession, d: str) -> DataFrame:
-    return _samples(traces.map_traces(_traces(spark, d), ["vec_id"], "samples", traces.band_pass(0.004, (4.0, 8.0, 60.0, 80.0), power=1.0)), 9)
+    return _samples(traces.map_traces(_traces(spark, d), ["vec_id"], "samples", traces.band_pass(0.004, (4.0, 8.0, 60.0, 80.0), power=1.0)), 5)
 
 
-@query()
+@query(f"""
+    WITH lens AS (SELECT DISTINCT len(embedding) AS n FROM embeddings),
+    f AS (SELECT n, m, 2 / 0.004 * sin(least(pi() * m / n, pi() / 2)) * 0.004 AS w FROM lens, (SELECT unnest(range(4096)) AS m) WHERE m <= n // 2),
+    g AS (SELECT n, i, j, sum({_TWICE} * cos(2 * pi() * m * i / n - w * j)) / n AS g FROM f, (SELECT n AS n2, unnest(range(n)) AS i FROM lens) a, (SELECT n AS n3, unnest(range(n)) AS j FROM lens) b WHERE n2 = n AND n3 = n GROUP BY n, i, j)
+    SELECT vec_id, i, round(sum(g * x), 7) + 0.0 AS x FROM {_SAMPLES} s JOIN g USING (n, j) GROUP BY vec_id, i
+""")
 def phase_correction(spark: SparkSession, d: str) -> DataFrame:
-    return _samples(traces.map_traces(_traces(spark, d), ["vec_id"], "samples", traces.phase_correction(0.004)), 9)
+    return _samples(traces.map_traces(_traces(spark, d), ["vec_id"], "samples", traces.phase_correction(0.004)), 7)
 
 
-@query()
+@query(_circular(f"sum({_TWICE} * -pow(2 * pi() * m / (n * 12.5), 2) * cos(2 * pi() * m * d / n)) / n"))
 def spectral_curvature(spark: SparkSession, d: str) -> DataFrame:
-    return _samples(traces.map_traces(_traces(spark, d), ["vec_id"], "samples", traces.spectral_derivative(12.5, 2)), 9)
+    return _samples(traces.map_traces(_traces(spark, d), ["vec_id"], "samples", traces.spectral_derivative(12.5, 2)), 7)
 
 
 @query()
@@ -521,13 +563,19 @@ def compact_slope(spark: SparkSession, d: str) -> DataFrame:
     return _samples(traces.map_traces(_traces(spark, d), ["vec_id"], "samples", traces.compact_derivative(12.5)), 9)
 
 
-@query("SELECT vec_id, len(embedding)::INT AS n, 0 AS n_off FROM embeddings")
+@query(f"""
+    WITH t AS (SELECT vec_id, n, j, x, max(abs(x)) OVER (PARTITION BY vec_id) AS most FROM {_SAMPLES}),
+    c AS (SELECT vec_id, n, x, most, CASE WHEN most > 0 THEN round_even(x / most * 32767, 0) ELSE 0 END AS step FROM t)
+    SELECT vec_id, max(n)::INT AS n, sum(step)::BIGINT AS steps, sum(abs(step))::BIGINT AS magnitude, count(*) FILTER (abs(step * most::FLOAT::DOUBLE / 32767 - x) > most / 32767 * 0.5001)::INT AS n_off FROM c GROUP BY vec_id
+""")
 def codec_round_trip(spark: SparkSession, d: str) -> DataFrame:
-    """How many samples a 16-bit round trip moves by more than half a step of their trace's range."""
+    """The 16-bit steps of each trace, summed up, and how many samples the round trip moves by more than half a step of the trace's range."""
     near = traces.map_traces(_traces(spark, d).withColumn("kept", F.col("samples")), ["vec_id", "kept"], "samples", codecs.CODECS["16"], "decoded")
-    step = F.array_max(F.transform("kept", F.abs)) / 32767
-    off = F.size(F.filter(F.zip_with("kept", "decoded", lambda a, b: F.abs(a - b)), lambda x: x > step * 0.5001))
-    return near.select("vec_id", F.size("kept").alias("n"), off.alias("n_off"))
+    most = F.array_max(F.transform("kept", F.abs))
+    steps = F.transform("decoded", lambda x: F.when(most > 0, F.rint(x / most.cast("float").cast("double") * 32767)).otherwise(0.0))
+    off = F.size(F.filter(F.zip_with("kept", "decoded", lambda a, b: F.abs(a - b)), lambda x: x > most / 32767 * 0.5001))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v).cast("bigint")
+    return near.select("vec_id", F.size("kept").alias("n"), total(steps).alias("steps"), total(F.transform(steps, F.abs)).alias("magnitude"), off.alias("n_off"))
 
 
 @query(_sample_sql("list_transform(embedding, lambda x: round(x::DOUBLE / list_max(list_transform(embedding, lambda y: abs(y::DOUBLE))), 5) + 0.0)"))
@@ -565,51 +613,6 @@ def image_wavenumber_filter(spark: SparkSession, d: str) -> DataFrame:
     return images.filter_images(cells, ["l_returnflag", "l_linestatus"], (64, 32), (12.5, 10.0), images.reciprocal(0.01))
 
 
-# Solver jobs: every order is a shot of its own place over the model of the parts
-
-_DT, _NT, _DZ, _CELLS = 0.002, 150, 10.0, 50
-
-
-def _medium(spark: SparkSession, d: str) -> Medium:
-    """A velocity for each of the 50 depths, from the mean price there."""
-    depth = F.least(F.greatest("p_size", F.lit(1)), F.lit(_CELLS)).alias("depth")
-    found = {r["depth"]: r["v"] for r in table(spark, d, "part").groupBy(depth).agg(F.avg("p_retailprice").alias("v")).collect()}  # 50 rows at most
-    mean = np.mean(list(found.values()) or [1000.0])
-    return Medium(np.array([1500 + 0.5 * found.get(k + 1, mean) for k in range(_CELLS)]), _DZ)
-
-
-def _shots(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 30 + 10).alias("source"), (F.col("o_orderkey") % 7 + 3).alias("receiver"))
-
-
-def _modelled(spark: SparkSession, d: str) -> DataFrame:
-    wavelet = wavelets.ricker(40, _DT, 25.0) / wavelets.GAIN
-    return jobs.model_shots(_shots(spark, d), "o_orderkey", ["source"], ["receiver"], _medium(spark, d), wavelet, _DT, _NT)
-
-
-@query()
-def model_shot_1d(spark: SparkSession, d: str) -> DataFrame:
-    peak = F.array_max(F.transform("samples", F.abs))
-    at = F.array_position(F.transform("samples", lambda x: F.abs(x) == peak), True) - 1
-    return _modelled(spark, d).select("o_orderkey", at.alias("peak_at"), F.aggregate("samples", F.lit(0.0), lambda s, x: s + x * x).alias("energy"))
-
-
-@query()
-def migrate_shot_1d(spark: SparkSession, d: str) -> DataFrame:
-    wavelet = wavelets.ricker(40, _DT, 25.0) / wavelets.GAIN
-    data = _modelled(spark, d).join(_shots(spark, d), "o_orderkey")
-    cells = jobs.migrate_shots(data, "o_orderkey", ["source"], ["receiver"], _medium(spark, d), wavelet, _DT, every=3, lags=1)
-    return reductions.compensate(jobs.stack_images(cells), "image", "light", 0.01).select("lag", "cell", "image", "compensated", "fold")
-
-
-@query()
-def demigrate_shot_1d(spark: SparkSession, d: str) -> DataFrame:
-    medium = _medium(spark, d)
-    reflectivity = np.gradient(medium.velocity) / medium.velocity / _DZ**2
-    out = jobs.model_shots(_shots(spark, d), "o_orderkey", ["source"], ["receiver"], medium, wavelets.ricker(40, _DT, 25.0) / wavelets.GAIN, _DT, _NT, reflectivity)
-    return out.select("o_orderkey", F.aggregate("samples", F.lit(0.0), lambda s, x: s + x * x).alias("energy"))
-
-
 @query("SELECT l_partkey % 64 AS ix, l_suppkey % 16 AS iy, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT AS stack, count(*)::BIGINT AS fold FROM lineitem GROUP BY 1, 2")
 def stream_stack(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "lineitem").schema
