@@ -7,7 +7,8 @@ and receivers, parts for a depth model, embeddings for traces of samples.
 
 from __future__ import annotations
 
-import numpy as np
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -260,14 +261,16 @@ def smooth5(spark: SparkSession, d: str) -> DataFrame:
 
 
 def difference_sql(rows: str, keys: list[str], order: str, accuracy: int, second: bool) -> str:
-    """(keys, order, d): the central difference over true places, those that are not there counting as zero. Weights come from solving for exact polynomials, not from a closed form."""
-    half = accuracy // 2
-    k = np.arange(-half, half + 1, dtype=float)
-    target = np.zeros(len(k))
-    target[2 if second else 1] = 2.0 if second else 1.0
-    weights = np.linalg.solve(np.vander(k, len(k), increasing=True).T, target)
+    """(keys, order, d): the central difference over true places, those that are not there counting as zero. Weights are derivatives of the polynomials through the places, in fractions, not a closed form."""
+    half, weights = accuracy // 2, []
+    for j in range(-half, half + 1):
+        basis = [Fraction(1)]  # coefficients of the polynomial that is 1 at j and 0 at the other places
+        for m in range(-half, half + 1):
+            if m != j:
+                basis = [(a - m * b) / (j - m) for a, b in zip([Fraction(0), *basis], [*basis, Fraction(0)], strict=True)]
+        weights.append(float(basis[2] * 2 if second else basis[1]))
     same = " AND ".join(f"n.{c} = a.{c}" for c in [*keys])
-    case = "CASE n.{0} - a.{0} ".format(order) + " ".join(f"WHEN {int(x)} THEN {float(w)!r}::DOUBLE" for x, w in zip(k, weights, strict=True)) + " END"
+    case = "CASE n.{0} - a.{0} ".format(order) + " ".join(f"WHEN {int(x)} THEN {float(w)!r}::DOUBLE" for x, w in zip(range(-half, half + 1), weights, strict=True)) + " END"
     return f"(SELECT {', '.join(f'a.{c}' for c in [*keys, order])}, sum({case} * n.v) AS d FROM {rows} a JOIN {rows} n ON {same} AND n.{order} BETWEEN a.{order} - {half} AND a.{order} + {half} GROUP BY {', '.join(f'a.{c}' for c in [*keys, order])})"
 
 
@@ -475,10 +478,10 @@ def coarsen_slowness(spark: SparkSession, d: str) -> DataFrame:
 _CELLS = f"(SELECT ix, iy, v::DOUBLE AS v FROM {_GRID})"
 
 
-@query(f"SELECT ix, iy, round(x.d / 156.25 + y.d / 100, 4) + 0.0 AS laplacian FROM {difference_sql(_CELLS, ['iy'], 'ix', 8, True)} x JOIN {difference_sql(_CELLS, ['ix'], 'iy', 8, True)} y USING (ix, iy)")
+@query(f"SELECT ix, iy, round(x.d / (12.7 * 12.7) + y.d / (10.3 * 10.3), 4) + 0.0 AS laplacian FROM {difference_sql(_CELLS, ['iy'], 'ix', 8, True)} x JOIN {difference_sql(_CELLS, ['ix'], 'iy', 8, True)} y USING (ix, iy)")
 def image_laplacian(spark: SparkSession, d: str) -> DataFrame:
     cells = table(spark, d, "part").groupBy((F.col("p_size") - 1).alias("ix"), (F.regexp_replace("p_brand", "Brand#", "").cast("int") - 1).alias("iy")).agg(F.count(F.lit(1)).cast("double").alias("v"))
-    return models.laplacian(cells, "ix", "iy", "v", 12.5, 10.0).select("ix", "iy", (F.round("laplacian", 4) + 0.0).alias("laplacian"))
+    return models.laplacian(cells, "ix", "iy", "v", 12.7, 10.3).select("ix", "iy", (F.round("laplacian", 4) + 0.0).alias("laplacian"))
 
 
 @query("SELECT l_linenumber, l_partkey % 64 AS ix, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT AS stack, count(*) AS fold FROM lineitem WHERE l_linenumber = 3 GROUP BY 1, 2")

@@ -144,11 +144,11 @@ def _linear_sql(points: str, keys: str, axes: dict[str, int], cells: str, clamp:
 
 
 _SHAPE = {"ix": NX, "iy": NY, "iz": NZ}
-_POINTS = f"(SELECT {_ID}, l_quantity / 4.3 - 0.6 AS x_ix, l_discount * 61.7 - 0.2 AS x_iy, l_tax * 91.3 - 0.4 AS x_iz FROM lineitem)"
+_POINTS = f"(SELECT {_ID}, l_quantity / 4.3 - 0.6 AS x_ix, l_discount / 0.0171 - 0.2 AS x_iy, l_tax / 0.0113 - 0.4 AS x_iz FROM lineitem)"
 
 
 def _points(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select(*_KEYS, (F.col("l_quantity") / 4.3 - 0.6).alias("x_ix"), (F.col("l_discount") * 61.7 - 0.2).alias("x_iy"), (F.col("l_tax") * 91.3 - 0.4).alias("x_iz"))
+    return table(spark, d, "lineitem").select(*_KEYS, (F.col("l_quantity") / 4.3 - 0.6).alias("x_ix"), (F.col("l_discount") / 0.0171 - 0.2).alias("x_iy"), (F.col("l_tax") / 0.0113 - 0.4).alias("x_iz"))
 
 
 _AT = {a: f"x_{a}" for a in AXES}
@@ -213,13 +213,13 @@ def _one_sql(axis: str, k: str) -> str:
 
 
 @query(f"""
-    WITH p AS (SELECT l_quantity, l_quantity / 4.3 - 0.6 AS x_ix, l_discount * 61.7 - 0.2 AS x_iy, l_tax * 91.3 - 0.4 AS x_iz FROM lineitem)
+    WITH p AS (SELECT l_quantity, l_quantity / 4.3 - 0.6 AS x_ix, l_discount / 0.0171 - 0.2 AS x_iy, l_tax / 0.0113 - 0.4 AS x_iz FROM lineitem)
     SELECT floor(x_ix)::BIGINT + a AS ix, floor(x_iy)::BIGINT + b AS iy, floor(x_iz)::BIGINT + c AS iz, round(sum({_one_sql('ix', 'a')} * {_one_sql('iy', 'b')} * {_one_sql('iz', 'c')} * l_quantity), 4) + 0.0 AS added
     FROM p, (SELECT unnest([0, 1]) AS a), (SELECT unnest([0, 1]) AS b), (SELECT unnest([0, 1]) AS c) GROUP BY 1, 2, 3
 """)
 def scatter_3d(spark: SparkSession, d: str) -> DataFrame:
     """Separable weights along three axes, summed up by cell."""
-    points = table(spark, d, "lineitem").select("l_quantity", (F.col("l_quantity") / 4.3 - 0.6).alias("x_ix"), (F.col("l_discount") * 61.7 - 0.2).alias("x_iy"), (F.col("l_tax") * 91.3 - 0.4).alias("x_iz"))
+    points = table(spark, d, "lineitem").select("l_quantity", (F.col("l_quantity") / 4.3 - 0.6).alias("x_ix"), (F.col("l_discount") / 0.0171 - 0.2).alias("x_iy"), (F.col("l_tax") / 0.0113 - 0.4).alias("x_iz"))
     return _rounded(lookups.scatter(points, _AT, "l_quantity"), 4, "added")
 
 
