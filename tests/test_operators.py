@@ -276,3 +276,24 @@ def test_as_of_orders_places_not_rows(spark, capsys):
     window = plan[plan.index("Window") :]
     assert "NestedLoop" not in plan and "id#" not in window[: window.index("Union")]
     assert "HashAggregate" in window
+
+
+def test_raw_cubes_are_read_in_ranges(spark, tmp_path):
+    cube = np.arange(3 * 4 * 5, dtype=np.float32).reshape(3, 4, 5) + 1000
+    (tmp_path / "a.bin").write_bytes(cube.tobytes())
+    rows = cubes.read_raw_cube(spark, f"file://{tmp_path}/a.bin", (4, 3, 5), (1, 0, 1), (2, 2, 3)).orderBy("iy", "ix").collect()
+    assert [(r["iy"], r["ix"], list(r["samples"])) for r in rows] == [(y // 2, x // 2, cube[y, x, 1::3].tolist()) for y in (0, 2) for x in (1, 3)]
+    assert cubes.load_model(spark, f"file://{tmp_path}/a.bin", True, (4, 3, 5)).count() == 12
+    cube[2, 1, 3] = np.nan
+    (tmp_path / "b.bin").write_bytes(cube.tobytes())
+    with pytest.raises(Exception, match="not finite or too small"):
+        cubes.load_model(spark, f"file://{tmp_path}/b.bin", True, (4, 3, 5)).collect()
+    with pytest.raises(ValueError, match="format"):
+        cubes.load_model(spark, "file:///a.segy")
+
+
+def test_unknown_formats_are_errors(spark):
+    from wavefold.sources import tables
+
+    with pytest.raises(ValueError, match="format"):
+        tables.save(spark.range(1), "file:///tmp/x.su")

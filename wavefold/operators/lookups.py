@@ -149,3 +149,20 @@ def gather(receivers: DataFrame, keys: list[str], at: dict[str, str], cells: Dat
 def scatter(sources: DataFrame, at: dict[str, str], amplitude: str, half: int = 1) -> DataFrame:
     """What sources add to each cell (indices, added); the adjoint of gather, with partial sums before the shuffle."""
     return spread_axes(sources, at, half).groupBy(*at).agg(F.sum(F.col("w") * F.col(amplitude)).alias("added"))
+
+
+def gather_less_ghost(receivers: DataFrame, keys: list[str], at: dict[str, str], depth: str, surface: float, cells: DataFrame, value: str, half: int = 1) -> DataFrame:
+    """gather() less what the mirror image of each receiver about the surface reads. depth: the axis that is mirrored."""
+    mirrored = receivers.withColumn(at[depth], 2 * surface - F.col(at[depth]))
+    both = gather(receivers, keys, at, cells, value, half).unionByName(gather(mirrored, keys, at, cells.withColumn(value, -F.col(value)), value, half))
+    return both.groupBy(*keys).agg(F.sum(value).alias(value))
+
+
+def inject(sources: DataFrame, at: dict[str, str], amplitude: str, velocity: DataFrame, speed: str, dt: float, depth: str | None = None, surface: float = 0.0, half: int = 1) -> DataFrame:
+    """(indices, added): what sources add to the cells of a velocity model, times (speed dt) squared; with a depth axis less their mirror images about the surface. Only cells of the model."""
+    both = sources.select(*at.values(), amplitude)
+    if depth is not None:
+        x = at[depth]
+        both = both.unionByName(both.withColumns({x: 2 * surface - F.col(x), amplitude: -F.col(amplitude)}))
+    added = scatter(both, at, amplitude, half)
+    return added.join(velocity.select(*at, speed), list(at)).select(*at, (F.col("added") * F.pow(F.col(speed) * dt, F.lit(2.0))).alias("added"))

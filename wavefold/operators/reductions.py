@@ -19,6 +19,13 @@ def stack_onto(image: DataFrame, partial: DataFrame, keys: list[str], value: str
     return image.join(add, keys, "left").withColumn(value, F.col(value) + F.coalesce("__add", F.lit(0))).drop("__add")
 
 
+def stack_lines(image: DataFrame, partial: DataFrame, lines: list[str], depth: str, value: str, accumulate: bool = True) -> DataFrame:
+    """An image with the lines of a partial one that it has too: added to them, or put in their place. Other lines of the partial image are left out; depths must match, a cell that the image hasn't got is left out too."""
+    put = partial.groupBy(*lines, depth).agg(F.sum(value).alias("__put"))
+    new = F.col(value) + F.coalesce("__put", F.lit(0)) if accumulate else F.coalesce("__put", value)
+    return image.join(put, [*lines, depth], "left").withColumn(value, new).drop("__put")
+
+
 def illumination(cells: DataFrame, keys: list[str], value: Column) -> DataFrame:
     return cells.groupBy(*keys).agg(F.sum(value * value).alias("illumination"))
 

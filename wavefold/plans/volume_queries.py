@@ -15,7 +15,7 @@ from wavefold.functions.kernels import lagrange_axis, weights
 from wavefold.operators import frames, lookups, reductions, stencils, tapers, vectors, volumes
 from wavefold.plans.catalogue import around_sql, big, difference_sql
 from wavefold.plans.registry import query
-from wavefold.sources.tables import extract_shots, shared_folder, store_shots, table
+from wavefold.sources.tables import extract_shots, load, save, shared_folder, store_shots, table
 
 NX, NY, NZ = 12, 6, 7
 AXES = ["ix", "iy", "iz"]
@@ -485,3 +485,77 @@ def boundary_taper(spark: SparkSession, d: str) -> DataFrame:
 def time_or_depth_taper(spark: SparkSession, d: str) -> DataFrame:
     weight, smooth = tapers.time_or_depth(F.col("l_partkey") % 10, 5, F.col("l_linenumber"), 4), tapers.smooth_step(F.col("l_quantity") / 40.0)
     return table(spark, d, "lineitem").select(*_KEYS, (F.round(weight, 6) + 0.0).alias("weight"), (F.round(smooth, 6) + 0.0).alias("smooth"))
+
+
+# Ghosts, images and files
+
+
+def _pair_sql(axis: str, at: str) -> str:
+    return f"SELECT *, floor({at})::BIGINT + k AS c_{axis}, CASE k WHEN 1 THEN {at} - floor({at}) ELSE 1 - ({at} - floor({at})) END AS w_{axis} FROM"
+
+
+_GHOSTS = f"(SELECT *, 1 AS sign, x_iz AS z FROM {_POINTS} UNION ALL SELECT *, -1, 2 * 1.5 - x_iz FROM {_POINTS})"
+
+
+@query(f"""
+    WITH a AS ({_pair_sql('ix', 'x_ix')} {_GHOSTS}, (SELECT unnest([0, 1]) AS k)), b AS (SELECT * EXCLUDE (k), m, floor(z)::BIGINT + m AS c_iz, CASE m WHEN 1 THEN z - floor(z) ELSE 1 - (z - floor(z)) END AS w_iz FROM a, (SELECT unnest([0, 1]) AS m))
+    SELECT {_ID}, round(sum(sign * w_ix * w_iz * coalesce(v, 0)), 5) + 0.0 AS v FROM b LEFT JOIN (SELECT ix, iz, sum(v) AS v FROM {_VOLUME} GROUP BY 1, 2) ON ix = c_ix AND iz = c_iz GROUP BY {_ID}
+""")
+def receivers_less_ghost(spark: SparkSession, d: str) -> DataFrame:
+    cells = _volume(spark, d).groupBy("ix", "iz").agg(F.sum("v").alias("v"))
+    out = lookups.gather_less_ghost(_points(spark, d), _KEYS, {"ix": "x_ix", "iz": "x_iz"}, "iz", 1.5, cells, "v")
+    return _rounded(out, 5, "v")
+
+
+@query(f"""
+    WITH s AS (SELECT x_ix, z, sign * l_quantity AS a FROM (SELECT l_quantity, l_quantity / 4.3 - 0.6 AS x_ix, l_tax / 0.0113 - 0.4 AS x_iz FROM lineitem), (SELECT unnest([1, -1]) AS sign), LATERAL (SELECT CASE sign WHEN 1 THEN x_iz ELSE 2 * 1.5 - x_iz END AS z)),
+    t AS (SELECT floor(x_ix)::BIGINT + k AS ix, floor(z)::BIGINT + m AS iz, a * (CASE k WHEN 1 THEN x_ix - floor(x_ix) ELSE 1 - (x_ix - floor(x_ix)) END) * (CASE m WHEN 1 THEN z - floor(z) ELSE 1 - (z - floor(z)) END) AS a FROM s, (SELECT unnest([0, 1]) AS k), (SELECT unnest([0, 1]) AS m))
+    SELECT ix, iz, round(sum(a) * pow(any_value(v) * 0.00213, 2), 4) + 0.0 AS added FROM t JOIN (SELECT ix, iz, avg(v) AS v FROM {_VOLUME} GROUP BY 1, 2) USING (ix, iz) GROUP BY 1, 2
+""")
+def inject_less_ghost(spark: SparkSession, d: str) -> DataFrame:
+    velocity = _volume(spark, d).groupBy("ix", "iz").agg(F.avg("v").alias("v"))
+    sources = table(spark, d, "lineitem").select("l_quantity", (F.col("l_quantity") / 4.3 - 0.6).alias("x_ix"), (F.col("l_tax") / 0.0113 - 0.4).alias("x_iz"))
+    return _rounded(lookups.inject(sources, {"ix": "x_ix", "iz": "x_iz"}, "l_quantity", velocity, "v", 0.00213, "iz", 1.5), 4, "added")
+
+
+@query(f"SELECT ix, iy, iz, a.v + coalesce(p.v, 0) AS added, coalesce(p.v, a.v) AS put FROM {_VOLUME} a LEFT JOIN (SELECT ix, iy, iz, sum(v) AS v FROM (SELECT ix * 2 AS ix, iy + 1 AS iy, iz, v FROM {_DENSITY}) GROUP BY 1, 2, 3) p USING (ix, iy, iz)")
+def stack_onto_survey(spark: SparkSession, d: str) -> DataFrame:
+    """A partial image with other line increments onto an image: lines of both are added up, or replaced."""
+    image, partial = _volume(spark, d), _density(spark, d).withColumns({"ix": F.col("ix") * 2, "iy": F.col("iy") + 1})
+    added, put = (reductions.stack_lines(image, partial, ["ix", "iy"], "iz", "v", a).withColumnRenamed("v", n) for a, n in ((True, "added"), (False, "put")))
+    return added.join(put, AXES)
+
+
+_SMOOTHED = _chain_sql(_VOLUME, AXES, [("ix", 1, "avg(v)"), ("iy", 1, "avg(v)"), ("iz", 1, "avg(v)")])
+
+
+@query(f"SELECT ix, iy, iz, round(1e3 / (m * (v / m + 0.2 * exp(-v / m))) * {_EDGE.format(f'least(ix, {NX - 1} - ix)', 4)}, 5) + 0.0 AS damping FROM (SELECT *, pow(avg(v) OVER (), 0.8) AS m FROM {_SMOOTHED})")
+def damping_smoothed(spark: SparkSession, d: str) -> DataFrame:
+    """Weights of a smoothed illumination, tapered at the edges of one axis."""
+    smooth = stencils.along_axes(_volume(spark, d), [], AXES, "v", [(a, stencils.mean_along("v", 1)) for a in AXES])
+    out = reductions.damp(smooth, "v", 0.8, 0.2)
+    return out.select(*AXES, (F.round(F.col("damping") * 1e3 * tapers.edges(F.col("ix"), NX, 4), 5) + 0.0).alias("damping"))
+
+
+@query("""
+    WITH s AS (SELECT vec_id, len(embedding) AS n, list_concat(embedding, list_reverse(embedding)) AS e FROM embeddings),
+    x AS (SELECT vec_id, n, unnest(range(2 * n)) AS j, unnest(e)::DOUBLE AS x FROM s),
+    k AS (SELECT n, d, sum(CASE WHEN m = 0 OR m = n THEN 0 ELSE -2 * (2 * pi() * m / (2 * n * 12.5)) * sin(2 * pi() * m * d / (2 * n)) END) / (2 * n) AS g FROM (SELECT n, unnest(range(2 * n)) AS d FROM (SELECT DISTINCT n FROM s)), (SELECT unnest(range(4096)) AS m) WHERE m <= n GROUP BY n, d)
+    SELECT vec_id, i, round(sum(g * x), 7) + 0.0 AS x FROM x JOIN (SELECT n, unnest(range(n)) AS i FROM (SELECT DISTINCT n FROM s)) o USING (n) JOIN k ON k.n = x.n AND k.d = (i - j + 2 * x.n) % (2 * x.n) GROUP BY vec_id, i
+""")
+def cosine_slope(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("samples"))
+    out = traces.map_traces(rows, ["vec_id"], "samples", traces.cosine_derivative(12.5))
+    return _rounded(out.select("vec_id", F.posexplode("samples").alias("i", "x")), 7, "x").select("vec_id", big(F.col("i")).alias("i"), "x")
+
+
+@query("SELECT o_orderkey, o_custkey, format AS format FROM orders, (SELECT unnest(['.dat', '.json', '.parquet']) AS format)")
+def saved_indexes(spark: SparkSession, d: str) -> DataFrame:
+    """The shot index written as text, JSON and Parquet, and read back from each."""
+    index, out = table(spark, d, "orders").select("o_orderkey", "o_custkey"), None
+    for suffix in (".dat", ".json", ".parquet"):
+        path = shared_folder(spark, "index") + suffix
+        save(index, path)
+        one = load(spark, path, "o_orderkey bigint, o_custkey bigint").withColumn("format", F.lit(suffix))
+        out = one if out is None else out.unionByName(one)
+    return out

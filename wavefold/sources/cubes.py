@@ -11,7 +11,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Fixed values of the file format: words of the header by position, its magic and its units.
 HEADER_BYTES = 512
@@ -50,6 +52,45 @@ def read_cubes(spark: SparkSession, path: str, stride: int = 1) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, iy int, ix int, x double, y double, samples array<float>")
 
 
+def read_raw_cube(spark: SparkSession, path: str, shape: tuple[int, int, int], offsets: tuple[int, int, int] = (0, 0, 0), ratios: tuple[int, int, int] = (1, 1, 1), order: str = "<") -> DataFrame:
+    """One row (iy, ix, samples) a trace of a cube without header, depth fastest; shape, offsets and ratios in x, y, z. A file is read in ranges of whole traces by many tasks, whatever its size; every ratios-th
+    place from its offset on is kept."""
+    nx, ny, nz = shape
+    (x0, y0, z0), (rx, ry, rz) = offsets, ratios
+    size = 4 * nz
+    numbered = spark.sparkContext.binaryRecords(path, size).zipWithIndex()  # records of fixed length: no DataFrame source splits a file by them
+    rows = spark.createDataFrame(numbered, "raw binary, n bigint").select(F.floor(F.col("n") / nx).cast("int").alias("iy"), F.pmod("n", F.lit(nx)).cast("int").alias("ix"), "raw")
+    kept = rows.filter((F.col("iy") < ny) & (F.col("ix") >= x0) & (F.col("iy") >= y0) & (F.pmod(F.col("ix") - x0, F.lit(rx)) == 0) & (F.pmod(F.col("iy") - y0, F.lit(ry)) == 0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [np.frombuffer(x.as_py(), order + "f4")[z0::rz].astype("<f4") for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([((batch.column(0).to_numpy() - y0) // ry).astype("i4"), ((batch.column(1).to_numpy() - x0) // rx).astype("i4"), pa.array(out, pa.list_(pa.float32()))], ["iy", "ix", "samples"])
+
+    return kept.mapInArrow(run, "iy int, ix int, samples array<float>")
+
+
+def checked_velocity(traces: DataFrame, least: float = 100.0) -> DataFrame:
+    """Traces of velocities; a value that is null, not finite or too small is an error where it is read."""
+    fine = F.forall("samples", lambda v: v.isNotNull() & ~F.isnan(v) & (v < float("inf")) & (v >= least))
+    return traces.filter(F.assert_true(fine, "a velocity is not finite or too small").isNull())
+
+
+def load_model(spark: SparkSession, path: str, velocity: bool = False, shape: tuple[int, int, int] | None = None) -> DataFrame:
+    """A model's traces by its path's suffix: .fdm a cube with header, .bin one without (shape is needed), .parquet a table of traces (iy, ix, samples)."""
+    if path.endswith(".fdm"):
+        traces = read_cubes(spark, path).select("iy", "ix", "samples")
+    elif path.endswith(".bin"):
+        if shape is None:
+            raise ValueError("a cube without header needs its shape")
+        traces = read_raw_cube(spark, path, shape)
+    elif path.endswith(".parquet"):
+        traces = spark.read.parquet(path).select("iy", "ix", "samples")
+    else:
+        raise ValueError(f"no model format is known for {path}")
+    return checked_velocity(traces) if velocity else traces
+
+
 def cube_files(traces: DataFrame, header: dict, key: str) -> DataFrame:
     """A row (key, content) for each cube of traces (key, iy, ix, samples): the bytes of its file. Missing traces are zero; a cube is one task's work, as it is one file."""
     nx, ny, nz = header["nx"], header["ny"], header["nz"]

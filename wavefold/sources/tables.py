@@ -43,6 +43,29 @@ def extract_shots(spark: SparkSession, path: str, shot: str, shots: list[int] |
     return stored.filter(F.col("bucket").isin(*wanted) & F.col(shot).isin(*shots)).drop("bucket")
 
 
+#: Formats by the suffix of a path.
+FORMATS = {".parquet": ("parquet", {}), ".dat": ("csv", {"sep": " ", "header": True}), ".csv": ("csv", {"header": True}), ".js": ("json", {}), ".json": ("json", {})}
+
+
+def _format(path: str) -> tuple[str, dict]:
+    for suffix, found in FORMATS.items():
+        if path.endswith(suffix):
+            return found
+    raise ValueError(f"no format is known for {path}: one of {', '.join(FORMATS)}")
+
+
+def save(df: DataFrame, path: str) -> None:
+    """Writes a table in the format that the path's suffix names, part files in parallel."""
+    kind, options = _format(path)
+    df.write.format(kind).options(**options).save(path)
+
+
+def load(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Reads what save() wrote; the schema is given, so nothing is read to infer it."""
+    kind, options = _format(path)
+    return spark.read.format(kind).options(**options).schema(schema).load(path)
+
+
 def lattice(header: DataFrame, x0: str, dx: str, nx: str, y0: str, dy: str, ny: str) -> DataFrame:
     """A row (ix, iy, x, y) for each place of the lattice that each row of header describes."""
     rows = header.withColumn("ix", F.explode(F.sequence(F.lit(0), F.col(nx) - 1))).withColumn("iy", F.explode(F.sequence(F.lit(0), F.col(ny) - 1)))
