@@ -609,11 +609,18 @@ def transpose_sum(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(big(F.col("i")).alias("i")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("x") * 1e6).cast("bigint")).alias("total"))
 
 
-@query()
+@query("""
+    WITH c AS (SELECT l_returnflag, l_linestatus, l_partkey % 64 AS ix, l_suppkey % 32 AS iz, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3, 4),
+    f AS (SELECT a, b, 1 / greatest(sqrt(pow(2 * pi() * (CASE WHEN a < 32 THEN a ELSE a - 64 END) / (64 * 12.5), 2) + pow(2 * pi() * (CASE WHEN b < 16 THEN b ELSE b - 32 END) / (32 * 10.0), 2)), 0.01) AS w FROM (SELECT unnest(range(64)) AS a), (SELECT unnest(range(32)) AS b)),
+    g AS (SELECT dx, dz, sum(w * cos(2 * pi() * (a * dx / 64 + b * dz / 32))) / 2048 AS g FROM f, (SELECT unnest(range(64)) AS dx), (SELECT unnest(range(32)) AS dz) GROUP BY 1, 2),
+    p AS (SELECT px, pz FROM (SELECT unnest(range(64)) AS px), (SELECT unnest(range(32)) AS pz))
+    SELECT l_returnflag, l_linestatus, px AS ix, pz AS iz, round(sum(g * v), 5) + 0.0 AS value FROM c CROSS JOIN p JOIN g ON dx = (px - ix + 64) % 64 AND dz = (pz - iz + 32) % 32 GROUP BY 1, 2, 3, 4
+""")
 def image_wavenumber_filter(spark: SparkSession, d: str) -> DataFrame:
     """An image for each return flag and line status, by depth and part, through the reciprocal wavenumber filter."""
     cells = table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus", (F.col("l_partkey") % 64).alias("ix"), (F.col("l_suppkey") % 32).alias("iz")).agg(F.sum("l_quantity").alias("value"))
-    return images.filter_images(cells, ["l_returnflag", "l_linestatus"], (64, 32), (12.5, 10.0), images.reciprocal(0.01))
+    out = images.filter_images(cells, ["l_returnflag", "l_linestatus"], (64, 32), (12.5, 10.0), images.reciprocal(0.01))
+    return out.withColumn("value", F.round("value", 5) + 0.0)
 
 
 @query("SELECT l_partkey % 64 AS ix, l_suppkey % 16 AS iy, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT AS stack, count(*)::BIGINT AS fold FROM lineitem GROUP BY 1, 2")
