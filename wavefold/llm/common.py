@@ -43,5 +43,15 @@ def salt(*names: str, parts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(*names), F.lit(parts)).cast("int")
 
 
+def salts(name: str = "salt") -> Column:
+    """Which salts a group's rows have, as bits: summed up before a shuffle, as counts are."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col(name))).alias("salts")
+
+
+def each_salt(name: str = "salt") -> Column:
+    """A row for each of the salts."""
+    return F.explode(F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.getbit("salts", k) == 1)).alias(name)
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavefold.llm.common import materialise, salt
+from wavefold.llm.common import each_salt, materialise, salt, salts
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
-    """Edges (u, v) with m, the least neighbour of u. A busy node's edges stay dealt by salts: they are summed up by node and salt, then by node, and m goes back to each salt."""
+    """Edges (u, v) with m, the least neighbour of u. A busy node's edges are dealt by salts, and m goes to each salt; partial minima come before the shuffle."""
     dealt = edges.withColumn("salt", salt("v"))
-    least = dealt.groupBy("u", "salt").agg(F.min("v").alias("m")).groupBy("u").agg(F.min("m").alias("m"), F.collect_set("salt").alias("salts"))
-    return dealt.join(least.select("u", "m", F.explode("salts").alias("salt")), ["u", "salt"])
+    least = dealt.groupBy("u").agg(F.min("v").alias("m"), salts())
+    return dealt.join(least.select("u", "m", each_salt()), ["u", "salt"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

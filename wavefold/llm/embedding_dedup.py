@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wavefold.llm.common import materialise, salt
+from wavefold.llm.common import each_salt, materialise, salt, salts
 from wavefold.llm.components import components
 
 THRESHOLD = 0.9
@@ -181,8 +181,7 @@ def link(df: DataFrame, id_col: str, vector_col: str, threshold: float = THRESHO
     rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>" if of_floats else "array<double>").alias("vector")).withColumn("salt", salt("id"))
     finite = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     valid = rows.filter(F.col("id").isNotNull() & F.col("vector").isNotNull() & finite & F.exists("vector", lambda v: v != 0))
-    salted = valid.groupBy("vector", "salt").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    classes = materialise(salted.groupBy("vector").agg(F.min("rep").alias("rep"), F.sum("n").alias("n"), F.collect_set("salt").alias("salts")), "vectors")  # at most one for each salt
+    classes = materialise(valid.groupBy("vector").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), salts()), "vectors")
     kind = classes.schema["rep"].dataType.simpleString()
     sizes = classes.groupBy(F.size("vector").alias("dim")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy("dim").collect()  # a row for each length
     found = spark.createDataFrame([], f"a {kind}, b {kind}, linked bigint")
@@ -191,7 +190,7 @@ def link(df: DataFrame, id_col: str, vector_col: str, threshold: float = THRESHO
         found = found.union(_search(alike, dim, *fit(alike, dim, n, threshold, recall), threshold))
     counts = found.filter(F.col("b").isNull()).groupBy(F.col("a").alias("rep")).agg(F.sum("linked").alias("linked"))
     parts = components(found.filter(F.col("b").isNotNull()), "a", "b").select(F.col("id").alias("rep"), "component")
-    by_class = classes.join(counts, "rep", "left").join(parts, "rep", "left").select(F.col("vector").alias("__vector"), "rep", "n", "linked", "component", F.explode("salts").alias("__salt"))
+    by_class = classes.join(counts, "rep", "left").join(parts, "rep", "left").select(F.col("vector").alias("__vector"), "rep", "n", "linked", "component", each_salt("__salt"))
     joined = rows.join(by_class, (F.col("vector") == F.col("__vector")) & (F.col("salt") == F.col("__salt")) & F.col("id").isNotNull(), "left")
     component = F.coalesce("component", "rep", "id")
     return joined.select(F.col("id").alias(id_col), F.coalesce(F.col("n") - 1 + F.coalesce("linked", F.lit(0)), F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavefold.llm.common import materialise, salt, text_or_empty
+from wavefold.llm.common import each_salt, materialise, salt, salts, text_or_empty
 from wavefold.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -159,7 +159,7 @@ def sketched(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) that share a sketch and whose texts (rep, keys, words) are similar enough. A text that is in very many pairs as a stands in COPIES, among which they are dealt."""
+    """The pairs (a, b) whose texts (rep, words) are similar enough. A text that is in very many pairs as a stands in COPIES, among which they are dealt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,20 +171,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     kind = pairs.schema["a"].dataType.simpleString()
-    sides = [texts.select(F.col("rep").alias(c), F.col("keys").alias(f"{c}_keys"), F.col("words").alias(f"{c}_words")) for c in ("a", "b")]
+    sides = [texts.select(F.col("rep").alias(c), F.col("words").alias(f"{c}_words")) for c in ("a", "b")]
     dealt = pairs.select("a", "b", salt("b", parts=COPIES).alias("salt"))
     left = dealt.select("a", "salt").distinct().join(sides[0], "a")  # no more rows than pairs
-    joined = dealt.join(sides[1], "b").join(left, ["a", "salt"]).filter(F.arrays_overlap("a_keys", "b_keys"))
-    return joined.select("a", "b", "a_words", "b_words").mapInArrow(run, f"a {kind}, b {kind}")
+    return dealt.join(sides[1], "b").join(left, ["a", "salt"]).select("a", "b", "a_words", "b_words").mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def _mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
     """The members of buckets that still hold several components: key, rep, n, component, main (about the bucket's largest component) and how many blocks it fills."""
     placed = members.join(parts, "rep", "left").select("key", "salt", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    sizes = placed.groupBy("key", "component", "salt").agg(F.count(F.lit(1)).alias("size")).groupBy("key", "component").agg(F.sum("size").alias("size"), F.collect_set("salt").alias("salts"))
+    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"), salts())
     largest = sizes.groupBy("key").agg(F.max_by("component", "size").alias("main"), F.max("size").alias("most"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     blocks = largest.select("key", "main", F.greatest(F.lit(1), F.ceil((F.col("size") - F.col("most")) / OUTSIDE)).cast("int").alias("o_blocks"), F.ceil(F.col("size") / ALL).cast("int").alias("m_blocks"))
-    back = sizes.select("key", "component", F.explode("salts").alias("salt")).join(blocks, "key")
+    back = sizes.join(blocks, "key").select("key", "component", "main", "o_blocks", "m_blocks", each_salt())
     return placed.join(back, ["key", "component", "salt"]).select("key", "rep", "n", "component", "main", "o_blocks", "m_blocks")
 
 
@@ -195,21 +194,21 @@ def profile(mers: np.ndarray) -> bytes:
 
 
 def _profiles(texts: DataFrame, needed: DataFrame) -> DataFrame:
-    """(rep, keys, profile) of the texts whose rep is needed."""
+    """(rep, profile) of the texts whose rep is needed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [profile(kmers(np.frombuffer(raw.as_py(), np.uint32))) for raw in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], ["rep", "keys", "profile"])
+            found = [profile(kmers(np.frombuffer(raw.as_py(), np.uint32))) for raw in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["rep", "profile"])
 
     kind = texts.schema["rep"].dataType.simpleString()
-    return texts.select("rep", "keys", "words").join(needed.select("rep").distinct(), "rep", "left_semi").mapInArrow(run, f"rep {kind}, keys array<bigint>, profile binary")
+    return texts.select("rep", "words").join(needed.select("rep").distinct(), "rep", "left_semi").mapInArrow(run, f"rep {kind}, profile binary")
 
 
-def _in_blocks(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _in_blocks(mixed: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs (rep, a) of different components that meet in a bucket, of which one is outside the bucket's main component, and that may be similar enough. Each pair comes from the least bucket it shares."""
     rep_type = mixed.schema["rep"].dataType.simpleString()
-    sized = mixed.join(_profiles(texts, mixed), "rep")
+    sized = mixed.join(_profiles(texts, mixed).join(classes.select("rep", "keys"), "rep"), "rep")
     side = lambda own, other: F.explode(F.transform(F.sequence(F.lit(0), F.col(other) - 1), lambda k: F.struct(F.pmod(F.xxhash64("rep"), F.col(own)).cast("int").alias("own"), k.alias("other"))))
     kept = ["key", "rep", "n", "component", "keys", "profile"]
     outside = sized.filter(F.col("component") != F.col("main")).select(*kept, side("o_blocks", "m_blocks").alias("b")).select(*kept, F.lit(True).alias("asks"), F.col("b.own").alias("o_block"), F.col("b.other").alias("m_block"))
@@ -246,21 +245,20 @@ def _in_blocks(mixed: DataFrame, texts: DataFrame, threshold: float) -> DataFram
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each row of df: id, class_id (least id of its near-duplicates) and kept (whether it is that one)."""
     docs = materialise(sketched(df, id_col, text_col).withColumn("salt", salt("id")), "sketches")
-    # Texts with the same words: the least id, a row that has it, and the salts by which the others are dealt.
-    least = docs.groupBy("w1", "w2", "salt").agg(F.min("id").alias("rep"), F.min_by("tag", "id").alias("tag"))
-    groups = materialise(least.groupBy("w1", "w2").agg(F.min("rep").alias("rep"), F.min_by("tag", "rep").alias("tag"), F.collect_set("salt").alias("salts")), "classes")
+    # Texts with the same words: the least id, a row that has it, and the salts by which all are dealt.
+    groups = materialise(docs.groupBy("w1", "w2").agg(F.min("id").alias("rep"), F.min_by("tag", "id").alias("tag"), salts()), "classes")
     classes = materialise(docs.select("tag", "n", "keys").join(groups.select("tag", "rep"), "tag"), "sketched")
 
     exploded = classes.select("rep", "n", F.explode("keys").alias("key"), salt("rep").alias("salt"))
-    sizes = exploded.groupBy("key", "salt").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.sum("size").alias("size"), F.collect_set("salt").alias("salts")).filter("size > 1")
-    met = materialise(exploded.join(sizes.select("key", F.explode("salts").alias("salt")), ["key", "salt"]), "met")
+    buckets = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), salts()).filter("size > 1")
+    met = materialise(exploded.join(buckets.select("key", each_salt()), ["key", "salt"]), "met")
     often = met.groupBy("rep").agg(F.count(F.lit(1)).alias("often"))  # a text near many others is in many buckets
     members = materialise(met.join(often, "rep"), "members")
-    needed = classes.select("tag", "rep", "keys").join(often.select("rep"), "rep", "left_semi")
+    needed = classes.select("tag", "rep").join(often.select("rep"), "rep", "left_semi")
     texts = materialise(docs.select("tag", "words").join(needed, "tag"), "words")
 
-    centre = members.groupBy("key", "salt").agg(F.max_by("rep", "often").alias("a"), F.max("often").alias("often")).groupBy("key").agg(F.max_by("a", "often").alias("a"), F.collect_set("salt").alias("salts"))
-    together = members.select("key", "salt", "rep").join(centre.select("key", "a", F.explode("salts").alias("salt")), ["key", "salt"]).filter(F.col("rep") != F.col("a"))
+    centre = members.groupBy("key").agg(F.max_by("rep", "often").alias("a"), salts())
+    together = members.select("key", "salt", "rep").join(centre.select("key", "a", each_salt()), ["key", "salt"]).filter(F.col("rep") != F.col("a"))
     times = together.groupBy("rep", "a").agg(F.count(F.lit(1)).alias("times"))
     # With each text the centre that it meets in the most buckets.
     tried = materialise(times.groupBy("rep").agg(F.max_by("a", "times").alias("a")).select("a", F.col("rep").alias("b")), "pairs")
@@ -268,12 +266,12 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
     whole = components(links, "a", "b").withColumnRenamed("id", "rep")
     mixed = materialise(_mixed(members, whole), "unresolved")
     if not mixed.isEmpty():
-        fresh = _in_blocks(mixed, texts, threshold).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
+        fresh = _in_blocks(mixed, classes, texts, threshold).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
         more = materialise(_verified(fresh, texts, threshold), "links")
         if not more.isEmpty():
             whole = components(links.union(more), "a", "b").withColumnRenamed("id", "rep")
 
-    placed = groups.join(whole, "rep", "left").select("w1", "w2", F.coalesce("component", "rep").alias("class"), F.explode("salts").alias("salt"))
+    placed = groups.join(whole, "rep", "left").select("w1", "w2", F.coalesce("component", "rep").alias("class"), each_salt())
     by_doc = docs.select("id", "w1", "w2", "salt").join(placed, ["w1", "w2", "salt"]).groupBy("id").agg(F.min("class").alias("class_id"))
     out = df.select(F.col(id_col).alias("__id")).join(by_doc, F.col("__id") == F.col("id"), "left")
     return out.select(F.col("__id").alias(id_col), "class_id", F.coalesce(F.col("__id") == F.col("class_id"), F.lit(True)).alias("kept"))
