@@ -33,7 +33,7 @@ from wavefold.llm.common import materialise, text_or_empty
 
 CAPACITY = 2048
 #: Chunks of text kept in each of the two generations of a worker's cache.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 #: Texts handled at once inside a task; words joined into one call of the tokenizer.
 SLICE, JOINED = 512, 64
 END_PUNCTUATION = b".,!?;:#*$%&|"
