@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavefold.llm import byte_bpe, chat_format, embedding_dedup, html_extract, license_scan, line_dedup, order_minhash, packing, quality_classifier, quality_rules
+from wavefold.llm import byte_bpe, chat_format, collocations, embedding_dedup, html_extract, license_scan, line_dedup, order_minhash, packing, quality_classifier, quality_rules, spelling
 from wavefold.llm.common import table
 
 
@@ -56,6 +56,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), "text", "lang")
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_html_extract": op2_html_extract,
@@ -67,6 +75,8 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
