@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavefold.llm import byte_bpe, chat_format, collocations, embedding_dedup, html_extract, license_scan, line_dedup, order_minhash, packing, quality_classifier, quality_rules, spelling
+from wavefold.llm import byte_bpe, chat_format, collocations, embedding_dedup, html_extract, license_scan, line_dedup, order_minhash, packing, quality_classifier, quality_rules, spelling, toxicity
 from wavefold.llm.common import table
 
 
@@ -56,6 +56,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(documents, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic")
+    scored = toxicity.score(documents, "text", model)
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -75,6 +82,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_toxicity": op11_toxicity,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_collocations": op13_collocations,
 }
