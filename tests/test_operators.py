@@ -6,6 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from wavefold.operators import lookups, reductions, stencils
 from wavefold.sources import cubes
@@ -209,8 +210,9 @@ def test_cube_round_trip(spark, tmp_path, order):
     rows = traces.orderBy("iy", "ix").collect()
     assert [list(r["samples"]) for r in rows] == cube.reshape(6, 4).tolist() and rows[1]["x"] == 125.0
     if order == "<":
-        back = cubes.cube_files(traces, header, "path").collect()[0]["content"]
-        assert bytes(back)[512:] == cube.tobytes() and cubes.read_header(bytes(back))["vmax"] == 23.0
+        cubes.write_cubes(traces.withColumn("file", F.lit("b.fdm")), f"file://{tmp_path}/out", header)
+        back = (tmp_path / "out" / "b.fdm").read_bytes()
+        assert back[512:] == cube.tobytes() and cubes.read_header(back)["vmax"] == 23.0
 
 
 def test_entry_point_without_the_training_data_package(tmp_path):
@@ -226,15 +228,70 @@ def test_entry_point_without_the_training_data_package(tmp_path):
 
 
 def test_records_round_trip(spark, tmp_path):
-    from wavefold.sources.records import Layout, read_records, record_files
+    from wavefold.sources.records import Layout, read_records, write_records
 
     layout = Layout({"shot": (9, "int"), "sx": (73, "double"), "rz": (41, "float")}, samples=5, skip=16)
-    traces = spark.createDataFrame([(7, i, 100.5 + i, -float(i), [float(i + k) for k in range(5)]) for i in range(4)], "shot int, receiver int, sx double, rz double, samples array<float>")
-    raw = bytes(record_files(traces, "shot", "receiver", layout).collect()[0]["content"])
+    rows = [(f"{s}.rec", i, s, 100.5 + i, -float(i), [float(i + k) for k in range(5)]) for s in (7, 8) for i in range(40)]
+    traces = spark.createDataFrame(rows, "file string, ordinal int, shot int, sx double, rz double, samples array<float>").repartition(7)
+    write_records(traces, f"file://{tmp_path}/out", layout)
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["7.rec", "8.rec"]
+    raw = (tmp_path / "out" / "7.rec").read_bytes()
     (tmp_path / "a.rec").write_bytes(raw + b"rest")
-    rows = read_records(spark, f"file://{tmp_path}/a.rec", layout).orderBy("ordinal").collect()
-    assert [(r["shot"], r["sx"], r["rz"], list(r["samples"])) for r in rows] == [(7, 100.5 + i, -float(i), [float(i + k) for k in range(5)]) for i in range(4)]
-    assert "samples" not in read_records(spark, f"file://{tmp_path}/a.rec", layout, header_only=True).columns
+    assert len(raw) == 16 + 40 * (240 + 20) and raw[16 + 8 : 16 + 12] == (7).to_bytes(4, "big")
+    read = read_records(spark, f"file://{tmp_path}/a.rec", layout, range_bytes=1000)
+    assert read.rdd.getNumPartitions() == 11  # one file, many tasks; each trace in one of them
+    want = [(i, 7, 100.5 + i, -float(i), [float(i + k) for k in range(5)]) for i in range(40)]
+    assert [(r["ordinal"], r["shot"], r["sx"], r["rz"], list(r["samples"])) for r in read.orderBy("ordinal").collect()] == want
+    heads = read_records(spark, f"file://{tmp_path}/out", layout, header_only=True, range_bytes=700)
+    assert "samples" not in heads.columns
+    assert sorted((r["shot"], r["ordinal"], r["sx"]) for r in heads.collect()) == sorted((s, i, x) for _, i, s, x, _, _ in rows)
+
+
+def test_layouts_of_jobs():
+    from wavefold.sources.records import job_layout
+
+    layout = job_layout({"shot_id": 9, "sx": 73, "iline": -1}, 100, {"sx": "float"}, order="<")
+    assert layout.fields == {"xline": (193, "int"), "shot_id": (9, "int"), "sx": (73, "float")} and layout.header == 240
+    with pytest.raises(ValueError, match="no such field"):
+        job_layout({"colour": 1}, 10)
+
+
+def test_cubes_are_written_and_read_by_many_tasks(spark, tmp_path):
+    nx, ny, nz = 7, 5, 6
+    header = {"nx": nx, "ny": ny, "nz": nz, "dx": 10.0, "dy": 20.0, "dz": 5.0}
+    rows = [(f"{c}.fdm", y, x, [float(c * 1000 + y * 100 + x * 10 + k) for k in range(8 if x == 1 else 4)]) for c in (1, 2) for y in range(ny) for x in range(nx) if (y, x) != (2, 3)]
+    traces = spark.createDataFrame(rows, "file string, iy int, ix int, samples array<float>").repartition(6)
+    cubes.write_cubes(traces, f"file://{tmp_path}/out", header)
+    names = sorted(p.name for p in (tmp_path / "out").iterdir())
+    assert names == ["1.fdm", "2.fdm"]
+    read = cubes.read_cubes(spark, f"file://{tmp_path}/out", range_bytes=300)
+    assert read.rdd.getNumPartitions() == 2 * -(-(512 + 4 * nx * ny * nz) // 300)
+    want = {(f, y, x): ([*s, 0.0, 0.0] if len(s) == 4 else s[:6]) for f, y, x, s in rows} | {(f, 2, 3): [0.0] * 6 for f in names}
+    assert {(r["path"].split("/")[-1], r["iy"], r["ix"]): list(r["samples"]) for r in read.collect()} == want
+    head = cubes.read_header((tmp_path / "out" / "2.fdm").read_bytes()[:512])
+    assert (head["vmin"], head["vmax"], head["nx"]) == (0.0, 2463.0, 7)
+    got = cubes.cube_range(read, "path").orderBy("path").collect()
+    assert [(r["vmin"], r["vmax"]) for r in got] == [(0.0, 1463.0), (0.0, 2463.0)]
+    places = cubes.read_cubes(spark, f"file://{tmp_path}/out/1.fdm", stride=2, columns=["iy", "ix"])
+    assert sorted(map(tuple, places.collect())) == [(y, x) for y in range(0, ny, 2) for x in range(0, nx, 2)]
+
+
+def test_writers_refuse_and_clean_up(spark, tmp_path):
+    header = {"nx": 2, "ny": 1, "nz": 3}
+    bad = [("a.fdm", 0, 2, [1.0]), ("a.fdm", 1, 0, [1.0]), ("../a", 0, 0, [1.0]), (None, 0, 0, [1.0])]
+    for i, row in enumerate(bad):
+        with pytest.raises(Exception, match="outside|file's name"):
+            cubes.write_cubes(spark.createDataFrame([row], "file string, iy int, ix int, samples array<float>"), f"file://{tmp_path}/{i}", header)
+        assert list((tmp_path / str(i)).iterdir()) == []
+    (tmp_path / "short.fdm").write_bytes(cubes.header_bytes({"nx": 5, "ny": 5, "nz": 5, "dx": 1.0}) + bytes(40))
+    with pytest.raises(Exception, match="ends too early"):
+        cubes.read_cubes(spark, f"file://{tmp_path}/short.fdm").collect()
+    cubes.write_cubes(spark.createDataFrame([], "file string, iy int, ix int, samples array<float>"), f"file://{tmp_path}/none", header)
+    assert cubes.read_cubes(spark, f"file://{tmp_path}/none").count() == 0
+    with pytest.raises(ValueError, match="mounted"):
+        from wavefold.sources.ranges import local
+
+        local("s3://bucket/a")
 
 
 @pytest.mark.parametrize("half", [1, 4])

@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from wavefold.functions import traces
 from wavefold.functions.kernels import lagrange_axis, weights
 from wavefold.operators import frames, lookups, reductions, stencils, tapers, vectors, volumes
 from wavefold.plans.catalogue import around_sql, big, difference_sql
 from wavefold.plans.registry import query
+from wavefold.sources import cubes, records
 from wavefold.sources.tables import extract_shots, load, save, shared_folder, store_shots, table
 
 NX, NY, NZ = 12, 6, 7
@@ -452,6 +454,45 @@ def stored_shots(spark: SparkSession, d: str) -> DataFrame:
     return extract_shots(spark, folder, "l_orderkey")
 
 
+_WIDE, _DEEP = 48, 20
+_FILED = f"(SELECT l_returnflag AS part, l_suppkey % {_DEEP} AS iy, l_partkey % {_WIDE} AS ix, (l_linenumber - 1) % {NZ} AS iz, sum(l_quantity)::BIGINT AS v FROM lineitem GROUP BY 1, 2, 3, 4)"
+
+
+@query(f"SELECT p.part || '.fdm' AS file, y.iy::BIGINT AS iy, x.ix::BIGINT AS ix, z.iz::BIGINT AS iz, coalesce(v, 0)::DOUBLE AS v, max(coalesce(v, 0)) OVER (PARTITION BY p.part)::DOUBLE AS vmax FROM (SELECT DISTINCT l_returnflag AS part FROM lineitem) p, (SELECT unnest(range({_DEEP})) AS iy) y, (SELECT unnest(range({_WIDE})) AS ix) x, (SELECT unnest(range({NZ})) AS iz) z LEFT JOIN {_FILED} f ON f.part = p.part AND f.iy = y.iy AND f.ix = x.ix AND f.iz = z.iz")
+def cube_files(spark: SparkSession, d: str) -> DataFrame:
+    """Cubes written as files with headers, a file for each flag, and read back in ranges, with the greatest sample of each."""
+    rows = table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % _DEEP).alias("iy"), (F.col("l_partkey") % _WIDE).alias("ix"), F.concat("l_returnflag", F.lit(".fdm")).alias("file"), ((F.col("l_linenumber") - 1) % NZ).alias("iz")).agg(F.sum("l_quantity").alias("v"))
+    found = F.map_from_entries(F.collect_list(F.struct("iz", "v")))
+    stored = rows.groupBy("file", "iy", "ix").agg(found.alias("m")).select("file", "iy", "ix", F.transform(F.sequence(F.lit(0), F.lit(NZ - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0))).alias("samples"))
+    folder = shared_folder(spark, "cubes")
+    cubes.write_cubes(stored, folder, {"nx": _WIDE, "ny": _DEEP, "nz": NZ, "dx": 12.5, "dy": 25.0, "dz": 5.0})
+    read = cubes.read_cubes(spark, folder, range_bytes=1 << 14)
+    most = cubes.cube_range(cubes.read_cubes(spark, folder, columns=["path", "samples"]), "path").select("path", F.col("vmax").cast("double"))
+    out = read.join(most, "path").select(F.element_at(F.split("path", "/"), -1).alias("file"), big(F.col("iy")).alias("iy"), big(F.col("ix")).alias("ix"), F.posexplode("samples").alias("iz", "v"), "vmax")
+    return out.withColumns({"iz": big(F.col("iz")), "v": F.col("v").cast("double")})
+
+
+@query("SELECT l_suppkey::VARCHAR || '.rec' AS file, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS ordinal, l_partkey::DOUBLE AS sx, l_linenumber AS recv_id, l_quantity AS a, l_extendedprice::FLOAT::DOUBLE AS b FROM lineitem")
+def record_files(spark: SparkSession, d: str) -> DataFrame:
+    """Traces written as record files of a job's layout, a file for each shot, and read back in ranges."""
+    nth = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")) - 1
+    stored = table(spark, d, "lineitem").select(F.concat(F.col("l_suppkey").cast("string"), F.lit(".rec")).alias("file"), nth.alias("ordinal"), F.col("l_partkey").alias("sx"), F.col("l_linenumber").alias("recv_id"), F.array("l_quantity", "l_extendedprice").alias("samples"))
+    folder, layout = shared_folder(spark, "records"), records.job_layout({"recv_id": 13, "sx": 73, "xline": 0, "iline": 0}, 2)
+    records.write_records(stored, folder, layout)
+    read = records.read_records(spark, folder, layout)
+    return read.select(F.element_at(F.split("path", "/"), -1).alias("file"), "ordinal", "sx", "recv_id", F.col("samples")[0].cast("double").alias("a"), F.col("samples")[1].cast("double").alias("b"))
+
+
+@query("SELECT l_suppkey::VARCHAR || '.rec' AS file, count(*) AS n_traces, min(l_partkey)::DOUBLE AS min_sx, max(l_linenumber) AS most FROM lineitem GROUP BY 1")
+def record_headers(spark: SparkSession, d: str) -> DataFrame:
+    """The extent of each shot's record, for which only headers are read."""
+    stored = table(spark, d, "lineitem").select(F.concat(F.col("l_suppkey").cast("string"), F.lit(".rec")).alias("file"), (F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")) - 1).alias("ordinal"), F.col("l_partkey").alias("sx"), F.col("l_linenumber").alias("recv_id"), F.array_repeat(F.col("l_tax"), 64).alias("samples"))
+    folder, layout = shared_folder(spark, "records"), records.job_layout({"recv_id": 13, "sx": 73}, 64)
+    records.write_records(stored.withColumns({"xline": F.lit(0), "iline": F.lit(0)}), folder, layout)
+    heads = records.read_records(spark, folder, layout, header_only=True)
+    return heads.groupBy(F.element_at(F.split("path", "/"), -1).alias("file")).agg(F.count(F.lit(1)).alias("n_traces"), F.min("sx").alias("min_sx"), F.max("recv_id").alias("most"))
+
+
 @query("WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem) SELECT a.l_orderkey, a.l_linenumber, a.l_extendedprice, b.l_quantity AS template FROM n a JOIN n b ON a.l_orderkey = b.l_orderkey AND a.k = b.k")
 def template_headers(spark: SparkSession, d: str) -> DataFrame:
     """Traces take the headers of the template trace of the same number in their shot."""

@@ -1,19 +1,23 @@
 """Binary cubes: a header of 128 words and float samples, depth fastest.
 
-Cubes are read by Spark from any file system it knows, whole files in parallel, and become one row a
-trace: (path, iy, ix, samples). Byte order is judged by whether the x spacing is plausible.
+Cubes are a data source: read in byte ranges, a row a trace (path, iy, ix, x, y, samples), and written by many tasks into one
+file (ranges.py). Byte order is judged by whether the x spacing is plausible.
 """
 
 from __future__ import annotations
 
+import json
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource
+from pyspark.sql.types import StructType
+
+from wavefold.sources.ranges import RANGE_BYTES, TraceReader, TraceWriter, put_samples, samples_column
 
 # Fixed values of the file format: words of the header by position, its magic and its units.
 HEADER_BYTES = 512
@@ -37,37 +41,97 @@ def header_bytes(header: dict) -> bytes:
     return bytes(raw)
 
 
-def read_cubes(spark: SparkSession, path: str, stride: int = 1) -> DataFrame:
-    """One row a trace of each file in path: path, iy, ix, x, y, samples; every stride-th line in x and y."""
+class CubeReader(TraceReader):
+    """Traces of cubes with a header, or of raw ones, whose options nx, ny, nz, order say what a header would."""
+
+    def layout(self, read_at: Callable[[int, int], bytes], size: int) -> tuple[int, np.dtype, dict]:
+        o = self.options
+        raw = "nz" in o
+        h = {"nx": int(o["nx"]), "ny": int(o["ny"]), "nz": int(o["nz"]), "order": o.get("order", "<"), "x0": 0.0, "dx": 1.0, "y0": 0.0, "dy": 1.0} if raw else read_header(read_at(0, HEADER_BYTES))
+        skip = 0 if raw else HEADER_BYTES
+        if size < skip + 4 * h["nx"] * h["ny"] * h["nz"]:
+            raise ValueError(f"a cube of {h['nx']} x {h['ny']} x {h['nz']} samples ends too early")
+        return skip, np.dtype([("samples", h["order"] + "f4", (h["nz"],))]), h
+
+    def columns(self, traces: np.ndarray, first: int, of_file: dict) -> dict[str, np.ndarray | pa.Array]:
+        n, o, h = first + np.arange(len(traces)), self.options, of_file
+        iy, ix = n // h["nx"], n % h["nx"]
+        (x0, y0, z0), (rx, ry, rz) = (json.loads(o.get(k, d)) for k, d in (("offsets", "[0, 0, 0]"), ("ratios", "[1, 1, 1]")))
+        keep = (iy < h["ny"]) & (ix >= x0) & (iy >= y0) & ((ix - x0) % rx == 0) & ((iy - y0) % ry == 0)
+        out = {"path": pa.array([self.path] * len(n)), "iy": (iy - y0) // ry, "ix": (ix - x0) // rx, "x": h["x0"] + ix * float(h["dx"]), "y": h["y0"] + iy * float(h["dy"]), "__keep": keep}
+        return out | ({"samples": samples_column(traces["samples"][:, z0::rz])} if "samples" in self.names else {})
+
+
+class CubeWriter(TraceWriter):
+    """Rows (file, iy, ix, samples) to a cube each file; the header's fields are options."""
+
+    def header(self) -> dict:
+        return json.loads(self.options["header"])
+
+    def place(self) -> tuple[int, np.dtype]:
+        return HEADER_BYTES, np.dtype([("samples", "<f4", (self.header()["nz"],))])
+
+    def whole(self) -> int:
+        h = self.header()
+        return h["nx"] * h["ny"]
+
+    def fill(self, batch: pa.RecordBatch, out: np.ndarray) -> np.ndarray:
+        h = self.header()
+        iy, ix = (batch.column(self.names.index(c)).to_numpy(zero_copy_only=False) for c in ("iy", "ix"))
+        if ((ix < 0) | (ix >= h["nx"])).any():
+            raise ValueError("a trace lies outside its cube")
+        put_samples(batch.column(self.names.index("samples")), out["samples"])
+        return iy * h["nx"] + ix
+
+    def before(self, least: float, greatest: float) -> bytes:
+        return header_bytes(self.header() | {"vmin": least, "vmax": greatest})
+
+
+class CubeSource(DataSource):
+    """spark.read.format("wavefold_cube") and its writer."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, raw in zip(batch["path"], batch["content"], strict=True):
-                h = read_header(raw)
-                cube = np.frombuffer(raw, h["order"] + "f4", h["nx"] * h["ny"] * h["nz"], HEADER_BYTES).reshape(h["ny"], h["nx"], h["nz"])
-                for iy in range(0, h["ny"], stride):
-                    ix = np.arange(0, h["nx"], stride)
-                    yield pd.DataFrame({"path": name, "iy": iy, "ix": ix, "x": h["x0"] + ix * h["dx"], "y": h["y0"] + iy * h["dy"], "samples": list(cube[iy, ix].astype(np.float32))})
+    @classmethod
+    def name(cls) -> str:
+        return "wavefold_cube"
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, iy int, ix int, x double, y double, samples array<float>")
+    def schema(self) -> str:
+        return CUBE
 
+    def reader(self, schema: StructType) -> CubeReader:
+        return CubeReader(schema, dict(self.options))
 
-def read_raw_cube(spark: SparkSession, path: str, shape: tuple[int, int, int], offsets: tuple[int, int, int] = (0, 0, 0), ratios: tuple[int, int, int] = (1, 1, 1), order: str = "<") -> DataFrame:
+    def writer(self, schema: StructType, overwrite: bool) -> CubeWriter:
+        return CubeWriter(schema, dict(self.options), overwrite)
+
+
+CUBE = "path string, iy int, ix int, x double, y double, samples array<float>"
+
+
+def read_cubes(spark: SparkSession, path: str, stride: int = 1, range_bytes: int = RANGE_BYTES, columns: list[str] | None = None) -> DataFrame:
+    """One row a trace of each file in path: path, iy, ix, x, y, samples; every stride-th line in x and y, with the numbers it has in the file. Only the named columns are made."""
+    spark.dataSource.register(CubeSource)
+    kinds = dict(c.split(" ") for c in CUBE.split(", "))
+    rows = spark.read.format("wavefold_cube").schema(", ".join(f"{c} {kinds[c]}" for c in columns or kinds)).option("rangeBytes", range_bytes).load(path)
+    return rows.filter((F.pmod("iy", F.lit(stride)) == 0) & (F.pmod("ix", F.lit(stride)) == 0)) if stride > 1 else rows
+
+
+def write_cubes(traces: DataFrame, path: str, header: dict) -> None:
+    """A cube for each file of traces (file, iy, ix, samples) in the folder path, written by all tasks at once. Missing traces and samples are zero; header needs nx, ny, nz, and takes the least and greatest sample."""
+    traces.sparkSession.dataSource.register(CubeSource)
+    traces.select("file", F.col("iy").cast("int"), F.col("ix").cast("int"), F.col("samples").cast("array<float>")).write.format("wavefold_cube").mode("append").option("header", json.dumps(header)).save(path)
+
+
+def read_raw_cube(spark: SparkSession, path: str, shape: tuple[int, int, int], offsets: tuple[int, int, int] = (0, 0, 0), ratios: tuple[int, int, int] = (1, 1, 1), order: str = "<", range_bytes: int = RANGE_BYTES) -> DataFrame:
     """One row (iy, ix, samples) a trace of a cube without header, depth fastest; shape, offsets and ratios in x, y, z. A file is read in ranges of whole traces by many tasks, whatever its size; every ratios-th
     place from its offset on is kept."""
-    nx, ny, nz = shape
-    (x0, y0, z0), (rx, ry, rz) = offsets, ratios
-    size = 4 * nz
-    numbered = spark.sparkContext.binaryRecords(path, size).zipWithIndex()  # records of fixed length: no DataFrame source splits a file by them
-    rows = spark.createDataFrame(numbered, "raw binary, n bigint").select(F.floor(F.col("n") / nx).cast("int").alias("iy"), F.pmod("n", F.lit(nx)).cast("int").alias("ix"), "raw")
-    kept = rows.filter((F.col("iy") < ny) & (F.col("ix") >= x0) & (F.col("iy") >= y0) & (F.pmod(F.col("ix") - x0, F.lit(rx)) == 0) & (F.pmod(F.col("iy") - y0, F.lit(ry)) == 0))
+    spark.dataSource.register(CubeSource)
+    options = dict(zip(("nx", "ny", "nz"), shape, strict=True)) | {"order": order, "offsets": json.dumps(offsets), "ratios": json.dumps(ratios), "rangeBytes": range_bytes}
+    return spark.read.format("wavefold_cube").schema("iy int, ix int, samples array<float>").options(**options).load(path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [np.frombuffer(x.as_py(), order + "f4")[z0::rz].astype("<f4") for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([((batch.column(0).to_numpy() - y0) // ry).astype("i4"), ((batch.column(1).to_numpy() - x0) // rx).astype("i4"), pa.array(out, pa.list_(pa.float32()))], ["iy", "ix", "samples"])
 
-    return kept.mapInArrow(run, "iy int, ix int, samples array<float>")
+def cube_range(traces: DataFrame, key: str) -> DataFrame:
+    """The least and greatest sample of each cube of traces (key, samples)."""
+    return traces.groupBy(key).agg(F.min(F.array_min("samples")).alias("vmin"), F.max(F.array_max("samples")).alias("vmax"))
 
 
 def checked_velocity(traces: DataFrame, least: float = 100.0) -> DataFrame:
@@ -89,17 +153,3 @@ def load_model(spark: SparkSession, path: str, velocity: bool = False, shape: tu
     else:
         raise ValueError(f"no model format is known for {path}")
     return checked_velocity(traces) if velocity else traces
-
-
-def cube_files(traces: DataFrame, header: dict, key: str) -> DataFrame:
-    """A row (key, content) for each cube of traces (key, iy, ix, samples): the bytes of its file. Missing traces are zero; a cube is one task's work, as it is one file."""
-    nx, ny, nz = header["nx"], header["ny"], header["nz"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cube = np.zeros((ny, nx, nz), dtype="<f4")
-        for iy, ix, samples in zip(pdf["iy"], pdf["ix"], pdf["samples"], strict=True):
-            cube[iy, ix, : len(samples)] = samples[:nz]
-        full = header | {"vmin": float(cube.min()), "vmax": float(cube.max())}
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "content": [header_bytes(full) + cube.tobytes()]})
-
-    return traces.groupBy(key).applyInPandas(run, f"`{key}` {traces.schema[key].dataType.simpleString()}, content binary")

@@ -1,17 +1,30 @@
-"""Trace records: fixed-length headers and float samples, laid out as a job declares."""
+"""Trace records: fixed-length headers and float samples, laid out as a job declares.
+
+Records are a data source: read in byte ranges, a row a trace (path, ordinal, the declared fields, samples), and written by many
+tasks into one file a shot (ranges.py). Without samples only headers are read.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+import json
+from collections.abc import Callable
+from dataclasses import asdict, dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource
+from pyspark.sql.types import StructType
+
+from wavefold.sources.ranges import RANGE_BYTES, TraceReader, TraceWriter, put_samples, samples_column
 
 TYPES = {"int": ("i4", "int"), "short": ("i2", "int"), "float": ("f4", "double"), "double": ("f8", "double")}
 
+# Types of the fields that a job may place, and where lines are if it doesn't say (first byte counted from 1).
+FIELD_TYPES = {"shot_id": "int", "recv_id": "int", "sx": "double", "sy": "double", "sz": "float", "rx": "double", "ry": "double", "rz": "float", "xline": "int", "iline": "int"}
+LINES = {"xline": 193, "iline": 189}
+
 
 @dataclass(frozen=True)
 class Layout:
@@ -29,36 +42,85 @@ class Layout:
         return np.dtype({"names": names, "formats": formats, "offsets": [*(at - 1 for at, _ in self.fields.values()), self.header], "itemsize": self.header + 4 * self.samples})
 
 
-def read_records(spark: SparkSession, path: str, layout: Layout, header_only: bool = False) -> DataFrame:
+def job_layout(places: dict[str, int], samples: int, types: dict[str, str] | None = None, **rest: int | str) -> Layout:
+    """The layout of a job that places some fields; lines have places of their own, and all have types that types may replace."""
+    unknown = set(places) - set(FIELD_TYPES)
+    if unknown:
+        raise ValueError(f"no such field: {', '.join(sorted(unknown))}")
+    kinds = FIELD_TYPES | (types or {})
+    return Layout({name: (at, kinds[name]) for name, at in (LINES | places).items() if at > 0}, samples, **rest)
+
+
+def _layout(options: dict) -> Layout:
+    said = json.loads(options["layout"])
+    return Layout(**said | {"fields": {n: tuple(f) for n, f in said["fields"].items()}})
+
+
+class RecordReader(TraceReader):
+    def layout(self, read_at: Callable[[int, int], bytes], size: int) -> tuple[int, np.dtype, dict]:
+        said = _layout(self.options)
+        return said.skip, said.dtype(), {"fields": said.fields}
+
+    def header_bytes(self, kind: np.dtype) -> int:
+        wanted = [kind.fields[n] for n in self.names if n in kind.fields]
+        return max((at + k.itemsize for k, at, *_ in wanted), default=0)
+
+    def columns(self, traces: np.ndarray, first: int, of_file: dict) -> dict[str, np.ndarray | pa.Array]:
+        out = {"ordinal": first + np.arange(len(traces)), "path": pa.array([self.path] * len(traces))}
+        out |= {n: traces[n].astype(TYPES[kind][0]) for n, (_, kind) in of_file["fields"].items() if n in self.names}
+        return out | ({"samples": samples_column(traces["samples"])} if "samples" in self.names else {})
+
+
+class RecordWriter(TraceWriter):
+    """Rows (file, ordinal, fields, samples) to a record each file, a trace at the place of its ordinal."""
+
+    def place(self) -> tuple[int, np.dtype]:
+        said = _layout(self.options)
+        return said.skip, said.dtype()
+
+    def fill(self, batch: pa.RecordBatch, out: np.ndarray) -> np.ndarray:
+        for name in _layout(self.options).fields:
+            out[name] = batch.column(self.names.index(name)).to_numpy(zero_copy_only=False)
+        put_samples(batch.column(self.names.index("samples")), out["samples"])
+        return batch.column(self.names.index("ordinal")).to_numpy(zero_copy_only=False)
+
+    def before(self, least: float, greatest: float) -> bytes:
+        return bytes(_layout(self.options).skip)
+
+
+class RecordSource(DataSource):
+    """spark.read.format("wavefold_records") and its writer; the layout is an option."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "wavefold_records"
+
+    def schema(self) -> str:
+        return _columns(_layout(self.options))
+
+    def reader(self, schema: StructType) -> RecordReader:
+        return RecordReader(schema, dict(self.options))
+
+    def writer(self, schema: StructType, overwrite: bool) -> RecordWriter:
+        return RecordWriter(schema, dict(self.options), overwrite)
+
+
+def _columns(layout: Layout, header_only: bool = False) -> str:
+    return "path string, ordinal bigint, " + ", ".join(f"`{n}` {TYPES[t][1]}" for n, (_, t) in layout.fields.items()) + ", samples array<float>" * (not header_only)
+
+
+def read_records(spark: SparkSession, path: str, layout: Layout, header_only: bool = False, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """A row for each trace of the files in path: path, ordinal, the declared fields and, unless headers are enough, samples. A rest shorter than a trace is left out."""
-    kind = layout.dtype()
-    schema = "path string, ordinal bigint, " + ", ".join(f"`{n}` {TYPES[t][1]}" for n, (_, t) in layout.fields.items()) + ", samples array<float>" * (not header_only)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, raw in zip(batch["path"], batch["content"], strict=True):
-                traces = np.frombuffer(raw, kind, (len(raw) - layout.skip) // kind.itemsize, layout.skip)
-                out = {"path": name, "ordinal": np.arange(len(traces))} | {f: traces[f].astype(TYPES[t][0]) for f, (_, t) in layout.fields.items()}
-                if not header_only:
-                    out["samples"] = list(traces["samples"].astype(np.float32))
-                yield pd.DataFrame(out)
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
-
-
-def record_files(traces: DataFrame, key: str, order: str, layout: Layout) -> DataFrame:
-    """A row (key, content) for each shot: the bytes of its record file, traces in order. A shot is one task's work, as it is one file."""
-    kind = layout.dtype()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        out = np.zeros(len(pdf), kind)
-        for name in layout.fields:
-            out[name] = pdf[name].to_numpy()
-        out["samples"] = np.stack([np.asarray(s, np.float32)[: layout.samples] for s in pdf["samples"]])
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "content": [bytes(layout.skip) + out.tobytes()]})
-
-    return traces.groupBy(key).applyInPandas(run, f"`{key}` {traces.schema[key].dataType.simpleString()}, content binary")
+    spark.dataSource.register(RecordSource)
+    return spark.read.format("wavefold_records").schema(_columns(layout, header_only)).option("layout", json.dumps(asdict(layout))).option("rangeBytes", range_bytes).load(path)
+
+
+def write_records(traces: DataFrame, path: str, layout: Layout) -> None:
+    """A record for each file of traces (file, ordinal from 0, the declared fields, samples) in the folder path, written by all tasks at once. Missing samples, and ordinals that no row has, are zero."""
+    traces.sparkSession.dataSource.register(RecordSource)
+    fields = [F.coalesce(F.col(n), F.lit(0)).cast(TYPES[kind][1]).alias(n) for n, (_, kind) in layout.fields.items()]
+    rows = traces.select("file", F.col("ordinal").cast("bigint"), *fields, F.col("samples").cast("array<float>"))
+    rows.write.format("wavefold_records").mode("append").option("layout", json.dumps(asdict(layout))).save(path)
 
 
 def scale_headers(traces: DataFrame, xy: list[str], scalar: float, z: list[str], shift: float) -> DataFrame:
