@@ -48,10 +48,47 @@ def test_stencils_take_places_not_rows(spark):
     assert stencils.weighted(rows, ["k"], "i", "v", [0.25, 0.5, 0.25], "s").filter("i = 2").first()["s"] == pytest.approx((0.25 * 2 + 0.5 * 4) / 0.75)
 
 
-def test_stencils_need_no_window(spark, capsys):
+def test_windows_of_stencils_are_blocks(spark, capsys):
     stencils.box_mean(series(spark, [1, 2, 3]), ["k"], "i", "v", 2).explain()
     plan = capsys.readouterr().out
-    assert "Window" not in plan and "NestedLoop" not in plan
+    assert "__block" in plan and "NestedLoop" not in plan
+
+
+def test_blocks_hold_few_rows_twice(spark):
+    line = spark.range(100_000).select(F.lit(0).alias("k"), F.col("id").alias("i"), F.col("id").cast("double").alias("v"))
+    for half in (1, 10, 100):
+        n = stencils.blocks(line, "i", half).count()
+        assert n <= 100_000 * (1 + 2 * half / max(stencils.BLOCK, 16 * half)) + 2 * half + 1
+
+
+@pytest.mark.parametrize("half", [1, 2, 5])
+def test_stencils_across_block_borders(spark, monkeypatch, half):
+    """Lines longer than blocks, with gaps, nulls and negative places, against loops over true places."""
+    monkeypatch.setattr(stencils, "BLOCK", 4)
+    rng = np.random.default_rng(half)
+    lines = {k: {int(i): (None if rng.random() < 0.1 else float(rng.integers(0, 50))) for i in rng.choice(np.arange(-70, 260), n, replace=False)} for k, n in ((0, 1), (1, 40), (2, 300))}
+    rows = spark.createDataFrame([(k, i, v) for k, line in lines.items() for i, v in line.items()], "k int, i long, v double")
+    weights = [0.1 + 0.05 * j for j in range(2 * half + 1)]
+    one = stencils.differences(2 * half, True)
+    want = {}
+    for k, line in lines.items():
+        lo, hi = min(line), max(line)
+        for i in line:
+            near = [line.get(min(max(i + d, lo), hi)) for d in range(-half, half + 1)]
+            there = sorted(v for v in near if v is not None)
+            inside = [(line.get(i + d) or 0.0) * one[abs(d)] for d in range(-half, half + 1)]
+            mass = sum(w for w, v in zip(weights, near, strict=True) if v is not None)
+            smooth = sum(w * v for w, v in zip(weights, near, strict=True) if v is not None) / mass * sum(weights) if there else None
+            want[k, i] = (line[i], sum(there) / len(there) if there else None, there[(len(there) - 1) // 2] if there else None, smooth, sum(inside))
+    results = [
+        stencils.box_mean(rows, ["k"], "i", "v", half, "r"), stencils.running_median(rows, ["k"], "i", "v", half, "r"),
+        stencils.weighted(rows, ["k"], "i", "v", weights, "r"), stencils.derivative(rows, ["k"], "i", "v", "r", second=True, accuracy=2 * half),
+    ]
+    for at, df in enumerate(results, 1):
+        got = {(r["k"], r["i"]): r for r in df.collect()}
+        assert got.keys() == want.keys()
+        for key, w in want.items():
+            assert got[key]["v"] == w[0] and (got[key]["r"] is None) == (w[at] is None) and (w[at] is None or got[key]["r"] == pytest.approx(w[at])), (at, key)
 
 
 def test_filters_of_volumes_equal_numpy(spark):

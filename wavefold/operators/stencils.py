@@ -1,8 +1,9 @@
 """Sliding means, medians, weighted sums and derivatives along an axis of numbered places.
 
-A neighbour is the row at the place so many steps away, matched by equality, not the next row there is: each
-row is spread to the places that it is a neighbour of, and what meets at a place is aggregated. There is no
-window over a whole line, so the work of a long line, or of few lines, is dealt to all tasks.
+A neighbour is the row at the place so many steps away, not the next row there is. Lines are cut into blocks of
+places, each with a halo of the neighbouring blocks' rows as wide as the stencil reaches; sums, sorted lists and weighted sums run within a block. So a
+row is shuffled 1 + 2 half / BLOCK times, whatever the stencil's width, and no window holds a whole line: a long
+line, or few lines, are the work of all tasks.
 
 Places beyond the first and the last row of a line repeat that row, where edges are said to be repeated. A place
 missing within a line is left out of means, medians and weighted sums (weights are those of the rest), and
@@ -14,50 +15,97 @@ from __future__ import annotations
 from collections.abc import Callable
 from math import factorial
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+#: Places of a block, at least; parts into which the rows of a line are dealt to meet its span.
+BLOCK, SALTS = 1024, 16
 
-def around(rows: DataFrame, keys: list[str], order: str, value: str, half: int) -> DataFrame:
-    """A row (keys, order, __k, __v) for each place and its neighbours __k steps away, from -half to half, edges repeated. Rows of one place must not be repeated."""
-    span = rows.groupBy(*keys).agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
+
+def spans(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    """(keys, __lo, __hi, __first, __last): the first and last place of each line and the values there."""
+    ends = [F.min_by(value, order).alias("__first"), F.max_by(value, order).alias("__last")]
+    return rows.groupBy(*keys).agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"), *ends)
+
+
+def blocks(rows: DataFrame, order: str, half: int) -> DataFrame:
+    """Rows dealt to blocks of BLOCK places (or 16 half, if that is more), each with a halo of half places of its neighbours: 1 + 2 half / BLOCK rows a row. __own tells a block's own rows from its halo."""
+    size = max(BLOCK, 16 * half)
     at = F.col(order)
-    put = lambda place, k: F.struct(place.cast("bigint").alias("place"), k.cast("int").alias("k"))
-    inside = F.filter(F.transform(F.sequence(F.lit(-half), F.lit(half)), lambda k: put(at - k, k)), lambda t: t["place"].between(F.col("__lo"), F.col("__hi")))
-    # The first row stands for what is before it at the places up to half - 1 after it, and the last one likewise.
-    before = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(half - 1)), lambda d: F.transform(F.sequence(F.lit(-half), -d - 1), lambda k: put(at + d, k)))) if half else F.array()
-    after = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(half - 1)), lambda d: F.transform(F.sequence(d + 1, F.lit(half)), lambda k: put(at - d, k)))) if half else F.array()
-    within = lambda x: F.filter(x, lambda t: t["place"].between(F.col("__lo"), F.col("__hi")))
-    parts = [inside] if not half else [inside, F.when(at == F.col("__lo"), within(before)).otherwise(F.slice(within(before), 1, 0)), F.when(at == F.col("__hi"), within(after)).otherwise(F.slice(within(after), 1, 0))]
-    joined = rows.select(*keys, order, value).join(span, keys) if keys else rows.select(order, value).crossJoin(F.broadcast(span))
-    return joined.select(*keys, F.col(value).alias("__v"), F.explode(F.concat(*parts)).alias("__t")).select(*keys, F.col("__t.place").cast(rows.schema[order].dataType).alias(order), F.col("__t.k").alias("__k"), "__v")
+    block = lambda place: F.floor(place / F.lit(size)).cast("bigint")
+    return rows.withColumn("__block", F.explode(F.sequence(block(at - half), block(at + half)))).withColumn("__own", F.col("__block") == block(at))
+
 
+def _near(keys: list[str], order: str, half: int) -> WindowSpec:
+    """The rows of a block up to half places away. A window is a block, however long its line."""
+    return Window.partitionBy(*keys, "__block").orderBy(order).rangeBetween(-half, half)
 
-def _at_places(rows: DataFrame, keys: list[str], order: str, value: str, half: int, result: Column, name: str) -> DataFrame:
-    """(keys, order, value, name) at the places that have a row."""
-    own = F.max(F.when(F.col("__k") == 0, F.col("__v"))).alias(value)
-    return around(rows, keys, order, value, half).groupBy(*keys, order).agg(own, F.count_if(F.col("__k") == 0).alias("__own"), result.alias(name)).filter("__own > 0").drop("__own")
+
+def _at_places(rows: DataFrame, keys: list[str], order: str, value: str, half: int, result: Callable[[WindowSpec, Column, Column], Column], name: str) -> DataFrame:
+    """(keys, order, value, name); result(rows near, how many places before the line's first one, how many behind its last) is computed within blocks."""
+    lines = spans(rows, keys, order, value)
+    dealt = blocks(rows.select(*keys, order, value), order, half)
+    if keys:
+        # A long line is dealt by salts, as its span is wanted by all of its rows.
+        part = F.pmod(F.xxhash64(order), F.lit(SALTS)).cast("int")
+        each = lines.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = dealt.withColumn("__salt", part).join(each, [*keys, "__salt"])
+    else:
+        dealt = dealt.crossJoin(F.broadcast(lines))  # one row
+    before, behind = (F.greatest(F.lit(0), x).cast("int") for x in (F.col("__lo") - (F.col(order) - half), F.col(order) + half - F.col("__hi")))
+    return dealt.withColumn(name, result(_near(keys, order, half), before, behind)).filter("__own").select(*keys, order, value, name)
 
 
 def box_mean(rows: DataFrame, keys: list[str], order: str, value: str, half: int, name: str = "mean") -> DataFrame:
     """Mean over 2 half + 1 places, edges repeated."""
-    return _at_places(rows, keys, order, value, half, F.avg("__v"), name)
+
+    def result(near: WindowSpec, before: Column, behind: Column) -> Column:
+        edge = lambda v, n: F.when(F.col(v).isNotNull(), F.col(v) * n).otherwise(F.lit(0))
+        there = lambda v, n: F.when(F.col(v).isNotNull(), n).otherwise(F.lit(0))
+        total = F.coalesce(F.sum(value).over(near), F.lit(0)) + edge("__first", before) + edge("__last", behind)
+        count = F.count(value).over(near) + there("__first", before) + there("__last", behind)
+        return F.when(count > 0, total / count)
+
+    return _at_places(rows, keys, order, value, half, result, name)
 
 
 def running_median(rows: DataFrame, keys: list[str], order: str, value: str, half: int, name: str = "median") -> DataFrame:
     """Median of 2 half + 1 places, edges repeated; of an even number the lower of the two in the middle. With half 1 the end points stay."""
-    return _at_places(rows, keys, order, value, half, F.element_at(F.array_sort(F.collect_list("__v")), F.ceil(F.count("__v") / 2).cast("int")), name)
+
+    def result(near: WindowSpec, before: Column, behind: Column) -> Column:
+        edges = [F.array_repeat(v, n) for v, n in (("__first", before), ("__last", behind))]
+        values = F.array_sort(F.array_compact(F.concat(F.collect_list(value).over(near), *edges)))
+        return F.when(F.size(values) > 0, F.try_element_at(values, F.ceil(F.size(values) / 2).cast("int")))
+
+    return _at_places(rows, keys, order, value, half, result, name)
 
 
 def median3(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     return running_median(rows, keys, order, value, 1)
 
 
+def _dot(near: WindowSpec, order: str, value: str, weights: list[float]) -> tuple[Column, Column]:
+    """The sum of weights times values of the rows near, and of the weights of those that have a value."""
+    half, table = len(weights) // 2, F.array(*map(F.lit, weights))
+    found = F.collect_list(F.struct(F.col(order).alias("at"), F.col(value).cast("double").alias("v"))).over(near)
+    weight = lambda s: F.element_at(table, (s["at"] - F.col(order) + half + 1).cast("int"))
+    there = F.filter(found, lambda s: s["v"].isNotNull())
+    return F.aggregate(there, F.lit(0.0), lambda t, s: t + weight(s) * s["v"]), F.aggregate(there, F.lit(0.0), lambda t, s: t + weight(s))
+
+
 def weighted(rows: DataFrame, keys: list[str], order: str, value: str, weights: list[float], name: str) -> DataFrame:
     """Weighted mean of a place and its neighbours, edges repeated; weights go from the one before to the one after."""
-    half = len(weights) // 2
-    weight = F.element_at(F.array(*map(F.lit, weights)), F.col("__k") + half + 1)
-    return _at_places(rows, keys, order, value, half, F.sum(weight * F.col("__v")) / F.sum(F.when(F.col("__v").isNotNull(), weight)) * sum(weights), name)
+    # Of so many places before the first one, the weights in all; likewise from the end.
+    ahead, astern = (F.array(*(F.lit(float(sum(w[:n]))) for n in range(len(weights) // 2 + 1))) for w in (weights, weights[::-1]))
+
+    def result(near: WindowSpec, before: Column, behind: Column) -> Column:
+        total, count = _dot(near, order, value, weights)
+        for v, share in (("__first", F.get(ahead, before)), ("__last", F.get(astern, behind))):
+            there = F.col(v).isNotNull()
+            total, count = total + F.when(there, F.col(v) * share).otherwise(0.0), count + F.when(there, share).otherwise(0.0)
+        return F.when(count != 0, total / count * sum(weights))
+
+    return _at_places(rows, keys, order, value, len(weights) // 2, result, name)
 
 
 def along_axes(cells: DataFrame, keys: list[str], axes: list[str], value: str, steps: list[tuple[str, Callable[[DataFrame, list[str], str], DataFrame]]]) -> DataFrame:
@@ -98,11 +146,9 @@ def derivative(rows: DataFrame, keys: list[str], order: str, value: str, name: s
     one = differences(accuracy, second)
     half = len(one) - 1
     weights = [*((1 if second else -1) * c for c in one[:0:-1]), *one]
-    near = F.explode(F.transform(F.sequence(F.lit(-half), F.lit(half)), lambda k: F.struct((F.col(order) - k).alias("place"), k.alias("k"))))
-    spread = rows.select(*keys, F.col(value).alias("__v"), near.alias("__t")).select(*keys, F.col("__t.place").alias(order), F.col("__t.k").alias("__k"), "__v")
-    total = F.sum(F.element_at(F.array(*map(F.lit, weights)), F.col("__k") + half + 1) * F.col("__v")) / (step**2 if second else step)
-    met = spread.groupBy(*keys, order).agg(F.max(F.when(F.col("__k") == 0, F.col("__v"))).alias(value), F.count_if(F.col("__k") == 0).alias("__own"), total.alias(name))
-    return met.filter("__own > 0").drop("__own")
+    dealt = blocks(rows.select(*keys, order, value), order, half)
+    total, _ = _dot(_near(keys, order, half), order, value, weights)
+    return dealt.withColumn(name, total / (step**2 if second else step)).filter("__own").select(*keys, order, value, name)
 
 
 def gradient(cells: DataFrame, keys: list[str], axes: dict[str, float], value: str, accuracy: int = 8) -> DataFrame:

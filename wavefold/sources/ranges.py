@@ -81,7 +81,9 @@ class TraceReader(DataSourceReader):
         """How much of a trace is read where no samples are wanted."""
         return kind.fields["samples"][1]
 
-    def read(self, span: Span) -> Iterator[pa.RecordBatch]:
+    def read(self, span: Span | None) -> Iterator[pa.RecordBatch]:
+        if span is None:  # no files
+            return
         path, self.path = self.options["path"], span.path
         system = fs.FileSystem.from_uri(path)[0] if ":" in path.split("/")[0] else fs.LocalFileSystem()
         with system.open_input_file(span.path) as source:
