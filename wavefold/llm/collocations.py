@@ -14,8 +14,8 @@ settled when its 2000th surviving score is above the bound of all words not yet
 is left there, or when there are none; settled languages expand no further.
 
 Spark's part. One pass turns texts into rows of 64,000 word hashes (a table of the row's distinct hashes and a code a word)
-and counts words; a second counts pairs of frequent words. Each tier then takes one pass for the places
-where it starts, kept as long as all pairs of neighbours are frequent, and one for rests that start
+and counts words; a second counts pairs of frequent words by 32 bits of their hashes, so that only pairs that may be frequent are looked at. Each
+tier then takes one pass for the places where it starts, as long as all pairs of neighbours may be frequent, and one for rests that start
 elsewhere, where their counts are not known yet. Tasks add up before each shuffle. What a pass looks up are bit tables of fixed
 size (BITS), which can only let too much through: the counts themselves are grouped by the words' hashes,
 exactly. Two words with one 64-bit hash would be an error that stops the job, not a wrong count. Nothing passes
@@ -118,50 +118,46 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield counted()
 
 
-def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-    """Hashes of about STEP words at a time; 0 at ends, and at both ends of each array."""
+def _steps(batches: Iterator[pa.RecordBatch], least: int = STEP) -> Iterator[np.ndarray]:
+    """Hashes of about least words at a time; 0 at ends, and at both ends of each array."""
     parts, n = [], 0
     for batch in batches:
         for words, codes, width in zip(*(batch.column(k) for k in range(3)), strict=True):
             parts.append(np.frombuffer(words.as_py(), np.int64)[np.frombuffer(codes.as_py(), f"<u{width.as_py()}")])
             n += len(parts[-1])
-            if n >= STEP:
+            if n >= least:
                 yield np.concatenate(parts)
                 parts, n = [], 0
     if parts:
         yield np.concatenate(parts)
 
 
-def _slots(words: list[np.ndarray]) -> np.ndarray:
-    """Where the bit tables keep a phrase."""
+def _mixed(words: list[np.ndarray]) -> np.ndarray:
     h = np.zeros(len(words[0]), np.uint64)
     for w in words:
         h = (h ^ w.view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(31)
-    return (h >> np.uint64(64 - BITS)).astype(np.int64)
+    return h
+
+
+def _slots(words: list[np.ndarray]) -> np.ndarray:
+    """Where the bit tables keep a phrase."""
+    return (_mixed(words) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def _has(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
 
 
-def bit_table(phrases: DataFrame, names: list[str]) -> np.ndarray:
-    """A bit for the place of each phrase, a row of the columns names with 0 behind its last word. Of fixed size, made in parts by tasks."""
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            words = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
-            length = sum((w != 0).astype(int) for w in words)
-            for m in np.unique(length):
-                at = np.unique(_slots([w[length == m] for w in words[:m]]))
-                yield pa.RecordBatch.from_arrays([pa.array((at >> PART).astype(np.int32)), pa.array((at & (1 << PART) - 1).astype(np.int32))], ["part", "at"])
+def bits_at(slots: DataFrame) -> np.ndarray:
+    """A bit for each slot there is. Of fixed size, made in parts by tasks."""
 
     def pack(table: pa.Table) -> pa.Table:
         bits = np.zeros(1 << PART, np.uint8)
         bits[table["at"].to_numpy()] = 1
         return pa.table({"part": table["part"][:1].cast(pa.int32()), "bits": [np.packbits(bits, bitorder="little").tobytes()]})
 
-    placed = phrases.select(*names).mapInArrow(place, "part int, at int").distinct()
+    placed = slots.select((F.col("slot") / F.lit(1 << PART)).cast("int").alias("part"), (F.col("slot") % F.lit(1 << PART)).cast("int").alias("at")).distinct()
     out = np.zeros((1 << BITS) >> 3, np.uint8)
     size = (1 << PART) >> 3
     for r in placed.groupBy("part").applyInArrow(pack, "part int, bits binary").collect():  # at most 2 ** (BITS - PART) rows of 8 kB
@@ -169,6 +165,19 @@ def bit_table(phrases: DataFrame, names: list[str]) -> np.ndarray:
     return out
 
 
+def bit_table(phrases: DataFrame, names: list[str]) -> np.ndarray:
+    """A bit for the slot of each phrase, a row of the columns names with 0 behind its last word."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns]
+            length = sum((w != 0).astype(int) for w in words)
+            for m in np.unique(length):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slots([w[length == m] for w in words[:m]])))], ["slot"])
+
+    return bits_at(phrases.select(*names).mapInArrow(place, "slot long"))
+
+
 def _grouped(words: list[np.ndarray], left: np.ndarray | None = None, right: np.ndarray | None = None) -> pa.RecordBatch:
     names = WORDS[: len(words)]
     table = pa.table(dict(zip(names, words, strict=True)) | ({} if left is None else {"left": left, "right": right}))
@@ -192,15 +201,20 @@ def _pass(tokens: DataFrame, step: Callable[[np.ndarray], Iterator[pa.RecordBatc
     return found.groupBy(*WORDS).agg(*(sums[c](c).alias(c) for c in names))
 
 
-def pairs(tokens: DataFrame, frequent: np.ndarray) -> DataFrame:
+def pair_table(tokens: DataFrame, frequent: np.ndarray, min_count: int) -> np.ndarray:
+    """A bit for the slot of each pair of frequent words with min_count places. Pairs are counted by 32 bits of their hash, so some that are rarer have one too."""
     shared = tokens.sparkSession.sparkContext.broadcast(frequent)  # a bit table
 
-    def step(v: np.ndarray) -> Iterator[pa.RecordBatch]:
-        often = _has(shared.value, _slots([v])) & (v != 0)
-        at = np.flatnonzero(often[:-1] & often[1:])
-        yield _grouped([v[at], v[at + 1]])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for v in _steps(batches, 4 * STEP):
+            often = _has(shared.value, _slots([v])) & (v != 0)
+            at = np.flatnonzero(often[:-1] & often[1:])
+            slot, n = np.unique((_mixed([v[at], v[at + 1]]) >> np.uint64(32)).astype(np.uint32), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot.view(np.int32)), pa.array(n.astype(np.int32))], ["slot", "n"])
 
-    return _pass(tokens, step, ["n"])
+    often = tokens.mapInArrow(run, "slot int, n int").groupBy("slot").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count)
+    unsigned = F.pmod(F.col("slot").cast("bigint"), F.lit(1 << 32))
+    return bits_at(often.select(F.floor(unsigned / F.lit(1 << (32 - BITS))).cast("bigint").alias("slot")))
 
 
 def grow(tokens: DataFrame, first: np.ndarray, pair: np.ndarray) -> DataFrame:
@@ -222,12 +236,12 @@ def grow(tokens: DataFrame, first: np.ndarray, pair: np.ndarray) -> DataFrame:
 
 
 def count_phrases(tokens: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """Counts of the phrases of 3 or 4 words in wanted, and of some others."""
+    """Counts of the phrases of 2 to 4 words in wanted, and of some others."""
     shared = tokens.sparkSession.sparkContext.broadcast(wanted)  # a bit table
 
     def step(v: np.ndarray) -> Iterator[pa.RecordBatch]:
         v = np.concatenate([v, np.zeros(LONGEST, np.int64)])
-        for m in range(3, LONGEST):
+        for m in range(2, LONGEST):
             words = [v[k : len(v) - LONGEST + k] for k in range(m)]
             at = np.flatnonzero(_has(shared.value, _slots(words)) & np.logical_and.reduce([w != 0 for w in words]))
             yield _grouped([w[at] for w in words])
@@ -279,9 +293,8 @@ def collocations(df: DataFrame, text_col: str, lang_col: str, min_count: int = M
     if not shared.isEmpty():
         raise ValueError("two words have one hash; give words another hash")
     singles = frequent.select(F.col("hash").alias("w1"), *(F.lit(0).cast("bigint").alias(w) for w in WORDS[1:]), F.col("f").alias("n"))
-    twos = materialise(pairs(tokens, bit_table(singles, ["w1"])).filter(F.col("n") >= min_count), "phrases-pairs")
-    linked = bit_table(twos, ["w1", "w2"])
-    counts, scored, low = singles.unionByName(twos), None, min_count
+    linked = pair_table(tokens, bit_table(singles, ["w1"]), min_count)
+    counts, scored, low = singles, None, min_count
     still = frequent.select("lang", "f", "total", "hash")
     while not still.isEmpty():
         tier = still.filter(F.col("f") < low * TIER)
@@ -289,9 +302,9 @@ def collocations(df: DataFrame, text_col: str, lang_col: str, min_count: int = M
         # A bit table may let words of other tiers pass.
         starts = tier.select(F.col("hash").alias("w1"), "lang", "total")
         candidates = grown.join(starts, "w1")
-        counts = counts.unionByName(candidates.filter("w3 <> 0").select(*WORDS, "n"))
+        counts = counts.unionByName(candidates.select(*WORDS, "n"))
         cuts = _parts(candidates)
-        unknown = materialise(cuts.filter("not first and p3 <> 0").select(*_PART).distinct().join(_as_parts(counts), _PART, "left_anti"), "phrases-unknown")
+        unknown = materialise(cuts.filter("not first and p2 <> 0").select(*_PART).distinct().join(_as_parts(counts), _PART, "left_anti"), "phrases-unknown")
         if not unknown.isEmpty():
             rests = count_phrases(tokens, bit_table(unknown, _PART)).join(unknown.select(*(F.col(p).alias(w) for p, w in zip(_PART, WORDS, strict=False))), WORDS[:-1], "left_semi")
             counts_here = counts.unionByName(materialise(rests.select(*WORDS, "n"), "phrases-rests"))
