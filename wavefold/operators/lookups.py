@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -82,17 +84,38 @@ def layered(cells: DataFrame, points: DataFrame, keys: list[str], at: dict[str,
     return out.select(*keys, "bin", (1 / F.col("average")).alias(velocity), "covered")
 
 
-def as_of(rows: DataFrame, keys: list[str], at: str, table: DataFrame, table_at: str, columns: list[str]) -> DataFrame:
-    """Each row with the table's columns at the last place not beyond it, within keys: the distinct places of both sides are ordered together in one window, without a range join, and rows find theirs by equality."""
-    a = rows.select(*keys, F.col(at).alias("__at")).distinct().withColumns({"__side": F.lit(1), **{c: F.lit(None).cast(table.schema[c].dataType) for c in columns}})
-    b = table.select(*keys, F.col(table_at).alias("__at"), F.lit(0).alias("__side"), *columns)
-    window = Window.partitionBy(*keys).orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
-    placed = a.unionByName(b).withColumns({c: F.last(F.when(F.col("__side") == 0, F.col(c)), ignorenulls=True).over(window) for c in columns}).filter("__side = 1").drop("__side")
-    matched = F.lit(True)
-    for c in keys:
-        matched &= F.col(f"__rows.{c}").eqNullSafe(F.col(f"__placed.{c}"))
-    matched &= F.col(f"__rows.{at}").eqNullSafe(F.col("__placed.__at"))
-    return rows.alias("__rows").join(placed.alias("__placed"), matched).select("__rows.*", *(f"__placed.{c}" for c in columns))
+def as_of(rows: DataFrame, keys: list[str], at: str, table: DataFrame, table_at: str, columns: list[str], width: float = 64.0) -> DataFrame:
+    """Each row with the table's columns at the last place not beyond it, within keys; of several rows at one place the greatest by the columns in turn.
+
+    Places are cut into buckets of a width. What a bucket has before it is the last place of an earlier bucket, carried over the buckets of a key; within a bucket the distinct places of both sides are ordered together, and
+    rows find theirs by equality. So a window holds one bucket, or a row for each bucket, not a key's rows."""
+    bucket = F.floor(F.col("__at") / F.lit(width)).alias("__bucket")
+    known = table.filter(F.col(table_at).isNotNull()).groupBy(*keys, F.col(table_at).alias("__at")).agg(F.max(F.struct(*columns)).alias("__t")).select("*", bucket)
+    asked = rows.select(*keys, F.col(at).alias("__at")).distinct().select("*", bucket)
+    ends = known.groupBy(*keys, "__bucket").agg(F.max_by("__t", "__at").alias("__last"))
+    every = ends.unionByName(asked.select(*keys, "__bucket").distinct(), allowMissingColumns=True).groupBy(*keys, "__bucket").agg(F.max("__last").alias("__last"))
+    earlier = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = every.select(*keys, "__bucket", F.last("__last", ignorenulls=True).over(earlier).alias("__carried"))
+    within = Window.partitionBy(*keys, "__bucket").orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    both = asked.withColumn("__side", F.lit(1)).unionByName(known.withColumn("__side", F.lit(0)), allowMissingColumns=True)
+    placed = both.withColumn("__t", F.last("__t", ignorenulls=True).over(within)).filter("__side = 1")
+    same = lambda a, b, names: reduce(Column.__and__, (F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in names))
+    found = placed.alias("__p").join(carried.alias("__c"), same("__p", "__c", [*keys, "__bucket"])).select("__p.*", F.coalesce("__t", "__carried").alias("__found"))
+    matched = F.col(f"__rows.{at}").eqNullSafe(F.col("__f.__at"))
+    if keys:
+        matched &= same("__rows", "__f", keys)
+    return rows.alias("__rows").join(found.alias("__f"), matched).select("__rows.*", *(F.col("__f.__found").getField(c).alias(c) for c in columns))
+
+
+def axis_index(z: Column, axis: list[float]) -> Column:
+    """Where a coordinate lies on an uneven axis, in places and fractions of the step to the next; on the axis' ends beyond them. The place is found by halving, so the axis may be long."""
+    table, n = F.array(*map(F.lit, map(float, axis))), len(axis)
+    if n == 1:
+        return F.lit(0.0)
+    steps = [1 << k for k in range(n.bit_length() - 1, -1, -1)]
+    low = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when((at + step <= n - 2) & (F.get(table, at + step) <= z), at + step).otherwise(at))
+    a, b = F.get(table, low), F.get(table, low + 1)
+    return F.greatest(F.lit(0.0), F.least(F.lit(n - 1.0), low + (z - a) / (b - a)))
 
 
 def mirror(cells: DataFrame, keys: list[str], index: str, surface: int, value: str, sign: int) -> DataFrame:
@@ -133,6 +156,52 @@ def spread_weights(places: DataFrame, x: str, half: int, index: str = "ix", weig
     return places.withColumn("__t", F.explode(touched)).withColumns({index: F.col("__t.ix"), weight: own}).drop("__t")
 
 
+def band_limited(x: Column, ix: Column, reach: Column, low: float, high: float, dipole: bool = False) -> Column:
+    """The weight of cell ix for a band-limited impulse at x that touches 2 reach cells. low, high: where the band begins to fall and ends, in cycles a cell; alike, or for a dipole, it is a sinc (or its slope) in
+    a Blackman window, else the difference of two squared sincs whose outer cells are tapered by cosines."""
+    pi = 3.141592653589793
+    t, first = ix - x, F.floor(x) - reach + 1
+    last = F.floor(x) + reach
+    if low == high or dipole:
+        a = 2 * low * pi * t
+        wide = F.greatest(last - x, x - first)
+        shape = F.when(F.abs(a) < 1e-4, -a / 3 if dipole else F.lit(1.0)).otherwise(F.cos(a) / a - F.sin(a) / (a * a) if dipole else F.sin(a) / a)
+        angle = pi * (wide + t) / wide
+        return 2 * low * shape * F.when(reach > 1, 0.42 - 0.5 * F.cos(angle) + 0.08 * F.cos(2 * angle)).otherwise(1.0)
+    a1, a2 = low * pi, high * pi
+    square = lambda a: F.when(F.abs(t) < 1e-9, F.lit(1.0)).otherwise(F.pow(F.sin(a * t) / (a * t), F.lit(2.0)))
+    edge, taper = F.least(ix - first, last - ix), F.floor(reach / 2)
+    return (a2 * a2 * square(a2) - a1 * a1 * square(a1)) / pi / (a2 - a1) * F.when((edge < taper) & (reach > 1), 0.5 - 0.5 * F.cos(pi * edge / taper)).otherwise(1.0)
+
+
+def spread_band(places: DataFrame, x: str, n: int, half: int, low: float, high: float, dipole: bool = False, index: str = "ix", weight: str = "w") -> DataFrame:
+    """spread_weights() of a band-limited impulse, or its slope, on an axis of n cells: 2 half cells, fewer near the ends, as many on both sides; of one cell the weight is 1. Places outside, or where no cell lies beyond, touch none. So gather() and scatter() of
+    these weights are each other's adjoint."""
+    if not 0 < low <= high <= 0.5:
+        raise ValueError("a band begins to fall above 0 and ends at 0.5 at most, not before it falls")
+    if n == 1:
+        if dipole:
+            raise ValueError("one cell has no slope")
+        touched = F.array(F.struct(F.lit(0).cast("bigint").alias("ix"), F.lit(1.0).alias("w")))
+    else:
+        base = F.floor(x).cast("bigint")
+        reach = F.least(F.lit(half).cast("bigint"), base, n - 1 - base)
+        cells = F.filter(F.transform(F.sequence(F.lit(1 - half), F.lit(half)), lambda k: (base + k).cast("bigint")), lambda ix: (ix > base - reach) & (ix <= base + reach))
+        touched = F.transform(cells, lambda ix: F.struct(ix.alias("ix"), band_limited(F.col(x), ix, reach, low, high, dipole).alias("w")))
+    own = F.col("__t.w") * F.col(weight) if weight in places.columns else F.col("__t.w")
+    return places.withColumn("__t", F.explode(touched)).withColumns({index: F.col("__t.ix"), weight: own}).drop("__t")
+
+
+def gather_bands(receivers: DataFrame, keys: list[str], x: str, n: int, half: int, bands: dict[str, tuple[float, float, bool]], cells: DataFrame, value: str) -> DataFrame:
+    """Receivers with what each band (name: low, high, dipole) reads from the cells of a line around them: each cell is looked up once, whatever the number of bands. Receivers that touch no cell read zero."""
+    base, reached = F.floor(x).cast("bigint"), F.least(F.lit(half).cast("bigint"), F.floor(x).cast("bigint"), n - 1 - F.floor(x).cast("bigint"))
+    offsets = F.filter(F.sequence(F.lit(1 - half), F.lit(half)), lambda k: (k > -reached) & (k <= reached))
+    touched = receivers.select(*keys, F.col(x).alias("__x"), reached.alias("__m"), base.alias("__base"), F.explode_outer(offsets).alias("__k")).withColumn("ix", F.col("__base") + F.col("__k"))
+    weights = {name: band_limited(F.col("__x"), F.col("ix"), F.col("__m"), *band) for name, band in bands.items()}
+    found = touched.join(cells.select("ix", F.col(value).alias("__v")), "ix", "left").groupBy(*keys)
+    return found.agg(*(F.coalesce(F.sum(w * F.col("__v")), F.lit(0.0)).alias(name) for name, w in weights.items()))
+
+
 def spread_axes(places: DataFrame, at: dict[str, str], half: int) -> DataFrame:
     """spread_weights() along several axes (cell index to column), weights multiplied."""
     for index, x in at.items():

@@ -36,7 +36,7 @@ def blocks(rows: DataFrame, order: str, half: int) -> DataFrame:
     return rows.withColumn("__block", F.explode(F.sequence(block(at - half), block(at + half)))).withColumn("__own", F.col("__block") == block(at))
 
 
-def _near(keys: list[str], order: str, half: int) -> WindowSpec:
+def near(keys: list[str], order: str, half: int) -> WindowSpec:
     """The rows of a block up to half places away. A window is a block, however long its line."""
     return Window.partitionBy(*keys, "__block").orderBy(order).rangeBetween(-half, half)
 
@@ -53,7 +53,7 @@ def _at_places(rows: DataFrame, keys: list[str], order: str, value: str, half: i
     else:
         dealt = dealt.crossJoin(F.broadcast(lines))  # one row
     before, behind = (F.greatest(F.lit(0), x).cast("int") for x in (F.col("__lo") - (F.col(order) - half), F.col(order) + half - F.col("__hi")))
-    return dealt.withColumn(name, result(_near(keys, order, half), before, behind)).filter("__own").select(*keys, order, value, name)
+    return dealt.withColumn(name, result(near(keys, order, half), before, behind)).filter("__own").select(*keys, order, value, name)
 
 
 def box_mean(rows: DataFrame, keys: list[str], order: str, value: str, half: int, name: str = "mean") -> DataFrame:
@@ -84,11 +84,10 @@ def median3(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFra
     return running_median(rows, keys, order, value, 1)
 
 
-def _dot(near: WindowSpec, order: str, value: str, weights: list[float]) -> tuple[Column, Column]:
-    """The sum of weights times values of the rows near, and of the weights of those that have a value."""
-    half, table = len(weights) // 2, F.array(*map(F.lit, weights))
+def dot(near: WindowSpec, order: str, value: str, weights: Column, half: int) -> tuple[Column, Column]:
+    """The sum of weights times values of the rows near, and of the weights of those that have a value; weights: an array, from half before to half after."""
     found = F.collect_list(F.struct(F.col(order).alias("at"), F.col(value).cast("double").alias("v"))).over(near)
-    weight = lambda s: F.element_at(table, (s["at"] - F.col(order) + half + 1).cast("int"))
+    weight = lambda s: F.element_at(weights, (s["at"] - F.col(order) + half + 1).cast("int"))
     there = F.filter(found, lambda s: s["v"].isNotNull())
     return F.aggregate(there, F.lit(0.0), lambda t, s: t + weight(s) * s["v"]), F.aggregate(there, F.lit(0.0), lambda t, s: t + weight(s))
 
@@ -98,8 +97,8 @@ def weighted(rows: DataFrame, keys: list[str], order: str, value: str, weights:
     # Of so many places before the first one, the weights in all; likewise from the end.
     ahead, astern = (F.array(*(F.lit(float(sum(w[:n]))) for n in range(len(weights) // 2 + 1))) for w in (weights, weights[::-1]))
 
-    def result(near: WindowSpec, before: Column, behind: Column) -> Column:
-        total, count = _dot(near, order, value, weights)
+    def result(around: WindowSpec, before: Column, behind: Column) -> Column:
+        total, count = dot(around, order, value, F.array(*map(F.lit, weights)), len(weights) // 2)
         for v, share in (("__first", F.get(ahead, before)), ("__last", F.get(astern, behind))):
             there = F.col(v).isNotNull()
             total, count = total + F.when(there, F.col(v) * share).otherwise(0.0), count + F.when(there, share).otherwise(0.0)
@@ -147,7 +146,7 @@ def derivative(rows: DataFrame, keys: list[str], order: str, value: str, name: s
     half = len(one) - 1
     weights = [*((1 if second else -1) * c for c in one[:0:-1]), *one]
     dealt = blocks(rows.select(*keys, order, value), order, half)
-    total, _ = _dot(_near(keys, order, half), order, value, weights)
+    total = dot(near(keys, order, half), order, value, F.array(*map(F.lit, weights)), half)[0]
     return dealt.withColumn(name, total / (step**2 if second else step)).filter("__own").select(*keys, order, value, name)
 
 

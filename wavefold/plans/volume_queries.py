@@ -7,13 +7,15 @@ the parts.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wavefold.functions import traces
-from wavefold.functions.kernels import lagrange_axis, weights
-from wavefold.operators import frames, lookups, reductions, stencils, tapers, vectors, volumes
+from wavefold.functions.kernels import weights
+from wavefold.operators import axes, frames, lookups, reductions, stencils, tapers, vectors, volumes
 from wavefold.plans.catalogue import around_sql, big, difference_sql
 from wavefold.plans.registry import query
 from wavefold.sources import cubes, records
@@ -227,39 +229,114 @@ def scatter_3d(spark: SparkSession, d: str) -> DataFrame:
 
 # Weights by matrix: uneven axes and half-sample shifts
 
-_DEPTHS = [0.0, 1.0, 2.5, 4.0, 4.5, 7.0, 10.0, 12.0]
-_PLACES = [-0.5, 0.0, 0.7, 2.5, 3.1, 4.2, 6.6, 9.9, 11.0, 12.0, 12.8]
+_UNEVEN = "i + 0.01 * i * i + 0.3 * (i % 3)"
 
 
-def _matrix_sql(matrix: list[list[float]], samples: int) -> str:
-    """The first `samples` samples of each trace through a matrix of fixed weights."""
-    terms = ", ".join("[" + ", ".join(f"{float(w)!r}::DOUBLE" for w in row) + "]" for row in matrix)
-    return f"SELECT vec_id, i, round(list_sum(list_transform(range(1, {samples + 1}), lambda k: m[i + 1][k] * embedding[k]::DOUBLE)), 6) + 0.0 AS x FROM (SELECT vec_id, embedding, unnest(range({len(matrix)})) AS i, [{terms}] AS m FROM embeddings WHERE len(embedding) >= {samples})"
+@query(f"""
+    WITH t AS (SELECT vec_id, embedding AS e, len(embedding) AS n FROM embeddings WHERE len(embedding) > 1),
+    a AS (SELECT n, list_transform(range(n), lambda i: ({_UNEVEN})::DOUBLE) AS z FROM (SELECT DISTINCT n FROM t)),
+    p AS (SELECT n, z, i, i * 1.25 - 1.0 AS p FROM (SELECT n, z, unnest(range(ceil((z[n] + 2.0) / 1.25)::BIGINT)) AS i FROM a)),
+    b AS (SELECT *, least(greatest(len(list_filter(z, lambda v: v <= p)) - 1, 0), n - 2) AS base FROM p),
+    r AS (SELECT *, CASE WHEN p < z[1] OR p > z[n] THEN 1 ELSE least(4, base + 1, n - 1 - base) END AS room FROM b),
+    u AS (SELECT *, list_slice(z, (base - room + 2)::BIGINT, (base + room + 1)::BIGINT) AS used FROM r),
+    w AS (SELECT n, i, base, room, list_transform(used, lambda zj: list_aggregate(list_transform(list_filter(used, lambda zm: zm <> zj), lambda zm: (p - zm) / (zj - zm)), 'product')) AS ws FROM u)
+    SELECT vec_id, i::BIGINT AS i, round(list_dot_product(ws, list_transform(list_slice(e, (base - room + 2)::BIGINT, (base + room + 1)::BIGINT), lambda v: v::DOUBLE)), 6) + 0.0 AS x FROM t JOIN w USING (n)
+""")
+def lagrange_uneven(spark: SparkSession, d: str) -> DataFrame:
+    """Whole traces as values on an uneven axis, interpolated at even places by polynomials; beyond the ends by straight lines."""
+    import numpy as np
 
+    def axis(n: int) -> np.ndarray:
+        i = np.arange(n)
+        return i + 0.01 * i * i + 0.3 * (i % 3)
 
-def _polynomial(axis: list[float], places: list[float], points: int) -> list[list[float]]:
-    """The weights of lagrange_axis() by solving for exact powers."""
-    import numpy as np
+    rows = table(spark, d, "embeddings").filter(F.size("embedding") > 1)
+    out = axes.resample(rows, ["vec_id"], "embedding", axis, lambda n: 1.25 * np.arange(np.ceil((axis(n)[-1] + 2.0) / 1.25)) - 1.0)
+    return _rounded(out.select("vec_id", F.posexplode("samples").alias("i", "x")), 6, "x").select("vec_id", big(F.col("i")).alias("i"), "x")
 
-    out = []
-    for p in places:
-        base = int(np.clip(np.searchsorted(axis, p, side="right") - 1, 0, len(axis) - 2))
-        room = 1 if p < axis[0] or p > axis[-1] else min(points // 2, base + 1, len(axis) - 1 - base)
-        used = list(range(base - room + 1, base + room + 1))
-        solved = np.linalg.solve(np.vander(np.array(axis)[used] - p, len(used), increasing=True).T, np.eye(len(used))[0])
-        out.append([float(solved[used.index(j)]) if j in used else 0.0 for j in range(len(axis))])
-    return out
 
+_DEPTHS = [0.0, 3.0, 7.0, 12.0, 18.5, 25.0, 33.0]
 
-@query(_matrix_sql(_polynomial(_DEPTHS, _PLACES, 6), len(_DEPTHS)))
-def lagrange_uneven(spark: SparkSession, d: str) -> DataFrame:
-    """The first samples of each trace as values on an uneven axis, interpolated by polynomials."""
-    import numpy as np
 
-    matrix = lagrange_axis(np.array(_DEPTHS), np.array(_PLACES), 6)
-    rows = table(spark, d, "embeddings").filter(F.size("embedding") >= len(_DEPTHS)).select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, len(_DEPTHS)).alias("samples"))
-    out = traces.map_traces(rows, ["vec_id"], "samples", lambda x: x @ matrix.T)
-    return _rounded(out.select("vec_id", F.posexplode("samples").alias("i", "x")), 6, "x").select("vec_id", big(F.col("i")).alias("i"), "x")
+def _uneven_sql(rows: str, keys: list[str], order: int, half: int) -> str:
+    """(keys, iz, d): the derivative along the uneven depths, by weights of polynomials in fractions; no matrix is solved."""
+    z, terms = [Fraction(x) for x in _DEPTHS], []
+    for i in range(len(z)):
+        centre = min(max(i, 1), len(z) - 2)
+        m = min(half, centre, len(z) - 1 - centre)
+        used = range(centre - m, centre + m + 1)
+        for j in used:
+            basis = [Fraction(1)]  # coefficients of the polynomial in z - z[centre] that is 1 at j and 0 at the other places
+            for k in used:
+                if k != j:
+                    x = z[k] - z[centre]
+                    basis = [(a - x * b) / (z[j] - z[k]) for a, b in zip([Fraction(0), *basis], [*basis, Fraction(0)], strict=True)]
+            terms.append((i, j, float(basis[order] * order)))
+    table = ", ".join(f"({i}, {j}, {w!r}::DOUBLE)" for i, j, w in terms)
+    return f"(SELECT {', '.join(f'a.{c}' for c in keys)}, a.iz, coalesce(sum(w.w * n.v), 0) AS d FROM {rows} a JOIN (VALUES {table}) w(i, j, w) ON w.i = a.iz LEFT JOIN {rows} n ON n.iz = w.j AND {' AND '.join(f'n.{c} = a.{c}' for c in keys)} GROUP BY {', '.join(f'a.{c}' for c in keys)}, a.iz)"
+
+
+@query(f"SELECT ix, iy, iz, round(x.d / (12.7 * 12.7) + y.d / (25.3 * 25.3) + z.d, 5) + 0.0 AS laplacian FROM {difference_sql(_VOLUME, ['iy', 'iz'], 'ix', 8, True)} x JOIN {difference_sql(_VOLUME, ['ix', 'iz'], 'iy', 8, True)} y USING (ix, iy, iz) JOIN {_uneven_sql(_VOLUME, ['ix', 'iy'], 2, 4)} z USING (ix, iy, iz)")
+def laplacian_irregular(spark: SparkSession, d: str) -> DataFrame:
+    """Second differences along two even axes and along uneven depths, whose weights differ from place to place."""
+    return _rounded(axes.laplacian(_volume(spark, d), [], {"ix": 12.7, "iy": 25.3}, "iz", _DEPTHS, "v"), 5, "laplacian")
+
+
+@query(f"SELECT ix, iy, iz, round(d, 5) + 0.0 AS slope FROM {_uneven_sql(_VOLUME, ['ix', 'iy'], 1, 2)}")
+def slope_irregular(spark: SparkSession, d: str) -> DataFrame:
+    """The slope along uneven depths."""
+    return _rounded(axes.derivative(_volume(spark, d), ["ix", "iy"], "iz", "v", "slope", _DEPTHS, 1, 5), 5, "slope").select(*AXES, "slope")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, round(greatest(0, least(6, i + (z - a[i + 1]) / (a[i + 2] - a[i + 1]))), 6) + 0.0 AS at FROM (SELECT *, {_DEPTHS}::DOUBLE[] AS a, greatest(0, least(5, len(list_filter({_DEPTHS}::DOUBLE[], lambda x: x <= z)) - 1)) AS i FROM (SELECT *, l_quantity * 0.8 - 2.0 AS z FROM lineitem))")
+def depth_places(spark: SparkSession, d: str) -> DataFrame:
+    """Where depths lie on an uneven axis, in places and fractions."""
+    return table(spark, d, "lineitem").select(*_KEYS, (F.round(lookups.axis_index(F.col("l_quantity") * 0.8 - 2.0, _DEPTHS), 6) + 0.0).alias("at"))
+
+
+# Band-limited impulses
+
+_BANDS = {"fall": (0.2, 0.4, False), "sinc": (0.25, 0.25, False), "dipole": (0.3, 0.3, True)}
+_CELLS, _HALF = 50, 5
+_ALONG = f"(SELECT {', '.join(['l_orderkey', 'l_linenumber', 'l_partkey', 'l_suppkey', 'l_extendedprice'])}, l_quantity, l_partkey % {_CELLS} + l_discount * 9.7 AS x FROM lineitem)"
+
+
+def _band_sql(low: float, high: float, dipole: bool) -> str:
+    t, first, last = "(ix - x)", "(floor(x) - m + 1)", "(floor(x) + m)"
+    if low == high or dipole:
+        a = f"({2 * low!r} * pi() * {t})"
+        wide = f"greatest({last} - x, x - {first})"
+        shape = f"CASE WHEN abs({a}) < 1e-4 THEN -{a} / 3 ELSE cos({a}) / {a} - sin({a}) / ({a} * {a}) END" if dipole else f"CASE WHEN abs({a}) < 1e-4 THEN 1 ELSE sin({a}) / {a} END"
+        turn = f"(pi() * ({wide} + {t}) / {wide})"
+        return f"{2 * low!r} * ({shape}) * CASE WHEN m > 1 THEN 0.42 - 0.5 * cos({turn}) + 0.08 * cos(2 * {turn}) ELSE 1 END"
+    square = lambda k: f"(CASE WHEN abs({t}) < 1e-9 THEN 1 ELSE pow(sin({k!r} * pi() * {t}) / ({k!r} * pi() * {t}), 2) END)"
+    edge = f"least(ix - {first}, {last} - ix)"
+    return f"pi() * ({high!r} * {high!r} * {square(high)} - {low!r} * {low!r} * {square(low)}) / pi() / {high - low!r} * CASE WHEN m > 1 AND {edge} < floor(m / 2) THEN 0.5 - 0.5 * cos(pi() * {edge} / floor(m / 2)) ELSE 1 END"
+
+
+_REACH = f"(SELECT *, least({_HALF}, floor(x)::BIGINT, {_CELLS - 1} - floor(x)::BIGINT) AS m FROM {_ALONG})"
+_TOUCHED = f"(SELECT *, unnest(range(floor(x)::BIGINT - m + 1, floor(x)::BIGINT + m + 1)) AS ix FROM {_REACH} WHERE m > 0)"
+
+
+def _along(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select(*_KEYS, "l_quantity", (F.col("l_partkey") % _CELLS + F.col("l_discount") * 9.7).alias("x"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS band, ix, round(sum({_band_sql(*band)} * l_quantity), 4) + 0.0 AS added FROM {_TOUCHED} GROUP BY ix" for name, band in _BANDS.items()))
+def inject_band_limited(spark: SparkSession, d: str) -> DataFrame:
+    """What band-limited sources of one pole and of two add to the cells of a line."""
+    parts = []
+    for name, (low, high, dipole) in _BANDS.items():
+        touched = lookups.spread_band(_along(spark, d), "x", _CELLS, _HALF, low, high, dipole)
+        parts.append(touched.groupBy("ix").agg(F.sum(F.col("w") * F.col("l_quantity")).alias("added")).select(F.lit(name).alias("band"), "ix", "added"))
+    return _rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]), 4, "added")
+
+
+@query(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, {', '.join(f'round(coalesce(sum({_band_sql(*band)} * v), 0), 5) + 0.0 AS {name}' for name, band in _BANDS.items())} FROM (SELECT r.*, ix FROM {_REACH} r LEFT JOIN {_TOUCHED} t USING (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)) LEFT JOIN (SELECT p_size - 1 AS ix, sum(p_retailprice) AS v FROM part GROUP BY 1) USING (ix) GROUP BY 1, 2, 3, 4, 5")
+def receive_band_limited(spark: SparkSession, d: str) -> DataFrame:
+    """What band-limited receivers of one pole and of two read from the cells of a line."""
+    cells = table(spark, d, "part").groupBy((F.col("p_size") - 1).cast("bigint").alias("ix")).agg(F.sum("p_retailprice").alias("v"))
+    return _rounded(lookups.gather_bands(_along(spark, d), _KEYS, "x", _CELLS, _HALF, _BANDS, cells, "v"), 5, *_BANDS)
 
 
 @query("""
