@@ -181,6 +181,50 @@ def test_whole_layouts_held_out():
     assert html_extract.main_texts(list(HELD_OUT), html_extract.trained()) == list(HELD_OUT.values())
 
 
+def bare_pages(n):
+    """Articles that stand in their container itself, of n words or twice as many."""
+    rng = random.Random(n)
+    a, b = (" ".join(rng.choice(labelled_pages.WORDS) for _ in range(n)).capitalize() + "." for _ in range(2))
+    return {
+        f"<div id='main'>{a}</div><div id='foot'>About us</div>": a,
+        f"<nav><a href=1>Home</a> <a href=2>News</a></nav><div class='content'>{a}<br><br>{b}</div><footer>About us 2020</footer>": f"{a} {b}",
+        f"<div class='text'><h1>Storm</h1>{a}<br>{b}</div><div class='side'><a href=1>More</a> <a href=2>Other</a></div>": f"Storm\n{a} {b}",
+        f"<div id=a><div id=b>{a}<br><br>{b}</div></div><div id=c>Contact us</div>": f"{a} {b}",
+        f"<table><tr><td><a href=1>Home</a> <a href=2>News</a></td><td>{a}<p>{b}</p></td></tr></table>": f"{a}\n{b}",
+        f"<body><div id=x>{a}</div></body>": a,
+        f"<div class='menu'><a href=1>A</a></div><div class='box'><div class='post'>{a}<br>{b}</div><div class='comments'><p>I liked it very much, thanks.</p></div></div>": f"{a} {b}",
+    }
+
+
+@pytest.mark.parametrize("n", [20, 40, 120, 400])
+def test_articles_of_bare_text(n):
+    pages = bare_pages(n)
+    assert html_extract.main_texts(list(pages), html_extract.trained()) == list(pages.values())
+
+
+def test_families_of_layouts_held_out(monkeypatch):
+    """Trained without containers but tables and articles for bare text, and without line breaks in it, the model still finds those."""
+    monkeypatch.setattr(labelled_pages, "BARE_MAIN", tuple(x for x in labelled_pages.BARE_MAIN if "<table" in x or "<article" in x))
+    monkeypatch.setattr(labelled_pages, "BARE", tuple(x for x in labelled_pages.BARE if "<br" not in x))
+    model = html_extract.train(list(labelled_pages.labelled_pages()))
+    pages = bare_pages(60)
+    got = html_extract.main_texts(list(pages), model)
+    assert all(got) and np.mean([g == w for g, w in zip(got, pages.values(), strict=True)]) > 0.7
+
+
+def test_a_block_of_words_is_never_lost():
+    model = html_extract.trained()
+    rng = random.Random(8)
+    for _ in range(200):
+        text = " ".join(rng.choice(labelled_pages.WORDS) for _ in range(rng.randint(20, 60)))
+        page = text
+        for _ in range(rng.randint(0, 4)):
+            tag, name = rng.choice(["div", "section", "td", "span", "p"]), rng.choice(labelled_pages.PLAIN)
+            page = f"<{tag} class={name}>{page}</{tag}>" + rng.choice(["", "<div>Short end</div>", "<ul><li><a href=x>Link</a></li></ul>"])
+        assert text in html_extract.main_texts([page], model)[0]
+    assert html_extract.main_texts(["<form><button>" + "word " * 30 + "</button></form>", "<nav><a href=x>" + "word " * 30 + "</a></nav>"], model) == ["", ""]
+
+
 def test_hostile_pages_take_time_in_proportion():
     import time
 

@@ -43,6 +43,8 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 #: Elements that ask for an answer, and words that open what is not main text.
 ASKS = frozenset("form input button textarea select label".split())
 CUES = frozenset("reply comments comment advertisement sponsored share subscribe copyright © cookies login search menu kommentare commentaires comentarios anzeige".split())
+#: A page with a block of so many words has main text.
+ENOUGH = 20
 #: Deepest nesting of blocks; what would lie deeper hangs on the deepest, as browsers have it.
 DEEPEST = 512
 _OPEN = re.compile(r"<(?:(?P<comment>!--)|(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)|[!?/])", re.I)
@@ -316,12 +318,23 @@ def train(sources: list[str], steps: int = 200, rate: float = 0.1, ridge: float
     return Model(vocabulary, x[:w], x[w:].reshape(2, 2, 2))
 
 
+def chosen(page: Page, marginal: np.ndarray) -> list[str]:
+    """The text blocks that are likelier main text than not. Where none is, but a block of ENOUGH words stands outside forms, some block of the page is held to be main: what is at least half as likely as the likeliest such block."""
+    at = [i for i, t in enumerate(page.texts) if t is not None]
+    if not any(marginal[i] > 0.5 for i in at):
+        odds = marginal / (1 - marginal + 1e-12)
+        large = [odds[i] for i in at if len(page.texts[i].split()) >= ENOUGH and page.tags[page.parents[i]] not in ASKS and 2 * page.link_chars[i] < len(page.texts[i])]
+        best = max(large, default=np.inf)
+        return [page.texts[i] for i in at if odds[i] >= best / 2]
+    return [page.texts[i] for i in at if marginal[i] > 0.5]
+
+
 def main_texts(sources: list[str], model: Model) -> list[str]:
     pages = [parse(s) for s in sources]
     _, marginal = model.marginals(pages)
     out, at = [], 0
     for page in pages:
-        out.append("\n".join(t for i, t in enumerate(page.texts) if t is not None and marginal[at + i] > 0.5))
+        out.append("\n".join(chosen(page, marginal[at : at + len(page.parents)])))
         at += len(page.parents)
     return out
 

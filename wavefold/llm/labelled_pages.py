@@ -31,8 +31,15 @@ MAIN = (
     "<div{n}><div>{title}</div><div>{body}</div></div>", "<article{n}><header>{title}</header>{body}</article>", "<main><article{n}>{title}{body}</article></main>", "<table><tr><td{n}>{title}{body}</td></tr></table>",
     "<article{n}><header>{title}<p>{s}</p></header><section>{body}</section></article>", "<main{n}><div><div>{title}{body}</div></div></main>",
 )
+#: Articles of text that stands in its container itself, and containers for it.
+BARE = ("{p}", "{p}", "{p} {p}", "{p}<br><br>{p}", "{p}<br><br>{p}<br><br>{p}", "{p}<br>{p}", "{s}<br>{p}<br>{s}", "{p} {a} {s}", "{p}<p>{p}</p>{p}", "{p}<ul><li>{s}</li><li>{s}</li></ul>{p}", "<b>{w}</b><br>{p}<br><br>{p}", "{p} {p} {p} {p}")
+BARE_MAIN = (
+    "<div{n}>{title}{body}</div>", "<div{n}>{body}</div>", "<div{n}>{body}</div>", "<div><div{n}>{title}{body}</div></div>", "<div><div{n}>{body}</div></div>", "<section{n}>{title}{body}</section>", "<article{n}>{title}{body}</article>", "<table><tr><td{n}>{title}{body}</td></tr></table>",
+)
+#: Layouts by table: cells beside the main one.
+CELLS = (("nav", "<td{n}>{a}<br>{a}<br>{a}</td>"), ("nav", "<td{n}><a href='/'>{w}</a> {a} {a}</td>"), ("nav", "<td{n}>{w}<br>{w}</td>"), ("nav", "<td{n}><ul><li>{a}</li><li>{a}</li></ul></td>"), ("side", "<td{n}><h4>{w}</h4>{a}<br>{a}</td>"), ("ad", "<td{n}>{s}</td>"))
 TITLES = ("<h1>{w}</h1>", "<h1>{w}</h1><h2>{w}</h2>", "<h2>{w}</h2>", "<h1>{w}</h1><p>{s}</p>", "<h1>{s}</h1>", "")
-BODY = ("<p>{p}</p>", "<p>{p}</p>", "<p>{p}</p>", "<p>{p}", "<p>{s}</p>", "<p>{w}</p>", "<h2>{w}</h2><p>{p}</p>", "<h3>{w}</h3><p>{s}</p>", "<ul><li>{s}</li><li>{s}</li><li>{w}</li></ul>", "<ol><li>{w}</li><li>{s}</li></ol>", "<blockquote>{p}</blockquote>", "<blockquote><p>{s}</p></blockquote>", "<figure><figcaption>{s}</figcaption></figure>", "<pre>{s}</pre>", "<table><tr><th>{w}</th><th>{w}</th></tr><tr><td>{w}</td><td>{s}</td></tr></table>", "<div>{p}</div>", "<p>{s} {a} {s}</p>", "<p>{p} {a}</p>", "<dl><dt>{w}</dt><dd>{s}</dd></dl>", "<section><h2>{w}</h2><p>{p}</p><p>{s}</p></section>")
+BODY = ("<p>{p}</p>", "<p>{p}</p>", "<p>{p}</p>", "<p>{p}", "<p>{s}</p>", "<p>{w}</p>", "<h2>{w}</h2><p>{p}</p>", "<h3>{w}</h3><p>{s}</p>", "<ul><li>{s}</li><li>{s}</li><li>{w}</li></ul>", "<ol><li>{w}</li><li>{s}</li></ol>", "<blockquote>{p}</blockquote>", "<blockquote><p>{s}</p></blockquote>", "<figure><figcaption>{s}</figcaption></figure>", "<pre>{s}</pre>", "<table><tr><th>{w}</th><th>{w}</th></tr><tr><td>{w}</td><td>{s}</td></tr></table>", "<div>{p}</div>", "<p>{s} {a} {s}</p>", "<p>{p} {a}</p>", "<dl><dt>{w}</dt><dd>{s}</dd></dl>", "<section><h2>{w}</h2><p>{p}</p><p>{s}</p></section>", "<h2>{w}</h2>{p}", "<ul><li>{a} {s}</li><li>{a} {w}</li></ul>")
 BEFORE = (
     ("nav", "<nav{n}><ul><li>{a}</li><li>{a}</li><li>{a}</li></ul></nav>"), ("nav", "<div{n}>{a} {a} {a}</div>"), ("nav", "<div{n}><ul><li>{a}</li><li>{a}</li></ul></div>"), ("nav", "<ul{n}><li>{a}</li><li>{w}</li></ul>"), ("nav", "<nav{n}>{a} | {a} | {a}</nav>"),
     ("header", "<header{n}><h1>{w}</h1><p>{s}</p></header>"), ("header", "<header{n}><h1>{w}</h1></header>"), ("header", "<div{n}><h1>{a}</h1></div>"), ("header", "<div{n}><span>{w}</span>{a}</div>"), ("header", "<header{n}>{a}<form><input><button>{w}</button></form></header>"), ("header", "<header{n}><div>{w}</div><nav>{a} {a}</nav></header>"),
@@ -77,21 +84,26 @@ def _page(rng: random.Random) -> str:
     if rng.random() < 0.05:  # nothing but an article
         return f'<html><body data-main="1">{_fill(rng.choice(("<p>{p}</p><p>{s}</p>", "{p}", "<h1>{w}</h1><p>{p}</p><p>{p}</p>", "{p}<p>{p}", "<div>{p}</div><div>{s}</div>")), rng)}</body></html>'
     nameless = rng.random() < 0.3  # the main container, so that it isn't known by its name alone
-    body = [rng.choice(BODY) for _ in range(rng.choice((1, 2, 3, 4, 5, 6, 8, 12)))]
+    bare = rng.random() < 0.3
+    body = [rng.choice(BARE)] if bare else [rng.choice(BODY) for _ in range(rng.choice((1, 2, 3, 4, 5, 6, 8, 12)))]
     for kind, part in rng.sample(INSIDE, rng.choice((0, 0, 1, 2))):
         body.insert(rng.randint(1, len(body)), _named(kind, part, rng, 0.0, 0))
     if rng.random() < 0.4:
         body.append(_named(*rng.choice(COMMENTS), rng, 0.0, 0))
-    main = _named("main", rng.choice(MAIN), rng, 1.0 if nameless else 0.1, 1).replace("{title}", rng.choice(TITLES)).replace("{body}", "".join(body))
+    main = _named("main", rng.choice(BARE_MAIN if bare else MAIN), rng, 1.0 if nameless else 0.1, 1).replace("{title}", rng.choice(TITLES)).replace("{body}", "".join(body))
     before = [_named(k, x, rng, 0.15, None) for k, x in rng.sample(BEFORE, rng.choice((0, 1, 2, 3, 4)))]
     after = [_named(k, x, rng, 0.15, None) for k, x in rng.sample(AFTER, rng.choice((0, 1, 2, 3, 4)))]
+    if rng.random() < 0.08:  # cells of one row
+        cell = main[main.index("<td") : main.index("</td>") + 5] if main.startswith("<table><tr><td") else f"<td>{main}</td>"
+        beside = [_named(k, x, rng, 0.5, 0) for k, x in rng.sample(CELLS, rng.choice((1, 1, 2)))]
+        main = f"<table><tr>{''.join([*beside, cell])}</tr></table>" if rng.random() < 0.7 else f"<table><tr>{''.join([cell, *beside])}</tr></table>"
     page = "".join([*before, main, *after])
     for _ in range(rng.choice((0, 0, 1, 2))):
         page = f'<div class="{rng.choice(PLAIN)}">{page}</div>'
     return f'<!DOCTYPE html><html><head><title>{_words(rng, 2, 4)}</title></head><body data-main="0">{_fill(page, rng)}</body></html>'
 
 
-def labelled_pages(n: int = 300, seed: int = 1) -> Iterator[str]:
+def labelled_pages(n: int = 500, seed: int = 1) -> Iterator[str]:
     rng = random.Random(seed)
     for _ in range(n):
         yield _page(rng)
