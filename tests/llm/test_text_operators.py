@@ -268,26 +268,53 @@ def plain_verdicts(rows):
         return math.sqrt(max(0.0, (half(p) + half(q)) / 2))
 
     found = {i: (histograms(t or ""), lang) for i, t, lang in rows}
+    texts = {i: t or "" for i, t, _ in rows}
+    counts = {i: brute_counts(t) for i, t in texts.items()}
+    failed = {i: c[0] < 10 or 100 * c[4] > 20 * c[0] for i, c in counts.items()}
+
+    def too_far(i, near):
+        odd = near[0] > quality_rules.MAX_CHARACTER_DISTANCE and len(texts[i]) >= quality_rules.MIN_CHARACTERS
+        return odd or counts[i][0] >= quality_rules.MIN_WORDS and (near[1] > quality_rules.MAX_WORD_DISTANCE or near[0] > quality_rules.BOTH[0] and near[1] > quality_rules.BOTH[1])
+
     reference = []
     for lang in sorted({lang for _, lang in found.values()}):
-        reference.append([])
+        whole = [i for i, (_, x) in found.items() if x == lang and not failed[i]]
+        middle = []
         for k in (0, 1):
-            mine = [h[k] for h, x in found.values() if x == lang and h[k]]
-            reference[-1].append({b: sum(h.get(b, 0) for h in mine) / len(mine) for h in mine for b in h})
+            steps = {b: sorted(min(int(math.sqrt(found[i][0][k].get(b, 0)) * quality_rules.STEPS), quality_rules.STEPS - 1) for i in whole) for i in whole for b in found[i][0][k]}
+            # The lower one of two in the middle; a step stands for its middle, the least one for nothing.
+            halves = {b: x[(len(x) - 1) // 2] for b, x in steps.items()}
+            values = {b: ((x + 0.5) / quality_rules.STEPS) ** 2 for b, x in halves.items() if x > 0}
+            middle.append({b: v / sum(values.values()) for b, v in values.items()})
+        near = [i for i in whole if not too_far(i, [distance(found[i][0][k], middle[k]) for k in (0, 1)])]
+        if near:
+            reference.append([])
+            for k in (0, 1):
+                mine = [found[i][0][k] for i in near if found[i][0][k]]
+                reference[-1].append({b: sum(h.get(b, 0) for h in mine) / len(mine) for h in mine for b in h})
     out = {}
-    for i, text, _ in rows:
-        n_words, _, _, _, n_repeat = brute_counts(text or "")
+    for i in texts:
         near = []
         for k in (0, 1):
             mixed = [{b: (x[k].get(b, 0) + y[k].get(b, 0)) / 2 for b in {*x[k], *y[k]}} for x in reference for y in reference]
             near.append(min(distance(found[i][0][k], m) for m in mixed))
-        failed = n_words < 10 or 100 * n_repeat > 20 * n_words
-        odd = near[0] > quality_rules.MAX_CHARACTER_DISTANCE and len(text or "") >= quality_rules.MIN_CHARACTERS
-        odd |= n_words >= quality_rules.MIN_WORDS and (near[1] > quality_rules.MAX_WORD_DISTANCE or near[0] > quality_rules.BOTH[0] and near[1] > quality_rules.BOTH[1])
-        out[i] = not failed and not odd
+        out[i] = not failed[i] and not too_far(i, near)
     return out
 
 
+@pytest.mark.parametrize("junk", [0, 10, 20])
+def test_rubbish_of_a_known_language_does_not_move_its_reference(spark, junk):
+    """Up to two fifths of a language's documents may be symbols, or text without its common words: the clean ones stay, by the operator and by the plain version."""
+    rng = random.Random(21)
+    pick = lambda some, n: " ".join(rng.choice(some) for _ in range(n)) + "."
+    english = "the of and to in a is that for it house river stone morning letter garden people yellow walked slowly table window".split()
+    rows = [(i, pick(english, 300), "en") for i in range(30)]
+    rows += [(100 + i, " ".join(f"{rng.choice('qwrtz')}{rng.randint(0, 999)}##$$%%" for _ in range(300)) if i % 2 else pick([f"ABC{k}" for k in range(99)], 300), "en") for i in range(junk)]
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang").collect()}
+    assert {i for i, kept in got.items() if kept} == set(range(30))
+    assert got == plain_verdicts(rows)
+
+
 def test_verdicts_equal_plain_ones(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()]
     rows += [(100_000, "#$% " * 400, "en"), (100_001, " ".join(f"wort{k}" for k in range(300)), "de"), (100_002, None, "fr"), (100_003, "kurz", "de")]

@@ -1,8 +1,9 @@
 """Quality rules: base counts, and how far a document's histograms lie from those of its language.
 
 Two histograms are taken of each whole text: characters by class, and words by the common words of
-the known languages. A language's reference is the mean of the normalised histograms of all its
-documents. Texts in two languages are common, so the even mixtures of two references stand beside
+the known languages. A language's reference is the mean of the normalised histograms of those of its
+documents that pass the base rule and are close to the medians of all that do, so that rubbish, while it is less than about half of
+a language's documents, doesn't make itself the reference. Texts in two languages are common, so the even mixtures of two references stand beside
 them. The Jensen-Shannon distance (base 2, so from 0 to 1) to the closest of these decides, where
 the text is long enough for its histogram to mean anything.
 
@@ -15,7 +16,7 @@ unlisted language there. Ties and repeated rows are judged each by itself; colum
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -55,6 +56,8 @@ N_CLASSES, N_WORDS = len(CHARACTER_CLASSES) + 2, len(WORD_BIN) + 1
 MAX_CHARACTER_DISTANCE, MAX_WORD_DISTANCE, BOTH = 0.30, 0.40, (0.155, 0.265)
 #: Texts shorter than this are not judged by distance: for characters, and for words or both.
 MIN_CHARACTERS, MIN_WORDS = 200, 100
+#: Steps in which medians are counted.
+STEPS = 256
 #: The base rule: fewest words, largest share of repeated words in percent, and their window.
 BASE_WORDS, BASE_REPEATED, WINDOW = 10, 20, 5
 
@@ -156,15 +159,67 @@ def measured(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFr
 
 
 def references(stats: DataFrame) -> tuple[np.ndarray, int]:
-    """The mean normalised histograms over all documents of each known language that has any, then of the admitted ones of no known language if there are any; and how many are of known languages."""
-    sums = _sums(stats)
+    """The mean normalised histograms of each known language that has any, over its documents that pass against the language's medians, then of the admitted ones of no known language if there are any; and how many are of known languages."""
+    middle = medians(stats)
+    sums = _sums(stats, lambda n, r, c, w, lang: passing(n, r, c, w, middle, lang))
     known = _means(sums[:-1])
-    if len(known) and sums[-1, :2].any():
-        sums = _sums(stats.filter(F.col("language") == len(LANGUAGES)), known)
+    if not len(known):  # no document of a known language passes
+        sums = _sums(stats)
+        known = _means(sums[:-1])
+    elif _sums_of_others(stats):
+        sums = _sums(stats.filter(F.col("language") == len(LANGUAGES)), lambda n, r, c, w, lang: admitted(n, r, c, known))
     out = np.concatenate([known, _means(sums[-1:])])
     return (out, len(known)) if len(out) else (np.full((1, N_CLASSES + N_WORDS), 1e-9), 1)  # no words at all: nothing to judge
 
 
+def _sums_of_others(stats: DataFrame) -> bool:
+    return not stats.filter((F.col("language") == len(LANGUAGES)) & (F.col("n_words") > 0)).isEmpty()
+
+
+def medians(stats: DataFrame) -> np.ndarray:
+    """For each known language the median of each normalised bin over its documents that pass the base rule, to STEPS steps of its square root, and the sum made 1: what fewer than half of the documents
+    are doesn't move it far. A language without such documents has zeros. At most a count for each language, bin and step comes back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((len(LANGUAGES), N_CLASSES + N_WORDS, STEPS), np.int64)
+        for batch in batches:
+            language = batch.column(0).to_numpy()
+            counts = [batch.column(1 + k).flatten().to_numpy().reshape(-1, width).astype(float) for k, width in enumerate((N_CLASSES, N_WORDS))]
+            rows = (language < len(LANGUAGES)) & ~base_failed(batch.column(3).to_numpy(), batch.column(4).to_numpy())
+            share = np.concatenate([h[rows] / np.maximum(h[rows].sum(axis=1, keepdims=True), 1) for h in counts], axis=1)
+            step = np.minimum((np.sqrt(share) * STEPS).astype(int), STEPS - 1)
+            np.add.at(seen, (language[rows][:, None], np.arange(share.shape[1])[None, :], step), 1)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen.ravel()[at])], ["at", "n"])
+
+    rows = stats.select("language", "classes", "common", "n_words", "n_repeat_words").mapInArrow(run, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    seen = np.zeros(len(LANGUAGES) * (N_CLASSES + N_WORDS) * STEPS, np.int64)
+    for r in rows:
+        seen[r["at"]] = r["n"]
+    total = np.cumsum(seen.reshape(len(LANGUAGES), -1, STEPS), axis=2)
+    step = (2 * total < total[:, :, -1:]).sum(axis=2)
+    out = np.where((step > 0) & (total[:, :, -1] > 0), ((step + 0.5) / STEPS) ** 2, 0.0)
+    for a, b in ((0, N_CLASSES), (N_CLASSES, N_CLASSES + N_WORDS)):
+        part = out[:, a:b]
+        out[:, a:b] = np.divide(part, part.sum(axis=1, keepdims=True), out=np.zeros_like(part), where=part.sum(axis=1, keepdims=True) > 0)
+    return out
+
+
+def too_far(n_words: np.ndarray, n_chars: np.ndarray, by_class: np.ndarray, by_word: np.ndarray) -> np.ndarray:
+    """The verdict of the distances, where a text is long enough for them."""
+    return (by_class > MAX_CHARACTER_DISTANCE) & (n_chars >= MIN_CHARACTERS) | ((by_word > MAX_WORD_DISTANCE) | (by_class > BOTH[0]) & (by_word > BOTH[1])) & (n_words >= MIN_WORDS)
+
+
+def passing(n_words: np.ndarray, n_repeat: np.ndarray, classes: np.ndarray, common: np.ndarray, middle: np.ndarray, language: np.ndarray) -> np.ndarray:
+    """Which documents of known languages add to their reference: they pass the base rule and are close to their own language's medians."""
+    out = np.zeros(len(n_words), bool)
+    for i in np.unique(language[language < len(LANGUAGES)]):
+        rows = language == i
+        far = [distances(h[rows], middle[i][a:b]) for h, a, b in ((classes, 0, N_CLASSES), (common, N_CLASSES, N_CLASSES + N_WORDS))]
+        out[rows] = ~base_failed(n_words[rows], n_repeat[rows]) & ~too_far(n_words[rows], classes[rows].sum(axis=1), *far)
+    return out
+
+
 def admitted(n_words: np.ndarray, n_repeat: np.ndarray, classes: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Which documents of no known language may add to their reference: they pass the base rule, and their characters are near a known language's. There is no word list for them, and characters beyond ASCII may be their letters."""
     lower, beyond = list(CHARACTER_CLASSES).index("lower"), N_CLASSES - 1
@@ -190,17 +245,17 @@ def _means(sums: np.ndarray) -> np.ndarray:
     return out[:, 2:]
 
 
-def _sums(stats: DataFrame, known: np.ndarray | None = None) -> np.ndarray:
-    """A row for each language and one for all others: how many normalised histograms of either kind, and their sums; with known only of admitted documents."""
+def _sums(stats: DataFrame, may: Callable[..., np.ndarray] | None = None) -> np.ndarray:
+    """A row for each language and one for all others: how many normalised histograms of either kind, and their sums; of the documents that may add to them (by words, repeated words, histograms, language)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(LANGUAGES) + 1, 2 + N_CLASSES + N_WORDS))
         for batch in batches:
             language = batch.column(0).to_numpy()
             counts = [batch.column(1 + k).flatten().to_numpy().reshape(-1, width).astype(float) for k, width in enumerate((N_CLASSES, N_WORDS))]
-            if known is not None:
-                may = admitted(batch.column(3).to_numpy(), batch.column(4).to_numpy(), counts[0], known)
-                language, counts = language[may], [h[may] for h in counts]
+            if may is not None:
+                rows = may(batch.column(3).to_numpy(), batch.column(4).to_numpy(), *counts, language)
+                language, counts = language[rows], [h[rows] for h in counts]
             at = 2
             for k, h in enumerate(counts):
                 width = h.shape[1]
@@ -234,8 +289,7 @@ def judge(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame
             for rows, near in ((named, reference[: n_known or None]), (~named, reference)):
                 by_class[rows], by_word[rows] = closest(classes[rows], near[:, :N_CLASSES]), closest(common[rows], near[:, N_CLASSES:])
             failed = base_failed(n_words, n_repeat)
-            odd = (by_class > MAX_CHARACTER_DISTANCE) & (classes.sum(axis=1) >= MIN_CHARACTERS)
-            odd |= ((by_word > MAX_WORD_DISTANCE) | (by_class > BOTH[0]) & (by_word > BOTH[1])) & (n_words >= MIN_WORDS)
+            odd = too_far(n_words, classes.sum(axis=1), by_class, by_word)
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:7], pa.array(failed), pa.array(by_class), pa.array(by_word), pa.array(~failed & ~odd)], [id_col, *_BASE, "base_failed", "character_distance", "word_distance", "kept"])
 
     kind = df.schema[id_col].dataType.simpleString()
