@@ -28,6 +28,7 @@ that bear the names of the results.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wavefold.llm.common import text_or_empty
+from wavefold.llm.common import materialise, text_or_empty
 
 # Words in English, German, French and Spanish.
 INSULTS = """idiot moron stupid loser scum trash pathetic worthless disgusting clown fool imbecile garbage vermin filth jerk coward disgrace
@@ -54,6 +55,9 @@ REPORTS = """said says say told called claimed wrote quoted sagte sagt behauptet
 
 MAX_ROWS, MAX_STEMS = 10_000, 20_000
 SHORTEST, LONGEST_STEM = 3, 10
+#: Tasks that read the labelled rows, and stems that one holds before it passes their counts on.
+TASKS, HELD = 16, 200_000
+_COUNTS = ("clean0", "clean1", "toxic0", "toxic1")
 #: Documents that the shorter stem's share stands for; what a fixed insult has; least weight of a stem; fewest toxic documents with it.
 DRAWN, FIXED_SHARE, LEAST, MIN_TOXIC = 4.0, 0.9, 2.0, 3
 #: The shorter stem's share counts as this at most, as it was taken from the same documents.
@@ -273,21 +277,38 @@ def train(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     rated = labels.filter(~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).dropna().groupBy("id").agg((F.max("toxic") > 0).alias("toxic"))
     chosen = rated.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     texts = df.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    sample = texts.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), "id").limit(max_rows).select("text", "toxic")  # at most max_rows ids
+    sample = texts.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), "id").limit(max_rows)  # at most max_rows ids
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_WORDS(t.lower()) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(map(copy_of, found), pa.int64()), batch.column(1), pa.array([sorted(stems_of(set(w))) for w in found], pa.list_(pa.string()))], ["copy", "toxic", "stems"])
-
-    one = Window.partitionBy("copy", "toxic").orderBy(F.size("stems"), F.xxhash64("stems"))
-    distinct = sample.mapInArrow(words, "copy long, toxic boolean, stems array<string>").withColumn("nth", F.row_number().over(one)).filter("nth = 1")
-    halves = distinct.select("toxic", (F.pmod("copy", F.lit(2)) == 1).alias("half"), "stems").persist()
-    each = {f"{k}{h}": F.sum(((F.col("toxic") == t) & (F.col("half") == bool(h))).cast("int")).alias(f"{k}{h}") for k, t in (("toxic", True), ("clean", False)) for h in (0, 1)}
-    sizes = halves.agg(*each.values()).first()
-    counts = halves.select("toxic", "half", F.explode("stems").alias("stem")).groupBy("stem").agg(*each.values()).filter(F.col("toxic0") + F.col("toxic1") >= MIN_TOXIC)
+            copies = [copy_of(_WORDS(t.as_py().lower())) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(copies, pa.int64())], ["text", "toxic", "copy"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: tuple[Counter, ...] = tuple(Counter() for _ in _COUNTS)  # clean and toxic ones by half
+
+        def out() -> pa.RecordBatch:
+            stems = sorted(set().union(*seen))
+            batch = pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), *(pa.array([c[s] for s in stems], pa.int64()) for c in seen)], ["stem", *_COUNTS])
+            for c in seen:
+                c.clear()
+            return batch
+
+        for batch in batches:
+            for text, toxic, copy in zip(*batch.columns, strict=True):
+                seen[2 * toxic.as_py() + copy.as_py() % 2].update(stems_of(set(_WORDS(text.as_py().lower()))))
+                if sum(map(len, seen)) > HELD:
+                    yield out()
+        yield out()
+
+    one = Window.partitionBy("copy", "toxic").orderBy(F.length("text"), F.xxhash64("text"))
+    marked = sample.select("text", "toxic").repartition(TASKS).mapInArrow(mark, "text string, toxic boolean, copy long").withColumn("first", F.row_number().over(one) == 1)
+    marked = materialise(marked.repartition(TASKS), "toxicity-sample")
+    distinct = marked.filter("first").select("text", "toxic", "copy")
+    half = 2 * F.col("toxic").cast("int") + F.pmod("copy", F.lit(2))
+    sizes = distinct.agg(*(F.count_if(half == k).alias(c) for k, c in enumerate(_COUNTS))).first()
+    counts = distinct.mapInArrow(count, "stem string, " + ", ".join(f"{c} long" for c in _COUNTS)).groupBy("stem").agg(*(F.sum(c).alias(c) for c in _COUNTS)).filter(F.col("toxic0") + F.col("toxic1") >= MIN_TOXIC)
     rows = counts.orderBy(F.desc(F.col("toxic0") + F.col("toxic1")), "stem").limit(MAX_STEMS).collect()  # of bounded length, as stems are
-    halves.unpersist()
 
     def learn(half: tuple[int, ...]) -> dict[str, float]:
         toxic, clean = ({r["stem"]: sum(r[f"{k}{h}"] for h in half) for r in rows} for k in ("toxic", "clean"))
@@ -299,12 +320,10 @@ def train(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicons = [Lexicon(s) for s in of_other]
         for batch in batches:
-            found = []
-            for text in batch.column(0).to_pylist():
-                found.append(matches(text, lexicons[copy_of(_WORDS(text.lower())) % 2]).tolist())
+            found = [matches(text.as_py(), lexicons[copy.as_py() % 2]).tolist() for text, copy in zip(batch.column(0), batch.column(2), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.float64()))], ["toxic", "found"])
 
-    seen = sample.mapInArrow(score, "toxic boolean, found array<double>").collect()  # at most max_rows rows of nine numbers
+    seen = marked.select("text", "toxic", "copy").mapInArrow(score, "toxic boolean, found array<double>").collect()  # at most max_rows rows of nine numbers
     if not any(r["toxic"] for r in seen) or all(r["toxic"] for r in seen):
         return Model(learn(()), BEGIN)
     return Model(learn((0, 1)), fit(features(np.array([r["found"] for r in seen])), np.array([float(r["toxic"]) for r in seen])))
@@ -323,7 +342,7 @@ def score(df: DataFrame, text_col: str, model: Model) -> DataFrame:
         stems, weights = shared.value
         lexicon = Lexicon(stems)
         for batch in batches:
-            found = np.array([matches(t or "", lexicon) for t in batch.column(at).to_pylist()]).reshape(-1, len(KINDS) + 3)
+            found = np.array([matches(t.as_py() or "", lexicon) for t in batch.column(at)]).reshape(-1, len(KINDS) + 3)
             p = 1 / (1 + np.exp(-np.clip(features(found) @ weights, -30, 30)))
             by_kind = pa.StructArray.from_arrays([pa.array(found[:, k]) for k in range(len(KINDS))], [f.name for f in kinds])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32)), by_kind], schema.names)
