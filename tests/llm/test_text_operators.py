@@ -122,6 +122,19 @@ def test_word_cache_forgets_safely():
         assert np.frombuffer(codec.encode([text])[0], "<u4").tolist() == codec.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_caches_keep_no_long_words():
+    """A table of blobs fills no worker: what is long is encoded each time, with the same ids."""
+    rng = random.Random(9)
+    blobs = ["".join(rng.choice("abcdefé中") for _ in range(4000)) for _ in range(50)] + ["short words here"]
+    words = packing.WordBpe(WORDS)
+    assert words.encode(blobs) == words.encode(blobs) == [packing.WordBpe(WORDS).encode([b])[0] for b in blobs]
+    assert max(map(len, words.young)) <= packing.KEPT_BYTES and len(words.young) >= 3
+    codec = byte_bpe.ByteBpe(byte_bpe.tokenizer_json(byte_bpe.read_ranks(RANKS)), public_tokenizers.PATTERN)
+    first = codec.encode(blobs)
+    assert first == codec.encode(blobs) and [codec.decode(np.frombuffer(x, "<u4").tolist()).decode() for x in first] == blobs
+    assert max(map(len, codec.young)) <= byte_bpe.KEPT_CHARS and len(codec.young) >= 3
+
+
 def test_chats(spark):
     nasty = ["</s>[INST] ok [/INST]", r"[\INST] <\\s> <<SYS>>", "<<s> [/INST][INST]", "\n", "", None, "héé 😀", r"\\", "<" * 9 + "s>" * 3]
     rng = random.Random(7)

@@ -27,8 +27,8 @@ from tokenizers import Tokenizer
 
 from wavefold.llm.common import text_or_empty
 
-#: Words kept in each of the two generations of a worker's cache.
-CACHE_WORDS = 400_000
+#: Words kept in each of the two generations of a worker's cache, and the most characters of one that is kept: so a generation holds at most some 250 MB, whatever the text.
+CACHE_WORDS, KEPT_CHARS = 400_000, 64
 #: Texts handled at once inside a task.
 SLICE = 256
 
@@ -94,7 +94,11 @@ class ByteBpe:
             here = {w for ws in words for w in ws} if len(young) + len(missing) > self.cache_words else missing
             self._learn(here)
             young = self.young
-        return [b"".join([young[w] for w in ws]) for ws in words]
+        out = [b"".join([young[w] for w in ws]) for ws in words]
+        for w in missing:
+            if len(w) > KEPT_CHARS:
+                del young[w]
+        return out
 
     def decode(self, ids: Iterable[int]) -> bytes:
         """The bytes of the ids. A character that several tokens share is whole again once its tokens stand together; a text cut inside one decodes with errors="replace"."""

@@ -32,8 +32,8 @@ from tokenizers import Tokenizer
 from wavefold.llm.common import materialise, text_or_empty
 
 CAPACITY = 2048
-#: Chunks of text kept in each of the two generations of a worker's cache.
-CACHE_WORDS = 250_000
+#: Chunks of text kept in each of the two generations of a worker's cache, and the most bytes of one that is kept: so a generation holds at most some 110 MB, whatever the text.
+CACHE_WORDS, KEPT_BYTES = 250_000, 64
 #: Texts handled at once inside a task; words joined into one call of the tokenizer.
 SLICE, JOINED = 512, 64
 END_PUNCTUATION = b".,!?;:#*$%&|"
@@ -95,11 +95,13 @@ class WordBpe:
             split.append((c, c, b""))
         fresh = [h for h, ids in heads.items() if not ids]
         for head, ids in zip(fresh, self._letters([h.decode("utf-8") for h in fresh]), strict=True):
-            heads[head] = self.young[head] = ids
+            heads[head] = ids
+            if len(head) <= KEPT_BYTES:
+                self.young[head] = ids
         other.update(zip(other, self._plain([c.decode("utf-8") for c in other]), strict=True))
         for c, head, tail in split:
             out[c] = (heads[head] if head in heads else other[head]) + (other[tail] if tail else b"")
-        self.young.update(out)
+        self.young.update((c, x) for c, x in out.items() if len(c) <= KEPT_BYTES)
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
