@@ -51,6 +51,19 @@ def test_licences_in_long_blocks_of_real_text(characters):
             assert [(r["license"], r["wording"], r["n_differences"]) for r in license_scan.scan(text)] == [(name, wording, 0)], (k, text)
 
 
+def test_sentences_that_name_no_licence():
+    for text in (
+        "The patent was licensed under an agreement with MIT in 1999.", "He was released under bail by MIT police near the license office.", "The course is available under a grant from MIT.",
+        "The single was released under the label GPLv3 records, whose license expired.", "Distributed under a deal between Apache and the state; the license was lost.",
+    ):
+        assert license_scan.scan(text) == [], text
+
+
+def test_short_statements():
+    for text, licence in {"This software is under the MIT license.": "MIT", "License: MIT": "MIT", "MIT licensed": "MIT", "Code is under Apache-2.0": "Apache-2.0", "Published under CC BY 4.0": "CC-BY-4.0", "released under the terms of the MIT License": "MIT"}.items():
+        assert [r["license"] for r in license_scan.scan("Some words before it. " + text + " and some behind it.")] == [licence], text
+
+
 def test_licences_in_a_notice_file():
     rng = random.Random(4)
     want, parts = [], []
@@ -83,17 +96,18 @@ def test_reworded_licences():
 
 
 def best_share(wording, words):
-    """The most of a wording's words, in order, in any stretch of its length and the slack: longest common subsequences, without anchors, blocks or compression."""
+    """The most of a wording's words, in order, less words put between them, in any stretch of its length and the slack: by alignment, without anchors, blocks or compression."""
     slack = max(2, len(wording) // 5)
     best = 0
     for low in range(max(1, len(words) - len(wording) + slack)):
         part = words[low : low + len(wording) + 2 * slack]
-        row = [0] * (len(part) + 1)
+        row = [0] * (len(part) + 1)  # what is left out before the first word costs nothing
         for w in wording:
-            last = 0
+            diagonal, row[0] = row[0], 0
             for j, x in enumerate(part, 1):
-                last, row[j] = row[j], last + 1 if x == w or w == "_" else max(row[j], row[j - 1])
-        best = max(best, row[-1])
+                put_in = row[j - 1] - (x not in license_scan.NEUTRAL)
+                diagonal, row[j] = row[j], max(diagonal + (x == w or w == "_"), row[j], put_in)
+        best = max(best, *row)
     return best / len(wording)
 
 

@@ -32,11 +32,12 @@ from pyspark.sql import functions as F
 from wavefold.llm.license_texts import templates
 
 #: Words that open a candidate block.
-ANCHOR = regex.compile(r"licen[sc]e|copyright|permission (?:is |to use)|redistributions? |public domain|free software|creative commons|spdx|software is provided|be useful|(?:released|distributed|available) under", regex.I)
+ANCHOR = regex.compile(r"licen[sc]e|copyright|permission (?:is |to use)|redistributions? |public domain|free software|creative commons|spdx|software is provided|be useful|(?:released|distributed|available|published) under|under (?:the |a )?(?:apache|mit|isc|bsd|gnu|l?gpl|agpl|mozilla|mpl|eclipse|epl|eupl|cc[ -]by|cc0|wtfpl|unlicense|boost)\b", regex.I)
 #: Characters before and after an anchor that belong to its block.
 BEFORE, AFTER = 700, 900
-#: Least share of a template's words found.
+#: Least share of a template's words found, less words put between them; words that may stand between without telling anything.
 MIN_FOUND = 0.85
+NEUTRAL = frozenset("a an the this that of and or terms conditions provisions its license licence licensed under v version international unported".split())
 _WORD = regex.compile(r"[\p{L}\p{N}_]+(?:[.-][\p{N}]+)*")
 _LEVEL = 3
 
@@ -131,7 +132,7 @@ def _pack() -> Pack:
 
 
 def differences(template: list[str], words: list[str], begin: int) -> tuple[int, int, int, list[str]] | None:
-    """The place that the template matches in the stretch from begin on: first and last word, template words found, and what differs; None if nothing matches."""
+    """The place that the template matches in the stretch from begin on: first and last word, template words found less words put between them (but for neutral ones), and what differs; None if nothing matches."""
     low = max(0, begin)
     part = words[low : max(low, begin + len(template) + 2 * max(2, len(template) // 5))]
     steps = difflib.SequenceMatcher(None, template, part, autojunk=False).get_opcodes()
@@ -139,7 +140,7 @@ def differences(template: list[str], words: list[str], begin: int) -> tuple[int,
     if not equal:
         return None
     first, last = equal[0][3], equal[-1][4]
-    found, said = sum(s[2] - s[1] for s in equal), []
+    found, said, put_in = sum(s[2] - s[1] for s in equal), [], 0
     for kind, a, b, c, d in steps:
         if kind != "equal" and (a < b or first <= c and d <= last):
             ours, theirs = template[a:b], part[c : min(d, c + b - a)] if d > last else part[c:d]
@@ -147,7 +148,8 @@ def differences(template: list[str], words: list[str], begin: int) -> tuple[int,
                 found += len(ours)
             else:
                 said.append(f"-{' '.join(ours)} +{' '.join(theirs)}")
-    return low + first, low + last, found, said
+                put_in += max(0, sum(w not in NEUTRAL for w in theirs) - len(ours))
+    return low + first, low + last, found - put_in, said
 
 
 def scan(text: str) -> list[dict]:

@@ -76,7 +76,9 @@ NAMES = {
     "CC-BY-NC-ND-4.0": ("CC BY-NC-ND 4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
 }
 #: How a statement begins; an article may follow.
-LEADS, ARTICLES = ("Licensed under", "Released under", "Distributed under", "Available under"), ("", "the ", "a ")
+LEADS, ARTICLES = ("Licensed under", "Released under", "Distributed under", "Available under", "Published under", "is under"), ("", "the ", "a ")
+#: Statements of other forms.
+FORMS = ("License: {}", "{} licensed")
 
 
 def templates() -> dict[tuple[str, str], list[str]]:
@@ -84,6 +86,7 @@ def templates() -> dict[tuple[str, str], list[str]]:
     out = {key: [text] for key, text in TEXTS.items()}
     for licence, names in NAMES.items():
         said = [f"{lead} {article}{name}." for lead in LEADS for name in names for article in ARTICLES]
+        said += [form.format(name) for form in FORMS for name in names if not name.lower().endswith(("license", "licence"))]
         out.setdefault((licence, "statement"), []).extend(said)
         tags = [licence, *(f"{licence}-{x}" for x in ("only", "or-later") if "GPL" in licence)]
         out[licence, "tag"] = [f"SPDX-License-Identifier: {x}" for x in tags]
