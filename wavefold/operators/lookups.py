@@ -15,25 +15,30 @@ def lag_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, half
     return spread.join(other, [*keys, "__at"]).groupBy(*keys, "lag").agg(F.sum(F.col("__a") * F.col("__b")).alias("correlation"), F.count(F.lit(1)).alias("n"))
 
 
-def linear(points: DataFrame, keys: list[str], at: dict[str, str], shape: dict[str, int], cells: DataFrame, value: str, clamp: bool = False, reciprocal: bool = False) -> DataFrame:
-    """(keys, value) at points between cells, linear along every axis. at: cell index to point column; shape: how many places each axis has; keys: what tells points apart, repeated points too.
-
-    The base cell is clamped into the grid while the fraction is not, so that points outside extrapolate; with clamp they take the nearest edge. With reciprocal 1 / value is interpolated. An axis of
-    one place is constant. A point of which a corner with a weight is not there has no value (null).
-    """
-    based, corners = points, [[]]
+def corners(points: DataFrame, keys: list[str], at: dict[str, str], shape: dict[str, int], clamp: bool = False) -> DataFrame:
+    """(keys, indices, __w): the cells around each point that have a weight."""
+    based, found = points, [[]]
     for index, c in at.items():
         n = shape[index]
         x = F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(n - 1.0)) if clamp else F.col(c)
         based = based.withColumn(f"__i_{index}", F.least(F.greatest(F.floor(x), F.lit(0)), F.lit(max(0, n - 2))).cast("bigint")).withColumn(f"__f_{index}", x - F.col(f"__i_{index}") if n > 1 else F.lit(0.0))
-        corners = [[*corner, (index, k)] for corner in corners for k in (0, 1)[: min(2, n)]]
+        found = [[*corner, (index, k)] for corner in found for k in (0, 1)[: min(2, n)]]
     places = []
-    for corner in corners:
+    for corner in found:
         weight = F.lit(1.0)
         for index, k in corner:
             weight = weight * (F.col(f"__f_{index}") if k else 1 - F.col(f"__f_{index}"))
         places.append(F.struct(*((F.col(f"__i_{index}") + k).alias(index) for index, k in corner), weight.alias("__w")))
-    spread = based.select(*keys, F.explode(F.array(*places)).alias("__c")).select(*keys, "__c.*").filter("__w != 0")
+    return based.select(*keys, F.explode(F.array(*places)).alias("__c")).select(*keys, "__c.*").filter("__w != 0")
+
+
+def linear(points: DataFrame, keys: list[str], at: dict[str, str], shape: dict[str, int], cells: DataFrame, value: str, clamp: bool = False, reciprocal: bool = False) -> DataFrame:
+    """(keys, value) at points between cells, linear along every axis. at: cell index to point column; shape: how many places each axis has; keys: what tells points apart, repeated points too.
+
+    The base cell is clamped into the grid while the fraction is not, so that points outside extrapolate; with clamp they take the nearest edge. With reciprocal 1 / value is interpolated. An axis of
+    one place is constant. A point of which a corner with a weight is not there has no value (null).
+    """
+    spread = corners(points, keys, at, shape, clamp)
     found = spread.join(cells.select(*(F.col(i).cast("bigint").alias(i) for i in at), (1 / F.col(value) if reciprocal else F.col(value)).alias("__v")), list(at), "left")
     total = F.when(F.count_if(F.col("__v").isNull()) == 0, F.sum(F.col("__w") * F.col("__v")))
     return found.groupBy(*keys).agg((1 / total if reciprocal else total).alias(value))
@@ -75,12 +80,15 @@ def interval_average(cells: DataFrame, low: Column, high: Column, value: Column,
 
 
 def layered(cells: DataFrame, points: DataFrame, keys: list[str], at: dict[str, str], shape: dict[str, int], depth: str, thickness: float, width: float, velocity: str) -> DataFrame:
-    """(keys, bin, velocity): at each point the columns of a velocity model, laterally linear and of mean slowness over depth bins of the given width. Every depth of the model is looked up, then overlapped with the bins."""
-    depths = cells.select(F.col(depth).alias("__depth")).distinct()
-    asked = points.crossJoin(F.broadcast(depths))  # as many as the model has depths
-    there = cells.withColumn("__depth", F.col(depth))
-    looked = linear(asked.withColumn("__z", F.col("__depth").cast("double")), [*keys, "__depth"], {**at, depth: "__z"}, {**shape, depth: 2**31}, there, velocity, clamp=True, reciprocal=True)
-    out = interval_average(looked.filter(F.col(velocity).isNotNull()), F.col("__depth") * thickness, (F.col("__depth") + 1) * thickness, 1 / F.col(velocity), width, keys)
+    """(keys, bin, velocity): at each point the columns of a velocity model, laterally linear in slowness and of mean slowness over depth bins of the given width. A model's column is one row of slownesses by depth; a point
+    meets the columns at its corners, four at most, and combines them by depth. A depth that one of them lacks has no velocity."""
+    columns = cells.groupBy(*at).agg(F.map_from_entries(F.collect_list(F.struct(F.col(depth).alias("d"), (1 / F.col(velocity)).alias("s")))).alias("__column"))
+    met = corners(points, keys, at, shape, clamp=True).join(columns, list(at), "left").groupBy(*keys).agg(F.collect_list(F.struct(F.col("__w").alias("w"), F.col("__column").alias("c"))).alias("__found"))
+    # Of a missing column, and of a depth that a column lacks, comes null.
+    sums = lambda d: F.aggregate("__found", F.lit(0.0), lambda t, e: t + e["w"] * F.try_element_at(e["c"], d))
+    depths = F.transform(F.map_keys(F.col("__found")[0]["c"]), lambda d: F.struct(d.alias("d"), sums(d).alias("s")))
+    known = met.select(*keys, F.explode(depths).alias("__d")).filter("__d.s IS NOT NULL")
+    out = interval_average(known, F.col("__d.d") * thickness, (F.col("__d.d") + 1) * thickness, F.col("__d.s"), width, keys)
     return out.select(*keys, "bin", (1 / F.col("average")).alias(velocity), "covered")
 
 

@@ -15,10 +15,10 @@ from pyspark.sql.window import Window
 
 from wavefold.functions import traces
 from wavefold.functions.kernels import weights
-from wavefold.operators import axes, frames, lookups, reductions, stencils, tapers, vectors, volumes
+from wavefold.operators import axes, frames, gathers, lookups, reductions, stencils, tapers, vectors, volumes, weave
 from wavefold.plans.catalogue import around_sql, big, difference_sql
 from wavefold.plans.registry import query
-from wavefold.sources import cubes, records
+from wavefold.sources import cubes, images, records
 from wavefold.sources.tables import extract_shots, load, save, shared_folder, store_shots, table
 
 NX, NY, NZ = 12, 6, 7
@@ -677,3 +677,74 @@ def saved_indexes(spark: SparkSession, d: str) -> DataFrame:
         one = load(spark, path, "o_orderkey bigint, o_custkey bigint").withColumn("format", F.lit(suffix))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+# Gathers by slowness
+
+_SLOW, _GATHER_DT, _TIMES = [-4e-5, -1e-5, 0.0, 2e-5, 5e-5], 0.004, 50
+_GATHER = "(SELECT l_suppkey % 6 AS gather, l_linenumber * 150.0 AS x, (l_quantity - 1)::BIGINT AS it, sum(round(l_extendedprice)::BIGINT) AS v FROM lineitem GROUP BY 1, 2, 3)"
+
+
+def _gather(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 6).alias("gather"), (F.col("l_linenumber") * 150.0).alias("x"), (F.col("l_quantity") - 1).cast("bigint").alias("it")).agg(F.sum(F.round("l_extendedprice").cast("bigint")).alias("v"))
+
+
+@query(f"""
+    WITH u AS (SELECT gather, ip, v, it - p * x / {_GATHER_DT} AS u FROM {_GATHER}, (VALUES {', '.join(f'({i}, {p!r}::DOUBLE)' for i, p in enumerate(_SLOW))}) s(ip, p)),
+    w AS (SELECT gather, ip, v, floor(u)::BIGINT + k AS itau, CASE k WHEN 0 THEN 1 - (u - floor(u)) ELSE u - floor(u) END AS w FROM u, (SELECT unnest([0, 1]) AS k))
+    SELECT gather, ip::BIGINT AS ip, itau, round(sum(w * v), 3) + 0.0 AS v FROM w WHERE w > 0 AND itau BETWEEN 0 AND {_TIMES - 1} GROUP BY 1, 2, 3
+""")
+def slant_stack(spark: SparkSession, d: str) -> DataFrame:
+    """The slant stack of gathers of line items."""
+    return _rounded(gathers.slant_stack(_gather(spark, d), ["gather"], "x", "it", "v", _SLOW, _GATHER_DT, _TIMES), 3, "v")
+
+
+@query()
+def gathers_on_lattice(spark: SparkSession, d: str) -> DataFrame:
+    """Gathers turned into events by least squares, less their ghosts, at the places of a regular lattice."""
+    rows = _gather(spark, d)
+    events = gathers.least_squares(rows, ["gather"], "x", "it", "v", _SLOW, _GATHER_DT, _TIMES, rounds=4)
+    clean = gathers.deghost(events, ["gather"], "v", _SLOW, _GATHER_DT, _TIMES, 6.0, 1500.0)
+    lattice = rows.select("gather").distinct().withColumn("x", F.explode(F.array(*(F.lit(100.0 * k) for k in range(1, 12)))))
+    return _rounded(gathers.model(clean, ["gather"], "v", lattice, "x", "it", _SLOW, _GATHER_DT, _TIMES), 3, "v")
+
+
+def _weave_sql(rows: str, axes: dict[str, int]) -> str:
+    """Half-sample shifts by the kernel of the discrete spectrum, along one axis after another."""
+    for axis, n in axes.items():
+        keys = [a for a in axes if a != axis]
+        others = ", ".join(keys)
+        t = f"(i.i / 2.0 - j.{axis})"
+        kernel = f"sin(pi() * {t}) / ({n} * {'tan' if n % 2 == 0 else 'sin'}(pi() * {t} / {n}))"
+        own = f"CASE WHEN i.i % 2 = 0 THEN (CASE WHEN i.i // 2 = j.{axis} THEN 1.0 ELSE 0.0 END) ELSE {kernel} END"
+        rows = f"(SELECT {others}, i.i AS {axis}, sum(({own}) * j.v) AS v FROM {rows} j, (SELECT unnest(range({2 * n})) AS i) i GROUP BY {others}, i.i)"
+    return rows
+
+
+@query(f"SELECT ix, iy, iz, round(v, 5) + 0.0 AS v FROM {_weave_sql(_VOLUME, {'ix': NX, 'iy': NY, 'iz': NZ})}")
+def weave_3d(spark: SparkSession, d: str) -> DataFrame:
+    """The volume on a grid twice as fine along all axes, woven of its half-sample shifts."""
+    return _rounded(weave.weave(_volume(spark, d), [], {"ix": NX, "iy": NY, "iz": NZ}, "v"), 5, "v")
+
+
+@query(f"SELECT ix, iy, round(v, 5) + 0.0 AS v FROM {_weave_sql(f'(SELECT ix, iy, sum(v) AS v FROM {_VOLUME} GROUP BY 1, 2)', {'ix': NX, 'iy': NY})}")
+def weave_2d(spark: SparkSession, d: str) -> DataFrame:
+    """A map on a grid twice as fine along both axes."""
+    cells = _volume(spark, d).groupBy("ix", "iy").agg(F.sum("v").alias("v"))
+    return _rounded(weave.weave(cells, [], {"ix": NX, "iy": NY}, "v"), 5, "v")
+
+
+@query("SELECT xl, il, sum(v)::BIGINT AS v FROM (SELECT l_suppkey % 40 AS xl, (l_partkey % 300) * 2 + 3 AS il, round(l_extendedprice)::BIGINT AS v FROM lineitem WHERE l_returnflag <> 'N' UNION ALL SELECT l_suppkey % 40, (l_partkey % 150) * 4 + 7, l_quantity::BIGINT FROM lineitem WHERE l_returnflag = 'N') WHERE il < 3 + 250 * 2 GROUP BY 1, 2")
+def accumulated_image(spark: SparkSession, d: str) -> DataFrame:
+    """An image stored and added to by three batches of unlike lines, one of which runs twice, and folded in between."""
+    rows, path, kinds = table(spark, d, "lineitem"), shared_folder(spark, "image"), "xl bigint, il bigint, v bigint"
+    onto = (3, 2, 250)
+    some = lambda flag, n, v: rows.filter(F.col("l_returnflag") == flag).select((F.col("l_suppkey") % 40).alias("xl"), (F.col("l_partkey") % n).alias("il"), v.cast("bigint").alias("v"))
+    price = F.round("l_extendedprice")
+    first, second, third = images.aligned(some("A", 300, price), {"il": ((3, 2), onto)}), images.aligned(some("R", 300, price), {"il": ((3, 2), onto)}), images.aligned(some("N", 150, F.col("l_quantity")), {"il": ((7, 4), onto)})
+    images.accumulate(path, first, ["xl", "il"], "il", "v", 1)
+    images.accumulate(path, second, ["xl", "il"], "il", "v", 2)
+    images.fold(spark, path, kinds, ["xl", "il"], "v")
+    images.accumulate(path, second, ["xl", "il"], "il", "v", 2)
+    images.accumulate(path, third, ["xl", "il"], "il", "v", 3)
+    return images.image(spark, path, kinds, ["xl", "il"], "v").select("xl", (F.col("il") * 2 + 3).alias("il"), "v")
