@@ -31,12 +31,42 @@ def test_kernels_keep_constants(kernel):
         assert np.allclose(w @ np.arange(30.0), np.linspace(0, 29, 57))
 
 
-@pytest.mark.parametrize(("name", "steps"), [("16", 32767), ("16p", 32767), ("8p", 127)])
+@pytest.mark.parametrize(("name", "steps"), [("steps", 32767), ("16p", 32767), ("8p", 127)])
 def test_codecs_lose_half_a_step(name, steps):
     x = np.random.default_rng(1).normal(size=(5, 33))
     assert (np.abs(codecs.CODECS[name](x) - x) <= 1.01 * np.abs(x).max(axis=1, keepdims=True) / steps).all()
 
 
+def test_pseudo_floats():
+    table = codecs.table16()
+    assert len(table) == 65536 and table[1] == 1 and np.isnan(table[0x8000]) and (np.diff(table[0x4000:0x8000]) > 0).all()
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6, 400)) * 10.0 ** rng.uniform(-8, 0, size=(6, 400))
+    x[1, 7], x[2] = 0.0, 0.0
+    words, scale = codecs.encode16(x)
+    y = codecs.decode16(words, scale)
+    m = np.abs(x) / np.where(scale > 0, scale, 1)[:, None]
+    bound = np.where(m >= 2**-4, 2.0**-14, np.where(m >= 2**-20, m * 2.0**-10, np.where(m >= 2**-29, 2.0**-30, 2.0**-29)))
+    assert (np.abs(y - x) <= bound * np.where(scale > 0, scale, 1)[:, None] * (1 + 1e-12)).all() and (np.abs(y) <= np.abs(x)).all() and not y[2].any()
+    assert (np.abs(y[[0, 1, 3, 4, 5]]).max(axis=1) == scale[[0, 1, 3, 4, 5]]).all()  # the largest is kept
+    code = np.arange(2, 0x8000)
+    assert (codecs.encode16(np.append(1.0, table[code])[None])[0][0, 1:] == code).all()  # what codes stand for has these codes
+
+
+def test_bits_of_pairs_follow_the_ranges():
+    total, half = np.array([8.0, 1.0, 1.0, 5.0, 0.0, 0.0]), np.array([8.0, 0.25, 1024.0, 0.0, 3.0, 0.0])
+    assert codecs.split_bits(total, half, 16).tolist() == [8, 9, 3, 16, 8, 8]
+    x = np.random.default_rng(2).normal(size=(4, 9))
+    smooth = np.cumsum(np.cumsum(x, axis=1), axis=1)
+    words, ranges, first = codecs.encode_pairs(smooth, 32)
+    y = codecs.decode_pairs(words, ranges, first, 32, 9)
+    steps = ranges / (2.0 ** np.stack([first, 32 - first]) - 1)
+    assert (np.abs(y - smooth) <= steps.sum(axis=0)[:, None] * 0.51).all()
+    alike = np.repeat(x[:, :3], 2, axis=1)  # no differences: all bits go to the sums
+    assert np.allclose(codecs.CODECS["16p"](alike), alike, atol=1e-8)
+    assert codecs.CODECS["8p"](np.zeros((2, 5))).tolist() == [[0.0] * 5] * 2
+
+
 def test_phase_correction_keeps_low_frequencies():
     t = np.arange(256) * 0.004
     x = np.exp(-(((t - 0.5) / 0.08) ** 2))[None]

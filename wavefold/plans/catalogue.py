@@ -561,7 +561,23 @@ def spectral_curvature(spark: SparkSession, d: str) -> DataFrame:
     return _samples(traces.map_traces(_traces(spark, d), ["vec_id"], "samples", traces.spectral_derivative(12.5, 2)), 7)
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE s AS (SELECT vec_id, n, j AS i, x, lag(x) OVER w AS a, lead(x) OVER w AS b, lag(x, 2) OVER w AS aa, lead(x, 2) OVER w AS bb FROM {_SAMPLES} WINDOW w AS (PARTITION BY vec_id ORDER BY j)),
+    t AS (
+        SELECT vec_id, n, i, CASE WHEN i = 0 THEN -2.5 * x + 2 * b + 0.5 * bb WHEN i = n - 1 THEN 2.5 * x - 2 * a - 0.5 * aa ELSE 0.75 * (b - a) END / 12.5 AS r,
+            CASE WHEN i = n - 1 THEN 2.0 ELSE 0.25 END AS low, CASE WHEN i = 0 THEN 2.0 ELSE 0.25 END AS high
+        FROM s WHERE n >= 4
+    ),
+    down AS (
+        SELECT vec_id, n, i, high, 1.0::DOUBLE AS mid, r FROM t WHERE i = 0
+        UNION ALL SELECT t.vec_id, t.n, t.i, t.high, 1 - t.low / d.mid * d.high, t.r - t.low / d.mid * d.r FROM down d JOIN t ON t.vec_id = d.vec_id AND t.i = d.i + 1
+    ),
+    up AS (
+        SELECT vec_id, i, r / mid AS x FROM down WHERE i = n - 1
+        UNION ALL SELECT d.vec_id, d.i, (d.r - d.high * u.x) / d.mid FROM up u JOIN down d ON d.vec_id = u.vec_id AND d.i = u.i - 1
+    )
+    SELECT vec_id, i::BIGINT AS i, round(x, 9) + 0.0 AS x FROM up
+""")
 def compact_slope(spark: SparkSession, d: str) -> DataFrame:
     return _samples(traces.map_traces(_traces(spark, d), ["vec_id"], "samples", traces.compact_derivative(12.5)), 9)
 
@@ -573,7 +589,7 @@ def compact_slope(spark: SparkSession, d: str) -> DataFrame:
 """)
 def codec_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """The 16-bit steps of each trace, summed up, and how many samples the round trip moves by more than half a step of the trace's range."""
-    near = traces.map_traces(_traces(spark, d).withColumn("kept", F.col("samples")), ["vec_id", "kept"], "samples", codecs.CODECS["16"], "decoded")
+    near = traces.map_traces(_traces(spark, d).withColumn("kept", F.col("samples")), ["vec_id", "kept"], "samples", codecs.CODECS["steps"], "decoded")
     most = F.array_max(F.transform("kept", F.abs))
     steps = F.transform("decoded", lambda x: F.when(most > 0, F.rint(x / most.cast("float").cast("double") * 32767)).otherwise(0.0))
     off = F.size(F.filter(F.zip_with("kept", "decoded", lambda a, b: F.abs(a - b)), lambda x: x > most / 32767 * 0.5001))
@@ -581,6 +597,50 @@ def codec_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return near.select("vec_id", F.size("kept").alias("n"), total(steps).alias("steps"), total(F.transform(steps, F.abs)).alias("magnitude"), off.alias("n_off"))
 
 
+_POWER = "floor(log2(m))"
+
+
+@query(f"""
+    WITH t AS (SELECT vec_id, j, x, max(abs(x)) OVER (PARTITION BY vec_id) AS most FROM {_SAMPLES}),
+    y AS (SELECT vec_id, x, most, CASE WHEN most > 1e-25 THEN abs(x) / most ELSE 0 END AS m FROM t),
+    c AS (SELECT vec_id, x, most, sign(x) * most * CASE WHEN m >= pow(2, -4) AND m < 1 THEN floor(m * 16384) / 16384 WHEN m = 1 THEN 1 WHEN m >= pow(2, -20) THEN floor((m / pow(2, {_POWER}) - 1) * 1024) / 1024 * pow(2, {_POWER}) + pow(2, {_POWER}) WHEN m >= pow(2, -29) THEN floor(m * pow(2, 30)) / pow(2, 30) ELSE 0 END AS d FROM y)
+    SELECT vec_id, round(sum(d), 7) + 0.0 AS total, round(max(abs(d - x)), 9) + 0.0 AS worst FROM c GROUP BY vec_id
+""")
+def codec_pseudo_float(spark: SparkSession, d: str) -> DataFrame:
+    """What 16-bit pseudo-floats of each trace decode to, summed up, and by how much they are off at worst."""
+    return _off(traces.map_traces(_traces(spark, d).withColumn("kept", F.col("samples")), ["vec_id", "kept"], "samples", codecs.CODECS["16"], "decoded"), 7)
+
+
+def _off(near: DataFrame, digits: int) -> DataFrame:
+    total = F.aggregate("decoded", F.lit(0.0), lambda s, v: s + v)
+    worst = F.array_max(F.zip_with("kept", "decoded", lambda a, b: F.abs(a - b)))
+    return near.select("vec_id", (F.round(total, digits) + 0.0).alias("total"), (F.round(worst, 9) + 0.0).alias("worst"))
+
+
+def _pairs_sql(bits: int) -> str:
+    return f"""
+    WITH p AS (SELECT vec_id, j // 2 AS k, max(x) FILTER (j % 2 = 0) AS a, coalesce(max(x) FILTER (j % 2 = 1), max(x) FILTER (j % 2 = 0)) AS b, count(*) AS n FROM {_SAMPLES} GROUP BY 1, 2),
+    r AS (SELECT vec_id, 2 * max(abs((a + b) / 2)) AS r1, 2 * max(abs((a - b) / 2)) AS r2 FROM p GROUP BY vec_id),
+    e AS (SELECT vec_id, r1, r2, b1, r1 / pow(2, b1) + r2 / pow(2, {bits} - b1) AS e FROM r, (SELECT unnest(range({bits + 1})) AS b1)),
+    s AS (SELECT vec_id, any_value(r1) AS r1, any_value(r2) AS r2, CASE WHEN any_value(r1) > 0 AND any_value(r2) > 0 THEN min_by(b1, (e, b1)) WHEN any_value(r1) > 0 THEN {bits} ELSE {bits // 2} END AS b1 FROM e GROUP BY vec_id),
+    q AS (SELECT *, pow(2, b1) - 1 AS s1, pow(2, {bits} - b1) - 1 AS s2 FROM s),
+    d AS (SELECT p.vec_id, a, b, n, CASE WHEN s1 > 0 AND r1 > 0 THEN round_even(((a + b) / 2 + r1 / 2) * (s1 / r1), 0) * (r1 / s1) - r1 / 2 ELSE 0 END AS u, CASE WHEN s2 > 0 AND r2 > 0 THEN round_even(((a - b) / 2 + r2 / 2) * (s2 / r2), 0) * (r2 / s2) - r2 / 2 ELSE 0 END AS w FROM p JOIN q USING (vec_id))
+    SELECT vec_id, round(sum(CASE WHEN n = 1 THEN u ELSE u + w + u - w END), 6) + 0.0 AS total, round(max(greatest(abs(CASE WHEN n = 1 THEN u ELSE u + w END - a), CASE WHEN n = 1 THEN 0 ELSE abs(u - w - b) END)), 9) + 0.0 AS worst FROM d GROUP BY vec_id
+    """
+
+
+@query(_pairs_sql(32))
+def codec_pairs_16(spark: SparkSession, d: str) -> DataFrame:
+    """Sum and difference pairs in 32 bits, dealt by their ranges."""
+    return _off(traces.map_traces(_traces(spark, d).withColumn("kept", F.col("samples")), ["vec_id", "kept"], "samples", codecs.CODECS["16p"], "decoded"), 6)
+
+
+@query(_pairs_sql(16))
+def codec_pairs_8(spark: SparkSession, d: str) -> DataFrame:
+    """Sum and difference pairs in 16 bits."""
+    return _off(traces.map_traces(_traces(spark, d).withColumn("kept", F.col("samples")), ["vec_id", "kept"], "samples", codecs.CODECS["8p"], "decoded"), 6)
+
+
 @query(_sample_sql("list_transform(embedding, lambda x: round(x::DOUBLE / list_max(list_transform(embedding, lambda y: abs(y::DOUBLE))), 5) + 0.0)"))
 def normalise_array(spark: SparkSession, d: str) -> DataFrame:
     return _samples(_traces(spark, d).select("vec_id", traces.normalise(F.col("samples")).alias("samples")), 5)
