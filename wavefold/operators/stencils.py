@@ -22,10 +22,9 @@ from pyspark.sql import functions as F
 BLOCK, SALTS = 1024, 16
 
 
-def spans(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """(keys, __lo, __hi, __first, __last): the first and last place of each line and the values there."""
-    ends = [F.min_by(value, order).alias("__first"), F.max_by(value, order).alias("__last")]
-    return rows.groupBy(*keys).agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"), *ends)
+def spans(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """(keys, __lo, __hi): the first and last place of each line."""
+    return rows.groupBy(*keys).agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
 
 
 def blocks(rows: DataFrame, order: str, half: int) -> DataFrame:
@@ -41,9 +40,10 @@ def near(keys: list[str], order: str, half: int) -> WindowSpec:
     return Window.partitionBy(*keys, "__block").orderBy(order).rangeBetween(-half, half)
 
 
-def _at_places(rows: DataFrame, keys: list[str], order: str, value: str, half: int, result: Callable[[WindowSpec, Column, Column], Column], name: str) -> DataFrame:
-    """(keys, order, value, name); result(rows near, how many places before the line's first one, how many behind its last) is computed within blocks."""
-    lines = spans(rows, keys, order, value)
+def _at_places(rows: DataFrame, keys: list[str], order: str, value: str, half: int, result: Callable[[WindowSpec, Column, Column], Column], name: str, places: DataFrame | None) -> DataFrame:
+    """(keys, order, value, name); result(rows near, how many places before the line's first one, how many behind its last) is computed within blocks. Where there are places before the first
+    row or behind the last one, that row is the first or last of those near. places: rows with the same places, if it takes less to compute them."""
+    lines = spans(rows if places is None else places, keys, order)
     dealt = blocks(rows.select(*keys, order, value), order, half)
     if keys:
         # A long line is dealt by salts, as its span is wanted by all of its rows.
@@ -56,28 +56,29 @@ def _at_places(rows: DataFrame, keys: list[str], order: str, value: str, half: i
     return dealt.withColumn(name, result(near(keys, order, half), before, behind)).filter("__own").select(*keys, order, value, name)
 
 
-def box_mean(rows: DataFrame, keys: list[str], order: str, value: str, half: int, name: str = "mean") -> DataFrame:
+def box_mean(rows: DataFrame, keys: list[str], order: str, value: str, half: int, name: str = "mean", places: DataFrame | None = None) -> DataFrame:
     """Mean over 2 half + 1 places, edges repeated."""
 
     def result(near: WindowSpec, before: Column, behind: Column) -> Column:
-        edge = lambda v, n: F.when(F.col(v).isNotNull(), F.col(v) * n).otherwise(F.lit(0))
-        there = lambda v, n: F.when(F.col(v).isNotNull(), n).otherwise(F.lit(0))
-        total = F.coalesce(F.sum(value).over(near), F.lit(0)) + edge("__first", before) + edge("__last", behind)
-        count = F.count(value).over(near) + there("__first", before) + there("__last", behind)
+        first, last = F.first(value).over(near), F.last(value).over(near)
+        edge = lambda v, n: F.when(v.isNotNull(), v * n).otherwise(F.lit(0))
+        there = lambda v, n: F.when(v.isNotNull(), n).otherwise(F.lit(0))
+        total = F.coalesce(F.sum(value).over(near), F.lit(0)) + edge(first, before) + edge(last, behind)
+        count = F.count(value).over(near) + there(first, before) + there(last, behind)
         return F.when(count > 0, total / count)
 
-    return _at_places(rows, keys, order, value, half, result, name)
+    return _at_places(rows, keys, order, value, half, result, name, places)
 
 
-def running_median(rows: DataFrame, keys: list[str], order: str, value: str, half: int, name: str = "median") -> DataFrame:
+def running_median(rows: DataFrame, keys: list[str], order: str, value: str, half: int, name: str = "median", places: DataFrame | None = None) -> DataFrame:
     """Median of 2 half + 1 places, edges repeated; of an even number the lower of the two in the middle. With half 1 the end points stay."""
 
     def result(near: WindowSpec, before: Column, behind: Column) -> Column:
-        edges = [F.array_repeat(v, n) for v, n in (("__first", before), ("__last", behind))]
+        edges = [F.array_repeat(v, n) for v, n in ((F.first(value).over(near), before), (F.last(value).over(near), behind))]
         values = F.array_sort(F.array_compact(F.concat(F.collect_list(value).over(near), *edges)))
         return F.when(F.size(values) > 0, F.try_element_at(values, F.ceil(F.size(values) / 2).cast("int")))
 
-    return _at_places(rows, keys, order, value, half, result, name)
+    return _at_places(rows, keys, order, value, half, result, name, places)
 
 
 def median3(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
@@ -92,26 +93,30 @@ def dot(near: WindowSpec, order: str, value: str, weights: Column, half: int) ->
     return F.aggregate(there, F.lit(0.0), lambda t, s: t + weight(s) * s["v"]), F.aggregate(there, F.lit(0.0), lambda t, s: t + weight(s))
 
 
-def weighted(rows: DataFrame, keys: list[str], order: str, value: str, weights: list[float], name: str) -> DataFrame:
+def weighted(rows: DataFrame, keys: list[str], order: str, value: str, weights: list[float], name: str, places: DataFrame | None = None) -> DataFrame:
     """Weighted mean of a place and its neighbours, edges repeated; weights go from the one before to the one after."""
     # Of so many places before the first one, the weights in all; likewise from the end.
     ahead, astern = (F.array(*(F.lit(float(sum(w[:n]))) for n in range(len(weights) // 2 + 1))) for w in (weights, weights[::-1]))
 
     def result(around: WindowSpec, before: Column, behind: Column) -> Column:
         total, count = dot(around, order, value, F.array(*map(F.lit, weights)), len(weights) // 2)
-        for v, share in (("__first", F.get(ahead, before)), ("__last", F.get(astern, behind))):
-            there = F.col(v).isNotNull()
-            total, count = total + F.when(there, F.col(v) * share).otherwise(0.0), count + F.when(there, share).otherwise(0.0)
+        for v, share in ((F.first(value).over(around), F.get(ahead, before)), (F.last(value).over(around), F.get(astern, behind))):
+            total, count = total + F.when(v.isNotNull(), v * share).otherwise(0.0), count + F.when(v.isNotNull(), share).otherwise(0.0)
         return F.when(count != 0, total / count * sum(weights))
 
-    return _at_places(rows, keys, order, value, len(weights) // 2, result, name)
+    return _at_places(rows, keys, order, value, len(weights) // 2, result, name, places)
 
 
-def along_axes(cells: DataFrame, keys: list[str], axes: list[str], value: str, steps: list[tuple[str, Callable[[DataFrame, list[str], str], DataFrame]]]) -> DataFrame:
-    """Filters one after another, each along one axis of cells (keys, axes, value): (axis, function of cells, keys of a line and axis that gives a column "filtered")."""
+Step = Callable[[DataFrame, list[str], str, DataFrame], DataFrame]
+
+
+def along_axes(cells: DataFrame, keys: list[str], axes: list[str], value: str, steps: list[tuple[str, Step]]) -> DataFrame:
+    """Filters one after another, each along one axis of cells (keys, axes, value): (axis, function of cells, keys of a line, axis and the first cells that gives a column "filtered"). Filters keep the places there are, so lines' ends are
+    those of the first cells."""
+    first = cells
     for axis, step in steps:
         lines = [*keys, *(a for a in axes if a != axis)]
-        cells = step(cells.select(*keys, *axes, value), lines, axis).select(*keys, *axes, F.col("filtered").alias(value))
+        cells = step(cells.select(*keys, *axes, value), lines, axis, first).select(*keys, *axes, F.col("filtered").alias(value))
     return cells
 
 
@@ -119,16 +124,16 @@ def along_axes(cells: DataFrame, keys: list[str], axes: list[str], value: str, s
 SMOOTH_3, MEAN_3, QUARTERS, SMOOTH_5 = [0.2, 0.6, 0.2], [1 / 3, 1 / 3, 1 / 3], [0.25, 0.5, 0.25], [0.04, 0.16, 0.6, 0.16, 0.04]
 
 
-def mean_along(value: str, half: int) -> Callable[[DataFrame, list[str], str], DataFrame]:
-    return lambda cells, keys, axis: box_mean(cells, keys, axis, value, half, "filtered")
+def mean_along(value: str, half: int) -> Step:
+    return lambda cells, keys, axis, first: box_mean(cells, keys, axis, value, half, "filtered", first)
 
 
-def median_along(value: str, half: int = 1) -> Callable[[DataFrame, list[str], str], DataFrame]:
-    return lambda cells, keys, axis: running_median(cells, keys, axis, value, half, "filtered")
+def median_along(value: str, half: int = 1) -> Step:
+    return lambda cells, keys, axis, first: running_median(cells, keys, axis, value, half, "filtered", first)
 
 
-def weighted_along(value: str, weights: list[float]) -> Callable[[DataFrame, list[str], str], DataFrame]:
-    return lambda cells, keys, axis: weighted(cells, keys, axis, value, weights, "filtered")
+def weighted_along(value: str, weights: list[float]) -> Step:
+    return lambda cells, keys, axis, first: weighted(cells, keys, axis, value, weights, "filtered", first)
 
 
 def differences(order: int, second: bool) -> list[float]:
