@@ -748,3 +748,22 @@ def accumulated_image(spark: SparkSession, d: str) -> DataFrame:
     images.accumulate(path, second, ["xl", "il"], "il", "v", 2)
     images.accumulate(path, third, ["xl", "il"], "il", "v", 3)
     return images.image(spark, path, kinds, ["xl", "il"], "v").select("xl", (F.col("il") * 2 + 3).alias("il"), "v")
+
+
+_FINER = {"ix": (NX, [0.4 * i for i in range(28)]), "iy": (NY, [0.7 * i - 0.3 for i in range(8)]), "iz": (NZ, [0.0, 0.25, 0.6, 1.0, 1.5, 2.2, 3.0, 3.9, 4.9, 6.0, 6.2])}
+
+
+def _sinc_grid_sql(rows: str, axes: dict[str, tuple[int, list[float]]], half: int) -> str:
+    for axis, (n, places) in axes.items():
+        others = ", ".join(a for a in axes if a != axis)
+        table = ", ".join(f"({i}, {p!r}::DOUBLE)" for i, p in enumerate(places))
+        rows = f"""(SELECT {others}, i AS {axis}, coalesce(sum(v * CASE WHEN p < 0 OR p > {n - 1} THEN 0 WHEN abs(p - {axis}) < 1e-12 THEN 1 WHEN abs(p - {axis}) >= h THEN 0
+            ELSE sin(pi() * (p - {axis})) / (pi() * (p - {axis})) * sin(pi() * (p - {axis}) / h) / (pi() * (p - {axis}) / h) END), 0) AS v
+            FROM {rows}, (SELECT i, p, least({half}, least(b, {n - 2} - b) + 1) AS h FROM (SELECT *, greatest(0, least({n - 2}, floor(p)::BIGINT)) AS b FROM (VALUES {table}) w(i, p))) GROUP BY {others}, i)"""
+    return rows
+
+
+@query(f"SELECT ix, iy, iz, round(v, 5) + 0.0 AS v FROM {_sinc_grid_sql(_VOLUME, _FINER, 9)}")
+def regrid_sinc(spark: SparkSession, d: str) -> DataFrame:
+    """The volume on a finer grid, uneven in depth, by windowed sincs along all axes."""
+    return _rounded(weave.regrid_sinc(_volume(spark, d), [], _FINER, "v"), 5, "v")
