@@ -341,3 +341,20 @@ def test_rules_on_odd_rows(spark):
     rows = [(1, text, None), (1, text, None), (None, text, "en"), (2, "x" * 2_000_000, "en"), (3, "the of and to in a is that " * 40_000, "en"), (4, None, None), (5, "", "de")]
     got = [(r["doc_id"], r["n_words"], r["base_failed"]) for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang").collect()]
     assert sorted((i or 0, n, f) for i, n, f in got) == sorted([(1, 51, True)] * 2 + [(0, 51, True), (2, 1, True), (3, 320_000, True), (4, 0, True), (5, 0, True)])
+
+
+def test_ids_that_bear_names_of_results(spark):
+    from wavefold.llm import embedding_dedup, license_scan, order_minhash
+
+    text = "Released under the MIT License. " + " ".join(f"word{k}" for k in range(40))
+    rows = spark.createDataFrame([(1, text, "en", [1.0, 0.5]), (2, text, "en", [1.0, 0.5])], "id long, text string, lang string, vector array<float>")
+    cases = {
+        "license": lambda df, i: license_scan.scan_licenses(df, i, "text"), "piece": lambda df, i: packing.pack(df, i, "text", WORDS), "n_words": lambda df, i: quality_rules.judge(df, i, "text", "lang"),
+        "kept": lambda df, i: order_minhash.near_duplicates(df, i, "text"), "n_links": lambda df, i: embedding_dedup.link(df, i, "vector"),
+    }
+    for name, run in cases.items():
+        got = run(rows.withColumnRenamed("id", name), name)
+        assert f"{name}_id" in got.columns and len(set(got.columns)) == len(got.columns)
+        assert sorted({r[f"{name}_id"] for r in got.collect()}) == [1, 2]
+    chats = spark.createDataFrame([(7, 0, "user", "a"), (7, 1, "assistant", "b")], "example long, turn int, role string, text string")
+    assert chat_format.format_chats(chats, "example", "turn", "role", "text").first()["example_id"] == 7

@@ -11,7 +11,8 @@ taking one away again gives back every text.
 Defined results: null role and null text count as empty. Turns are ordered by turn number (null
 first), then role, then text; repeated rows are turns of their own. Rows with a null conversation
 form one conversation. Columns other than the four named are not read. The expansion holds the
-turns of one conversation together and grows with the square of their number, as its output does.
+turns of one conversation together and grows with the square of their number, as its output does. An id column
+that bears the name of a result comes back as <name>_id. An empty table has no rows.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wavefold.llm.common import own_id
+
 # The control strings of the template.
 HEAD, BODY, END = "[INST]", "[/INST]", "</s>"
 #: The brackets that open a control string, the backslashes behind them, and what closes it.
@@ -33,6 +36,7 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, _OPEN + r"\\(\\*)" + _CLOSE, r"$1$2$3")
 
 
+@own_id("example", "n_examples", "n_turns", "formatted", "loss_start", "loss_end")
 def format_chats(df: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str, target_role: str = "assistant") -> DataFrame:
     """One row an example: conversation, example (from 0), n_examples, n_turns (in this example), formatted, loss_start and loss_end (characters from 0, the end excluded; both null without a target)."""
     turn = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,3 +57,19 @@ def each_salt(name: str = "salt") -> Column:
 
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+def own_id(*results: str) -> Callable:
+    """For operators (df, id column, ...) with such columns of their own: an id column that bears one of these names comes back as <name>_id."""
+
+    def around(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @wraps(operator)
+        def run(df: DataFrame, id_col: str, *rest, **named) -> DataFrame:
+            own = id_col
+            while own in results or (own != id_col and own in df.columns):
+                own += "_id"
+            return operator(df if own == id_col else df.withColumnRenamed(id_col, own), own, *rest, **named)
+
+        return run
+
+    return around

@@ -21,7 +21,8 @@ Vectors of different lengths never link; each length has codebooks and an index
 
 Defined results: vectors that are null or zero, hold null or non-finite components, or have a null id
 link with nothing. Rows that share an id share their links, and count as several vectors. An
-empty table has no rows; other columns are not read.
+empty table has no rows; other columns are not read. An id column
+that bears the name of a result comes back as <name>_id.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wavefold.llm.common import each_salt, materialise, salt, salts
+from wavefold.llm.common import each_salt, materialise, own_id, salt, salts
 from wavefold.llm.components import components
 
 THRESHOLD = 0.9
@@ -174,6 +175,7 @@ def compare(ids: np.ndarray, vectors: np.ndarray, visits: list[np.ndarray], othe
     return linked, *_spanning(*(np.concatenate([e[k] for e in edges]) for k in (0, 1)))
 
 
+@own_id("n_links", "component_id", "kept")
 def link(df: DataFrame, id_col: str, vector_col: str, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """A row for each row of df: id, n_links (other vectors linked directly), component_id (least id reachable by links) and kept."""
     spark = df.sparkSession

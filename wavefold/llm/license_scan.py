@@ -11,7 +11,8 @@ words that are left.
 
 Defined results: a null or empty text has no findings, and neither has an empty table. Blocks overlap no
 other, so a very long text is handled block by block. Rows are scanned one by one: repeated rows have
-their findings each, and a null id is passed on. Columns other than the two named are not read.
+their findings each, and a null id is passed on. Columns other than the two named are not read. An id column
+that bears the name of a result comes back as <name>_id.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wavefold.llm.common import own_id
 from wavefold.llm.license_texts import templates
 
 #: Words that open a candidate block.
@@ -186,6 +188,7 @@ def scan(text: str) -> list[dict]:
     return sorted(out, key=lambda x: (x["start"], x["license"], x["wording"]))
 
 
+@own_id("license", "wording", "start", "end", "gain", "found", "n_differences", "differences")
 def scan_licenses(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """A row for each finding: id, license, wording, start and end (characters), gain (bytes by which the template makes the place smaller), found (share of the template's words), n_differences and differences."""
     fields = pa.struct([("license", pa.string()), ("wording", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("gain", pa.int64()), ("found", pa.float64()), ("n_differences", pa.int64()), ("differences", pa.list_(pa.string()))])

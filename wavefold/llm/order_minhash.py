@@ -22,7 +22,8 @@ is the similarity. It is THRESHOLD or more for a link.
 
 Defined results: null text counts as empty; texts without words are all alike. Rows that share an id are
 one document. Rows with a null id are compared with nothing, have a null class and stay. Other columns
-are not read. An empty table has no rows.
+are not read. An empty table has no rows. An id column
+that bears the name of a result comes back as <name>_id. Very long texts are compared whole.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavefold.llm.common import each_salt, materialise, salt, salts, text_or_empty
+from wavefold.llm.common import each_salt, materialise, own_id, salt, salts, text_or_empty
 from wavefold.llm.components import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -242,6 +243,7 @@ def _in_blocks(mixed: DataFrame, classes: DataFrame, texts: DataFrame, threshold
     return outside.unionByName(members).groupBy("key", "o_block", "m_block").applyInArrow(run, f"rep {rep_type}, a {rep_type}")
 
 
+@own_id("class_id", "kept")
 def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
     """A row for each row of df: id, class_id (least id of its near-duplicates) and kept (whether it is that one)."""
     docs = materialise(sketched(df, id_col, text_col).withColumn("salt", salt("id")), "sketches")

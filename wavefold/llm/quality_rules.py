@@ -11,7 +11,8 @@ Defined results: null text counts as empty and has no words, so it fails the bas
 that is null or has no word list adds to one reference of all such documents together, if its
 characters are near those of a known language (beyond ASCII any may be letters) or if no document has one;
 only such documents are judged by it besides. Without word lists, made-up words are not told from an
-unlisted language there. Ties and repeated rows are judged each by itself; columns other than the three named are not read.
+unlisted language there. Ties and repeated rows are judged each by itself; columns other than the three named are not read. An id column
+that bears the name of a result comes back as <name>_id. Very long texts are counted whole; an empty table has no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavefold.llm.common import materialise, text_or_empty
+from wavefold.llm.common import materialise, own_id, text_or_empty
 
 # Common words by language.
 COMMON_WORDS = {
@@ -275,6 +276,7 @@ def _sums(stats: DataFrame, may: Callable[..., np.ndarray] | None = None) -> np.
     return out
 
 
+@own_id("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "character_distance", "word_distance", "kept", "language", "classes", "common")
 def judge(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """A row for each document: id, the base counts, base_failed, character_distance, word_distance and kept."""
     stats = materialise(measured(df, id_col, text_col, lang_col), "quality")
