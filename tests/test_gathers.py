@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wavefold.operators import axes, gathers, lookups, weave
+from wavefold.operators import axes, gathers, lookups, receivers, weave
 from wavefold.sources import images
 
 SLOW, DT, NT = [-2e-4, 0.0, 1.1e-4, 3e-4], 0.004, 40
@@ -187,3 +187,17 @@ def test_as_of_by_buckets(spark):
     for width in (3.0, 64.0, 1e6):
         got = {r["id"]: (r["a"], r["b"]) for r in lookups.as_of(df, ["k"], "x", lines, "y", ["a", "b"], width).collect()}
         assert got == want
+
+
+def test_receiver_lines_by_frequency_and_wavenumber(spark):
+    n, length, dx, dt = 6, 10, 20.0, 0.004
+    x = np.random.default_rng(8).normal(size=(2, n, length))
+    x[1, 3] = 0.0  # a receiver that is not there
+    rows = [(g, r, x[g, r].tolist()) for g in (0, 1) for r in range(n) if (g, r) != (1, 3)] + [(0, 9, x[0, 0].tolist()), (1, 2, [1.0])]
+    weight = receivers.obliquity(1500.0, 2.0, 5.0, 0.15)
+    w, k = 2 * np.pi * np.fft.fftfreq(length, dt), 2 * np.pi * np.fft.fftfreq(n, dx)
+    want = np.fft.ifft2(np.fft.fft2(x, axes=(1, 2)) * weight(np.abs(w)[None, :], k[:, None])[None], axes=(1, 2)).real
+    out = receivers.filter_line(spark.createDataFrame(rows[:-1], "g int, r int, s array<double>"), ["g"], "r", "s", n, length, dx, dt, weight).collect()
+    assert len(out) == 2 * n
+    assert all(np.allclose(r["s"], want[r["g"], r["r"]]) for r in out)
+    assert weight(np.array([100.0]), np.array([1.0]))[0] == 0 and weight(np.array([0.0]), np.array([0.0]))[0] == 0

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from wavefold.functions import traces
 from wavefold.functions.kernels import weights
-from wavefold.operators import axes, frames, gathers, lookups, reductions, stencils, tapers, vectors, volumes, weave
+from wavefold.operators import axes, frames, gathers, lookups, receivers, reductions, stencils, tapers, vectors, volumes, weave
 from wavefold.plans.catalogue import around_sql, big, difference_sql
 from wavefold.plans.registry import query
 from wavefold.sources import cubes, images, records
@@ -767,3 +767,20 @@ def _sinc_grid_sql(rows: str, axes: dict[str, tuple[int, list[float]]], half: in
 def regrid_sinc(spark: SparkSession, d: str) -> DataFrame:
     """The volume on a finer grid, uneven in depth, by windowed sincs along all axes."""
     return _rounded(weave.regrid_sinc(_volume(spark, d), [], _FINER, "v"), 5, "v")
+
+
+_LINE, _DX, _SPEED, _BELOW = 8, 12.5, 1500.0, 7.0
+
+
+@query(f"""
+    WITH d AS (SELECT vec_id // {_LINE} AS line, vec_id % {_LINE} AS r, len(embedding) AS n, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE len(embedding) = 64),
+    f AS (SELECT m, k, 2 * pi() * m / (64 * 0.004) AS w, 2 * pi() * least(k, {_LINE} - k) / ({_LINE} * {_DX}) AS kx FROM (SELECT unnest(range(33)) AS m), (SELECT unnest(range({_LINE})) AS k)),
+    z AS (SELECT m, k, w, sqrt(greatest(pow(w / {_SPEED}, 2) - kx * kx, 0)) AS kz FROM f),
+    g AS (SELECT a, b, sum((CASE WHEN m = 0 OR m = 32 THEN 1 ELSE 2 END) * (CASE WHEN kz > 0 THEN kz * {_SPEED} / w / greatest(abs(sin(kz * {_BELOW})), 0.2) ELSE 0 END) * cos(2 * pi() * m * b / 64) * cos(2 * pi() * k * a / {_LINE})) / (64 * {_LINE}) AS g FROM z, (SELECT unnest(range({_LINE})) AS a), (SELECT unnest(range(64)) AS b) GROUP BY 1, 2)
+    SELECT line, o.r AS r, p.i AS i, round(sum(g * x), 6) + 0.0 AS x FROM d, (SELECT unnest(range({_LINE})) AS r) o, (SELECT unnest(range(64)) AS i) p JOIN g ON true WHERE g.a = (o.r - d.r + {_LINE}) % {_LINE} AND g.b = (p.i - d.i + 64) % 64 GROUP BY 1, 2, 3
+""")
+def receiver_obliquity(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of receivers by the cosine of the angle, over the ghost's sine with a floor, waves that don't propagate cut frequency by frequency."""
+    rows = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / _LINE).alias("line"), F.pmod("vec_id", F.lit(_LINE)).cast("int").alias("r"), F.col("embedding").alias("samples"))
+    out = receivers.filter_line(rows, ["line"], "r", "samples", _LINE, 64, _DX, 0.004, receivers.obliquity(_SPEED, 1.0, _BELOW, 0.2))
+    return _rounded(out.select("line", big(F.col("r")).alias("r"), F.posexplode("samples").alias("i", "x")), 6, "x").withColumn("i", big(F.col("i")))
