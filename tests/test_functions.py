@@ -127,3 +127,19 @@ def test_image_filters(spark):
     assert len(rows) == 2 * nx * nz and all(abs(r["value"] + k2 * r["shot"] * wave[r["ix"], r["iz"]]) < 1e-9 for r in rows)
     one = images.direction(0, 1e-9)(*images.wavenumbers((nx, nz), (1.0, 1.0))) ** 2 + images.direction(1, 1e-9)(*images.wavenumbers((nx, nz), (1.0, 1.0))) ** 2
     assert np.allclose(one.ravel()[1:], -1)
+
+
+def test_wavelets_of_sources(spark):
+    rows = [("ricker", [25.0], 0.0, 0.0), ("ricker", [25.0], 0.0, 0.0), ("ricker-minimum", [25.0], 0.0, 0.0), ("ormsby", [4.0, 8.0, 40.0, 60.0], 1.0, np.pi / 2), ("spiky", [50.0], 0.5, 0.0), ("delta", [], 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "kind string, corners array<double>, power double, phase double")
+    got = {(r["kind"]): r for r in wavelets.design(df, "kind", "corners", 128, 0.004, "power", "phase").collect()}
+    assert len(got) == 5 and got["ricker"]["n_sources"] == 2
+    assert np.allclose(got["ricker"]["samples"], wavelets.ricker(128, 0.004, 25.0)) and np.argmax(got["delta"]["samples"]) == 64
+    w = wavelets.ormsby(128, 0.004, (4.0, 8.0, 40.0, 60.0))
+    # Once the angular frequency and a quarter turn: the derivative.
+    inside = slice(20, 108)
+    dense = wavelets.ormsby(128 * 16, 0.004 / 16, (4.0, 8.0, 40.0, 60.0))
+    slope = np.gradient(dense * np.abs(w).max() / np.abs(dense).max(), 0.004 / 16)[::16]
+    assert np.abs(np.array(got["ormsby"]["samples"]) - slope)[inside].max() < 0.02 * np.abs(slope).max()
+    early = np.cumsum(np.square(got["ricker-minimum"]["samples"]))
+    assert early[32] > 0.95 * early[-1]

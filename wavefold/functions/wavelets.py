@@ -1,8 +1,13 @@
-"""Source wavelets, planned on the driver: a few hundred samples at most."""
+"""Source wavelets, one for each kind of source of a table: a few hundred samples each, designed inside Arrow batches."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: All wavelets but given ones are scaled by this.
 GAIN = 1e5
@@ -47,3 +52,35 @@ def minimum_phase(w: np.ndarray) -> np.ndarray:
 
 
 WAVELETS = {"ricker": ricker, "ormsby": ormsby, "delta": delta, "spiky": spiky}
+
+
+def shaped(w: np.ndarray, dt: float, power: float, phase: float) -> np.ndarray:
+    """A wavelet times angular frequency to a power, turned by a phase in radians: what a source of another dimension or of two poles takes."""
+    if not power and not phase:
+        return w
+    n = 2 * len(w)
+    f = 2 * np.pi * np.fft.rfftfreq(n, dt)
+    gain = np.where(f > 0, np.maximum(f, 1e-30) ** power, 0.0 if power else 1.0)
+    return np.fft.irfft(np.fft.rfft(w, n) * gain * np.exp(1j * phase * (f > 0)), n)[: len(w)]
+
+
+def made(kind: str, corners: list[float], nt: int, dt: float) -> np.ndarray:
+    """A wavelet by its kind: ricker by its peak, spiky by its highest frequency, ormsby by four corners, delta; a name that ends in "-minimum" has its energy first."""
+    name, _, phase = kind.partition("-")
+    w = delta(nt, dt, nt // 2) if name == "delta" else ormsby(nt, dt, tuple(corners)) if name == "ormsby" else WAVELETS[name](nt, dt, corners[0])
+    if phase not in ("", "minimum"):
+        raise ValueError(f"no wavelet is known by the name {kind}")
+    return minimum_phase(w) if phase else w
+
+
+def design(sources: DataFrame, kind: str, corners: str, nt: int, dt: float, power: str | None = None, phase: str | None = None) -> DataFrame:
+    """(kind, corners, power, phase, n_sources, samples): a wavelet for each kind of source there is, however many sources share it; designs come to as many rows as there are kinds."""
+    powers = [F.col(c).cast("double").alias(name) if c else F.lit(0.0).alias(name) for c, name in ((power, "power"), (phase, "phase"))]
+    kinds = sources.groupBy(F.col(kind).alias("kind"), F.col(corners).cast("array<double>").alias("corners"), *powers).agg(F.count(F.lit(1)).alias("n_sources"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            designs = [shaped(made(k, c, nt, dt), dt, p, q) for k, c, p, q in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([d.tolist() for d in designs], pa.list_(pa.float64()))], [*b.schema.names, "samples"])
+
+    return kinds.mapInArrow(run, "kind string, corners array<double>, power double, phase double, n_sources bigint, samples array<double>")

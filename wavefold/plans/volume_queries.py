@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wavefold.functions import traces
+from wavefold.functions import traces, wavelets
 from wavefold.functions.kernels import weights
 from wavefold.operators import axes, frames, gathers, lookups, receivers, reductions, stencils, tapers, vectors, volumes, weave
 from wavefold.plans.catalogue import around_sql, big, difference_sql
@@ -784,3 +784,23 @@ def receiver_obliquity(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / _LINE).alias("line"), F.pmod("vec_id", F.lit(_LINE)).cast("int").alias("r"), F.col("embedding").alias("samples"))
     out = receivers.filter_line(rows, ["line"], "r", "samples", _LINE, 64, _DX, 0.004, receivers.obliquity(_SPEED, 1.0, _BELOW, 0.2))
     return _rounded(out.select("line", big(F.col("r")).alias("r"), F.posexplode("samples").alias("i", "x")), 6, "x").withColumn("i", big(F.col("i")))
+
+
+@query("""
+    WITH o AS (SELECT o_orderstatus AS s, left(o_orderpriority, 1)::INT AS d, count(*) AS n_sources FROM orders GROUP BY 1, 2),
+    t AS (SELECT *, i, (i - 64) * 0.004 AS t FROM o, (SELECT unnest(range(128)) AS i)),
+    c AS (SELECT *, 4.0 AS a, 8.0 AS b, 30.0 + 5 * d AS c, 50.0 + 5 * d AS e, 20.0 + 3 * d AS peak FROM t),
+    w AS (SELECT *, CASE s WHEN 'F' THEN (1 - 2 * pow(pi() * peak * t, 2)) * exp(-pow(pi() * peak * t, 2)) WHEN 'P' THEN CASE WHEN i = 64 THEN 1 ELSE 0 END
+        ELSE (CASE WHEN t = 0 THEN pow(pi() * e, 2) ELSE pow(sin(pi() * e * t) / t, 2) END - CASE WHEN t = 0 THEN pow(pi() * c, 2) ELSE pow(sin(pi() * c * t) / t, 2) END) / (pi() * (e - c))
+           - (CASE WHEN t = 0 THEN pow(pi() * b, 2) ELSE pow(sin(pi() * b * t) / t, 2) END - CASE WHEN t = 0 THEN pow(pi() * a, 2) ELSE pow(sin(pi() * a * t) / t, 2) END) / (pi() * (b - a)) END AS x FROM c)
+    SELECT CASE s WHEN 'F' THEN 'ricker' WHEN 'P' THEN 'delta' ELSE 'ormsby' END AS kind, d::INT AS d, n_sources, i, round(100000 * x / CASE WHEN s = 'O' THEN max(abs(x)) OVER (PARTITION BY s, d) ELSE 1 END, 4) + 0.0 AS x FROM w
+""")
+def source_wavelets(spark: SparkSession, d: str) -> DataFrame:
+    """A wavelet for each kind of source among the orders: by status its form, by priority its frequencies."""
+    digit = F.substring("o_orderpriority", 1, 1).cast("int")
+    form = F.when(F.col("o_orderstatus") == "F", "ricker").when(F.col("o_orderstatus") == "P", "delta").otherwise("ormsby")
+    corners = F.when(form == "ricker", F.array(20.0 + 3 * digit, digit.cast("double"))).when(form == "delta", F.array(digit.cast("double"), digit.cast("double"))).otherwise(F.array(F.lit(4.0), F.lit(8.0), 30.0 + 5 * digit, 50.0 + 5 * digit))
+    made = wavelets.design(table(spark, d, "orders").select(form.alias("kind"), corners.alias("corners")), "kind", "corners", 128, 0.004)
+    which = F.when(F.col("kind") == "ormsby", (F.col("corners")[2] - 30) / 5).otherwise(F.col("corners")[1]).cast("int")
+    out = made.select("kind", which.alias("d"), "n_sources", F.posexplode("samples").alias("i", "x"))
+    return _rounded(out, 4, "x").withColumn("i", big(F.col("i")))
