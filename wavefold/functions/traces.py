@@ -164,3 +164,13 @@ def normalise(samples: Column) -> Column:
     """Over the largest magnitude, unless that is next to nothing."""
     most = F.array_max(F.transform(samples, F.abs))
     return F.transform(samples, lambda x: F.when(most > 1.2e-37, x / most).otherwise(x))
+
+
+def gain_by_time(samples: Column, dt: float) -> Column:
+    """Samples times their time."""
+    return F.transform(samples, lambda x, i: x * i * dt)
+
+
+def undo_gain(samples: Column, dt: float) -> Column:
+    """Samples over their time, the first one zero: what gain_by_time() put on, at the step that the samples have by now."""
+    return F.transform(samples, lambda x, i: F.when(i == 0, 0.0).otherwise(x / (F.greatest(i, F.lit(1)) * dt)))

@@ -49,6 +49,13 @@ def step_squared(velocity: Column, dt: float) -> Column:
     return F.pow(velocity * dt, F.lit(2.0))
 
 
+def step_attenuated(velocity: Column, inverse_q: Column, dt: float, c: float) -> tuple[Column, Column]:
+    """step_squared() and the attenuation 1 / Q as a time step of an attenuating medium takes them: both over 1 - c / Q, the first with the cosine-like series of 1 / Q."""
+    over = 1 / (1 - c * inverse_q)
+    q2 = inverse_q * inverse_q
+    return step_squared(velocity, dt) * (1 - q2 / 4 + q2 * q2 / 48) * over, inverse_q * over
+
+
 def coarsen(cells: DataFrame, keys: list[str], order: str, velocity: str, ratio: int) -> DataFrame:
     """Every ratio-th place with the mean slowness around it, as velocity."""
     slow = cells.withColumn("__s", 1 / F.col(velocity))

@@ -144,6 +144,14 @@ def vti_scale(epsilon: Column, delta: Column, h: Column, z: Column) -> Column:
     return F.least(F.lit(1.0), 0.5 * (1 + F.sqrt(F.greatest(under, F.lit(0.0)))))
 
 
+def tti_scale(epsilon: Column, delta: Column, vector: tuple[Column, Column, Column], axis: tuple[Column, Column]) -> Column:
+    """vti_scale() about a tilted symmetry axis, of which the horizontal parts are given: along it is the vector's part on the axis, across it the rest."""
+    x, y, z = vector
+    along = x * axis[0] + y * axis[1] + z * F.sqrt(F.greatest(F.lit(0.0), 1 - axis[0] * axis[0] - axis[1] * axis[1]))
+    across = F.sqrt(F.greatest(F.lit(0.0), x * x + y * y + z * z - along * along))
+    return vti_scale(epsilon, delta, across, along)
+
+
 def running_depth(cells: DataFrame, keys: list[str], order: str, velocity: Column, dt: float) -> DataFrame:
     """One-way depth after each time sample: the running sum of velocity times half the step."""
     window = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)

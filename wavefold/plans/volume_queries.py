@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from wavefold.functions import traces, wavelets
 from wavefold.functions.kernels import weights
-from wavefold.operators import axes, frames, gathers, lookups, receivers, reductions, stencils, tapers, vectors, volumes, weave
+from wavefold.operators import axes, frames, gathers, lookups, models, receivers, reductions, stencils, tapers, vectors, volumes, weave
 from wavefold.plans.catalogue import around_sql, big, difference_sql
 from wavefold.plans.registry import query
 from wavefold.sources import cubes, images, records
@@ -804,3 +804,35 @@ def source_wavelets(spark: SparkSession, d: str) -> DataFrame:
     which = F.when(F.col("kind") == "ormsby", (F.col("corners")[2] - 30) / 5).otherwise(F.col("corners")[1]).cast("int")
     out = made.select("kind", which.alias("d"), "n_sources", F.posexplode("samples").alias("i", "x"))
     return _rounded(out, 4, "x").withColumn("i", big(F.col("i")))
+
+
+@query("SELECT p_partkey, round(pow(p_retailprice * 0.002, 2) * (1 - q * q / 4 + q * q * q * q / 48) / (1 - 0.37 * q), 6) AS factor, round(q / (1 - 0.37 * q), 9) AS inverse_q FROM (SELECT *, 1.0::DOUBLE / (p_size + 5) AS q FROM part)")
+def step_attenuated(spark: SparkSession, d: str) -> DataFrame:
+    """Time-step factors and attenuations of an attenuating model."""
+    factor, inverse_q = models.step_attenuated(F.col("p_retailprice"), 1.0 / (F.col("p_size") + 5), 0.002, 0.37)
+    return _rounded(table(spark, d, "part").select("p_partkey", F.round(factor, 6).alias("factor"), F.round(inverse_q, 9).alias("inverse_q")), 9, "inverse_q")
+
+
+@query("""
+    WITH v AS (SELECT p_partkey, p_size / 200.0 AS e, p_size / 500.0 AS dl, (p_partkey % 37 + 1)::DOUBLE AS x, (p_partkey % 11)::DOUBLE AS y, (p_partkey % 23 + 1)::DOUBLE AS z, 0.3 * sin(p_partkey) AS ax, 0.4 * cos(p_partkey) AS ay FROM part),
+    a AS (SELECT *, pow(x * ax + y * ay + z * sqrt(1 - ax * ax - ay * ay), 2) AS z2 FROM v), b AS (SELECT *, greatest(0, x * x + y * y + z * z - z2) AS h2 FROM a)
+    SELECT p_partkey, round(least(1.0, 0.5 * (1 + sqrt(greatest(0.0, 1 - 8 * (e - dl) * h2 * z2 / pow((1 + 2 * e) * h2 + z2, 2))))), 6) AS scale FROM b
+""")
+def tti_scale(spark: SparkSession, d: str) -> DataFrame:
+    """The anisotropic scale about tilted axes."""
+    k = F.col("p_partkey")
+    vector = (k % 37 + 1).cast("double"), (k % 11).cast("double"), (k % 23 + 1).cast("double")
+    return table(spark, d, "part").select("p_partkey", F.round(reductions.tti_scale(F.col("p_size") / 200.0, F.col("p_size") / 500.0, vector, (0.3 * F.sin(k), 0.4 * F.cos(k))), 6).alias("scale"))
+
+
+@query("""
+    WITH g AS (SELECT vec_id, len(embedding) AS n, list_transform(range(len(embedding)), lambda i: embedding[i + 1]::DOUBLE * i * 0.004) AS g FROM embeddings WHERE len(embedding) > 1),
+    f AS (SELECT vec_id, g, unnest(range(2 * n - 1)) AS i FROM g)
+    SELECT vec_id, i, round(CASE WHEN i = 0 THEN 0 ELSE (CASE WHEN i % 2 = 0 THEN g[i // 2 + 1] ELSE (g[i // 2 + 1] + g[i // 2 + 2]) / 2 END) / (i * 0.002) END, 6) + 0.0 AS x FROM f
+""")
+def gain_pair(spark: SparkSession, d: str) -> DataFrame:
+    """Traces gained by their time, at half the step, and the gain taken off again."""
+    rows = table(spark, d, "embeddings").filter(F.size("embedding") > 1).select("vec_id", traces.gain_by_time(F.col("embedding").cast("array<double>"), 0.004).alias("samples"))
+    finer = traces.map_traces(rows, ["vec_id"], "samples", lambda x: traces.resample(1.0, 0.5, 2 * x.shape[1] - 1, "linear", 1)(x))
+    out = finer.select("vec_id", F.posexplode(traces.undo_gain(F.col("samples"), 0.002)).alias("i", "x"))
+    return _rounded(out, 6, "x").withColumn("i", big(F.col("i")))
