@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import os
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ from wavefold.llm.common import text_or_empty
 
 #: Words kept in each of the two generations of a worker's cache, and the most characters of one that is kept: so a generation holds at most some 250 MB, whatever the text.
 CACHE_WORDS, KEPT_CHARS = 400_000, 64
+#: Words in one call of the tokenizer, whose results take a kilobyte or more each.
+AT_ONCE = 4096
 #: Texts handled at once inside a task.
 SLICE = 256
 
@@ -63,6 +66,7 @@ class ByteBpe:
     """Encodes and decodes; ids are little-endian unsigned 32-bit integers in bytes."""
 
     def __init__(self, model: str, pattern: str, cache_words: int = CACHE_WORDS):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads of its own would each hold memory
         self.tokenizer = Tokenizer.from_str(model)
         self.find = regex.compile(pattern).findall
         back = {c: b for b, c in enumerate(byte_table())}
@@ -84,8 +88,10 @@ class ByteBpe:
                 fresh.append(w)
             else:
                 self.young[w] = known
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.young[w] = np.array(e.ids, dtype="<u4").tobytes()
+        for i in range(0, len(fresh), AT_ONCE):
+            part = fresh[i : i + AT_ONCE]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.young[w] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         words = [self.find(t) for t in texts]

@@ -11,12 +11,14 @@ length and every piece looks its place up: no piece passes through the driver.
 Defined results: null text counts as empty; an empty document is its end token alone; a document
 longer than `capacity` is cut into pieces of `capacity` tokens, the last as long as it is. Equal
 lengths are ranked by input partition and position; repeated rows and null ids are packed like
-others. An empty table has no pieces.
+others. An empty table has no pieces. An id column
+that bears the name of a result comes back as <name>_id.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -29,11 +31,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from wavefold.llm.common import materialise, text_or_empty
+from wavefold.llm.common import materialise, own_id, text_or_empty
 
 CAPACITY = 2048
 #: Chunks of text kept in each of the two generations of a worker's cache, and the most bytes of one that is kept: so a generation holds at most some 110 MB, whatever the text.
 CACHE_WORDS, KEPT_BYTES = 250_000, 64
+#: Words in one call of the tokenizer, whose results take a kilobyte or more each.
+AT_ONCE = 4096
 #: Texts handled at once inside a task; words joined into one call of the tokenizer.
 SLICE, JOINED = 512, 64
 END_PUNCTUATION = b".,!?;:#*$%&|"
@@ -43,6 +47,7 @@ class WordBpe:
     """Ids of texts by a tokenizer whose words end at white space; what stands between ASCII white space is encoded once and then kept."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; threads of its own would each hold memory
         self.tokenizer = Tokenizer.from_file(path)
         # The same without normalisation, for text that is already as it would leave it.
         self.bare = Tokenizer.from_str(json.dumps(json.loads(self.tokenizer.to_str()) | {"normalizer": None}))
@@ -52,13 +57,16 @@ class WordBpe:
         self.cache_words, self.young, self.old = cache_words, {}, {}
 
     def _plain(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        parts = (words[i : i + AT_ONCE] for i in range(0, len(words), AT_ONCE))
+        return [np.array(e.ids, dtype="<u4").tobytes() for part in parts for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
 
     def _letters(self, words: list[str]) -> list[bytes]:
         """Ids of words of lower-case Latin-1 letters alone. Each of them is one word to the tokenizer, so that several can be encoded in one text and parted where words end."""
         groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
         out: list[bytes] = []
-        for group, e in zip(groups, self.bare.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        step = max(1, AT_ONCE // JOINED)
+        encoded = (e for i in range(0, len(groups), step) for e in self.bare.encode_batch_fast([" ".join(g) for g in groups[i : i + step]], add_special_tokens=False))
+        for group, e in zip(groups, encoded, strict=True):
             ids = np.array(e.ids, dtype="<u4")
             ends = (np.flatnonzero(self.last[ids]) + 1) * 4
             if len(ends) != len(group):
@@ -227,6 +235,7 @@ def pieces(df: DataFrame, id_col: str, text_col: str, tokenizer_path: str, end_i
     return df.select(F.col(id_col), text_or_empty(text_col)).mapInArrow(run, schema)
 
 
+@own_id("piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids", "part", "n", "nth", "before", "rank")
 def pack(df: DataFrame, id_col: str, text_col: str, tokenizer_path: str, end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
     """One row a piece: id, piece, start, length, ids_crc32, sequence_id, offset and, if asked for, ids array<int>. A sequence is its pieces in order of offset."""
     cut = materialise(pieces(df, id_col, text_col, tokenizer_path, end_id, capacity, with_ids), "pieces")
