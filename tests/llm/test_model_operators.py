@@ -373,6 +373,36 @@ def test_pages_of_one_template_meet_no_one(spark, monkeypatch):
     assert compared[0] <= 151 and sum(compared[1:]) < 60
 
 
+@pytest.mark.parametrize(("families", "most", "limits"), [(120, 0, {}), (2, 0, {}), (2, 2_000, {"OUTSIDE": 16, "ALL": 32, "OUTSIDE_MERS": 1_500, "ALL_MERS": 4_000})])
+def test_near_copies_make_few_rows(spark, monkeypatch, families, most, limits):
+    """Texts of one template just below the threshold, and families of them that link: no row for each pair, and classes are those of all pairs."""
+    for name, value in limits.items():
+        monkeypatch.setattr(order_minhash, name, value)
+    rng = random.Random(9)
+    base = words(rng, 132)
+    rows = [(i, " ".join([*base, *(f"t{i % families}x{k}" for k in range(16)), f"o{i}", f"p{i}"])) for i in range(120)]
+    made, in_blocks = [], order_minhash._in_blocks
+
+    def counted(mixed, classes, texts, threshold):
+        links = in_blocks(mixed, classes, texts, threshold)
+        made.append(links.count())
+        return links
+
+    monkeypatch.setattr(order_minhash, "_in_blocks", counted)
+    if limits:
+        monkeypatch.setattr(order_minhash, "_verified", lambda pairs, texts, threshold: pairs.limit(0))  # all links are left to the blocks
+    got = {r["id"]: r["class_id"] for r in order_minhash.near_duplicates(spark.createDataFrame(rows, "id long, text string"), "id", "text").collect()}
+    mers = [order_minhash.kmers(order_minhash.word_hashes(t)) for _, t in rows]
+    kept = [set(order_minhash.sketches(m).tolist()) for m in mers]
+    want = list(range(120))
+    for a in range(120):
+        for b in range(a):
+            if want[a] != want[b] and kept[a] & kept[b] and order_minhash.similarity(mers[a], mers[b]) >= 0.8:
+                want = [min(want[a], want[b]) if c in (want[a], want[b]) else c for c in want]
+    assert got == dict(enumerate(want))
+    assert len(set(want)) == families and made and made[0] <= most
+
+
 def test_near_duplicates_of_repeated_ids_and_long_texts(spark):
     rng = random.Random(8)
     long = words(rng, 60_000)

@@ -10,11 +10,12 @@ Texts with the same words are one class, represented by its least id. The repres
 (one value of a sketch) are compared in two rounds, not in all pairs. First each is compared with its
 buckets' most connected member. Then, in the buckets that still hold several components, members outside
 the largest component are held against all members of other components in their buckets, block by block inside tasks,
-where profiles of k-mer counts rule out what can't reach the threshold; only pairs that may reach it
-become rows. Whatever is in one component already needs no more links. So no link between members of a
+where profiles of k-mer counts rule out what can't reach the threshold and the others are aligned at once.
+Whatever is in one component already, or is joined by links found before in the block, needs no more links; a
+block's rows are the links that join two of its components, fewer than it has members. So no link between members of a
 bucket that would join two components is left out, and a bucket of thousands of copies costs a few
 comparisons each. What the second round costs grows with the square of the members of one bucket that
-nothing links, but as bytes compared in blocks, not as rows.
+nothing links, but as texts compared in blocks, not as rows.
 
 A pair is verified by aligning its k-mers: matching labelled k-mers whose positions differ by more than
 the threshold allows lie outside the band, and the longest common order of the others over their union
@@ -31,6 +32,7 @@ from __future__ import annotations
 import string
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,8 @@ SHORT_FUNCTIONS, SHORT_ORDER, LONG = 16, 3, 24
 PUNCTUATION = string.punctuation + "«»“”‘’„‚…–—¿¡·"
 #: Bins of a text's k-mer profile; members of a bucket that meet in one task, of those outside the largest component and of all.
 BINS, OUTSIDE, ALL = 256, 1_024, 4_096
+#: About as many k-mers as these members have at most, so that long texts make smaller blocks.
+OUTSIDE_MERS, ALL_MERS = 1 << 20, 1 << 22
 #: Copies in which a text stands that very many are compared with.
 COPIES = 1_024
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, size=(FUNCTIONS, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -181,9 +185,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
 def _mixed(members: DataFrame, parts: DataFrame) -> DataFrame:
     """The members of buckets that still hold several components: key, rep, n, component, main (about the bucket's largest component) and how many blocks it fills."""
     placed = members.join(parts, "rep", "left").select("key", "salt", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"), salts())
-    largest = sizes.groupBy("key").agg(F.max_by("component", "size").alias("main"), F.max("size").alias("most"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    blocks = largest.select("key", "main", F.greatest(F.lit(1), F.ceil((F.col("size") - F.col("most")) / OUTSIDE)).cast("int").alias("o_blocks"), F.ceil(F.col("size") / ALL).cast("int").alias("m_blocks"))
+    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("mers"), salts())
+    largest = sizes.groupBy("key").agg(F.max_by("component", "size").alias("main"), F.max("size").alias("most"), F.sum("size").alias("size"), F.max_by("mers", "size").alias("main_mers"), F.sum("mers").alias("mers"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    o_blocks = F.greatest(F.lit(1), F.ceil((F.col("size") - F.col("most")) / OUTSIDE), F.ceil((F.col("mers") - F.col("main_mers")) / OUTSIDE_MERS))
+    m_blocks = F.greatest(F.ceil(F.col("size") / ALL), F.ceil(F.col("mers") / ALL_MERS))
+    blocks = largest.select("key", "main", o_blocks.cast("int").alias("o_blocks"), m_blocks.cast("int").alias("m_blocks"))
     back = sizes.join(blocks, "key").select("key", "component", "main", "o_blocks", "m_blocks", each_salt())
     return placed.join(back, ["key", "component", "salt"]).select("key", "rep", "n", "component", "main", "o_blocks", "m_blocks")
 
@@ -195,23 +201,23 @@ def profile(mers: np.ndarray) -> bytes:
 
 
 def _profiles(texts: DataFrame, needed: DataFrame) -> DataFrame:
-    """(rep, profile) of the texts whose rep is needed."""
+    """(rep, profile, words) of the texts whose rep is needed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [profile(kmers(np.frombuffer(raw.as_py(), np.uint32))) for raw in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["rep", "profile"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), batch.column(1)], ["rep", "profile", "words"])
 
     kind = texts.schema["rep"].dataType.simpleString()
-    return texts.select("rep", "words").join(needed.select("rep").distinct(), "rep", "left_semi").mapInArrow(run, f"rep {kind}, profile binary")
+    return texts.select("rep", "words").join(needed.select("rep").distinct(), "rep", "left_semi").mapInArrow(run, f"rep {kind}, profile binary, words binary")
 
 
 def _in_blocks(mixed: DataFrame, classes: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (rep, a) of different components that meet in a bucket, of which one is outside the bucket's main component, and that may be similar enough. Each pair comes from the least bucket it shares."""
+    """Links (rep, a) that join components of members that meet in a bucket, of which one is outside the bucket's main component. A pair is compared in the least bucket it shares, unless links found before in its block join it."""
     rep_type = mixed.schema["rep"].dataType.simpleString()
     sized = mixed.join(_profiles(texts, mixed).join(classes.select("rep", "keys"), "rep"), "rep")
     side = lambda own, other: F.explode(F.transform(F.sequence(F.lit(0), F.col(other) - 1), lambda k: F.struct(F.pmod(F.xxhash64("rep"), F.col(own)).cast("int").alias("own"), k.alias("other"))))
-    kept = ["key", "rep", "n", "component", "keys", "profile"]
+    kept = ["key", "rep", "n", "component", "keys", "profile", "words"]
     outside = sized.filter(F.col("component") != F.col("main")).select(*kept, side("o_blocks", "m_blocks").alias("b")).select(*kept, F.lit(True).alias("asks"), F.col("b.own").alias("o_block"), F.col("b.other").alias("m_block"))
     members = sized.select(*kept, side("m_blocks", "o_blocks").alias("b")).select(*kept, F.lit(False).alias("asks"), F.col("b.other").alias("o_block"), F.col("b.own").alias("m_block"))
 
@@ -219,22 +225,26 @@ def _in_blocks(mixed: DataFrame, classes: DataFrame, texts: DataFrame, threshold
         asks = np.asarray(t.column("asks"))
         q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
         n = np.asarray(t.column("n")).astype(float)
-        component = np.asarray(t.column("component"))
         kind = t.schema.field("rep").type
         left, right = [], []
         if len(q) and len(m):
             key = t.column("key")[0].as_py()
             counts = np.frombuffer(b"".join(t.column("profile").to_pylist()), "<u2").reshape(-1, BINS)
             keys = [set(x) for x in t.column("keys").to_pylist()]
+            part = t.column("component").combine_chunks().dictionary_encode().indices.to_numpy().copy()  # joined as links are found
+            words = t.column("words")
+            mers = cache(lambda i: kmers(np.frombuffer(words[i].as_py(), np.uint32)))
             order = m[np.argsort(n[m], kind="stable")]
             lengths = n[order]
-            for i in q:
+            for i in q.tolist():
                 near = slice(np.searchsorted(lengths, threshold * n[i] - 1e-6), np.searchsorted(lengths, n[i] / threshold + 1e-6, side="right"))
                 others = order[near]
-                others = others[component[others] != component[i]]
+                others = others[part[others] != part[i]]
                 shared = np.minimum(counts[i], counts[others]).sum(axis=1, dtype=np.int64)
-                for j in others[shared >= threshold * (n[i] + n[others] - shared) - 1e-9]:
-                    if min(keys[i] & keys[j]) == key:
+                may = shared >= threshold * (n[i] + n[others] - shared) - 1e-9
+                for j in others[may][np.argsort(-shared[may], kind="stable")].tolist():
+                    if part[j] != part[i] and min(keys[i] & keys[j]) == key and similarity(mers(i), mers(j), threshold) >= threshold:
+                        part[part == part[j]] = part[i]
                         left.append(i)
                         right.append(j)
         reps = t.column("rep").combine_chunks()
@@ -268,8 +278,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
     whole = components(links, "a", "b").withColumnRenamed("id", "rep")
     mixed = materialise(_mixed(members, whole), "unresolved")
     if not mixed.isEmpty():
-        fresh = _in_blocks(mixed, classes, texts, threshold).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
-        more = materialise(_verified(fresh, texts, threshold), "links")
+        more = materialise(_in_blocks(mixed, classes, texts, threshold).select("a", F.col("rep").alias("b")), "links")
         if not more.isEmpty():
             whole = components(links.union(more), "a", "b").withColumnRenamed("id", "rep")
 
