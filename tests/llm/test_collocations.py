@@ -1,7 +1,10 @@
 """Phrase collocations against loops over all phrases."""
 
 import random
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from wavefold.llm import collocations
@@ -57,3 +60,44 @@ def test_odd_tables(spark):
     got = [tuple(r) for r in collocations.collocations(odd, "phrase", "lang").collect()]
     assert got == collocations.plain([(long, None), ("straße a\x1cb", None)])
     assert {r[0] for r in got} == {"und"} and got[0][6] == 300_002
+
+
+def test_passes_hold_little_memory(monkeypatch):
+    """A pass over millions of words groups them in small steps, and keeps nothing when it ends."""
+    rng, captured = np.random.default_rng(3), []
+    frame = SimpleNamespace(mapInArrow=lambda run, schema: captured.append(run) or SimpleNamespace(groupBy=lambda *c: SimpleNamespace(agg=lambda *a: None)))
+    frame.sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x)))
+    monkeypatch.setattr(collocations.F, "sum", lambda c: SimpleNamespace(alias=lambda n: None))
+    monkeypatch.setattr(collocations.F, "min", collocations.F.sum)
+    monkeypatch.setattr(collocations.F, "max", collocations.F.sum)
+    every = np.full((1 << collocations.BITS) >> 3, 255, np.uint8)
+    collocations.grow(frame, every, every)
+    words = rng.integers(1, 1 << 62, 1 << 16)
+    codes = [rng.integers(0, 1 << 16, 64_000).astype("<u2").tobytes() for _ in range(32)]
+    batches = [pa.RecordBatch.from_pydict({"word_table": [words.tobytes()], "codes": [c], "width": [2]}) for c in codes]
+    before, most, rows = pa.total_allocated_bytes(), 0, 0
+    own = pa.default_memory_pool()
+    pool = pa.proxy_memory_pool(own)
+    pa.set_memory_pool(pool)
+    try:
+        for batch in captured[0](iter(batches)):
+            rows += len(batch)
+            del batch
+        most = pool.max_memory()
+    finally:
+        pa.set_memory_pool(own)
+    assert rows > 4_000_000 and most < 100e6 and pa.total_allocated_bytes() - before < 10e6
+
+
+def test_words_of_many_languages_are_bounded_together(monkeypatch):
+    monkeypatch.setattr(collocations, "HELD", 1_000)
+    texts = [" ".join(f"w{i}x{k}" for k in range(400)) for i in range(50)]
+    batch = pa.RecordBatch.from_pydict({"text": texts, "lang": [f"l{i}" for i in range(50)]})
+    read, most, found = collocations._read(iter([batch])), 0, {}
+    for out in read:
+        if read.gi_frame is not None:
+            most = max(most, sum(map(len, read.gi_frame.f_locals["hashes"].values())))
+        for row in out.filter(out["word"].is_valid()).to_pylist():
+            found[row["lang"], row["word"]] = (row["hash"], row["n"])
+    assert len(found) == 20_000 and all(n == 1 for _, n in found.values()) and most <= 2_000
+    assert found["l7", "w7x3"][0] == collocations._Hashes("l7")[b"w7x3"]

@@ -45,7 +45,7 @@ TIER = 16
 #: Bits of a lookup table, as a power of 2, and of the part of it that one row holds.
 BITS, PART = 26, 16
 #: Words to a row of hashes, to a step of a pass, and distinct words held before their counts are passed on.
-ROW, STEP, HELD = 64_000, 1_000_000, 200_000
+ROW, STEP, HELD = 64_000, 250_000, 200_000
 WORDS = [f"w{k}" for k in range(1, LONGEST + 1)]
 _ENDS = bytes(10 if b in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if b == 9 else b for b in range(256))
 _NAMES = ["n", "left_min", "left_max", "right_min", "right_max"]
@@ -90,7 +90,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_pydict({"word_table": [words.tobytes()], "codes": [codes.astype(f"<u{width}").tobytes()], "width": [width], "lang": [None], "word": [None], "hash": [None], "n": [None]}, schema=schema)
 
     def counted() -> pa.RecordBatch:
-        rows = [(lang, w, hashes[lang][w], k) for lang, c in counts.items() for w, k in c.items()]
+        rows = [(lang, w, known[w], k) for lang, c in counts.items() for known in [hashes.get(lang) or _Hashes(lang)] for w, k in c.items()]
         lang, word, h, n = zip(*rows, strict=True) if rows else ((), (), (), ())
         nothing = [None] * len(rows)
         counts.clear()
@@ -114,6 +114,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 del row[1:]
             if sum(map(len, counts.values())) > HELD:
                 yield counted()
+            if sum(map(len, hashes.values())) > HELD + len(hashes):
+                hashes.clear()
     yield packed()
     yield counted()
 
@@ -182,7 +184,7 @@ def _grouped(words: list[np.ndarray], left: np.ndarray | None = None, right: np.
     names = WORDS[: len(words)]
     table = pa.table(dict(zip(names, words, strict=True)) | ({} if left is None else {"left": left, "right": right}))
     sums = [(names[0], "count")] + ([] if left is None else [("left", "min"), ("left", "max"), ("right", "min"), ("right", "max")])
-    found = table.group_by(names).aggregate(sums).combine_chunks()
+    found = table.group_by(names, use_threads=False).aggregate(sums).combine_chunks()  # a task has one core, and each thread would hold groups of its own
     nothing = pa.array(np.zeros(len(found), np.int64))
     columns = [found[c].combine_chunks() if c in names else nothing for c in WORDS]
     extra = [found[f"{names[0]}_count"].combine_chunks()] + ([] if left is None else [found[c].combine_chunks() for c in _NAMES[1:]])
@@ -195,6 +197,7 @@ def _pass(tokens: DataFrame, step: Callable[[np.ndarray], Iterator[pa.RecordBatc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for v in _steps(batches):
             yield from step(v)
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     found = tokens.mapInArrow(run, ", ".join(f"{c} long" for c in WORDS + names))
     sums = {"n": F.sum} | {c: F.min if c.endswith("min") else F.max for c in _NAMES[1:]}
@@ -206,7 +209,7 @@ def pair_table(tokens: DataFrame, frequent: np.ndarray, min_count: int) -> np.nd
     shared = tokens.sparkSession.sparkContext.broadcast(frequent)  # a bit table
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for v in _steps(batches, 4 * STEP):
+        for v in _steps(batches, 2 * STEP):
             often = _has(shared.value, _slots([v])) & (v != 0)
             at = np.flatnonzero(often[:-1] & often[1:])
             slot, n = np.unique((_mixed([v[at], v[at + 1]]) >> np.uint64(32)).astype(np.uint32), return_counts=True)
