@@ -675,3 +675,30 @@ def test_pipeline_stages_on_odd_tables(spark):
         assert stage(spark, odd.limit(0), folder).count() == 0
     assert corpus_pipeline.pack(spark, odd, folder).filter("doc_id IS NULL").count() == 3
     assert corpus_pipeline.pack(spark, odd.limit(0), folder).count() == 0
+
+
+def test_pipeline_hands_workers_small_batches(spark):
+    """After each stage began, a partition of 24 MB reaches a Python worker in batches of a few MB, and whole; a batch ends with the row that reaches the bound."""
+    import corpus_pipeline
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+    from wavefold.llm.common import table
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes - len(b.column(1)[b.num_rows - 1].as_py())])], ["n", "bytes"])
+
+    folder = "/root/testdata/sf0.001"
+    docs = table(spark, folder, "documents")
+    texts = spark.range(0, 6001, 1, 1).select("id", F.when(F.col("id") == 6000, F.repeat(F.lit("x"), 6 << 20)).otherwise(F.repeat(F.lit("abcd"), 1000)).alias("text"))
+    before = spark.conf.get(corpus_pipeline.BATCH_SETTING)
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            spark.conf.set(corpus_pipeline.BATCH_SETTING, before)
+            out = stage(spark, docs.limit(40), folder)
+            seen = texts.mapInArrow(sizes, "n bigint, bytes bigint").collect()
+            assert sum(r["n"] for r in seen) == 6001, name
+            assert max(r["bytes"] for r in seen) < 1.1 * corpus_pipeline.BATCH_BYTES, (name, max(r["bytes"] for r in seen))
+            assert out.count() > 0, name
+    finally:
+        spark.conf.set(corpus_pipeline.BATCH_SETTING, before)
