@@ -391,3 +391,33 @@ def test_unknown_formats_are_errors(spark):
 
     with pytest.raises(ValueError, match="format"):
         tables.save(spark.range(1), "file:///tmp/x.su")
+
+
+def _generated(df):
+    """Lines of a plan that make several rows of one."""
+    return [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in line]
+
+
+def _odd_field(seed):
+    """Cells with holes, also at negative places, and places across borders of bricks: one has no coordinate, two have one key."""
+    rng = np.random.default_rng(seed)
+    cells = {(i, j): float(v) for (i, j), v in zip([(i, j) for i in range(-4, 9) for j in range(-3, 7)], rng.normal(size=130), strict=True) if rng.random() < 0.8}
+    places = [(k, float(x), float(y)) for k, (x, y) in enumerate(zip(rng.uniform(-6, 11, 40), rng.uniform(-5, 9, 40), strict=True))]
+    return cells, [*places, (0, 1.25, 2.5), (50, 3.0, 2.0), (51, None, 1.0)]
+
+
+@pytest.mark.parametrize("few", [False, True])
+@pytest.mark.parametrize("half", [1, 3])
+def test_gather_keeps_a_row_a_receiver(spark, monkeypatch, half, few):
+    monkeypatch.setattr(lookups, "BRICK", 9)
+    cells, places = _odd_field(half)
+    weight = lambda x, i: 1 - abs(x - i) if half == 1 else np.sinc(x - i) * np.sinc((x - i) / half)
+    want = {}
+    for k, x, y in places:
+        reach = [] if x is None else [(i, j) for i in range(int(np.floor(x)) + 1 - half, int(np.floor(x)) + half + 1) for j in range(int(np.floor(y)) + 1 - half, int(np.floor(y)) + half + 1)]
+        want[k] = None if x is None else want.get(k, 0.0) + sum(weight(x, i) * weight(y, j) * cells.get((i, j), 0.0) for i, j in reach)
+    got = lookups.gather(spark.createDataFrame(places, "id int, x double, y double"), ["id"], {"ix": "x", "iy": "y"}, spark.createDataFrame([(*p, v) for p, v in cells.items()], "ix int, iy int, v double"), "v", half, few=few)
+    assert all("__b_" in line for line in _generated(got))  # only cells are dealt to several bricks
+    got = {r["id"]: r["v"] for r in got.collect()}
+    assert got.pop(51) is None and want.pop(51) is None
+    assert got == pytest.approx(want)

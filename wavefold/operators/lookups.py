@@ -15,6 +15,36 @@ def lag_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, half
     return spread.join(other, [*keys, "__at"]).groupBy(*keys, "lag").agg(F.sum(F.col("__a") * F.col("__b")).alias("correlation"), F.count(F.lit(1)).alias("n"))
 
 
+#: Cells of a brick, without those around it.
+BRICK = 200
+#: Bytes of a generated method that the JVM's compiler takes; longer ones would run interpreted, so Spark generates the expressions of such a stage one by one. A session setting, which stays set.
+HUGE = 8000
+
+
+def met_bricks(points: DataFrame, axes: list[str], below: int, above: int, cells: DataFrame, value: Column, few: bool) -> tuple[DataFrame, list[tuple[Column, dict[str, int]]]]:
+    """Points with __cells, the values of the brick of cells that each lies in, and where in __cells a point's cells from `below` under its base (__i_<axis>) to `above` over it are, with their numbers along each axis.
+
+    A brick holds also the cells around it that its points reach, so a point stays one row, and no row of it is made for each cell. Cells at one place add up. With few, bricks are sent to every task; else both sides are dealt by brick."""
+    edge, starts = max(1, round(BRICK ** (1 / len(axes)))), [f"__b_{a}" for a in axes]
+    wide = edge + below + above
+    strides = [wide ** (len(axes) - 1 - n) for n in range(len(axes))]
+    start = lambda i: i - F.pmod(i, F.lit(edge))
+    held = cells.select(*(F.col(a).cast("bigint").alias(a) for a in axes), value.cast("double").alias("__v"))
+    for a in axes:
+        held = held.withColumn(f"__b_{a}", F.explode(F.sequence(start(F.col(a) - above), start(F.col(a) + below), F.lit(edge).cast("bigint"))))
+    place = reduce(Column.__add__, ((F.col(a) - F.col(f"__b_{a}") + below) * n for a, n in zip(axes, strides, strict=True))).cast("int")
+    held = held.groupBy(*starts, place.alias("__p")).agg(F.when(F.count_if(F.col("__v").isNull()) == 0, F.sum("__v")).alias("__v"))
+    bricks = held.groupBy(*starts).agg(F.map_from_entries(F.collect_list(F.struct("__p", "__v"))).alias("__m"))
+    bricks = bricks.select(*starts, F.transform(F.sequence(F.lit(0), F.lit(wide ** len(axes) - 1)), lambda p: F.try_element_at("__m", p)).alias("__cells"))
+    met = points.withColumns({f"__b_{a}": start(F.col(f"__i_{a}")) for a in axes}).join(F.broadcast(bricks) if few else bricks, starts, "left")
+    first = reduce(Column.__add__, (F.pmod(f"__i_{a}", F.lit(edge)) * n for a, n in zip(axes, strides, strict=True))).cast("int")
+    met = met.withColumn("__first", first)
+    around: list[dict[str, int]] = [{}]
+    for a in axes:
+        around = [{**o, a: k} for o in around for k in range(below + above + 1)]
+    return met, [(F.col("__first") + sum(o[a] * n for a, n in zip(axes, strides, strict=True)), o) for o in around]
+
+
 def corners(points: DataFrame, keys: list[str], at: dict[str, str], shape: dict[str, int], clamp: bool = False) -> DataFrame:
     """(keys, indices, __w): the cells around each point that have a weight."""
     based, found = points, [[]]
@@ -147,19 +177,20 @@ def mismatches(a: DataFrame, b: DataFrame, keys: list[str], value: str, toleranc
     return joined.select(*keys, F.col(value).alias("a"), F.col("__b").alias("b"), off.alias("relative")).filter(F.col("relative") > tolerance)
 
 
+def weight_of(x: Column, ix: Column, half: int) -> Column:
+    """The weight of cell ix for a place x: linear for half 1, a windowed sinc over 2 half cells beyond that."""
+    t = F.abs(x - ix)
+    if half == 1:
+        return 1 - t
+    a, b = t * 3.141592653589793, t * (3.141592653589793 / half)
+    return F.when(t < 1e-9, 1.0).otherwise(F.sin(a) / a * F.sin(b) / b)
+
+
 def spread_weights(places: DataFrame, x: str, half: int, index: str = "ix", weight: str = "w") -> DataFrame:
     """Each place with the cells (index) it touches along an axis and their weights: linear for half 1, a windowed sinc over 2 half cells beyond that. A weight that is there already is multiplied by it."""
     base = F.floor(x)
     cells = F.transform(F.sequence(F.lit(1 - half), F.lit(half)), lambda k: (base + k).cast("bigint"))
-
-    def one(ix: Column) -> Column:
-        t = F.abs(F.col(x) - ix)
-        if half == 1:
-            return 1 - t
-        a, b = t * 3.141592653589793, t * (3.141592653589793 / half)
-        return F.when(t < 1e-9, 1.0).otherwise(F.sin(a) / a * F.sin(b) / b)
-
-    touched = F.transform(cells, lambda ix: F.struct(ix.alias("ix"), one(ix).alias("w")))
+    touched = F.transform(cells, lambda ix: F.struct(ix.alias("ix"), weight_of(F.col(x), ix, half).alias("w")))
     own = F.col("__t.w") * F.col(weight) if weight in places.columns else F.col("__t.w")
     return places.withColumn("__t", F.explode(touched)).withColumns({index: F.col("__t.ix"), weight: own}).drop("__t")
 
@@ -217,10 +248,23 @@ def spread_axes(places: DataFrame, at: dict[str, str], half: int) -> DataFrame:
     return places
 
 
-def gather(receivers: DataFrame, keys: list[str], at: dict[str, str], cells: DataFrame, value: str, half: int = 1) -> DataFrame:
-    """A field's value at each receiver: the weighted sum of the cells it touches along all axes (cell index to column); cells that are not there count as zero. keys tell receivers apart, repeated places too."""
-    touched = spread_axes(receivers, at, half).select(*keys, *at, "w")
-    return touched.join(cells.select(*at, value), list(at), "left").groupBy(*keys).agg(F.sum(F.col("w") * F.coalesce(F.col(value), F.lit(0))).alias(value))
+def read_around(receivers: DataFrame, at: dict[str, str], cells: DataFrame, value: str, half: int = 1, few: bool = False) -> DataFrame:
+    """Receivers with __read: the weighted sum of the cells each touches along all axes (cell index to column), as in gather()."""
+    receivers.sparkSession.conf.set("spark.sql.codegen.hugeMethodLimit", HUGE)
+    based = receivers.withColumns({f"__i_{a}": F.floor(x) for a, x in at.items()})
+    based = based.withColumns({f"__w_{a}": F.array(*(weight_of(F.col(x), F.col(f"__i_{a}") + k, half) for k in range(1 - half, half + 1))) for a, x in at.items()})
+    met, places = met_bricks(based, list(at), half - 1, half, cells, F.coalesce(value, F.lit(0)), few)
+    total = F.lit(0.0)
+    for place, offsets in places:
+        weight = reduce(Column.__mul__, (F.get(f"__w_{a}", F.lit(k)) for a, k in offsets.items()))
+        total = total + weight * F.coalesce(F.get("__cells", place), F.lit(0.0))
+    return met.select(*receivers.columns, total.alias("__read"))
+
+
+def gather(receivers: DataFrame, keys: list[str], at: dict[str, str], cells: DataFrame, value: str, half: int = 1, few: bool = False) -> DataFrame:
+    """A field's value at each receiver: the weighted sum of the cells it touches along all axes (cell index to column); cells that are not there count as zero. keys tell receivers apart, repeated places too. few: the cells fit every task."""
+    read = read_around(receivers.select(*dict.fromkeys([*keys, *at.values()])), at, cells, value, half, few)
+    return read.groupBy(*keys).agg(F.sum("__read").alias(value))
 
 
 def scatter(sources: DataFrame, at: dict[str, str], amplitude: str, half: int = 1) -> DataFrame:

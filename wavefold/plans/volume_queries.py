@@ -208,8 +208,8 @@ def _sinc_sql(axis: str, half: int) -> str:
 """)
 def interpolate_2d(spark: SparkSession, d: str) -> DataFrame:
     """A windowed sinc along both axes of a map; cells that are not there count as zero."""
-    cells = _volume(spark, d).groupBy("ix", "iy").agg(F.sum("v").alias("v"))
-    return _rounded(lookups.gather(_points(spark, d), _KEYS, {"ix": "x_ix", "iy": "x_iy"}, cells, "v", 3), 5, "v")
+    cells = _volume(spark, d).groupBy("ix", "iy").agg(F.sum("v").alias("v"))  # of a remainder each, so 23 x 11 at most
+    return _rounded(lookups.gather(_points(spark, d), _KEYS, {"ix": "x_ix", "iy": "x_iy"}, cells, "v", 3, few=True), 5, "v")
 
 
 def _one_sql(axis: str, k: str) -> str:
