@@ -421,3 +421,37 @@ def test_gather_keeps_a_row_a_receiver(spark, monkeypatch, half, few):
     got = {r["id"]: r["v"] for r in got.collect()}
     assert got.pop(51) is None and want.pop(51) is None
     assert got == pytest.approx(want)
+
+
+def test_small_files_share_a_task(spark, tmp_path):
+    from wavefold.sources.records import Layout, read_records, write_records
+
+    layout = Layout({"shot": (9, "int")}, samples=3)
+    rows = [(f"{s}.rec", i, s, None if i == 1 else [float(s + k) for k in range(i)]) for s in range(60) for i in range(6)]
+    write_records(spark.createDataFrame(rows, "file string, ordinal int, shot int, samples array<float>").repartition(3), f"file://{tmp_path}/out", layout)
+    read = read_records(spark, f"file://{tmp_path}/out", layout)
+    assert read.rdd.getNumPartitions() == 1
+    want = {(f, i): (s, [*(v or []), 0.0, 0.0, 0.0][:3]) for f, i, s, v in rows}
+    assert {(r["path"].split("/")[-1], r["ordinal"]): (r["shot"], list(r["samples"])) for r in read.collect()} == want
+    heads = read_records(spark, f"file://{tmp_path}/out", layout, header_only=True, range_bytes=100 << 10)
+    assert 6 <= heads.rdd.getNumPartitions() <= 12  # a file counts 16 kB besides its own bytes
+    assert sorted((r["shot"], r["ordinal"]) for r in heads.collect()) == sorted((s, i) for _, i, s, _ in rows)
+
+
+@pytest.mark.parametrize("name", ["record_headers"])
+def test_records_stand_a_round_at_a_time(spark, tmp_path, monkeypatch, name):
+    import duckdb
+
+    from wavefold.plans.registry import ORACLE_SQL, QUERIES
+    from wavefold.sources import records
+
+    folder, stood, write = "/root/testdata/sf0.001", [], records.write_records
+    monkeypatch.setattr(records, "ROUND_BYTES", 500_000)
+    monkeypatch.setattr(records, "shared_folder", lambda _, name: f"file://{tmp_path}/{name}-{len(list(tmp_path.iterdir()))}")
+    monkeypatch.setattr(records, "write_records", lambda *a: (write(*a), stood.append(sum(f.stat().st_size for f in tmp_path.rglob("*.rec")))))
+    got = QUERIES[name](spark, folder).toPandas()
+    assert len(stood) >= 3 and max(stood) < sum(stood) and not list(tmp_path.rglob("*.rec"))
+    want = duckdb.sql(ORACLE_SQL[name].replace("FROM lineitem", f"FROM '{folder}/lineitem.parquet'")).df()
+    columns = sorted(want.columns)
+    a, b = (x[columns].sort_values(columns).reset_index(drop=True) for x in (got, want))
+    assert len(a) == len(b) and all((a[c] == b[c]).all() for c in columns)

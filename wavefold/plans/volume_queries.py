@@ -563,11 +563,12 @@ def record_files(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT l_suppkey::VARCHAR || '.rec' AS file, count(*) AS n_traces, min(l_partkey)::DOUBLE AS min_sx, max(l_linenumber) AS most FROM lineitem GROUP BY 1")
 def record_headers(spark: SparkSession, d: str) -> DataFrame:
     """The extent of each shot's record, for which only headers are read."""
-    stored = table(spark, d, "lineitem").select(F.concat(F.col("l_suppkey").cast("string"), F.lit(".rec")).alias("file"), (F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")) - 1).alias("ordinal"), F.col("l_partkey").alias("sx"), F.col("l_linenumber").alias("recv_id"), F.array_repeat(F.col("l_tax"), 64).alias("samples"))
-    folder, layout = shared_folder(spark, "records"), records.job_layout({"recv_id": 13, "sx": 73}, 64)
-    records.write_records(stored.withColumns({"xline": F.lit(0), "iline": F.lit(0)}), folder, layout)
-    heads = records.read_records(spark, folder, layout, header_only=True)
-    return heads.groupBy(F.element_at(F.split("path", "/"), -1).alias("file")).agg(F.count(F.lit(1)).alias("n_traces"), F.min("sx").alias("min_sx"), F.max("recv_id").alias("most"))
+    nth = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")) - 1
+    numbered = table(spark, d, "lineitem").select("l_suppkey", "l_partkey", "l_linenumber", "l_tax", nth.alias("ordinal"))  # names and samples are made after the sort
+    stored = numbered.select(F.concat(F.col("l_suppkey").cast("string"), F.lit(".rec")).alias("file"), "ordinal", F.col("l_partkey").alias("sx"), F.col("l_linenumber").alias("recv_id"), F.array_repeat(F.col("l_tax"), 64).alias("samples"), F.lit(0).alias("xline"), F.lit(0).alias("iline"))
+    layout = records.job_layout({"recv_id": 13, "sx": 73}, 64)
+    extent = [F.count(F.lit(1)).alias("n_traces"), F.min("sx").alias("min_sx"), F.max("recv_id").alias("most")]
+    return records.through_records(stored, layout, lambda heads: heads.groupBy(F.element_at(F.split("path", "/"), -1).alias("file")).agg(*extent), header_only=True)
 
 
 @query("WITH n AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem) SELECT a.l_orderkey, a.l_linenumber, a.l_extendedprice, b.l_quantity AS template FROM n a JOIN n b ON a.l_orderkey = b.l_orderkey AND a.k = b.k")

@@ -1,8 +1,9 @@
 """Files of traces of one length as Spark data sources, read in byte ranges and written by many tasks at once.
 
 A file is `skip` bytes and then traces of one size. Partitions are ranges of a file's bytes: a task takes the traces that begin
-in its range, so one large file is the work of many tasks, and the driver only lists files and their sizes. Columns that
-aren't in the schema given to the reader are not made; without samples only headers are read, one after another.
+in its range, so one large file is the work of many tasks, and small files go to a task together; the driver only lists files and
+their sizes. Columns that aren't in the schema given to the reader are not made; without samples only headers are read, one after
+another where they lie further apart than a few pages.
 
 Writing. A trace's place in its file follows from its row, so tasks write each its own traces at their places in
 hidden files, and a trace written again by a repeated task is the same bytes at the same place. The commit, on the driver, writes what stands
@@ -20,12 +21,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql.datasource import DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 #: Bytes of a file to a partition, and of traces held at once.
 RANGE_BYTES, STEP_BYTES = 64 << 20, 8 << 20
+#: Bytes of small files to a partition, and what a file counts there besides its bytes; headers that lie no further apart are read in one go.
+PACK_BYTES, OPEN_BYTES, GAP_BYTES = 16 << 20, 16 << 10, 16 << 10
 
 
 def local(path: str) -> str:
@@ -50,6 +54,20 @@ class Span(InputPartition):
         super().__init__((self.path, self.low, self.high))
 
 
+@dataclass
+class Pack(InputPartition):
+    """Small files of one folder, whole: names and sizes."""
+
+    folder: str
+    files: list[tuple[str, int]]
+
+    def __post_init__(self) -> None:
+        super().__init__(None)
+
+    def spans(self) -> list[Span]:
+        return [Span(f"{self.folder}/{name}", 0, size, size) for name, size in self.files]
+
+
 class TraceReader(DataSourceReader):
     def __init__(self, schema: StructType, options: dict):
         self.schema, self.options = schema, options
@@ -66,8 +84,19 @@ class TraceReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         step = int(self.options.get("rangebytes", RANGE_BYTES))
-        # A file shorter than a trace still has a range: the reader says what is wrong with it.
-        return [Span(path, low, min(low + step, size), size) for path, size in self.files() for low in range(0, max(size, 1), step)]
+        spans, packs, room = [], [], 0
+        for path, size in self.files():
+            if size > min(step, PACK_BYTES):
+                spans += [Span(path, low, min(low + step, size), size) for low in range(0, size, step)]
+                continue
+            # A file shorter than a trace is read too: the reader says what is wrong with it.
+            folder, name = os.path.split(path)
+            room -= size + OPEN_BYTES
+            if room < 0 or packs[-1].folder != folder:
+                packs.append(Pack(folder, []))
+                room = min(step, PACK_BYTES) - size - OPEN_BYTES
+            packs[-1].files.append((name, size))
+        return spans + packs
 
     @abstractmethod
     def layout(self, read_at, size: int) -> tuple[int, np.dtype, dict]:
@@ -81,9 +110,21 @@ class TraceReader(DataSourceReader):
         """How much of a trace is read where no samples are wanted."""
         return kind.fields["samples"][1]
 
-    def read(self, span: Span | None) -> Iterator[pa.RecordBatch]:
-        if span is None:  # no files
+    def read(self, part: Span | Pack | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # no files
             return
+        few, rows = [], 0
+        for span in part.spans() if isinstance(part, Pack) else [part]:
+            for batch in self._read(span):
+                few.append(batch)
+                rows += batch.nbytes
+                if rows >= STEP_BYTES // 4:
+                    yield _one(few)
+                    few, rows = [], 0
+        if few:
+            yield _one(few)
+
+    def _read(self, span: Span) -> Iterator[pa.RecordBatch]:
         path, self.path = self.options["path"], span.path
         system = fs.FileSystem.from_uri(path)[0] if ":" in path.split("/")[0] else fs.LocalFileSystem()
         with system.open_input_file(span.path) as source:
@@ -99,7 +140,7 @@ class TraceReader(DataSourceReader):
             schema = pa.schema([(n, _arrow(self.schema[n])) for n in self.names])
             for k in range(first, last, max(1, STEP_BYTES // size)):
                 n = min(last - k, max(1, STEP_BYTES // size))
-                if "samples" in self.names:
+                if "samples" in self.names or (self.header_bytes(kind) and size <= GAP_BYTES):
                     traces = np.frombuffer(read_at(skip + k * size, n * size), kind)
                 else:
                     traces = np.zeros(n, kind)
@@ -113,6 +154,10 @@ class TraceReader(DataSourceReader):
                 yield batch if keep is None else batch.filter(pa.array(keep))
 
 
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else next(iter(pa.Table.from_batches(batches).combine_chunks().to_batches()), batches[0])
+
+
 def _arrow(f) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -127,10 +172,16 @@ def samples_column(samples: np.ndarray) -> pa.Array:
 
 def put_samples(column: pa.Array, out: np.ndarray) -> None:
     """Rows of an array column into rows of samples; what is longer is cut, what is shorter or null is zero."""
-    for i, row in enumerate(column):
-        if row.is_valid:
-            values = row.values.to_numpy(zero_copy_only=False)[: out.shape[1]]
-            out[i, : len(values)] = values
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    values, wide = column.flatten().to_numpy(zero_copy_only=False), out.shape[1]
+    if len(lengths) and (lengths == lengths[0]).all():
+        n = min(int(lengths[0]), wide)
+        out[:, :n] = values.reshape(len(lengths), -1)[:, :n]
+        return
+    rows = np.repeat(np.arange(len(lengths)), lengths)
+    places = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    kept = places < wide
+    out[rows[kept], places[kept]] = values[kept]
 
 
 @dataclass
@@ -175,14 +226,15 @@ class TraceWriter(DataSourceArrowWriter):
                     continue
                 out = np.zeros(batch.num_rows, kind)
                 numbers = np.asarray(self.fill(batch, out), np.int64)
-                names = np.array(batch.column(self.names.index("file")).to_pylist(), dtype=object)
+                coded = batch.column(self.names.index("file")).dictionary_encode()
+                names, codes = coded.dictionary.to_pylist() + [None], pc.fill_null(coded.indices, -1).to_numpy()
                 if (numbers < 0).any() or (self.whole() is not None and (numbers >= self.whole()).any()):
                     raise ValueError("a trace lies outside its file")
                 # Neighbours in a file are written in one go.
-                order = np.lexsort((numbers, names.astype(str)))
-                ends = np.flatnonzero((np.diff(numbers[order]) != 1) | (names[order][1:] != names[order][:-1])) + 1
+                order = np.lexsort((numbers, codes))
+                ends = np.flatnonzero((np.diff(numbers[order]) != 1) | (np.diff(codes[order]) != 0)) + 1
                 for rows in np.split(order, ends):
-                    name = names[rows[0]]
+                    name = names[codes[rows[0]]]
                     if name is None or name != os.path.basename(name) or name.startswith((".", "_")):
                         raise ValueError(f"{name!r} can't be a file's name")
                     if name not in open_files:

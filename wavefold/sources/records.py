@@ -7,8 +7,10 @@ tasks into one file a shot (ranges.py). Without samples only headers are read.
 from __future__ import annotations
 
 import json
+import shutil
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource
 from pyspark.sql.types import StructType
 
-from wavefold.sources.ranges import RANGE_BYTES, TraceReader, TraceWriter, put_samples, samples_column
+from wavefold.sources.ranges import RANGE_BYTES, TraceReader, TraceWriter, local, put_samples, samples_column
+from wavefold.sources.tables import shared_folder
+
+#: Bytes of records that stand at once in through_records().
+ROUND_BYTES = 4 << 30
 
 TYPES = {"int": ("i4", "int"), "short": ("i2", "int"), "float": ("f4", "double"), "double": ("f8", "double")}
 
@@ -52,7 +58,12 @@ def job_layout(places: dict[str, int], samples: int, types: dict[str, str] | Non
 
 
 def _layout(options: dict) -> Layout:
-    said = json.loads(options["layout"])
+    return _said(options["layout"])
+
+
+@lru_cache
+def _said(text: str) -> Layout:
+    said = json.loads(text)
     return Layout(**said | {"fields": {n: tuple(f) for n, f in said["fields"].items()}})
 
 
@@ -123,6 +134,24 @@ def write_records(traces: DataFrame, path: str, layout: Layout) -> None:
     rows.write.format("wavefold_records").mode("append").option("layout", json.dumps(asdict(layout))).save(path)
 
 
+def through_records(traces: DataFrame, layout: Layout, result: Callable[[DataFrame], DataFrame], header_only: bool = False) -> DataFrame:
+    """What result makes of the records that write_records() writes of traces and read_records() reads, files being apart from each other: result may count on whole files, not on all of them.
+
+    Records are far larger than the rows they come from, so files go in rounds of about ROUND_BYTES, all of a file in one: the rows of a round stay as a table, and its files are removed before the next is written."""
+    spark = traces.sparkSession
+    rounds = max(1, -(-traces.count() * layout.dtype().itemsize // ROUND_BYTES))
+    if rounds == 1:
+        write_records(traces, folder := shared_folder(spark, "records"), layout)
+        return result(read_records(spark, folder, layout, header_only))
+    kept = shared_folder(spark, "through")
+    for k in range(rounds):
+        write_records(traces.filter(F.pmod(F.xxhash64("file"), F.lit(rounds)) == k), folder := shared_folder(spark, "records"), layout)
+        out = result(read_records(spark, folder, layout, header_only))
+        out.write.mode("append").parquet(kept)
+        shutil.rmtree(local(folder))
+    return spark.read.schema(out.schema).parquet(kept)
+
+
 def scale_headers(traces: DataFrame, xy: list[str], scalar: float, z: list[str], shift: float) -> DataFrame:
     """Coordinates times a scalar, elevations less a shift."""
     return traces.withColumns({c: F.col(c) * scalar for c in xy} | {c: F.col(c) - shift for c in z})
