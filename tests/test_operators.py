@@ -438,7 +438,7 @@ def test_small_files_share_a_task(spark, tmp_path):
     assert sorted((r["shot"], r["ordinal"]) for r in heads.collect()) == sorted((s, i) for _, i, s, _ in rows)
 
 
-@pytest.mark.parametrize("name", ["record_headers"])
+@pytest.mark.parametrize("name", ["record_headers", "record_files"])
 def test_records_stand_a_round_at_a_time(spark, tmp_path, monkeypatch, name):
     import duckdb
 

@@ -553,11 +553,10 @@ def cube_files(spark: SparkSession, d: str) -> DataFrame:
 def record_files(spark: SparkSession, d: str) -> DataFrame:
     """Traces written as record files of a job's layout, a file for each shot, and read back in ranges."""
     nth = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")) - 1
-    stored = table(spark, d, "lineitem").select(F.concat(F.col("l_suppkey").cast("string"), F.lit(".rec")).alias("file"), nth.alias("ordinal"), F.col("l_partkey").alias("sx"), F.col("l_linenumber").alias("recv_id"), F.array("l_quantity", "l_extendedprice").alias("samples"))
-    folder, layout = shared_folder(spark, "records"), records.job_layout({"recv_id": 13, "sx": 73, "xline": 0, "iline": 0}, 2)
-    records.write_records(stored, folder, layout)
-    read = records.read_records(spark, folder, layout)
-    return read.select(F.element_at(F.split("path", "/"), -1).alias("file"), "ordinal", "sx", "recv_id", F.col("samples")[0].cast("double").alias("a"), F.col("samples")[1].cast("double").alias("b"))
+    numbered = table(spark, d, "lineitem").select(*_KEYS, "l_quantity", nth.alias("ordinal"))  # names and samples are made after the sort
+    stored = numbered.select(F.concat(F.col("l_suppkey").cast("string"), F.lit(".rec")).alias("file"), "ordinal", F.col("l_partkey").alias("sx"), F.col("l_linenumber").alias("recv_id"), F.array("l_quantity", "l_extendedprice").alias("samples"))
+    layout = records.job_layout({"recv_id": 13, "sx": 73, "xline": 0, "iline": 0}, 2)
+    return records.through_records(stored, layout, lambda read: read.select(F.element_at(F.split("path", "/"), -1).alias("file"), "ordinal", "sx", "recv_id", F.col("samples")[0].cast("double").alias("a"), F.col("samples")[1].cast("double").alias("b")))
 
 
 @query("SELECT l_suppkey::VARCHAR || '.rec' AS file, count(*) AS n_traces, min(l_partkey)::DOUBLE AS min_sx, max(l_linenumber) AS most FROM lineitem GROUP BY 1")
