@@ -455,3 +455,40 @@ def test_records_stand_a_round_at_a_time(spark, tmp_path, monkeypatch, name):
     columns = sorted(want.columns)
     a, b = (x[columns].sort_values(columns).reset_index(drop=True) for x in (got, want))
     assert len(a) == len(b) and all((a[c] == b[c]).all() for c in columns)
+
+
+def _lines_sum(cells, x, y, clamp, reciprocal):
+    """Bilinear in a grid of 9 x 7 by loops; None where a corner with a weight is not there."""
+    x, y = (min(max(x, 0.0), 8.0), min(max(y, 0.0), 6.0)) if clamp else (x, y)
+    i, j = min(max(int(np.floor(x)), 0), 7), min(max(int(np.floor(y)), 0), 5)
+    near = [((x - i if a else 1 - (x - i)) * (y - j if b else 1 - (y - j)), cells.get((i + a, j + b))) for a in (0, 1) for b in (0, 1)]
+    near = [(w, v) for w, v in near if w != 0]
+    return None if any(v is None for _, v in near) else sum(w / v if reciprocal else w * v for w, v in near)
+
+
+def _check_linear(spark, monkeypatch, few, **how):
+    monkeypatch.setattr(lookups, "BRICK", 9)
+    monkeypatch.setattr(lookups, "FEW", few)
+    cells, places = _odd_field(7)
+    cells = {p: 2.0 + abs(v) for p, v in cells.items()}
+    want = {}
+    for k, x, y in places:
+        v = None if x is None else _lines_sum(cells, x, y, how.get("clamp"), how.get("reciprocal"))
+        want[k] = v if k not in want else None if None in (v, want[k]) else v + want[k]
+    if how.get("reciprocal"):
+        want = {k: v if v is None else 1 / v for k, v in want.items()}
+    if not how.get("clamp"):
+        want.pop(51)  # no coordinate: no corner; clamped it lies at the edge, in Spark and in SQL
+    else:
+        v = _lines_sum(cells, 0.0, 1.0, True, how.get("reciprocal"))
+        want[51] = None if v is None else 1 / v if how.get("reciprocal") else v
+    got = lookups.linear(spark.createDataFrame(places, "id int, x double, y double"), ["id"], {"ix": "x", "iy": "y"}, {"ix": 9, "iy": 7}, spark.createDataFrame([(*p, v) for p, v in cells.items()], "ix int, iy int, v double"), "v", **how)
+    assert all("__b_" in line for line in _generated(got))  # only cells are dealt to several bricks
+    got = {r["id"]: r["v"] for r in got.collect()}
+    assert set(got) == set(want) and {k for k, v in got.items() if v is None} == {k for k, v in want.items() if v is None}
+    assert {k: v for k, v in got.items() if v is not None} == pytest.approx({k: v for k, v in want.items() if v is not None})
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_linear_keeps_a_row_a_point(spark, monkeypatch, few):
+    _check_linear(spark, monkeypatch, few)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import prod
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,8 +16,8 @@ def lag_join(left: DataFrame, right: DataFrame, keys: list[str], time: str, half
     return spread.join(other, [*keys, "__at"]).groupBy(*keys, "lag").agg(F.sum(F.col("__a") * F.col("__b")).alias("correlation"), F.count(F.lit(1)).alias("n"))
 
 
-#: Cells of a brick, without those around it.
-BRICK = 200
+#: Cells of a brick, without those around it; and of a grid that is sent to every task.
+BRICK, FEW = 200, 100_000
 #: Bytes of a generated method that the JVM's compiler takes; longer ones would run interpreted, so Spark generates the expressions of such a stage one by one. A session setting, which stays set.
 HUGE = 8000
 
@@ -25,6 +26,7 @@ def met_bricks(points: DataFrame, axes: list[str], below: int, above: int, cells
     """Points with __cells, the values of the brick of cells that each lies in, and where in __cells a point's cells from `below` under its base (__i_<axis>) to `above` over it are, with their numbers along each axis.
 
     A brick holds also the cells around it that its points reach, so a point stays one row, and no row of it is made for each cell. Cells at one place add up. With few, bricks are sent to every task; else both sides are dealt by brick."""
+    points.sparkSession.conf.set("spark.sql.codegen.hugeMethodLimit", HUGE)
     edge, starts = max(1, round(BRICK ** (1 / len(axes)))), [f"__b_{a}" for a in axes]
     wide = edge + below + above
     strides = [wide ** (len(axes) - 1 - n) for n in range(len(axes))]
@@ -45,15 +47,20 @@ def met_bricks(points: DataFrame, axes: list[str], below: int, above: int, cells
     return met, [(F.col("__first") + sum(o[a] * n for a, n in zip(axes, strides, strict=True)), o) for o in around]
 
 
-def corners(points: DataFrame, keys: list[str], at: dict[str, str], shape: dict[str, int], clamp: bool = False) -> DataFrame:
-    """(keys, indices, __w): the cells around each point that have a weight."""
-    based, found = points, [[]]
+def based_in(points: DataFrame, at: dict[str, str], shape: dict[str, int], clamp: bool) -> DataFrame:
+    """Points with the first of the two cells around them along each axis (__i_<axis>), and how far beyond it they are (__f_<axis>)."""
     for index, c in at.items():
         n = shape[index]
         x = F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(n - 1.0)) if clamp else F.col(c)
-        based = based.withColumn(f"__i_{index}", F.least(F.greatest(F.floor(x), F.lit(0)), F.lit(max(0, n - 2))).cast("bigint")).withColumn(f"__f_{index}", x - F.col(f"__i_{index}") if n > 1 else F.lit(0.0))
-        found = [[*corner, (index, k)] for corner in found for k in (0, 1)[: min(2, n)]]
-    places = []
+        points = points.withColumn(f"__i_{index}", F.least(F.greatest(F.floor(x), F.lit(0)), F.lit(max(0, n - 2))).cast("bigint")).withColumn(f"__f_{index}", x - F.col(f"__i_{index}") if n > 1 else F.lit(0.0))
+    return points
+
+
+def corners(points: DataFrame, keys: list[str], at: dict[str, str], shape: dict[str, int], clamp: bool = False) -> DataFrame:
+    """(keys, indices, __w): the cells around each point that have a weight."""
+    based, found, places = based_in(points, at, shape, clamp), [[]], []
+    for index in at:
+        found = [[*corner, (index, k)] for corner in found for k in (0, 1)[: min(2, shape[index])]]
     for corner in found:
         weight = F.lit(1.0)
         for index, k in corner:
@@ -66,12 +73,19 @@ def linear(points: DataFrame, keys: list[str], at: dict[str, str], shape: dict[s
     """(keys, value) at points between cells, linear along every axis. at: cell index to point column; shape: how many places each axis has; keys: what tells points apart, repeated points too.
 
     The base cell is clamped into the grid while the fraction is not, so that points outside extrapolate; with clamp they take the nearest edge. With reciprocal 1 / value is interpolated. An axis of
-    one place is constant. A point of which a corner with a weight is not there has no value (null).
+    one place is constant. A point of which a corner with a weight is not there has no value (null). A point stays one row; a grid of few cells by its shape goes to every task.
     """
-    spread = corners(points, keys, at, shape, clamp)
-    found = spread.join(cells.select(*(F.col(i).cast("bigint").alias(i) for i in at), (1 / F.col(value) if reciprocal else F.col(value)).alias("__v")), list(at), "left")
-    total = F.when(F.count_if(F.col("__v").isNull()) == 0, F.sum(F.col("__w") * F.col("__v")))
-    return found.groupBy(*keys).agg((1 / total if reciprocal else total).alias(value))
+    based = based_in(points.select(*dict.fromkeys([*keys, *at.values()])), at, shape, clamp).filter(reduce(Column.__and__, (F.col(f"__f_{i}").isNotNull() for i in at)))
+    inside = cells.filter(reduce(Column.__and__, (F.col(i).between(0, shape[i] - 1) for i in at)))
+    met, places = met_bricks(based, list(at), 0, 1, inside, 1 / F.col(value) if reciprocal else F.col(value), prod(shape[i] for i in at) <= FEW)
+    total = F.lit(0.0)
+    for place, corner in places:
+        if all(k < shape[i] for i, k in corner.items()):
+            weight = reduce(Column.__mul__, (F.col(f"__f_{i}") if k else 1 - F.col(f"__f_{i}") for i, k in corner.items()))
+            total = total + F.when(weight != 0, weight * F.get("__cells", place)).otherwise(0.0)
+    found = met.select(*keys, total.alias("__t")).groupBy(*keys)
+    total = F.when(F.count_if(F.col("__t").isNull()) == 0, F.sum("__t"))
+    return found.agg((1 / total if reciprocal else total).alias(value))
 
 
 def bilinear(points: DataFrame, keys: list[str], cells: DataFrame, x: str, y: str, shape: tuple[int, int], value: str) -> DataFrame:
@@ -250,7 +264,6 @@ def spread_axes(places: DataFrame, at: dict[str, str], half: int) -> DataFrame:
 
 def read_around(receivers: DataFrame, at: dict[str, str], cells: DataFrame, value: str, half: int = 1, few: bool = False) -> DataFrame:
     """Receivers with __read: the weighted sum of the cells each touches along all axes (cell index to column), as in gather()."""
-    receivers.sparkSession.conf.set("spark.sql.codegen.hugeMethodLimit", HUGE)
     based = receivers.withColumns({f"__i_{a}": F.floor(x) for a, x in at.items()})
     based = based.withColumns({f"__w_{a}": F.array(*(weight_of(F.col(x), F.col(f"__i_{a}") + k, half) for k in range(1 - half, half + 1))) for a, x in at.items()})
     met, places = met_bricks(based, list(at), half - 1, half, cells, F.coalesce(value, F.lit(0)), few)
