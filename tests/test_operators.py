@@ -492,3 +492,19 @@ def _check_linear(spark, monkeypatch, few, **how):
 @pytest.mark.parametrize("few", [0, 1000])
 def test_linear_keeps_a_row_a_point(spark, monkeypatch, few):
     _check_linear(spark, monkeypatch, few)
+
+
+@pytest.mark.parametrize("few", [False, True])
+def test_ghosts_keep_a_row_a_receiver(spark, monkeypatch, few):
+    monkeypatch.setattr(lookups, "BRICK", 9)
+    cells, places = _odd_field(5)
+    field = spark.createDataFrame([(*p, v) for p, v in cells.items()], "ix int, iy int, v double")
+    receivers = spark.createDataFrame(places, "id int, x double, y double")
+    mirrored = receivers.withColumn("y", 3.0 - F.col("y"))
+    own, ghost = ({r["id"]: r["v"] for r in lookups.gather(r, ["id"], {"ix": "x", "iy": "y"}, field, "v").collect()} for r in (receivers, mirrored))
+    got = lookups.gather_less_ghost(receivers, ["id"], {"ix": "x", "iy": "y"}, "iy", 1.5, field, "v", few=few)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and all("__b_" in line for line in _generated(got))  # only cells are dealt to several bricks
+    got = {r["id"]: r["v"] for r in got.collect()}
+    assert got.pop(51) is None and own.pop(51) is None
+    assert got == pytest.approx({k: v - ghost[k] for k, v in own.items()})

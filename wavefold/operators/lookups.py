@@ -285,11 +285,12 @@ def scatter(sources: DataFrame, at: dict[str, str], amplitude: str, half: int =
     return spread_axes(sources, at, half).groupBy(*at).agg(F.sum(F.col("w") * F.col(amplitude)).alias("added"))
 
 
-def gather_less_ghost(receivers: DataFrame, keys: list[str], at: dict[str, str], depth: str, surface: float, cells: DataFrame, value: str, half: int = 1) -> DataFrame:
-    """gather() less what the mirror image of each receiver about the surface reads. depth: the axis that is mirrored."""
-    mirrored = receivers.withColumn(at[depth], 2 * surface - F.col(at[depth]))
-    both = gather(receivers, keys, at, cells, value, half).unionByName(gather(mirrored, keys, at, cells.withColumn(value, -F.col(value)), value, half))
-    return both.groupBy(*keys).agg(F.sum(value).alias(value))
+def gather_less_ghost(receivers: DataFrame, keys: list[str], at: dict[str, str], depth: str, surface: float, cells: DataFrame, value: str, half: int = 1, few: bool = False) -> DataFrame:
+    """gather() less what the mirror image of each receiver about the surface reads, a row a receiver. depth: the axis that is mirrored."""
+    read = read_around(receivers.select(*dict.fromkeys([*keys, *at.values()])), at, cells, value, half, few)
+    image = read.select("*", F.col("__read").alias("__own"), (2 * surface - F.col(at[depth])).alias("__image")).drop("__read")
+    both = read_around(image, at | {depth: "__image"}, cells, value, half, few)
+    return both.groupBy(*keys).agg(F.sum(F.col("__own") - F.col("__read")).alias(value))
 
 
 def inject(sources: DataFrame, at: dict[str, str], amplitude: str, velocity: DataFrame, speed: str, dt: float, depth: str | None = None, surface: float = 0.0, half: int = 1) -> DataFrame:

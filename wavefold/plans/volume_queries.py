@@ -620,8 +620,8 @@ _GHOSTS = f"(SELECT *, 1 AS sign, x_iz AS z FROM {_POINTS} UNION ALL SELECT *, -
     SELECT {_ID}, round(sum(sign * w_ix * w_iz * coalesce(v, 0)), 5) + 0.0 AS v FROM b LEFT JOIN (SELECT ix, iz, sum(v) AS v FROM {_VOLUME} GROUP BY 1, 2) ON ix = c_ix AND iz = c_iz GROUP BY {_ID}
 """)
 def receivers_less_ghost(spark: SparkSession, d: str) -> DataFrame:
-    cells = _volume(spark, d).groupBy("ix", "iz").agg(F.sum("v").alias("v"))
-    out = lookups.gather_less_ghost(_points(spark, d), _KEYS, {"ix": "x_ix", "iz": "x_iz"}, "iz", 1.5, cells, "v")
+    cells = _volume(spark, d).groupBy("ix", "iz").agg(F.sum("v").alias("v"))  # 23 places at most along ix, for each of the line numbers, which are few
+    out = lookups.gather_less_ghost(_points(spark, d), _KEYS, {"ix": "x_ix", "iz": "x_iz"}, "iz", 1.5, cells, "v", few=True)
     return _rounded(out, 5, "v")
 
 
