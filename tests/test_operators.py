@@ -494,6 +494,11 @@ def test_linear_keeps_a_row_a_point(spark, monkeypatch, few):
     _check_linear(spark, monkeypatch, few)
 
 
+def test_linear_by_slowness_keeps_a_row_a_point(spark, monkeypatch):
+    """As trilinear_slowness asks for it: clamped, by reciprocals."""
+    _check_linear(spark, monkeypatch, 1000, clamp=True, reciprocal=True)
+
+
 @pytest.mark.parametrize("few", [False, True])
 def test_ghosts_keep_a_row_a_receiver(spark, monkeypatch, few):
     monkeypatch.setattr(lookups, "BRICK", 9)
