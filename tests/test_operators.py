@@ -442,6 +442,7 @@ def test_small_files_share_a_task(spark, tmp_path):
 def test_records_stand_a_round_at_a_time(spark, tmp_path, monkeypatch, name):
     import duckdb
 
+    from wavefold.plans import volume_queries  # noqa: F401  (registers its queries)
     from wavefold.plans.registry import ORACLE_SQL, QUERIES
     from wavefold.sources import records
 
